@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, packing, progressive_jpeg, token_counts, toxicity
+from . import chat, mixing, packing, pii, progressive_jpeg, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,13 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_jpeg.text_media_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.scan(docs, pii.train(docs))
+    counts = [F.size(F.filter("base", lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -46,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By name; ``oracle_sql`` below has the same names where SQL can express the result.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_progressive_jpeg, op3_toxicity, op5_mixing, op6_chat_format, op8_token_counts, op9_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_progressive_jpeg, op2_pii, op3_toxicity, op5_mixing, op6_chat_format, op8_token_counts, op9_packing)}
 
 _ESC = "regexp_replace(replace({x}, '\\', '\\\\'), '([<\\[])(\\|begin\\|>|\\|turn\\|>|\\|body\\|>|\\|end\\|>|s>|/s>|INST\\]|/INST\\]|<SYS>>|</SYS>>)', '\\1\\\\\\2', 'g')"
 
