@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, packing, pii, progressive_jpeg, token_counts, toxicity
+from . import chat, embedding_dedup, mixing, packing, pii, progressive_jpeg, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By name; ``oracle_sql`` below has the same names where SQL can express the result.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_progressive_jpeg, op2_pii, op3_toxicity, op5_mixing, op6_chat_format, op8_token_counts, op9_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_progressive_jpeg, op2_pii, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_chat_format, op8_token_counts, op9_packing)}
 
 _ESC = "regexp_replace(replace({x}, '\\', '\\\\'), '([<\\[])(\\|begin\\|>|\\|turn\\|>|\\|body\\|>|\\|end\\|>|s>|/s>|INST\\]|/INST\\]|<SYS>>|</SYS>>)', '\\1\\\\\\2', 'g')"
 
