@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embedding_dedup, mixing, packing, pii, progressive_jpeg, token_counts, toxicity
+from . import chat, embedding_dedup, html_extract, mixing, packing, pii, progressive_jpeg, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, html_extract.train(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 #: By name; ``oracle_sql`` below has the same names where SQL can express the result.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_progressive_jpeg, op2_pii, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_chat_format, op8_token_counts, op9_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_progressive_jpeg, op2_pii, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_chat_format, op8_token_counts, op9_packing, op10_html_extract)}
 
 _ESC = "regexp_replace(replace({x}, '\\', '\\\\'), '([<\\[])(\\|begin\\|>|\\|turn\\|>|\\|body\\|>|\\|end\\|>|s>|/s>|INST\\]|/INST\\]|<SYS>>|</SYS>>)', '\\1\\\\\\2', 'g')"
 
