@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embedding_dedup, html_extract, mixing, packing, pii, progressive_jpeg, token_counts, toxicity
+from . import chat, embedding_dedup, html_extract, jaccard_join, mixing, packing, pii, progressive_jpeg, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_conversations(chat.format_turns(turns, path), path)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -63,11 +67,26 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By name; ``oracle_sql`` below has the same names where SQL can express the result.
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_progressive_jpeg, op2_pii, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_chat_format, op8_token_counts, op9_packing, op10_html_extract)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_progressive_jpeg, op2_pii, op3_toxicity, op4_embedding_dedup, op5_mixing, op6_chat_format, op7_jaccard_join, op8_token_counts, op9_packing, op10_html_extract)}
 
 _ESC = "regexp_replace(replace({x}, '\\', '\\\\'), '([<\\[])(\\|begin\\|>|\\|turn\\|>|\\|body\\|>|\\|end\\|>|s>|/s>|INST\\]|/INST\\]|<SYS>>|</SYS>>)', '\\1\\\\\\2', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS s FROM w),
+sized AS (SELECT doc_id, s, len(s) AS n FROM sets),
+items AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM items x JOIN items y ON x.g = y.g AND x.doc_id < y.doc_id
+  WHERE 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_shingles, (SELECT min(r.b) FROM reach r WHERE r.a = z.doc_id) AS component_id FROM sized z""",
     "op6_chat_format": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
