@@ -79,3 +79,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError("connected_components did not settle")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(now.select("v", "v").distinct()).groupBy("node").agg(F.min("component").alias("component"))
+
+
+#: Most bytes of narrow rows that are broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """``df`` (materialized, narrow) marked for broadcast if its counted size allows."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

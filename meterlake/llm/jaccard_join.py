@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import connected_components, materialize, with_global_index
+from .common import connected_components, materialize, small, with_global_index
 
 WORDS, PERCENT = 3, 90
 #: Sizes of a class reach from its bound to this many times it.
@@ -33,8 +33,6 @@ CLASS_RATIO = 1.6
 TILE, LEAVES = 512, 8
 #: Characters of small groups that share a task.
 BUCKET_CHARS = 4_000_000
-#: Most bytes of (id, group) rows that are broadcast to pick texts; beyond, they are joined by shuffle.
-BROADCAST_BYTES = 64 << 20
 WINDOW_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20_011)
@@ -295,9 +293,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not stats[0]:
         links = None
     else:
-        wanted = placed.select("id")
-        near = F.broadcast(wanted) if stats[0] * 16 <= BROADCAST_BYTES else wanted
-        texts = materialize(rows.join(near, "id").groupBy("id").agg(F.first("text").alias("text")), "texts")
+        texts = materialize(rows.join(small(placed.select("id")), "id").groupBy("id").agg(F.first("text").alias("text")), "texts")
         buckets = max(1, int(stats[1] * 8 // BUCKET_CHARS))
         kinds = "a long, b long"
         join = lambda p: _group_links(p, words, percent)
@@ -323,3 +319,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comps = materialize(connected_components(links), "components")
         out = out.join(comps, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without those of a component that are not its smallest id."""
+    found = similar_components(docs, id_col, text_col, words, percent)
+    dropped = materialize(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "dropped")
+    return docs.join(small(dropped), id_col, "left_anti").select(docs.columns)

@@ -19,7 +19,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, with_global_index
+from .common import materialize, small, with_global_index
 
 #: No document is taken more often than this, and no source gets more than this many times its words.
 MOST_COPIES = 3
@@ -119,3 +119,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(
         F.col("p.id").alias(id_col), F.col("p.source").alias("source"), F.col("p.size").alias("size"), "source_size", "target", k.alias("copies"), (k * F.col("p.size")).alias("taken")
     )
+
+
+def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    counts = mix(docs, id_col, text_col, source_col).groupBy(id_col).agg(F.max("copies").alias("_copies"))
+    taken = materialize(counts.where("_copies > 0"), "taken")
+    out = docs.join(small(taken), id_col).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(docs.columns)

@@ -313,3 +313,24 @@ def scan(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, base array<string>, spans array<string>, masked string")
     return out.withColumnRenamed("id", id_col)
+
+
+def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with all spans of ``text_col`` replaced by their kinds, and ``length_col``, where there is one, brought in line."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for v in batch.column(at):
+                text = v.as_py()
+                spans = find_spans(text, weights)[1] if text else []
+                texts.append(masked(text, spans) if spans else text)
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    out = docs.mapInArrow(run, docs.schema)
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
+    return out

@@ -183,3 +183,19 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, offending array<string>")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    at = docs.columns.index(text_col)
+    used = np.flatnonzero(weights[:-1])
+    packed = (used.astype(np.int32), weights[used].astype(np.float32), float(weights[-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.zeros(BUCKETS + 1)
+        full[packed[0]], full[-1] = packed[1], packed[2]
+        scorer = Scorer(full)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(v.as_py() or "") < threshold for v in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
