@@ -1,4 +1,4 @@
 """Query plans by name."""
 
-from . import reports  # noqa: F401
+from . import ingest, reports  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -71,10 +71,21 @@ SCANS = """scans AS (SELECT user_id AS measurement_id, CAST(row_number() OVER (P
   epoch_us(ts) AS us, value AS y, event_type AS technique, event_id, props, epoch_us(ts) / 1e6 AS x FROM events)"""
 
 
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with ln: their number within the order, from 1."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return read(spark, sf, "lineitem").withColumn("ln", F.row_number().over(w))
+
+
+ITEMS = "items AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS ln FROM lineitem)"
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered lines (file_id, line_no, value) of ordered texts: header, pair and junk lines derived from orders and items."""
-    l = read(spark, sf, "lineitem")
-    n = F.col("l_linenumber")
+    """Numbered lines (file_id, line_no, value) of ordered texts: header, pair and junk lines derived from items."""
+    l = items(spark, sf)
+    n = F.col("ln")
     value = (
         F.when(n == 1, F.concat(F.lit(";SampleName = S"), (F.col("l_partkey") % 50).cast("string")))
         .when(n == 2, F.concat(F.lit(";KAlpha1 = "), F.col("l_quantity").cast("int").cast("string")))
@@ -84,14 +95,14 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return l.select(F.col("l_orderkey").alias("file_id"), n.cast("int").alias("line_no"), value.alias("value"))
 
 
-LINES = """lines AS (SELECT l_orderkey AS file_id, CAST(l_linenumber AS INTEGER) AS line_no, CASE WHEN l_linenumber = 1 THEN ';SampleName = S' || CAST(l_partkey % 50 AS VARCHAR)
-  WHEN l_linenumber = 2 THEN ';KAlpha1 = ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) WHEN l_linenumber % 5 = 0 THEN 'bad row'
-  ELSE ' ' || CAST(l_linenumber AS VARCHAR) || chr(9) || CAST(l_suppkey AS VARCHAR) || '.5 ' END AS value FROM lineitem)"""
+LINES = ITEMS + """, lines AS (SELECT l_orderkey AS file_id, ln AS line_no, CASE WHEN ln = 1 THEN ';SampleName = S' || CAST(l_partkey % 50 AS VARCHAR)
+  WHEN ln = 2 THEN ';KAlpha1 = ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) WHEN ln % 5 = 0 THEN 'bad row'
+  ELSE ' ' || CAST(ln AS VARCHAR) || chr(9) || CAST(l_suppkey AS VARCHAR) || '.5 ' END AS value FROM items)"""
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     """Staged workbook cells (file_id, sheet, row_idx, col_idx, num, txt): header rows and numbers from items."""
-    l = read(spark, sf, "lineitem").withColumn("r", F.col("l_linenumber").cast("int"))
+    l = items(spark, sf).withColumn("r", F.col("ln"))
     head = ["Temperature (K)", "Seebeck (uV/K)", "Resistivity", "Thermal conductivity", "Mobility"]
     nums = [F.col("l_quantity").cast("double") * 50, F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.col("l_extendedprice").cast("double"), F.col("l_suppkey").cast("double")]
     rows = [F.struct(F.lit(k).alias("col_idx"), F.when(F.col("r") == 1, F.lit(None).cast("double")).when((F.col("r") == 4) & (F.lit(k) == 1), F.lit(None).cast("double")).otherwise(nums[k]).alias("num"), F.when(F.col("r") == 1, F.lit(head[k])).when((F.col("r") == 4) & (F.lit(k) == 1), F.lit("n/a")).alias("txt")) for k in range(5)]
@@ -99,10 +110,10 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("file_id", "sheet", "row_idx", "c.col_idx", "c.num", "c.txt")
 
 
-CELLS = """cells AS (SELECT l_orderkey AS file_id, CASE WHEN l_orderkey % 3 = 0 THEN 'A' ELSE 'B' END AS sheet, CAST(l_linenumber - 1 AS INTEGER) AS row_idx, CAST(k AS INTEGER) AS col_idx,
-  CASE WHEN l_linenumber = 1 OR (l_linenumber = 4 AND k = 1) THEN NULL ELSE ([CAST(l_quantity AS DOUBLE) * 50, CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE), CAST(l_extendedprice AS DOUBLE), CAST(l_suppkey AS DOUBLE)])[k + 1] END AS num,
-  CASE WHEN l_linenumber = 1 THEN (['Temperature (K)', 'Seebeck (uV/K)', 'Resistivity', 'Thermal conductivity', 'Mobility'])[k + 1] WHEN l_linenumber = 4 AND k = 1 THEN 'n/a' END AS txt
-  FROM lineitem, unnest(range(0, 5)) AS t(k))"""
+CELLS = ITEMS + """, cells AS (SELECT l_orderkey AS file_id, CASE WHEN l_orderkey % 3 = 0 THEN 'A' ELSE 'B' END AS sheet, CAST(ln - 1 AS INTEGER) AS row_idx, CAST(k AS INTEGER) AS col_idx,
+  CASE WHEN ln = 1 OR (ln = 4 AND k = 1) THEN NULL ELSE ([CAST(l_quantity AS DOUBLE) * 50, CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE), CAST(l_extendedprice AS DOUBLE), CAST(l_suppkey AS DOUBLE)])[k + 1] END AS num,
+  CASE WHEN ln = 1 THEN (['Temperature (K)', 'Seebeck (uV/K)', 'Resistivity', 'Thermal conductivity', 'Mobility'])[k + 1] WHEN ln = 4 AND k = 1 THEN 'n/a' END AS txt
+  FROM items, unnest(range(0, 5)) AS t(k))"""
 
 
 def issues(spark: SparkSession, sf: str) -> DataFrame:
