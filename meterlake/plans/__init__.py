@@ -1,4 +1,4 @@
 """Query plans by name."""
 
-from . import ingest, reports  # noqa: F401
+from . import analysis, ingest, reports, resolve, streams  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, what: str = "step") -> DataFrame:
-    """``df`` written as Parquet into ``spark.checkpoint.dir`` (a private folder only where unset) and read back."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a private folder only where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='meterlake-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, what: str = "step") -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back."""
+    path = f"{shared_root(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
