@@ -77,8 +77,10 @@ def save_points(points: DataFrame, path: str, buckets: int = 64) -> None:
 
 def load_points(spark: SparkSession, path: str, measurement_id, buckets: int = 64) -> DataFrame:
     """Points of one measurement; empty if there are none."""
-    own = spark.range(1).select(F.pmod(F.xxhash64(F.lit(measurement_id)), F.lit(buckets))).first()[0]
-    return spark.read.parquet(path).where((F.col("bucket") == own) & (F.col("measurement_id") == measurement_id))
+    points = spark.read.parquet(path)
+    same_type = F.lit(measurement_id).cast(points.schema["measurement_id"].dataType)
+    own = spark.range(1).select(F.pmod(F.xxhash64(same_type), F.lit(buckets))).first()[0]
+    return points.where((F.col("bucket") == own) & (F.col("measurement_id") == measurement_id))
 
 
 def delete_points(spark: SparkSession, path: str, measurement_ids: DataFrame, out: str) -> None:
@@ -119,6 +121,7 @@ def write_decisions(renames: DataFrame, merges: DataFrame, splits: DataFrame, pa
     r = renames.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("auto", "new")))).alias("renames"))
     m = merges.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
     m = m.agg(F.transform(F.array_sort(F.collect_list(F.struct("group_id", "names"))), lambda x: x["names"]).alias("merges"))
-    s = splits.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "target")))).alias("to"))
-    s = s.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "to")))).alias("splits"))
+    s = splits.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("path", "target"))).alias("to"))
+    by_source = F.transform(F.array_sort(F.collect_list(F.struct("source", "to"))), lambda x: F.struct(x["source"], F.map_from_entries(x["to"])))
+    s = s.agg(F.map_from_entries(by_source).alias("splits"))
     r.crossJoin(m).crossJoin(s).coalesce(1).write.mode("overwrite").json(path)  # one row each

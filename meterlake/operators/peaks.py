@@ -123,6 +123,17 @@ def profile(x: np.ndarray, area: float, center: float, sigma: float, share: floa
     return area * ((1 - share) / (sigma * np.sqrt(2 * np.pi)) * np.exp(-d * d / (2 * sigma * sigma)) + share / np.pi * sigma / (d * d + sigma * sigma))
 
 
+def _slopes(x: np.ndarray, area: float, center: float, sigma: float, share: float) -> tuple[np.ndarray, ...]:
+    """Derivatives of a profile by its four parameters."""
+    d, v = x - center, sigma * sigma
+    w = d * d + v
+    g, l = np.exp(-d * d / (2 * v)) / (sigma * np.sqrt(2 * np.pi)), sigma / np.pi / w
+    return (
+        (1 - share) * g + share * l, area * d * ((1 - share) * g / v + 2 * share * l / w),
+        area * ((1 - share) * g * (d * d / v - 1) / sigma + share / np.pi * (d * d - v) / (w * w)), area * (l - g),
+    )
+
+
 def true_fwhm(sigma: float, share: float) -> float:
     """Full width at half height, from 5001 points over five sigma on either side."""
     x = np.linspace(-5 * sigma, 5 * sigma, 5001)
@@ -138,12 +149,7 @@ def fit_profiles(x: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarra
     r = y - total(p)
     cost = float(r @ r)
     for _ in range(steps):
-        j = np.empty((len(x), len(p)))
-        for k in range(len(p)):
-            h = 1e-6 * max(abs(p[k]), 1e-3)
-            q = p.copy()
-            q[k] += h
-            j[:, k] = (total(q) - (y - r)) / h
+        j = np.column_stack([c for k in range(0, len(p), 4) for c in _slopes(x, *p[k : k + 4])])
         a, g = j.T @ j, j.T @ r
         while damp < 1e12:
             # parameters at a bound that the step would cross stay there
@@ -218,7 +224,7 @@ def fit_curve(points: DataFrame, fits: DataFrame) -> DataFrame:
     d, s = F.col("x") - F.col("center"), F.col("sigma")
     g = (1 - F.col("fraction")) / (s * (2 * np.pi) ** 0.5) * F.exp(-d * d / (2 * s * s))
     v = F.col("area") * (g + F.col("fraction") / np.pi * s / (d * d + s * s))
-    each = points.join(fits.where("issue is null").select(M, "center", "sigma", "area", "fraction"), M, "left")
+    each = points.select(M, "idx", "x", "y", "baseline").join(fits.where("issue is null").select(M, "center", "sigma", "area", "fraction"), M, "left")
     out = each.groupBy(M, "idx", "x", "y", "baseline").agg(F.sum(F.coalesce(v, F.lit(0.0))).alias("model"))
     return out.select(M, "idx", "x", "y", "baseline", (F.col("model") + F.col("baseline")).alias("fit"), (F.col("y") - F.col("model") - F.col("baseline")).alias("residual"))
 

@@ -60,7 +60,7 @@ def read_diffraction_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_spectrum_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Raw text of spectrum XML files (windows-1252) with calibration, counts and time drawn out by path."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "windows-1252").alias("xml"))
+    """Raw text of spectrum XML files (one byte a character; the parts drawn out are ASCII) with calibration, counts and time drawn out by path."""
+    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "ISO-8859-1").alias("xml"))
     one = lambda tag: F.regexp_extract("xml", f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
     return raw.select("path", one("CalibAbs").try_cast("double").alias("calib_abs"), one("CalibLin").try_cast("double").alias("calib_lin"), one("Date").alias("date"), one("Time").alias("time"), one("Channels").alias("channels"))
