@@ -201,3 +201,17 @@ def _(spark, sf):
     p = written(P.prepared(diffraction(spark, sf)), "prepared")
     fits = P.fit_peak_clusters(p, C.overlap_groups(p.where("is_peak").select(M, "idx", "x", "width")))
     return P.physical(fits, p).groupBy(M).agg(F.count(F.lit(1)).alias("peaks"))
+
+
+@query("a12_run_analysis", f"WITH {TAUC} SELECT measurement_id, measurement_id % 2 = 0 AS reused, CASE WHEN measurement_id % 2 = 0 THEN 0.0 ELSE round(-intercept / slope, 5) END AS band_gap FROM fitted")
+def _(spark, sf):
+    """Band gaps of all spectra, every other one answered by a stored result."""
+    from ..operators import catalog, service
+
+    a = service.default_registry().by_name["band-gap"]
+    m = c.read(spark, sf, "embeddings").select(F.col("vec_id").alias(M), F.lit("uv_drs").alias("technique"))
+    entries = F.create_map(*[F.lit(str(x)) for kv in sorted(a.defaults.items()) for x in kv])
+    stored = m.where(f"{M} % 2 = 0").select(M, F.lit(a.name).alias("analyzer_name"), catalog.params_fingerprint(entries).alias("params_fp"), F.lit(a.version).alias("analyzer_version"), F.lit('{"band_gap":0.0}').alias("outputs"), F.array().cast("array<string>").alias("issues"))
+    out = service.run_analysis(m, spectra(spark, sf).select(M, "idx", "x", "y"), stored, a)
+    gap = F.get_json_object("outputs", "$.band_gap").cast("double")
+    return out.select(M, (gap == 0).alias("reused"), F.round(gap, 5).alias("band_gap"))

@@ -295,3 +295,25 @@ def test_reports(spark):
     got = reports.first_with_rest(df, [F.col("i")], 15).collect()
     assert len(got) == 15 and {r["remaining"] for r in got} == {5}
     assert json.loads(json.dumps(reports.SEVERITIES)) == ["info", "warning", "error"]
+
+
+def test_analysis_runs_reuse_results(spark):
+    from meterlake.operators import service
+
+    registry = service.default_registry()
+    with pytest.raises(ValueError, match="twice"):
+        registry.register(registry.by_name["band-gap"])
+    assert [a.name for a in registry.for_technique("xrd")] == ["peak-table"]
+    rows = [(k, *p) for k, g in enumerate([2.0, 3.0]) for p in spectrum(g, "direct")]
+    points = spark.createDataFrame(rows, f"{M} long, idx int, x double, y double")
+    m = spark.createDataFrame([(0, "uv_drs"), (1, "uv_drs"), (2, "xrd")], f"{M} long, technique string")
+    none = spark.createDataFrame([], f"{M} long, analyzer_name string, params_fp string, analyzer_version string, outputs string, issues array<string>")
+    a = registry.by_name["band-gap"]
+    first = spark.createDataFrame(service.run_analysis(m, points, none, a).collect(), none.schema)
+    assert {r[M]: round(json.loads(r["outputs"])["band_gap"], 1) for r in first.collect()} == {0: 2.0, 1: 3.0}
+    marked = first.withColumn("outputs", F.lit("kept"))
+    assert {r["outputs"] for r in service.run_analysis(m, points, marked, a).collect()} == {"kept"}
+    assert "kept" not in {r["outputs"] for r in service.run_analysis(m, points, marked, a, force=True).collect()}
+    assert service.run_analysis(m, points, marked, a, {"low": 0.3}).count() == 4
+    with pytest.raises(ValueError, match="unknown"):
+        service.run_analysis(m, points, none, a, {"nope": 1})
