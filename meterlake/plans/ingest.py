@@ -251,3 +251,38 @@ def _(spark, sf):
     todo = catalog.result_misses(wanted, stored).select("measurement_id").distinct()
     pts = c.scans(spark, sf).join(todo, "measurement_id", "left_semi")
     return curves.line_fit(pts, "x", "y").select("measurement_id", F.round("r2", 6).alias("r2"), "n")
+
+
+query("s06_comma_rows", "SELECT p_partkey, string_split(p_brand || ',' || p_type || ',' || CAST(p_size AS VARCHAR), ',') AS cells FROM part")(
+    lambda s, d: files_source.read_lines(c.read(s, d, "part").select("p_partkey", F.concat_ws(",", "p_brand", "p_type", F.col("p_size").cast("string")).alias("content")), "p_partkey").select("p_partkey", F.split("value", ",").alias("cells"))
+)
+
+
+@query("s10_derived_curves", f"WITH {c.CURVES} SELECT analyzer_name, count(*) AS n, round(sum(y * k), 4) AS total FROM curves, (VALUES ('half', 0.5::DOUBLE), ('double', 2.0::DOUBLE)) AS a(analyzer_name, k) GROUP BY analyzer_name")
+def _(spark, sf):
+    """Derived curves of two analyzers, appended under the analyzer's name and read back."""
+    import uuid
+
+    from ..sources.durable import shared_root
+
+    path = f"{shared_root(spark)}/derived-{uuid.uuid4().hex}"
+    for name, k in (("half", 0.5), ("double", 2.0)):
+        d = c.curves(spark, sf).select(F.concat_ws(":", "measurement_id", F.lit(name)).alias("result_id"), "idx", F.lit("scaled").alias("name"), (F.col("y") * k).alias("value"), F.lit(name).alias("analyzer_name"))
+        d.write.mode("append").partitionBy("analyzer_name").parquet(path)
+    return spark.read.parquet(path).groupBy("analyzer_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("s16_override_document", "SELECT DISTINCT p_brand AS auto, 'renamed ' || p_brand AS new FROM part")
+def _(spark, sf):
+    """Renames written as a JSON document and read back as a table."""
+    import uuid
+
+    from ..sources.durable import shared_root
+
+    path = f"{shared_root(spark)}/decisions-{uuid.uuid4().hex}"
+    p = c.read(spark, sf, "part")
+    renames = p.select(F.col("p_brand").alias("auto"), F.concat(F.lit("renamed "), "p_brand").alias("new")).distinct()
+    merges = p.select((F.col("p_size") % 3).alias("group_id"), F.col("p_size").alias("pos"), F.col("p_type").alias("name")).groupBy("group_id", "name").agg(F.min("pos").alias("pos"))
+    splits = p.where("p_partkey % 50 = 0").select(F.col("p_brand").alias("source"), F.col("p_partkey").cast("string").alias("path"), F.col("p_type").alias("target"))
+    catalog.write_decisions(renames, merges, splits, path)
+    return catalog.read_decisions(spark, path)["renames"]
