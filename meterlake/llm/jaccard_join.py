@@ -2,9 +2,9 @@
 
 Documents are sets of word shingles, held as 64-bit hashes; equal sets (128-bit fingerprints) are one representative.
 Routing is lossless: two sets of Jaccard similarity t or more differ in at most d = floor(s*(1-t)/t) shingles, s being
-the smaller size, so of d + 1 hash ranges at least one holds the same shingles in both. Each set sends the digest
-of each range, under the range counts of the size classes its partners can be in; sets that share a digest are tied into
-coarse groups. Within a group signature trees do the join: sorted by size, documents are leaves with token bitmaps,
+the smaller size, so of over d hash ranges at least one holds the same shingles in both. Each set sends the digests
+of its fuller ranges, under the range counts of the size classes its partners can be in; sets that share a digest are tied
+into coarse groups. Within a group signature trees do the join: sorted by size, documents are leaves with token bitmaps,
 inner nodes hold OR-combined bitmaps and size ranges, and a dual traversal drops node pairs whose largest
 possible overlap is too small or whose documents are connected already. Pairs left are verified on their full sets.
 
@@ -30,6 +30,8 @@ from .common import connected_components, materialize, small, with_global_index
 WORDS, PERCENT = 3, 90
 #: Sizes of a class reach from its bound to this many times it.
 CLASS_RATIO = 1.6
+#: Ranges beyond those needed, as a share of the most shingles that differ; so many of the emptiest are left out.
+SPARE_RANGES = 0.2
 TILE, LEAVES = 512, 8
 #: Characters of small groups that share a task.
 BUCKET_CHARS = 4_000_000
@@ -110,10 +112,21 @@ class Router:
         least = -(-size * self.percent // 100)
         return {int(c) for c in np.searchsorted(self.bounds, [least, size], "right") - 1}
 
+    def most_apart(self, size: int) -> int:
+        """Shingles in which sets of the similarity can differ if the smaller has this size."""
+        return size * (100 - self.percent) // self.percent
+
     def ranges(self, c: int) -> int:
-        return int(self.bounds[c + 1] - 1) * (100 - self.percent) // self.percent + 1
+        """Hash ranges of a class: more than its sets can differ in, so that some can be left out."""
+        d = self.most_apart(int(self.bounds[c + 1]) - 1)
+        return d + 1 + int(SPARE_RANGES * d)
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """Digests of the fuller ranges of a set, by class.
+
+        Of n ranges n - d at least are the same in both sets of a pair. A set leaves out its emptiest ranges, fewer
+        than n - d of them, by a bound on their fill; the larger of both sets' bounds still leaves a common one.
+        """
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(hashes, 1), dtype=np.uint64)])
         out = []
         for c in sorted(self.classes(len(hashes))):
@@ -121,7 +134,10 @@ class Router:
             step = (1 << 64) // n + 1
             cuts = np.searchsorted(hashes, np.arange(1, n, dtype=np.uint64) * np.uint64(step) if n > 1 else np.zeros(0, np.uint64))
             cuts = np.concatenate([[0], cuts, [len(hashes)]])
-            out.append(_mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ _mix(np.arange(n, dtype=np.uint64) + np.uint64(c << 40), 2), 3))
+            fill = np.diff(cuts)
+            d = self.most_apart(min(len(hashes), int(self.bounds[c + 1]) - 1))
+            full = np.flatnonzero(fill >= np.partition(fill, n - d - 1)[n - d - 1])
+            out.append(_mix((sums[cuts[full + 1]] - sums[cuts[full]]) ^ _mix(full.astype(np.uint64) + np.uint64(c << 40), 2), 3))
         return np.concatenate(out)
 
 
@@ -287,7 +303,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size_of = rep_of.where("id = rep").select("id", "n")
     placed = materialize(with_global_index(coarse.join(size_of, "id"), ["part", "n", "id"]), "placed")
     spans = placed.groupBy("part").agg(F.min("pos").alias("begin"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
-    placed = placed.join(spans, "part").select("id", "part", ((F.col("pos") - F.col("begin")) / tile).cast("int").alias("own"), F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
+    placed = placed.join(spans, "part").select("id", "part", "n", ((F.col("pos") - F.col("begin")) / tile).cast("int").alias("own"), F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
     placed = materialize(placed, "tiles")
     stats = spans.agg(F.sum("members"), F.sum("weight"), F.max("members")).first()
     if not stats[0]:
@@ -308,10 +324,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if stats[2] > tile:
             known = materialize(connected_components(links), "known")
             label = placed.where("tiles > 1").join(known, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id"))
-            pairs = F.filter(
-                F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("own", k).alias("x"), F.greatest("own", k).alias("y"))), lambda p: p["x"] < p["y"]
-            )
-            crossing = label.withColumn("pair", F.explode(pairs)).select("id", "part", "own", "tiles", "pair.x", "pair.y", "label")
+            # pairs of tiles (roots of two trees) whose size ranges allow a link and whose documents are not all of one component
+            roots = label.groupBy("part", "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+            x, y = (roots.select("part", F.col("own").alias(k), *[F.col(v).alias(f"{v}{k}") for v in ("lo", "hi", "l0", "l1")]) for k in "xy")
+            pairs = x.join(y, "part").where(f"x < y and loy * {percent} <= hix * 100 and not (l0x = l1x and l0y = l1y and l0x = l0y)").select("part", "x", "y")
+            pairs = pairs.select("part", "x", "y", F.explode(F.array("x", "y")).alias("own"))
+            crossing = label.join(pairs, ["part", "own"]).select("id", "part", "own", "tiles", "x", "y", "label")
             links = materialize(links.union(tasks(crossing)), "links")
 
     out = sets.join(reps, equal, "left").withColumn("rep", F.coalesce("rep", "id"))
