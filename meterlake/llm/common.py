@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -50,17 +51,43 @@ def with_global_index(df: DataFrame, order: list[str], name: str = "pos") -> Dat
     return ranged.join(F.broadcast(starts), "_pid").withColumn(name, F.col("_start") + F.col("_row")).drop("_pid", "_start", "_row", "_mid")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: Edges that one task contracts on its own.
+CHUNK_EDGES = 500_000
+
+
+def _contract(batches):
+    """The edges of a task as stars: each node tied to the least that it reaches within the task."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root.setdefault(up, up)
+        return k
+
+    for pdf in batches:
+        for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pd.DataFrame({"u": nodes, "v": [find(k) for k in nodes]}).astype("int64").query("u != v")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, chunk: int = CHUNK_EDGES) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node that it reaches.
 
-    Alternating large-star and small-star steps: each keeps connectivity and shortens paths, so the number of
-    rounds grows with the logarithm of a component's size. Hot nodes are met by partial aggregation (min) and by
-    joins that Spark can split; no neighbour list is gathered.
+    Tasks first contract chunks of at most ``CHUNK_EDGES`` edges into stars; one chunk alone is the answer. Stars of several
+    chunks are joined by alternating large-star and small-star steps: each keeps connectivity and shortens paths, so the
+    number of rounds grows with the logarithm of a component's size. Hot nodes are met by partial aggregation (min) and
+    by joins that Spark can split; no neighbour list is gathered.
     """
-    spark = edges.sparkSession
     now = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
+        edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct(), "edges"
     )
+    chunks = max(1, -(-now.count() // chunk))
+    now = materialize(now.repartition(chunks).mapInPandas(_contract, "u long, v long"), "stars")
+    if chunks == 1:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
     mark = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is tied to the least node around u

@@ -56,7 +56,7 @@ def pass_keys(reps: DataFrame, passes: int = PASSES, bits: int = BITS) -> DataFr
 
 
 def window_pairs(reps: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified pairs of representatives found in any pass, not yet distinct."""
+    """(a, b): verified pairs of representatives that connect all that any pass finds, not yet distinct."""
     placed = with_global_index(pass_keys(reps, passes), ["pass", "label", "dim", "key", "rep"])
     own = F.floor(F.col("pos") / block)
     halo = F.when((F.col("pos") % block < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
@@ -80,7 +80,21 @@ def window_pairs(reps: DataFrame, threshold: float = THRESHOLD, passes: int = PA
                 right.append(rep[j[hit]])
         empty = [np.zeros(0, np.int64)]
         left, right = np.concatenate(left or empty), np.concatenate(right or empty)
-        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)}).drop_duplicates()
+        # pairs that join what no earlier pair of the block has joined: links are counted later, inside components
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (up := root.setdefault(k, k)) != k:
+                root[k] = k = root[up]
+            return k
+
+        out = []
+        for a, b in zip(left.tolist(), right.tolist()):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(a, b), max(a, b)))
+        return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
 
     return dealt.groupBy("block").applyInPandas(compare, "a long, b long")
 

@@ -418,6 +418,7 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5)]
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r["node"]: r["component"] for r in common.connected_components(df).collect()}
+    assert got == {r["node"]: r["component"] for r in common.connected_components(df, chunk=40).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in range(1000, 1100)) and len(got) == 301
 
 
