@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What a scan leaves out.
 SKIP_FOLDERS = (
-    ".latos", ".git", ".svn", ".hg", "__pycache__", "node_modules", ".idea", ".vscode", ".pytest_cache", ".mypy_cache",
+    ".git", ".svn", ".hg", "__pycache__", "node_modules", ".idea", ".vscode", ".pytest_cache", ".mypy_cache",
     ".ruff_cache", "venv", ".venv", "env", ".env",
 )
 SKIP_FILES = (".DS_Store", "Thumbs.db", "desktop.ini", "ehthumbs.db")
