@@ -204,6 +204,30 @@ def test_large_components_go_tile_by_tile(spark):
     assert len(got) == 40 and all(r["links"] == 78 for r in got)
 
 
+def test_isolated_pairs_in_a_crowded_label(spark):
+    rng = np.random.default_rng(8)
+    n, half = 4000, 200
+    v = rng.standard_normal((n, 32)) / np.sqrt(32) + np.ones(32) / np.sqrt(32)  # mean cosine 0.5
+    x = v[:half] / np.linalg.norm(v[:half], axis=1)[:, None]
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(axis=1)[:, None] * x
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    t = rng.uniform(0.931, 0.95, half)[:, None]
+    v[half : 2 * half] = t * x + np.sqrt(1 - t * t) * u
+    df = spark.createDataFrame([(i, a.tolist(), 0) for i, a in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = by_id(embedding_dedup.near_duplicates(df, passes=4, window=10), "vec_id")
+    assert np.mean([got[i]["component_id"] == got[i + half]["component_id"] for i in range(half)]) >= 0.97
+
+
+def test_labels_of_many_tiles_pair_by_pair(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((60, 6))
+    v[30:] = v[:30] + 0.01
+    df = spark.createDataFrame([(i, i % 2, 6, a.tolist()) for i, a in enumerate(v)], "rep long, label long, dim int, vector array<double>")
+    got = {(r["a"], r["b"]) for r in embedding_dedup.all_pairs(df, 0.999, tile=7).collect()}
+    assert {(i, i + 30) for i in range(30)} <= got
+
+
 # ---------------------------------------------------------------- mixing
 
 
