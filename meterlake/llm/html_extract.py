@@ -7,8 +7,10 @@ by smoothness edges that weaken with their distance in the DOM. Maximum flow sep
 The classifier is fitted on a bounded sample of pages whose markup says what is what (article, main; nav, footer,
 forms, class names and so on), towards a prior that holds where the sample is silent.
 
-Defined cases: null and empty pages give empty text; broken markup is read as far as it goes (an unclosed comment or
-script runs to the end); equal pages give equal texts; an empty table gives no rows; pages of any length are read
+Defined cases: null and empty pages give empty text; broken markup is read as far as it goes (an unclosed comment,
+script or style runs to the end); select, button, svg, iframe, textarea, noscript and template are dropped up to their end
+tag or, without one, up to the next tag of a block, and alone if self-closing; a head ends at its end tag, <body>, another
+block or text outside its title; equal pages give equal texts; an empty table gives no rows; pages of any length are read
 whole; other input columns are ignored.
 """
 
@@ -29,7 +31,7 @@ SAMPLE = 800
 SMOOTH = 0.6
 
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|button|svg|iframe|head)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+|[^>]*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(?:(?P<raw>textarea|iframe)\b(?![^>]*/>)(?:(?!<(?P=raw)\b).)*?</(?P=raw)\s*>)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+|[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 #: Tags that end a block of text.
@@ -38,6 +40,8 @@ BLOCK = frozenset(
 )
 #: Tags whose nesting is followed.
 CONTAINER = frozenset("article aside body div dl details dialog fieldset figure footer form header html main menu nav ol section table ul blockquote".split())
+#: Elements whose text is not text of the page.
+HIDDEN = frozenset("head title select button svg iframe textarea noscript template".split())
 VOID = frozenset("br hr img input link meta source wbr col area base embed track".split())
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Parts of class, id and role names that mark boilerplate or content.
@@ -70,6 +74,22 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
     return bad, good
 
 
+def _ends(pieces: list[re.Match]) -> dict[int, int]:
+    """The piece that ends each piece which opens an element of ``HIDDEN``, where there is one."""
+    waiting: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for k, m in enumerate(pieces):
+        name = (m["name"] or "").lower()
+        if name in HIDDEN:
+            before = waiting.setdefault(name, [])
+            if not m["end"]:
+                if not m["attrs"].rstrip().endswith("/"):
+                    before.append(k)
+            elif before:
+                out[before.pop()] = k
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order: text with references decoded and white space made single, and where it stands."""
     out: list[Block] = []
@@ -88,23 +108,42 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    at = 0
-    for m in _PIECE.finditer(page):
-        if m.start() > at:
-            run = page[at : m.start()]
+    pieces = list(_PIECE.finditer(page))
+    ends = _ends(pieces)
+    at, skip_to = 0, -1
+    hidden = ""  # the open head, or an element without an end tag
+    for k, m in enumerate(pieces):
+        if k < skip_to:
+            continue
+        run = page[at : m.start()] if k > skip_to else ""
+        if hidden == "head" and run and not run.isspace():
+            hidden = ""
+        if run and not hidden:
             parts.append(run)
             if in_link:
                 linked += len(run)
         at = m.end()
-        name = m[3]
-        if name is None:
+        name = m["name"]
+        if name is None or k == skip_to:
+            continue
+        name, ending = name.lower(), bool(m["end"])
+        if name in HIDDEN and (name != "title" or hidden == "head"):
+            if ending:
+                hidden = "" if name == hidden else hidden
+            elif k in ends and name != "head":
+                skip_to = ends[k]
+            elif not m["attrs"].rstrip().endswith("/") and not (hidden and name != "title"):
+                hidden = name
             continue
-        name, ending = name.lower(), bool(m[2])
+        if hidden:
+            if name not in BLOCK or name == "html":
+                continue
+            hidden = ""
         if name in BLOCK:
             close()
             if name in CONTAINER:
                 if not ending:
-                    bad, good = _kind(name, m[4])
+                    bad, good = _kind(name, m["attrs"])
                     number += 1
                     top = stack[-1]
                     # content markup inside boilerplate stays boilerplate; boilerplate inside content counts again
@@ -118,13 +157,15 @@ def blocks_of(page: str) -> list[Block]:
             elif ending:
                 tag, bad_here = "", False
             else:
-                tag, bad_here = name, _kind(name, m[4])[0] if m[4] else False
+                tag, bad_here = name, _kind(name, m["attrs"])[0] if m["attrs"] else False
             in_link = 0
         elif name == "br":
             parts.append(" ")
         elif name == "a":
             in_link = 0 if ending else 1
-    parts.append(page[at:])
+    rest = page[at:]
+    if not hidden or (hidden == "head" and not rest.isspace()):
+        parts.append(rest)
     close()
     return out
 

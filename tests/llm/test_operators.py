@@ -424,6 +424,25 @@ def test_main_text(spark):
     assert html_extract.extract(df.limit(0), html_extract.train(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>T</title><meta x=1><body><p>All of it.", "All of it."),
+    ("<head><title>T</title><link><p>All of it.</p>", "All of it."),
+    ("<head><title>T</title>All <b>of it.</b>", "All of it."),
+    ("<head><title>T<body><p>All of it.</p>", "All of it."),
+    ("<p>All <svg width='1'/>of it.", "All of it."),
+    ("<p>All of it.<svg><path d=''><p>Rest.<svg><title>icon</title></svg>", "All of it. Rest."),
+    ("<p>All of it.</p><select><option>a<div>Rest.</div>", "All of it. Rest."),
+    ("<p>All of it.<button>Go</p>Rest.", "All of it. Rest."),
+    ("<p>All of it.<textarea>x<p>Rest.", "All of it. Rest."),
+    ("<p>All of it.<iframe src='a'/><p>Rest.<iframe>z</iframe>", "All of it. Rest."),
+    ("<head><noscript><div>n</div></noscript><title>T</title></head><body>All of it.", "All of it."),
+    ("<p>All <noscript><p>n</p></noscript>of it.<template><div>t</div></template>", "All of it."),
+    ("<p>All <textarea><script><!-- </textarea>of it. <svg>a<svg>b</svg>c</svg>", "All of it."),
+])
+def test_omitted_ends_lose_no_text(page, text):
+    assert " ".join(b.text for b in html_extract.blocks_of(page)) == text
+
+
 def test_cut_is_the_cheapest():
     rng = np.random.default_rng(13)
     for _ in range(60):
