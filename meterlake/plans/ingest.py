@@ -95,6 +95,17 @@ query("p05_monotonic", f"WITH {c.CURVES}, l AS (SELECT measurement_id, y - lag(y
 )
 
 
+#: Whole axes: scans by time, by time run backwards, and by value, in turn; a scan may have any number of points.
+AXES = f"WITH {c.SCANS}, axes AS (SELECT measurement_id, idx, CASE measurement_id % 3 WHEN 0 THEN us WHEN 1 THEN -us ELSE y END AS x FROM scans), l AS (SELECT measurement_id, x - lag(x) OVER (PARTITION BY measurement_id ORDER BY idx) AS dd FROM axes) "
+
+
+@query("p05_monotonic_axis", AXES + "SELECT measurement_id, bool_and(coalesce(dd >= 0, true)) AS rising, bool_and(coalesce(dd <= 0, true)) AS falling FROM l GROUP BY measurement_id")
+def _(spark, sf):
+    turn = F.col("measurement_id") % 3
+    us = F.col("us").cast("double")
+    return parsing.monotonic(c.scans(spark, sf).select("measurement_id", "idx", F.when(turn == 0, us).when(turn == 1, -us).otherwise(F.col("y")).alias("x")))
+
+
 def _regions(spark, sf):
     i = c.read(spark, sf, "lineitem")
     n = F.col("l_linenumber")

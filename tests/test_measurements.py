@@ -317,3 +317,21 @@ def test_analysis_runs_reuse_results(spark):
     assert service.run_analysis(m, points, marked, a, {"low": 0.3}).count() == 4
     with pytest.raises(ValueError, match="unknown"):
         service.run_analysis(m, points, none, a, {"nope": 1})
+
+
+def test_monotonic_judges_whole_axes(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    from meterlake.plans import QUERIES, SQL
+
+    got = {r["measurement_id"]: (r["rising"], r["falling"]) for r in QUERIES["p05_monotonic_axis"](spark, sf).collect()}
+    axes: dict[int, list[float]] = {}
+    for r in sorted(spark.read.parquet(f"{sf}/events.parquet").collect(), key=lambda r: (r["ts"], r["event_id"])):
+        k = r["user_id"]
+        us = r["ts"].timestamp()
+        axes.setdefault(k, []).append(us if k % 3 == 0 else -us if k % 3 == 1 else r["value"])
+    assert got == {k: (x == sorted(x), x == sorted(x, reverse=True)) for k, x in axes.items()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    assert got == {k: (a, b) for k, a, b in con.execute(SQL["p05_monotonic_axis"]).fetchall()}
+    assert {(True, False), (False, True), (False, False)} <= set(got.values())
+    assert any(x[:3] == sorted(x[:3]) and not got[k][0] for k, x in axes.items())
