@@ -11,7 +11,8 @@ distinct sizes of one source, not its documents: k distinct sizes need k*k/2 wor
 the square root of twice the source's words. Copies of one size are dealt evenly over its documents by global rank.
 
 Defined cases: null text has size 0; null source is a source of its own, ordered last; documents of size 0 take 0
-words; repeated rows are separate documents; an empty table gives no rows; other input columns are ignored.
+words; repeated rows, rows that repeat an id and rows without one are separate documents, each taken as often as its
+own count says; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,9 +76,10 @@ def balance(histogram: DataFrame, targets: DataFrame, tolerance: float = TOLERAN
     return now.select("source", "lambda")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """(id, source, size, source_size, target, rate, copies, taken) per row of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, row_col: str | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) per row of ``docs``, and its column ``row_col`` if one is named."""
+    row = [F.col(row_col).alias("row")] if row_col else []
+    rows = docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = materialize(rows, "sizes")
     histogram = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     sources = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # the rank of a document among those of its source and size: global rank less the least one of its class
     hashed = rows.withColumn("mark", F.xxhash64("id"))
-    placed = materialize(with_global_index(hashed, ["source", "size", "mark", "id"]), "placed")
+    placed = materialize(with_global_index(hashed, ["source", "size", "mark", "id", *(["row"] if row else [])]), "placed")
     starts = placed.groupBy("source", "size").agg(F.min("pos").alias("begin"))
     classes = (
         starts.alias("s").join(dealt.alias("d"), F.col("s.source").eqNullSafe(F.col("d.source")) & (F.col("s.size") == F.col("d.size")))
@@ -117,13 +119,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = placed.alias("p").join(materialize(classes, "classes").alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.size") == F.col("c.size")))
     k = (F.floor(F.col("copies") / F.col("n")) + F.when(F.col("pos") - F.col("begin") < F.col("copies") % F.col("n"), 1).otherwise(0)).cast("long")
     return out.select(
-        F.col("p.id").alias(id_col), F.col("p.source").alias("source"), F.col("p.size").alias("size"), "source_size", "target", k.alias("copies"), (k * F.col("p.size")).alias("taken")
+        *([F.col("p.row").alias(row_col)] if row_col else []), F.col("p.id").alias(id_col), F.col("p.source").alias("source"), F.col("p.size").alias("size"), "source_size", "target", k.alias("copies"), (k * F.col("p.size")).alias("taken")
     )
 
 
 def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    counts = mix(docs, id_col, text_col, source_col).groupBy(id_col).agg(F.max("copies").alias("_copies"))
+    # the rows are written once with a number each, which must not change between the two reads
+    rows = materialize(docs.withColumn("_doc_row", F.monotonically_increasing_id()), "rows")
+    counts = mix(rows, id_col, text_col, source_col, row_col="_doc_row").select("_doc_row", F.col("copies").alias("_copies"))
     taken = materialize(counts.where("_copies > 0"), "taken")
-    out = docs.join(small(taken), id_col).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    out = rows.join(small(taken), "_doc_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(docs.columns)

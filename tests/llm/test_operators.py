@@ -266,6 +266,16 @@ def test_newton_solves_the_dual(spark):
     assert got["a"] == pytest.approx(np.log(2)) and got[None] == pytest.approx(np.log(0.5))
 
 
+def test_copies_of_repeated_and_missing_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "a", "w " * (5 + i % 7)) for i in range(60)] + [(None, "b", "w " * (4 + i % 5)) for i in range(40)] + [(i % 3, "c", "w " * (3 + i % 9)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = {r["source"]: r["n"] for r in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = mixing.take_copies(df).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in got} == want and set(want) == {"a", "b", "c"}
+
+
 # ---------------------------------------------------------------- chat
 
 
