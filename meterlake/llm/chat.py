@@ -85,10 +85,9 @@ def codec(path: str) -> TurnCodec:
 
 
 def format_turns(turns: DataFrame, vocabulary: str, learn_role: str = "assistant") -> DataFrame:
-    """(conv_id, turn, seq, ids, mask, formatted) per turn row: a narrow map over (conv_id, turn, role, text).
+    """(conv_id, turn, ids, mask, formatted, role, text) per turn row: a narrow map over (conv_id, turn, role, text).
 
-    Concatenating ``ids`` of a conversation by (turn, seq) gives its sequence; every turn is complete in itself, and
-    the id that begins a conversation is spliced in by ``read_conversations`` or a trainer, once per conversation.
+    Every turn is complete in itself; ``conversation_sequences`` orders them and splices in the id that begins a conversation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +108,42 @@ def format_turns(turns: DataFrame, vocabulary: str, learn_role: str = "assistant
     return rows.mapInArrow(run, "conv_id long, turn long, ids array<int>, mask array<tinyint>, formatted string, role string, text string")
 
 
+def _spliced(batches: Iterator[pa.RecordBatch], c: TurnCodec) -> Iterator[tuple[int | None, bool, np.ndarray, np.ndarray]]:
+    """(conv_id, is_first, ids, mask) of sorted turns: the first of a conversation starts with the id that begins it."""
+    now: object = object()
+    for batch in batches:
+        for conv, ids, mask in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            is_first, now = conv != now, conv
+            head = [c.begin] if is_first else []
+            yield conv, is_first, np.array(head + ids, np.int32), np.array([0] * len(head) + mask, np.int8)
+
+
+def _in_order(formatted: DataFrame) -> DataFrame:
+    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    return dealt.select("conv_id", "ids", "mask")
+
+
+def conversation_sequences(formatted: DataFrame, vocabulary: str) -> DataFrame:
+    """(conv_id, seq, start, ids, mask): a conversation's sequence in pieces, one per turn; start is the place of the piece's first id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["conv_id", "seq", "start", "ids", "mask"], (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()))
+        done, seq, start = [], 0, 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(list(zip(*done)) or [[]] * 5, kinds)], names=names)
+        for conv, is_first, ids, mask in _spliced(batches, codec(vocabulary)):
+            seq, start = (0, 0) if is_first else (seq, start)
+            done.append((conv, seq, start, ids, mask))
+            seq, start = seq + 1, start + len(ids)
+            if len(done) >= 1024:
+                yield pack()
+                done.clear()
+        yield pack()
+
+    return _in_order(formatted).mapInArrow(run, "conv_id long, seq long, start long, ids array<int>, mask array<tinyint>")
+
+
 def read_conversations(formatted: DataFrame, vocabulary: str) -> DataFrame:
-    """Digests per conversation, read back from ids and masks alone.
+    """Digests per conversation, read back from the ids and masks of its sequence alone.
 
     Turns are dealt by conversation, sorted, and streamed: a conversation of any length needs the state of two
     hashes, not its turns.
@@ -118,7 +151,7 @@ def read_conversations(formatted: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        now, state, done = object(), None, []
+        now, state, done = None, None, []
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*done)) or [[]] * 6
@@ -130,26 +163,23 @@ def read_conversations(formatted: DataFrame, vocabulary: str) -> DataFrame:
         def close() -> None:
             if state:
                 n, turns, chars, loss, shown = state
-                done.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), shown + len(BEGIN)))
-
-        for batch in batches:
-            for conv, ids, mask, shown in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if state is None or conv != now:
-                    close()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, learned = c.read(np.array(ids, np.int32), np.array(mask, np.int8))
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[2] += len(learned)
-                state[3].update(learned.encode())
-                state[4] += shown
-            if len(done) >= 4096:
-                yield flush()
+                done.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), shown))
+
+        for conv, is_first, ids, mask in _spliced(batches, c):
+            if is_first:
+                close()
+                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                if len(done) >= 4096:
+                    yield flush()
+            role, text, learned = c.read(ids, mask)
+            state[0] += 1
+            state[1].update(f"{role}\n{text}\n".encode())
+            state[2] += len(learned)
+            state[3].update(learned.encode())
+            state[4] += len(c.shown(ids))
         close()
         yield flush()
 
-    order = formatted.withColumn("shown", F.char_length("formatted").cast("long"))
-    dealt = order.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    return dealt.select("conv_id", "ids", "mask", "shown").mapInArrow(
+    return _in_order(formatted).mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -308,6 +308,20 @@ def test_chat_digests(spark):
 # ---------------------------------------------------------------- Jaccard
 
 
+def test_conversations_begin_once(spark):
+    path = queries.vocabulary("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(1, 2, "user", "bye"), (1, 0, "user", "hi <|begin|>"), (1, 1, "assistant", "yes\\"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    c = chat.codec(path)
+    parts = chat.conversation_sequences(chat.format_turns(df, path), path).orderBy("conv_id", "seq").collect()
+    for conv in (None, 1):
+        own = [r for r in parts if r["conv_id"] == conv]
+        ids = [i for r in own for i in r["ids"]]
+        assert ids[0] == c.begin and ids.count(c.begin) == 1 and len(ids) == own[-1]["start"] + len(own[-1]["ids"])
+        assert all(len(r["ids"]) == len(r["mask"]) for r in own)
+    ids, mask = (np.array([x for r in parts if r["conv_id"] == 1 for x in r[k]]) for k in ("ids", "mask"))
+    assert chat.unescape(c.enc.decode(ids[mask == 1].tolist())) == "yes\\"
+
+
 def brute_components(texts, words, percent):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
