@@ -153,16 +153,21 @@ def reflectance_sheets(cells: DataFrame) -> DataFrame:
 
 
 def property_columns(cells: DataFrame) -> DataFrame:
-    """(file_id, sheet, header_row, col_idx, output): each header cell goes to the first output, not taken yet, whose word it holds."""
+    """(file_id, sheet, header_row, col_idx, output): each header cell, from left to right, goes to the first output not taken yet whose word it holds."""
     text = cells.where("txt is not null").withColumn("low", F.lower("txt"))
     heads = text.groupBy("file_id", "sheet", "row_idx").agg(F.array_join(F.array_sort(F.collect_list("low")), " ").alias("t"))
     heads = heads.where(F.col("t").contains("temperature") & F.col("t").contains("seebeck")).groupBy("file_id", "sheet").agg(F.min("row_idx").alias("header_row"))
-    outputs = [(i, name, w) for i, (name, words) in enumerate(COLUMN_WORDS.items()) for w in words]
-    words = cells.sparkSession.createDataFrame(outputs, "rank int, output string, word string")
-    hit = text.join(heads, ["file_id", "sheet"]).where("row_idx = header_row").join(F.broadcast(words), F.col("low").contains(F.col("word")))
-    first = F.row_number().over(Window.partitionBy("file_id", "sheet", "output").orderBy("col_idx"))
-    own = F.row_number().over(Window.partitionBy("file_id", "sheet", "col_idx").orderBy("rank"))
-    return hit.withColumn("a", first).where("a = 1").withColumn("b", own).where("b = 1").select("file_id", "sheet", "header_row", "col_idx", "output")
+    rows = text.join(heads, ["file_id", "sheet"]).where("row_idx = header_row")
+    rows = rows.groupBy("file_id", "sheet", "header_row").agg(F.array_sort(F.collect_list(F.struct("col_idx", "low"))).alias("heads"))  # the cells of one header row
+    named = F.array(*[F.struct(F.lit(name).alias("output"), F.array(*map(F.lit, words)).alias("words")) for name, words in COLUMN_WORDS.items()])
+    none = F.array().cast("array<struct<col_idx:int,output:string>>")
+
+    def take(taken: Column, cell: Column) -> Column:
+        free = F.filter(named, lambda o: ~F.exists(taken, lambda t: t["output"] == o["output"]) & F.exists(o["words"], lambda w: cell["low"].contains(w)))
+        got = F.try_element_at(free, F.lit(1))["output"]
+        return F.when(got.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(cell["col_idx"].cast("int").alias("col_idx"), got.alias("output")))))
+
+    return rows.select("file_id", "sheet", "header_row", F.explode(F.aggregate("heads", none, take)).alias("m")).select("file_id", "sheet", "header_row", "m.col_idx", "m.output")
 
 
 def property_table(cells: DataFrame, columns: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Diffraction peaks: detection and least squares in groups of one scan or one cluster, tables around them native."""
+"""Diffraction peaks: detection and least squares in groups of one scan or one cluster, tables around them native.
+
+No group fails the job: a scan that can't be analysed, for its points or for an error inside, is a row with an issue.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.durable import written
 from .curves import M, MAD_TO_SIGMA, NOISE_TIMES, PROMINENCE_SHARE, SCAN_LEAST, overlap_groups, savgol_weights, snip
 
 #: Defaults of the analysis.
@@ -71,38 +73,54 @@ def find_peaks(s: np.ndarray, threshold: float, distance: int, least_width: floa
             near[k] = False
             keep[near] = False
     out = []
-    for i in at[keep].tolist():
+    for i in at[keep & (s[at] - s.min() >= threshold)].tolist():  # no peak stands higher above its surroundings than above all
         p, left, right = _prominence(s, i)
         if p >= threshold and (w := _half_width(s, i, p, left, right)) >= least_width:
             out.append((i, p, w))
     return out
 
 
+def _prepare(pdf: pd.DataFrame, o: dict) -> pd.DataFrame | str:
+    """A scan with baseline, noise and peaks, or why it can't be had."""
+    pdf = pdf[np.isfinite(pdf["x"].astype(float)) & np.isfinite(pdf["y"].astype(float))].sort_values(["x", "idx"], ignore_index=True)
+    if len(pdf) < SCAN_LEAST:
+        return f"fewer than {SCAN_LEAST} points"
+    step = float(np.median(np.diff(pdf["x"])))
+    if step <= 0:
+        return "the axis does not rise"
+    y = pdf["y"].to_numpy(float)
+    base = snip(y, max(3, round(o["baseline_deg"] / step)))
+    c = y - base
+    if c.max() <= 0:
+        return "nothing above the baseline"
+    s = _smooth(c, o["window"], o["order"])
+    d = np.diff(c)
+    sigma = MAD_TO_SIGMA * float(np.median(np.abs(d - np.median(d)))) / 2**0.5
+    threshold = max(NOISE_TIMES * sigma, o["share"] * float(c.max()))
+    found = find_peaks(s, threshold, max(1, round(o["distance_deg"] / step)), o["least_width"])
+    found = sorted(sorted(found, key=lambda f: (-s[f[0]], f[0]))[: o["most"]])
+    peak, width = np.zeros(len(c), bool), np.zeros(len(c))
+    for i, _, w in found:
+        peak[i], width[i] = True, w
+    return pdf.assign(idx=np.arange(len(c), dtype=np.int32), baseline=base, corrected=c, smooth=s, sigma=sigma, threshold=threshold, step=step, is_peak=peak, width=width)
+
+
+_PREPARED = {"baseline": 0.0, "corrected": 0.0, "smooth": 0.0, "sigma": 0.0, "threshold": 0.0, "step": 0.0, "is_peak": False, "width": 0.0}
+
+
 def prepared(points: DataFrame, params: dict | None = None) -> DataFrame:
-    """(measurement_id, idx, x, y, baseline, corrected, smooth, sigma, threshold, step, is_peak, width): one group a scan."""
+    """(measurement_id, idx, x, y, baseline, corrected, smooth, sigma, threshold, step, is_peak, width): one group a scan.
+
+    Scans that can't be analysed have no points here; ``peak_table`` says why.
+    """
     o = DEFAULTS | (params or {})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[np.isfinite(pdf["x"]) & np.isfinite(pdf["y"])].sort_values(["x", "idx"], ignore_index=True)
-        empty = pdf.iloc[:0].assign(baseline=0.0, corrected=0.0, smooth=0.0, sigma=0.0, threshold=0.0, step=0.0, is_peak=False, width=0.0)
-        step = float(np.median(np.diff(pdf["x"]))) if len(pdf) > 1 else 0.0
-        if len(pdf) < SCAN_LEAST or step <= 0:
-            return empty
-        y = pdf["y"].to_numpy(float)
-        base = snip(y, max(3, round(o["baseline_deg"] / step)))
-        c = y - base
-        if c.max() <= 0:
-            return empty
-        s = _smooth(c, o["window"], o["order"])
-        d = np.diff(c)
-        sigma = MAD_TO_SIGMA * float(np.median(np.abs(d - np.median(d)))) / 2**0.5
-        threshold = max(NOISE_TIMES * sigma, o["share"] * float(c.max()))
-        found = find_peaks(s, threshold, max(1, round(o["distance_deg"] / step)), o["least_width"])
-        found = sorted(sorted(found, key=lambda f: (-s[f[0]], f[0]))[: o["most"]])
-        peak, width = np.zeros(len(c), bool), np.zeros(len(c))
-        for i, _, w in found:
-            peak[i], width[i] = True, w
-        return pdf.assign(idx=np.arange(len(c), dtype=np.int32), baseline=base, corrected=c, smooth=s, sigma=sigma, threshold=threshold, step=step, is_peak=peak, width=width)
+        try:
+            out = _prepare(pdf, o)
+        except Exception as e:
+            out = str(e)
+        return pdf.iloc[:0].assign(**_PREPARED) if isinstance(out, str) else out
 
     kinds = f"{M} long, idx int, x double, y double, baseline double, corrected double, smooth double, sigma double, threshold double, step double, is_peak boolean, width double"
     return points.select(M, "idx", "x", "y").groupBy(M).applyInPandas(run, kinds)
@@ -143,11 +161,17 @@ def true_fwhm(sigma: float, share: float) -> float:
 
 
 def fit_profiles(x: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 200) -> np.ndarray | None:
-    """Damped least squares kept within bounds; parameters are (area, center, sigma, share) a peak. None: no improvement found."""
+    """Damped least squares kept within bounds; parameters are (area, center, sigma, share) a peak.
+
+    It has converged when a step gains no more than rounding would, or when no step of any damping gains at all. None: it
+    has not after so many steps, or the misfit is no number.
+    """
     p, damp = np.clip(start, low, high), 1e-3
     total = lambda q: sum(profile(x, *q[k : k + 4]) for k in range(0, len(q), 4))
     r = y - total(p)
     cost = float(r @ r)
+    if not np.isfinite(cost):
+        return None
     for _ in range(steps):
         j = np.column_stack([c for k in range(0, len(p), 4) for c in _slopes(x, *p[k : k + 4])])
         a, g = j.T @ j, j.T @ r
@@ -172,8 +196,24 @@ def fit_profiles(x: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarra
         if not np.isfinite(cost):
             return None
         if gain <= 1e-10 * max(cost, 1e-12):
-            break
-    return p
+            return p
+    return None
+
+
+def _fit_cluster(x: np.ndarray, y: np.ndarray, step: float, tops: list[tuple[float, float, float]]) -> list[tuple] | str:
+    """(center, height, fwhm, area, fraction, sigma) of the peaks (x, height, width) of a cluster, or why there are none."""
+    if len(x) < POINTS_PER_PEAK * len(tops):
+        return "window too narrow"
+    start, low, high = [], [], []
+    for c, h, w in tops:
+        sigma = max(step, max(step, w * step) / FWHM_PER_SIGMA)
+        start += [max(1e-12, h * sigma * np.sqrt(2 * np.pi)), c, sigma, 0.5]
+        low += [0.0, c - 2 * sigma, step, 0.0]
+        high += [np.inf, c + 2 * sigma, max(step, 3 * sigma), 1.0]
+    p = fit_profiles(x, y, np.array(start), np.array(low), np.array(high))
+    if p is None:
+        return "no convergence"
+    return [(float(c), float(profile(np.array([c]), a, c, s, f)[0]), true_fwhm(s, f), float(a), float(f), float(s)) for a, c, s, f in p.reshape(-1, 4)]
 
 
 def fit_peak_clusters(points: DataFrame, peaks: DataFrame, params: dict | None = None) -> DataFrame:
@@ -193,22 +233,14 @@ def fit_peak_clusters(points: DataFrame, peaks: DataFrame, params: dict | None =
         pdf = pdf.sort_values("idx", ignore_index=True)
         x, y, step = pdf["x"].to_numpy(), pdf["corrected"].to_numpy(), float(pdf["step"].iloc[0])
         top = pdf[pdf["own_peak"]]
-        key = {M: pdf[M].iloc[0], "cluster": pdf["cluster"].iloc[0]}
-        failed = pd.DataFrame([key | {"issue": "window too narrow"}])
-        if len(pdf) >= POINTS_PER_PEAK * len(top):
-            start, low, high = [], [], []
-            for c, h, w in zip(top["x"], top["corrected"], top["width"]):
-                sigma = max(step, max(step, w * step) / FWHM_PER_SIGMA)
-                start += [max(1e-12, h * sigma * np.sqrt(2 * np.pi)), c, sigma, 0.5]
-                low += [0.0, c - 2 * sigma, step, 0.0]
-                high += [np.inf, c + 2 * sigma, max(step, 3 * sigma), 1.0]
-            p = fit_profiles(x, y, np.array(start), np.array(low), np.array(high))
-            if p is not None:
-                q = p.reshape(-1, 4)
-                height = [float(profile(np.array([c]), a, c, s, f)[0]) for a, c, s, f in q]
-                return pd.DataFrame({M: key[M], "cluster": key["cluster"], "center": q[:, 1], "height": height, "fwhm": [true_fwhm(s, f) for _, _, s, f in q], "area": q[:, 0], "fraction": q[:, 3], "sigma": q[:, 2], "issue": None})
-            failed["issue"] = "no convergence"
-        return failed.reindex(columns=[M, "cluster", "center", "height", "fwhm", "area", "fraction", "sigma", "issue"]).astype({c: float for c in ("center", "height", "fwhm", "area", "fraction", "sigma")})
+        try:
+            got = _fit_cluster(x, y, step, list(zip(top["x"], top["corrected"], top["width"])))
+        except Exception as e:
+            got = f"{type(e).__name__}: {e}"
+        out = pd.DataFrame([(None,) * 6] if isinstance(got, str) else got, columns=["center", "height", "fwhm", "area", "fraction", "sigma"]).astype(float)
+        out.insert(0, M, pdf[M].iloc[0])
+        out.insert(1, "cluster", pdf["cluster"].iloc[0])
+        return out.assign(issue=got if isinstance(got, str) else None)
 
     return own.groupBy(M, "cluster").applyInPandas(run, f"{M} long, cluster int, center double, height double, fwhm double, area double, fraction double, sigma double, issue string")
 
@@ -221,25 +253,85 @@ def physical(fits: DataFrame, points: DataFrame) -> DataFrame:
 
 def fit_curve(points: DataFrame, fits: DataFrame) -> DataFrame:
     """(measurement_id, idx, x, y, baseline, fit, residual): the peaks' sum over the whole scan plus the baseline."""
-    d, s = F.col("x") - F.col("center"), F.col("sigma")
-    g = (1 - F.col("fraction")) / (s * (2 * np.pi) ** 0.5) * F.exp(-d * d / (2 * s * s))
-    v = F.col("area") * (g + F.col("fraction") / np.pi * s / (d * d + s * s))
-    each = points.select(M, "idx", "x", "y", "baseline").join(fits.where("issue is null").select(M, "center", "sigma", "area", "fraction"), M, "left")
-    out = each.groupBy(M, "idx", "x", "y", "baseline").agg(F.sum(F.coalesce(v, F.lit(0.0))).alias("model"))
-    return out.select(M, "idx", "x", "y", "baseline", (F.col("model") + F.col("baseline")).alias("fit"), (F.col("y") - F.col("model") - F.col("baseline")).alias("residual"))
+    # at most ``most`` peaks of a scan ride along as an array: points are neither multiplied nor regrouped
+    peaks = fits.where("issue is null").groupBy(M).agg(F.array_sort(F.collect_list(F.struct("center", "sigma", "area", "fraction"))).alias("_peaks"))
+    x = F.col("x")
+
+    def value(p: Column) -> Column:
+        d, s = x - p["center"], p["sigma"]
+        g = (1 - p["fraction"]) / (s * (2 * np.pi) ** 0.5) * F.exp(-d * d / (2 * s * s))
+        return p["area"] * (g + p["fraction"] / np.pi * s / (d * d + s * s))
+
+    model = F.coalesce(F.aggregate("_peaks", F.lit(0.0), lambda a, p: a + value(p)), F.lit(0.0))
+    each = points.select(M, "idx", "x", "y", "baseline").join(peaks, M, "left").withColumn("_model", model)
+    return each.select(M, "idx", "x", "y", "baseline", (F.col("_model") + F.col("baseline")).alias("fit"), (F.col("y") - F.col("_model") - F.col("baseline")).alias("residual"))
+
+
+def _groups(at: list[int], width: list[float], times: float) -> list[list[int]]:
+    """Positions in ``at`` (rising) of peaks whose windows at -/+ times * width touch."""
+    out: list[list[int]] = []
+    reach = -np.inf
+    for k, (i, w) in enumerate(zip(at, width)):
+        if i - times * w > reach:
+            out.append([])
+        out[-1].append(k)
+        reach = max(reach, i + times * w)
+    return out
+
+
+def _table_row(pdf: pd.DataFrame, o: dict) -> dict:
+    """All of a scan's analysis in one pass: peaks, statistics and issues."""
+    p = _prepare(pdf, o)
+    if isinstance(p, str):
+        return {"state": "error", "issues": [p]}
+    x, c, width = p["x"].to_numpy(float), p["corrected"].to_numpy(float), p["width"].to_numpy()
+    step, sigma = float(p["step"].iloc[0]), float(p["sigma"].iloc[0])
+    at = np.flatnonzero(p["is_peak"].to_numpy())
+    fits, issues, model = [], [], np.zeros(len(x))
+    for own in _groups(at.tolist(), width[at].tolist(), o["times"]):
+        i = at[own]
+        w = o["times"] * width[i].max()
+        lo, hi = max(0, int(np.floor(i[0] - w))), int(np.floor(i[-1] + w))
+        got = _fit_cluster(x[lo : hi + 1], c[lo : hi + 1], step, list(zip(x[i], c[i], width[i])))
+        if isinstance(got, str):
+            issues.append(got)
+            continue
+        for center, height, fwhm, area, fraction, s in got:
+            model += profile(x, area, center, s, fraction)
+            fits.append((center, height, fwhm, area, fraction))
+    good = sorted(f for f in fits if x[0] <= f[0] <= x[-1] and f[1] > 0 and f[2] > 0)
+    if len(good) < len(fits):
+        issues.append("unphysical peaks left out")
+    rss, tss = float(((c - model) ** 2).sum()), float(((c - c.mean()) ** 2).sum())
+    r2 = 1 - rss / tss if tss > 0 else 0.0
+    if not good:
+        issues.append("no peaks")
+    elif r2 < R2_WARN:
+        issues.append("poor fit")
+    names = ("center", "height", "fwhm", "area", "fraction")
+    return {
+        "state": "warning" if issues else "ok", "n_peaks": len(good), "peaks": [dict(zip(names, f)) for f in good], "r2": r2,
+        "reduced_chi2": rss / max(1, len(x) - 4 * len(good)) / max(sigma * sigma, 1e-30), "sigma": sigma, "issues": list(dict.fromkeys(issues)),
+    }
 
 
 def peak_table(points: DataFrame, params: dict | None = None) -> DataFrame:
-    """(measurement_id, n_peaks, peaks, r2, reduced_chi2, sigma, issues) of scans; peaks by center."""
-    p = written(prepared(points, params))
-    found = overlap_groups(p.where("is_peak").select(M, "idx", "x", F.col("smooth").alias("height"), "width"), (DEFAULTS | (params or {}))["times"])
-    fits = written(fit_peak_clusters(p, found, params))
-    good = physical(fits, p).groupBy(M).agg(F.array_sort(F.collect_list(F.struct("center", "height", "fwhm", "area", "fraction"))).alias("peaks"))
-    r = fit_curve(p, fits).join(p.select(M, "idx", "corrected", "sigma"), [M, "idx"])
-    q = r.groupBy(M).agg(F.sum(F.col("residual") * F.col("residual")).alias("rss"), (F.var_pop("corrected") * F.count(F.lit(1))).alias("tss"), F.count(F.lit(1)).alias("n"), F.first("sigma").alias("sigma"))
-    out = q.join(good, M, "left").withColumn("n_peaks", F.coalesce(F.size("peaks"), F.lit(0)))
-    r2 = F.when(F.col("tss") > 0, 1 - F.col("rss") / F.col("tss")).otherwise(0.0)
-    chi = F.col("rss") / F.greatest(F.lit(1), F.col("n") - 4 * F.col("n_peaks")) / F.greatest(F.col("sigma") * F.col("sigma"), F.lit(1e-30))
-    out = out.withColumns({"r2": r2, "reduced_chi2": chi})
-    notes = F.array(F.when(F.col("n_peaks") == 0, "no peaks"), F.when((F.col("n_peaks") > 0) & (F.col("r2") < R2_WARN), "poor fit"))
-    return out.select(M, "n_peaks", "peaks", "r2", "reduced_chi2", "sigma", F.filter(notes, lambda x: x.isNotNull()).alias("issues"))
+    """(measurement_id, n_peaks, peaks, r2, reduced_chi2, sigma, state, issues), one row for every scan; peaks by center.
+
+    state: ok, warning (no peaks, a poor fit, clusters or peaks left out) or error (too few points, no rising axis, nothing
+    above the baseline, or any failure inside), in which case there are no numbers.
+    """
+    o = DEFAULTS | (params or {})
+    columns = [M, "n_peaks", "peaks", "r2", "reduced_chi2", "sigma", "state", "issues"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            row = _table_row(pdf, o)
+        except Exception as e:
+            row = {"state": "error", "issues": [f"{type(e).__name__}: {e}"]}
+        row = {"n_peaks": 0, "peaks": [], "r2": None, "reduced_chi2": None, "sigma": None} | row | {M: pdf[M].iloc[0]}
+        return pd.DataFrame([row])[columns].astype({k: float for k in ("r2", "reduced_chi2", "sigma")})
+
+    peak = "struct<center:double,height:double,fwhm:double,area:double,fraction:double>"
+    kinds = f"{M} long, n_peaks int, peaks array<{peak}>, r2 double, reduced_chi2 double, sigma double, state string, issues array<string>"
+    return points.select(M, "idx", "x", "y").groupBy(M).applyInPandas(run, kinds)

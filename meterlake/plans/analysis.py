@@ -65,7 +65,7 @@ def band_gaps(spark, sf):
 query("a01_band_gap", f"WITH {TAUC} SELECT measurement_id, round(-intercept / slope, 5) AS band_gap, round(r2, 5) AS r2, n, CAST(CASE WHEN n < 20 THEN 1 ELSE 0 END + CASE WHEN r2 < 0.95 THEN 1 ELSE 0 END AS BIGINT) AS issues FROM fitted")(band_gaps)
 
 
-@query("a02_band_gap_curve", f"WITH {TAUC} SELECT measurement_id, idx, round(energy, 6) AS energy, round(t, 5) AS t, round(slope * energy + intercept, 4) AS line FROM tauc JOIN fitted USING (measurement_id)")
+@query("a02_band_gap_curve", f"WITH {TAUC.replace(' AS (SELECT measurement_id', ' AS MATERIALIZED (SELECT measurement_id')} SELECT measurement_id, idx, round(energy, 6) AS energy, round(t, 5) AS t, round(slope * energy + intercept, 4) AS line FROM tauc JOIN fitted USING (measurement_id)")
 def _(spark, sf):
     p = spectra(spark, sf).select(M, "idx", "x", "y")
     return _r(_r(_r(C.band_gap_curve(p, C.band_gap(p)), "energy"), "t", digits=5), "line", digits=4)
@@ -170,6 +170,26 @@ def _(spark, sf):
 
 query("a05_noise_sigma", f"WITH {DIFFRACTION}, d AS (SELECT measurement_id, y - lag(y) OVER (PARTITION BY measurement_id ORDER BY idx) AS dd FROM diffraction) SELECT measurement_id, round(mad(dd) * 1.4826 / sqrt(2), 4) AS sigma FROM d WHERE dd IS NOT NULL GROUP BY measurement_id")(lambda s, d: _r(C.noise_sigma(diffraction(s, d)), "sigma", digits=4))
 query("a06_prominence_threshold", f"WITH {DIFFRACTION}, d AS (SELECT measurement_id, y, y - lag(y) OVER (PARTITION BY measurement_id ORDER BY idx) AS dd FROM diffraction) SELECT measurement_id, round(greatest(3 * mad(dd) * 1.4826 / sqrt(2), 0.01 * max(y)), 4) AS threshold FROM d GROUP BY measurement_id")(lambda s, d: _r(C.prominence_threshold(diffraction(s, d)), "threshold", digits=4).select(M, "threshold"))
+#: Where the four peaks of a scan are, by its label.
+CENTERS = ("15.0", "28.5 + 0.1 * label", "47.3 + 0.2 * label", "63.8 + 0.3 * label")
+TRUTH = "SELECT vec_id AS measurement_id, " + ", ".join(f"round(CAST({x} AS DOUBLE), 1) AS c{k}" for k, x in enumerate(CENTERS)) + " FROM embeddings"
+
+
+@query("a07_peaks_found", "SELECT vec_id AS measurement_id, CAST(4 AS BIGINT) AS peaks, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS astray FROM embeddings")
+def _(spark, sf):
+    """Detected peaks of each scan, and how many are over 0.15 degrees from all that the carrier put in."""
+    found = P.detect_peaks(diffraction(spark, sf)).join(c.read(spark, sf, "embeddings").select(F.col("vec_id").alias(M), "label"), M)
+    off = F.array_min(F.transform(F.array(*[F.expr(f"CAST({x} AS DOUBLE)") for x in CENTERS]), lambda t: F.abs(t - F.col("x"))))
+    return found.groupBy(M).agg(F.count(F.lit(1)).alias("peaks"), F.countDistinct("cluster").alias("clusters"), F.count_if(off > 0.15).alias("astray"))
+
+
+@query("a10_peak_centers", TRUTH.replace("SELECT vec_id AS measurement_id", "SELECT vec_id AS measurement_id, CAST(4 AS INTEGER) AS n_peaks, 'ok' AS state"))
+def _(spark, sf):
+    """Fitted centers to a tenth of a degree."""
+    t = P.peak_table(diffraction(spark, sf))
+    return t.select(M, "n_peaks", "state", *[F.round(F.try_element_at("peaks", F.lit(k + 1))["center"], 1).alias(f"c{k}") for k in range(4)])
+
+
 query("a07_detect_peaks")(lambda s, d: P.detect_peaks(diffraction(s, d)).select(M, "idx", F.round("x", 4).alias("x"), F.round("height", 3).alias("height"), "cluster"))
 
 
@@ -182,7 +202,28 @@ def _(spark, sf):
     return _r(P.fit_peak_clusters(p, found), "center", "height", "fwhm", "area", "fraction", digits=3).drop("sigma")
 
 
-query("a10_peak_table")(lambda s, d: _r(P.peak_table(diffraction(s, d)), "r2", "reduced_chi2", "sigma", digits=4).withColumn("peaks", F.to_json(F.transform("peaks", lambda p: F.round(p["center"], 2)))))
+query("a10_peak_table")(lambda s, d: _r(P.peak_table(diffraction(s, d)).drop("state"), "r2", "reduced_chi2", "sigma", digits=4).withColumn("peaks", F.to_json(F.transform("peaks", lambda p: F.round(p["center"], 2)))))
+
+
+@query("a09_cluster_centers", f"SELECT measurement_id, CAST(k AS INTEGER) AS cluster, ([c0, c1, c2, c3])[k + 1] AS center, CAST(NULL AS VARCHAR) AS issue FROM ({TRUTH}), unnest(range(0, 4)) AS t(k)")
+def _(spark, sf):
+    """Fits cluster by cluster, centers to a tenth of a degree."""
+    from ..sources.durable import written
+
+    p = written(P.prepared(diffraction(spark, sf)), "prepared")
+    fits = P.fit_peak_clusters(p, C.overlap_groups(p.where("is_peak").select(M, "idx", "x", "width")))
+    return fits.select(M, "cluster", F.round("center", 1).alias("center"), "issue")
+
+
+@query("a11_fit_follows", "SELECT vec_id AS measurement_id, CAST(701 AS BIGINT) AS n, true AS close FROM embeddings")
+def _(spark, sf):
+    """Whether the fit stays within the noise of every point of a scan."""
+    from ..sources.durable import written
+
+    p = written(P.prepared(diffraction(spark, sf)), "prepared")
+    fits = written(P.fit_peak_clusters(p, C.overlap_groups(p.where("is_peak").select(M, "idx", "x", "width"))), "fits")
+    near = F.abs("residual") < 30  # a tenth of the lowest peak
+    return P.fit_curve(p, fits).groupBy(M).agg(F.count(F.lit(1)).alias("n"), F.bool_and(near).alias("close"))
 
 
 @query("a11_fit_curve")
@@ -194,7 +235,7 @@ def _(spark, sf):
     return _r(P.fit_curve(p, fits), "fit", "residual", "baseline", digits=3).select(M, "idx", "fit", "baseline", "residual")
 
 
-@query("f08_physical_peaks")
+@query("f08_physical_peaks", "SELECT vec_id AS measurement_id, CAST(4 AS BIGINT) AS peaks FROM embeddings")
 def _(spark, sf):
     from ..sources.durable import written
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import names as N
 from ..operators import catalog, classify, curves, parsing, reports
 from ..sources import files as files_source
+from ..sources.durable import shared_root
 from . import carriers as c
 from .registry import query
 
@@ -31,9 +34,33 @@ query("s03_changed_files", WITH + ", snap AS (SELECT path, size_bytes, doc_id %
 query("s04_lines", "SELECT doc_id, CAST(t.i AS INTEGER) AS line_no, l[t.i] AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i)")(lambda s, d: files_source.read_lines(c.read(s, d, "documents"), "doc_id", "text"))
 query("s05_xml_scan", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")(lambda s, d: c.read(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")))
 query("s07_arrays_of_one", f"WITH {c.CURVES} SELECT * FROM curves WHERE measurement_id = 11")(lambda s, d: c.curves(s, d).where("measurement_id = 11"))
-query("s09_delete_arrays", f"WITH {c.CURVES} SELECT measurement_id, count(*) AS n FROM curves WHERE measurement_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY measurement_id")(
-    lambda s, d: c.curves(s, d).join(c.read(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("measurement_id")), "measurement_id", "left_anti").groupBy("measurement_id").agg(F.count(F.lit(1)).alias("n"))
-)
+
+
+@query("s09_delete_arrays", f"WITH {c.CURVES} SELECT measurement_id, count(*) AS n FROM curves WHERE measurement_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY measurement_id")
+def _(spark, sf):
+    """Stored points without some measurements, deleted twice."""
+    a, b, twice = (f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}" for what in ("points", "left", "left"))
+    catalog.save_points(c.curves(spark, sf).withColumn("technique", F.when(F.col("measurement_id") % 2 == 0, "xrd").otherwise("xps")), a, 8)
+    gone = c.read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("measurement_id"))
+    catalog.delete_points(spark, a, gone, b)
+    catalog.delete_points(spark, b, gone, twice)
+    return spark.read.parquet(twice).groupBy("measurement_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s05_xml_scan_points", "SELECT CAST(vec_id AS VARCHAR) AS path, CAST(t.i AS INTEGER) AS idx, round(5.0 + t.i * (label + 1) / 63.0, 9) AS x, CAST(embedding[t.i + 1] AS DOUBLE) AS y FROM embeddings, unnest(range(0, 64)) AS t(i)")
+def _(spark, sf):
+    """Diffraction scans written as XML files, read back by the XML reader and parsed into points."""
+    e = c.read(spark, sf, "embeddings")
+    axis = lambda name, low, high: F.struct(F.lit(name).alias("_axis"), low.alias("startPosition"), high.cast("double").alias("endPosition"))
+    positions = F.array(axis("Omega", F.lit(0.0), F.lit(1.0)), axis("2Theta", F.lit(5.0), F.lit(6.0) + F.col("label")))
+    counts = F.struct(F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), " ").alias("_VALUE"), F.lit("counts").alias("_unit"))
+    path = f"{shared_root(spark)}/scans-{uuid.uuid4().hex}"
+    scans = e.select(F.col("vec_id").cast("string").alias("_appendNumber"), F.struct(positions.alias("positions"), counts.alias("counts")).alias("dataPoints"))
+    scans.write.format("xml").option("rowTag", "scan").option("rootTag", "xrdMeasurement").save(path)
+    scans = files_source.read_diffraction_xml(spark, path)
+    return parsing.diffraction_points(scans.withColumn("path", F.col("_appendNumber"))).withColumn("x", F.round("x", 9))
+
+
 query("s11_derived_curve", f"WITH {c.CURVES} SELECT measurement_id, idx, 'scaled' AS name, y * 2 AS value FROM curves WHERE measurement_id = 3")(lambda s, d: c.curves(s, d).where("measurement_id = 3").select("measurement_id", "idx", F.lit("scaled").alias("name"), (F.col("y") * 2).alias("value")))
 
 
@@ -47,9 +74,12 @@ def _(spark, sf):
 
 @query("s12_replace_project", WITH + "SELECT doc_id, project_id, '2' AS run FROM files WHERE project_id = 'src1' UNION ALL SELECT doc_id, project_id, '1' FROM files WHERE project_id <> 'src1'")
 def _(spark, sf):
+    """All projects saved, then one of them saved again: its partition alone is replaced."""
+    path = f"{shared_root(spark)}/projects-{uuid.uuid4().hex}"
     f = c.files(spark, sf).select("doc_id", "project_id")
-    new = f.where("project_id = 'src1'").withColumn("run", F.lit("2"))
-    return f.withColumn("run", F.lit("1")).join(new.select("project_id").distinct(), "project_id", "left_anti").select("doc_id", "project_id", "run").unionByName(new)
+    catalog.save_project(f.withColumn("run", F.lit("1")), path)
+    catalog.save_project(f.where("project_id = 'src1'").withColumn("run", F.lit("2")), path)
+    return spark.read.schema("doc_id long, run string, project_id string").parquet(path).select("doc_id", "project_id", "run")
 
 
 @query("s13_nested_project", WITH + "SELECT project_id, count(DISTINCT sample_id) AS samples, count(*) AS measurements FROM files GROUP BY project_id")
@@ -90,9 +120,15 @@ def _(spark, sf):
 query("p04_scan_quality", PAIRS + "SELECT file_id, count(x) AS n_points, count(*) - count(x) AS malformed, arg_min(x, line_no) FILTER (x IS NOT NULL) AS first_x, arg_max(x, line_no) FILTER (x IS NOT NULL) AS last_x, CASE WHEN count(x) = 0 THEN 'error' WHEN count(*) > count(x) THEN 'warning' ELSE 'ok' END AS state FROM pr GROUP BY file_id")(
     lambda s, d: parsing.scan_quality(parsing.pair_rows(c.lines(s, d))).drop("negative_share")
 )
-query("p05_monotonic", f"WITH {c.CURVES}, l AS (SELECT measurement_id, y - lag(y) OVER (PARTITION BY measurement_id ORDER BY idx) AS dd FROM curves WHERE idx < 3) SELECT measurement_id, bool_and(coalesce(dd >= 0, true)) AS rising, bool_and(coalesce(dd <= 0, true)) AS falling FROM l GROUP BY measurement_id")(
-    lambda s, d: parsing.monotonic(c.curves(s, d).where("idx < 3").select("measurement_id", "idx", F.col("y").alias("x")))
-)
+#: Whole curves: their running maximum, its negative, and the values themselves, in turn.
+RUNS = f"WITH {c.CURVES}, runs AS (SELECT measurement_id, idx, CASE measurement_id % 3 WHEN 0 THEN max(y) OVER w WHEN 1 THEN -max(y) OVER w ELSE y END AS x FROM curves WINDOW w AS (PARTITION BY measurement_id ORDER BY idx)), l AS (SELECT measurement_id, x - lag(x) OVER (PARTITION BY measurement_id ORDER BY idx) AS dd FROM runs) "
+
+
+@query("p05_monotonic", RUNS + "SELECT measurement_id, bool_and(coalesce(dd >= 0, true)) AS rising, bool_and(coalesce(dd <= 0, true)) AS falling FROM l GROUP BY measurement_id")
+def _(spark, sf):
+    top = F.max("y").over(Window.partitionBy("measurement_id").orderBy("idx"))
+    turn = F.col("measurement_id") % 3
+    return parsing.monotonic(c.curves(spark, sf).select("measurement_id", "idx", F.when(turn == 0, top).when(turn == 1, -top).otherwise(F.col("y")).alias("x")))
 
 
 #: Whole axes: scans by time, by time run backwards, and by value, in turn; a scan may have any number of points.
@@ -182,12 +218,21 @@ def _texts(lines):
     return lines.groupBy("file_id").agg(F.array_join(parts, "\n").alias("v"))
 
 
-GOODS = ", g AS (SELECT file_id, line_no, TRY_CAST(string_split_regex(trim(replace(value, chr(9), ' ')), '\\s+')[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(string_split_regex(trim(replace(value, chr(9), ' ')), '\\s+')[2] AS DOUBLE) IS NOT NULL AS ok FROM (SELECT file_id, CAST(line_no - 2 AS INTEGER) AS line_no, value FROM lines WHERE line_no > 2)) "
-query("c03_pair_score", LINES + GOODS + "SELECT file_id, CASE WHEN count(*) FILTER (ok) = count(*) THEN 1.0 WHEN count(*) FILTER (ok) = count(*) - 1 AND count(*) FILTER (ok) >= 1 THEN 0.7 ELSE 0.0 END::DOUBLE AS score FROM g WHERE line_no <= 5 GROUP BY file_id")(
-    lambda s, d: _texts(c.lines(s, d).where("line_no > 2")).select("file_id", classify.score_pairs(F.col("v")).alias("score"))
+#: Whole files, a third of which have pairs in place of their two header lines.
+PAIRED = LINES + ", whole AS (SELECT file_id, line_no, CASE WHEN file_id % 3 = 0 AND line_no <= 2 THEN '7 8' ELSE value END AS value FROM lines)"
+GOODS = ", g AS (SELECT file_id, line_no, TRY_CAST(string_split_regex(trim(replace(value, chr(9), ' ')), '\\s+')[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(string_split_regex(trim(replace(value, chr(9), ' ')), '\\s+')[2] AS DOUBLE) IS NOT NULL AS ok FROM whole) "
+
+
+def _whole(spark, sf):
+    head = (F.col("file_id") % 3 == 0) & (F.col("line_no") <= 2)
+    return _texts(c.lines(spark, sf).withColumn("value", F.when(head, "7 8").otherwise(F.col("value"))))
+
+
+query("c03_pair_score", PAIRED + GOODS + "SELECT file_id, CASE WHEN count(*) FILTER (ok) = count(*) THEN 1.0 WHEN count(*) FILTER (ok) = count(*) - 1 AND count(*) FILTER (ok) >= 1 THEN 0.7 ELSE 0.0 END::DOUBLE AS score FROM g WHERE line_no <= 5 GROUP BY file_id")(
+    lambda s, d: _whole(s, d).select("file_id", classify.score_pairs(F.col("v")).alias("score"))
 )
-query("c04_run_score", LINES + GOODS + ", r AS (SELECT file_id, ok, line_no - row_number() OVER (PARTITION BY file_id, ok ORDER BY line_no) AS k FROM g), n AS (SELECT file_id, count(*) AS n FROM r WHERE ok GROUP BY file_id, k) SELECT f.file_id, CASE WHEN coalesce(max(n.n), 0) >= 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM (SELECT DISTINCT file_id FROM g) f LEFT JOIN n USING (file_id) GROUP BY f.file_id")(
-    lambda s, d: _texts(c.lines(s, d).where("line_no > 2")).select("file_id", classify.score_run_of_pairs(F.col("v"), classify.PAIR, 2).alias("score"))
+query("c04_run_score", PAIRED + GOODS + ", r AS (SELECT file_id, ok, line_no - row_number() OVER (PARTITION BY file_id, ok ORDER BY line_no) AS k FROM g WHERE line_no <= 20), n AS (SELECT file_id, count(*) AS n FROM r WHERE ok GROUP BY file_id, k) SELECT f.file_id, CASE WHEN coalesce(max(n.n), 0) >= 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM (SELECT DISTINCT file_id FROM g) f LEFT JOIN n USING (file_id) GROUP BY f.file_id")(
+    lambda s, d: _whole(s, d).select("file_id", classify.score_run_of_pairs(F.col("v"), classify.PAIR).alias("score"))
 )
 query("c05_two_signatures", "SELECT page_id, CASE WHEN contains(left(html, 2048), '<article>') AND contains(left(html, 2048), 'lang=\"en\"') THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM pages")(lambda s, d: c.read(s, d, "pages").select("page_id", classify.score_contains(F.col("html"), ("<article>", 'lang="en"'), 2048).alias("score")))
 query("c06_root_tag", "SELECT page_id, CASE WHEN contains(left(html, 512), '<nav>') THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM pages")(lambda s, d: c.read(s, d, "pages").select("page_id", classify.score_contains(F.col("html"), ("<nav>",), 512).alias("score")))
@@ -272,10 +317,6 @@ query("s06_comma_rows", "SELECT p_partkey, string_split(p_brand || ',' || p_type
 @query("s10_derived_curves", f"WITH {c.CURVES} SELECT analyzer_name, count(*) AS n, round(sum(y * k), 4) AS total FROM curves, (VALUES ('half', 0.5::DOUBLE), ('double', 2.0::DOUBLE)) AS a(analyzer_name, k) GROUP BY analyzer_name")
 def _(spark, sf):
     """Derived curves of two analyzers, appended under the analyzer's name and read back."""
-    import uuid
-
-    from ..sources.durable import shared_root
-
     path = f"{shared_root(spark)}/derived-{uuid.uuid4().hex}"
     for name, k in (("half", 0.5), ("double", 2.0)):
         d = c.curves(spark, sf).select(F.concat_ws(":", "measurement_id", F.lit(name)).alias("result_id"), "idx", F.lit("scaled").alias("name"), (F.col("y") * k).alias("value"), F.lit(name).alias("analyzer_name"))
@@ -286,10 +327,6 @@ def _(spark, sf):
 @query("s16_override_document", "SELECT DISTINCT p_brand AS auto, 'renamed ' || p_brand AS new FROM part")
 def _(spark, sf):
     """Renames written as a JSON document and read back as a table."""
-    import uuid
-
-    from ..sources.durable import shared_root
-
     path = f"{shared_root(spark)}/decisions-{uuid.uuid4().hex}"
     p = c.read(spark, sf, "part")
     renames = p.select(F.col("p_brand").alias("auto"), F.concat(F.lit("renamed "), "p_brand").alias("new")).distinct()

@@ -236,6 +236,47 @@ def test_peaks_are_found_and_fitted(spark):
     assert got[3]["n_peaks"] <= 15
 
 
+def test_every_scan_gets_a_row(spark):
+    """Short, flat, falling, constant-axis and null scans are rows with an error; the good one is unharmed."""
+    rng = np.random.default_rng(3)
+    x = np.arange(10, 40, 0.05)
+    good = 50 + rng.normal(0, 1, len(x)) + 500 * np.exp(-((x - 25) ** 2) / 0.08)
+    rows = [(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, good))]
+    rows += [(2, i, float(i), 1.0) for i in range(10)] + [(3, i, float(i), 5.0) for i in range(200)] + [(4, i, 7.0, float(i)) for i in range(200)]
+    rows += [(5, i, None, None) for i in range(60)] + [(6, i, float("nan"), 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, f"{M} long, idx int, x double, y double")
+    got = {r[M]: r for r in peaks.peak_table(df).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    assert got[1]["state"] == "ok" and abs(got[1]["peaks"][0]["center"] - 25) < 0.05
+    for k in range(2, 7):
+        assert got[k]["state"] == "error" and got[k]["n_peaks"] == 0 and got[k]["peaks"] == [] and got[k]["r2"] is None and len(got[k]["issues"]) == 1
+
+
+def test_an_error_inside_is_an_issue(spark, monkeypatch):
+    df = spark.createDataFrame([(1, i, float(i), float(i % 7)) for i in range(80)], f"{M} long, idx int, x double, y double")
+    got = peaks.peak_table(df, {"window": "seven"}).collect()
+    assert len(got) == 1 and got[0]["state"] == "error" and "Error" in got[0]["issues"][0]
+
+
+def test_fits_say_when_they_do_not_converge():
+    x = np.arange(0, 10, 0.1)
+    y = peaks.profile(x, 5.0, 4.9, 0.3, 0.4) + peaks.profile(x, 3.0, 5.6, 0.2, 0.1)
+    start = np.array([1.0, 4.5, 0.5, 0.5, 1.0, 6.0, 0.5, 0.5])
+    low, high = np.array([0, 4, 0.1, 0] * 2, float), np.array([99, 7, 2, 1] * 2, float)
+    assert peaks.fit_profiles(x, y, start, low, high, steps=2) is None
+    fit = peaks.fit_profiles(x, y, start, low, high).reshape(2, 4)
+    assert np.allclose(sorted(fit[:, 1]), [4.9, 5.6], atol=1e-3)
+    assert peaks.fit_profiles(x, y * np.nan, start, low, high) is None
+
+
+def test_header_cells_take_outputs_from_left_to_right(spark):
+    heads = ["Temperature of Seebeck probe", "Seebeck", "Resistivity", "Temperature", "Thermal conductivity", "Temperature again"]
+    cells = [(1, "A", 0, k, None, h) for k, h in enumerate(heads)] + [(1, "A", 1, k, float(k), None) for k in range(6)]
+    df = spark.createDataFrame(cells, "file_id long, sheet string, row_idx int, col_idx int, num double, txt string")
+    got = {r["col_idx"]: r["output"] for r in parsing.property_columns(df).collect()}
+    assert got == {0: "temperature_k", 1: "seebeck_uvk", 2: "resistivity_ohm_m", 4: "thermal_conductivity"}
+
+
 def test_overlap_groups(spark):
     df = spark.createDataFrame([(1, 10, 1.0), (1, 14, 1.0), (1, 40, 2.0), (1, 90, 0.1)], f"{M} int, idx int, width double")
     assert [r["cluster"] for r in curves.overlap_groups(df).orderBy("idx").collect()] == [0, 0, 1, 2]
