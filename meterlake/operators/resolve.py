@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import names as N
@@ -57,50 +58,116 @@ def name_aliases(hints: DataFrame) -> DataFrame:
     return h.groupBy("name").agg(F.array_sort(F.collect_set("raw")).alias("aliases"))
 
 
-def least_overlap(a: int | Column, threshold: float = THRESHOLD) -> Column:
-    """Fewest characters (with multiplicity) that a name of length a must share with any similar one.
+#: Common starts of two names that raise their Jaro-Winkler similarity, up to this length.
+STARTS = 4
 
-    An indel ratio of t needs t*(a+b)/2 shared characters, a Jaro-Winkler similarity of t a Jaro of j = (t-0.4)/0.6 at
-    best start, hence m/a + m/b >= 3j-1 matched ones; both are least at the shortest partner.
+
+def least_shares(threshold: float) -> list[float]:
+    """By the length of the common start (0 to 4): the least m/a + m/b of similar names of lengths a and b that share m characters.
+
+    A Jaro-Winkler similarity of t after a common start of p needs a Jaro of (t - p/10) / (1 - p/10), which needs the sum of
+    both shares to be three times that less one; the boost is given above 0.7 alone. An indel ratio of t needs t*(a+b)/2
+    shared characters, which is more than the case p = 0 asks for.
     """
-    j = max(0.0, 3 * (threshold - 0.4) / 0.6 - 1)
-    winkler = F.col("n") * (j - 1) if j > 1 else F.lit(1)
-    indel = threshold * F.col("n") / (2 - threshold)
-    return F.greatest(F.lit(1), F.ceil(F.least(winkler, indel) - 1e-9)).cast("int")
+    out = []
+    for p in range(STARTS + 1):
+        jaro = (threshold - p / 10) / (1 - p / 10)
+        out.append(3 * (min(threshold, max(jaro, 0.7)) if p else threshold) - 1)
+    return out
+
+
+def name_candidates(base: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): distinct pairs a < b of ``base`` (name, n = its length) that could be similar; no similar pair is missing.
+
+    Characters with their occurrence numbers are tokens, ordered from rare to common. Names of lengths a and b that must share
+    m tokens share l of the first a-m+l and b-m+l of them; keys are the choices of l tokens among these, with both
+    lengths and the common start that the bound is for. l is 3, 2 or 1, the more the fewer choices there are.
+    """
+    chars = base.select("name", "n", F.explode(F.split("name", "")).alias("c")).where("c <> ''")
+    nth = F.row_number().over(Window.partitionBy("name", "c").orderBy("c"))
+    tokens = chars.withColumn("token", F.concat("c", nth.cast("string")))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    ordered = tokens.join(often, "token").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    ordered = ordered.select("name", "n", F.transform("t", lambda x: x["token"]).alias("t"))
+    lengths = base.select(F.col("n").alias("other")).distinct()  # as many rows as names have lengths
+    shares = least_shares(threshold)
+    starts = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("share")) for p, s in enumerate(shares) if p == 0 or s < shares[0] - 1e-9])
+    rows = ordered.join(F.broadcast(lengths)).withColumn("start", F.explode(starts)).select("name", "n", "t", "other", "start.p", "start.share").where("least(n, other) >= p")
+    low, high = F.least("n", "other"), F.greatest("n", "other")
+    need = F.greatest(F.lit(1), F.col("p"), F.ceil(F.col("share") * low * high / (low + high) - 1e-9)).cast("int")
+    rows = rows.withColumn("need", need).where("need <= least(n, other)")
+    room = high - F.col("need")
+    rows = rows.withColumn("l", F.least(F.col("need"), F.when(room <= 3, 3).when(room <= 8, 2).otherwise(1)))
+    first = F.slice("t", F.lit(1), F.col("n") - F.col("need") + F.col("l"))
+    rows = rows.withColumn("first", first)
+    f, k = F.col("first"), F.size("first")
+    pick = lambda i: F.element_at(f, i.cast("int"))
+    twos = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda i: F.transform(F.slice(f, i + 1, F.greatest(k - i, F.lit(0))), lambda y: F.concat_ws("\x01", pick(i), y))))
+    threes = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(k - 2, F.lit(1))), lambda i: F.flatten(F.transform(F.sequence(i + 1, F.greatest(k - 1, i + 1)), lambda j: F.transform(F.slice(f, j + 1, F.greatest(k - j, F.lit(0))), lambda y: F.concat_ws("\x01", pick(i), pick(j), y))))))
+    combos = F.when(F.col("l") == 1, f).when(F.col("l") == 2, twos).otherwise(threes)
+    keyed = rows.select("name", "n", "other", F.xxhash64("p", F.expr("substring(name, 1, p)"), F.least("n", "other"), F.greatest("n", "other")).alias("block"), F.explode(combos).alias("choice"))
+    keyed = keyed.select("name", "n", "other", F.xxhash64("block", "choice").alias("key"))
+    short = keyed.where("n <= other").select(F.col("name").alias("x"), "key")
+    tall = keyed.where("n >= other").select(F.col("name").alias("y"), "key")
+    pairs = short.join(tall, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.distinct()
 
 
 def name_edges(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity): pairs a < b of distinct names with similarity of at least ``threshold``.
 
-    Prefix filter: characters with their occurrence numbers are tokens, ordered from rare to common; similar names share
-    one among their first n - least_overlap + 1. Candidate pairs are checked by length and then by the similarity itself.
+    Candidates come from a lossless filter and are checked by the similarity itself. At 0 every pair is similar, so that
+    all of them are the result.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be within 0 and 1")
-    base = names.select("name").where("name <> ''").distinct().withColumn("n", F.char_length("name"))
-    base = written(base.withColumn("need", least_overlap("n", threshold)), "names")
-    chars = base.select("name", "n", "need", F.explode(F.split("name", "")).alias("c")).where("c <> ''")
-    nth = F.row_number().over(Window.partitionBy("name", "c").orderBy("c"))
-    tokens = chars.withColumn("token", F.concat("c", nth.cast("string")))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("often", "token"))
-    prefix = tokens.join(often, "token").withColumn("rank", rank).where("rank <= n - need + 1").select("name", "n", "token")
-    left, right = (prefix.select("token", F.col("name").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    j = 3 * (threshold - 0.4) / 0.6 - 1
-    close = F.greatest("na", "nb") <= F.least("na", "nb") / (j - 1) + 1e-6 if j > 1.01 else F.lit(True)
-    pairs = left.join(right, "token").where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct()
+    base = written(names.select("name").where("name <> ''").distinct().withColumn("n", F.char_length("name")), "names")
+    if threshold == 0:
+        pairs = base.select(F.col("name").alias("a")).join(base.select(F.col("name").alias("b")), F.col("a") < F.col("b"))
+    else:
+        pairs = name_candidates(base, threshold)
     return pairs.withColumn("similarity", N.similarity("a", "b")).where(F.col("similarity") >= threshold)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Edges that one task contracts on its own.
+CHUNK_EDGES = 500_000
+
+
+def _contracted(batches):
+    """The edges of a task as stars: each node tied to the least that it reaches within the task."""
+    root: dict = {}
+
+    def find(k):
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root[up]
+        return k
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pd.DataFrame({"a": nodes, "b": [find(k) for k in nodes]}).query("a != b")
+
+
+def components(nodes: DataFrame, edges: DataFrame, chunk: int = CHUNK_EDGES, max_rounds: int = 100) -> DataFrame:
     """(node, component): the least node that each reaches; lone nodes are their own. Strings or numbers.
 
-    Hash-min with pointer jumping: every round takes the least label around each node, then the label of that label.
+    Tasks contract chunks of edges into stars; one chunk alone is the answer. Stars of several chunks are joined by hash-min
+    with pointer jumping: every round takes the least label around each node, then the label of that label.
     """
     kind = nodes.schema["node"].dataType
-    both = written(edges.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).unionByName(edges.select(F.col("b").cast(kind).alias("a"), F.col("a").cast(kind).alias("b"))).distinct(), "edges")
-    now = written(nodes.select("node").distinct().withColumn("component", F.col("node")), "labels")
-    while True:
+    pairs = written(edges.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).where("a <> b"), "pairs")
+    chunks = max(1, -(-pairs.count() // chunk))
+    stars = pairs.repartition(chunks).mapInPandas(_contracted, f"a {kind.simpleString()}, b {kind.simpleString()}")
+    own = nodes.select("node").distinct()
+    if chunks == 1:
+        return own.join(stars, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component"))
+    stars = written(stars, "stars")
+    both = written(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    now = written(own.withColumn("component", F.col("node")), "labels")
+    for _ in range(max_rounds):
         around = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         low = now.join(around, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = now.select(F.col("node").alias("k"), F.col("component").alias("next"))
@@ -109,6 +176,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = fresh
         if not moved:
             return now
+    raise RuntimeError("components did not settle")
 
 
 def assign_files(votes: DataFrame, comps: DataFrame) -> DataFrame:

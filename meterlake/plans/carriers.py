@@ -134,3 +134,11 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NAMES = "hints AS (SELECT p_name AS raw, p_partkey AS seq, p_brand AS file_path, p_size / 50.0 AS confidence FROM part)"
+
+
+def words(spark: SparkSession, sf: str) -> DataFrame:
+    """First words of all documents, as names as people type them: thousands of distinct ones, many alike."""
+    return read(spark, sf, "documents").select(F.lower(F.regexp_extract("text", "([A-Za-z]{2,})", 1)).alias("name")).where("name <> ''").distinct()
+
+
+WORDS = "words AS (SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]{2,})', 1)) AS name FROM documents WHERE regexp_extract(text, '([A-Za-z]{2,})', 1) <> '')"

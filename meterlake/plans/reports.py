@@ -9,6 +9,7 @@ from ..operators import catalog, classify, parsing, reports
 from ..sources import files as files_source
 from . import carriers as c
 from .registry import query
+from .resolve import LCS, SIMILAR
 
 WITH = f"WITH {c.FILES}, {c.PRIOR} "
 
@@ -156,18 +157,26 @@ query("x04_segments", WITH + "SELECT doc_id, list_slice(list_reverse(string_spli
 query("x05_depth_weights", "SELECT page_id, t.i AS depth, (CAST([0.8, 0.5, 0.4, 0.3] AS DOUBLE[]))[least(t.i + 1, 4)] AS weight FROM pages, unnest(range(0, len(string_split(url, '/')) - 1)) AS t(i)")(
     lambda s, d: c.read(s, d, "pages").select("page_id", F.posexplode(F.slice(F.split("url", "/"), 1, F.size(F.split("url", "/")) - 1)).alias("depth", "v")).select("page_id", F.col("depth").cast("long").alias("depth"), N.depth_weight(F.col("depth")).alias("weight"))
 )
-query("x08_jaro_winkler", "WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS jw FROM n a JOIN n b ON left(a.p_name, 2) = left(b.p_name, 2) AND a.p_name < b.p_name")(
-    lambda s, d: _pairs(s, d).select("a", "b", F.round(N.winkler("a", "b"), 6).alias("jw"))
-)
-query("x06_indel_ratio")(lambda s, d: _pairs(s, d).select("a", "b", F.round(N.indel("a", "b"), 6).alias("ratio")))
-query("x07_token_sort_ratio")(lambda s, d: _pairs(s, d).select("a", "b", F.round(N.token_sort("a", "b"), 6).alias("ratio")))
-query("x09_similarity")(lambda s, d: _pairs(s, d).select("a", "b", F.round(N.similarity("a", "b"), 6).alias("similarity")))
+#: Every row's name beside its kind and its brand, over the whole table.
+PAIRS = "WITH p AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part UNION SELECT DISTINCT p_type, p_brand FROM part UNION SELECT DISTINCT p_name, lower(p_type) FROM part) SELECT a, b, "
+INDEL = "round(2.0 * " + LCS.format(x="a", y="b") + " / (length(a) + length(b)), 6)"
 
 
 def _pairs(spark, sf):
-    n = c.read(spark, sf, "part").select("p_name").distinct()
-    k = F.substring("p_name", 1, 2)
-    return n.select(F.col("p_name").alias("a"), k.alias("k")).join(n.select(F.col("p_name").alias("b"), k.alias("k")), "k").where("a < b")
+    p = c.read(spark, sf, "part")
+    two = lambda x, y: p.select(F.col(x).alias("a"), y.alias("b"))
+    return two("p_name", F.col("p_type")).unionAll(two("p_type", F.col("p_brand"))).unionAll(two("p_name", F.lower("p_type"))).distinct()
+
+
+query("x08_jaro_winkler", PAIRS + "round(jaro_winkler_similarity(a, b), 6) AS jw FROM p")(lambda s, d: _pairs(s, d).select("a", "b", F.round(N.winkler("a", "b"), 6).alias("jw")))
+query("x06_indel_ratio", PAIRS + INDEL + " AS ratio FROM p")(lambda s, d: _pairs(s, d).select("a", "b", F.round(N.indel("a", "b"), 6).alias("ratio")))
+SORTED = "array_to_string(list_sort(regexp_split_to_array(trim({}), '\\s+')), ' ')"
+query("x07_token_sort_ratio", PAIRS.replace("SELECT a, b, ", "") + ", q AS (SELECT a AS a0, b AS b0, " + SORTED.format("a") + " AS a, " + SORTED.format("b") + " AS b FROM p) SELECT a0 AS a, b0 AS b, " + INDEL + " AS ratio FROM q")(
+    lambda s, d: _pairs(s, d).select("a", "b", F.round(N.token_sort("a", "b"), 6).alias("ratio"))
+)
+query("x09_similarity", PAIRS.replace("SELECT a, b, ", "") + ", q AS (SELECT a, b, " + SIMILAR + " AS plain, " + SORTED.format("a") + " AS sa, " + SORTED.format("b") + " AS sb FROM p) SELECT a, b, round(greatest(plain, 2.0 * " + LCS.format(x="sa", y="sb") + " / (length(a) + length(b))), 6) AS similarity FROM q")(
+    lambda s, d: _pairs(s, d).select("a", "b", F.round(N.similarity("a", "b"), 6).alias("similarity"))
+)
 
 
 @query("x15_params_fingerprint")

@@ -39,6 +39,26 @@ def _(spark, sf):
 query("g08_name_votes", HINTS + "SELECT file_path, name, round(sum(confidence), 6) AS votes FROM named GROUP BY file_path, name")(lambda s, d: R.name_votes(c.names(s, d)).withColumn("votes", F.round("votes", 6)))
 query("g10_name_aliases", HINTS + "SELECT name, list_sort(list(DISTINCT raw)) AS aliases FROM named GROUP BY name")(lambda s, d: R.name_aliases(c.names(s, d)))
 query("j06_similar_names", NAME_SET + PAIR_SQL + " SELECT a, b FROM e")(lambda s, d: _near(s, d)[1])
+query("j06_similar_words", f"WITH {c.WORDS} SELECT a.name AS a, b.name AS b FROM words a JOIN words b ON a.name < b.name AND jaro_winkler_similarity(a.name, b.name) >= 0.88")(
+    lambda s, d: R.name_edges(c.words(s, d), 0.88).select("a", "b").withColumn("jw", N.winkler("a", "b")).where("jw >= 0.88").select("a", "b")
+)
+#: Longest common subsequence of x and y: rows of lengths as characters, from one character of x to the next.
+LCS = "(ascii(right(list_reduce(string_split({x}, ''), lambda row, ch: list_reduce(list_transform(range(1, length({y}) + 1), lambda j: CAST(j AS VARCHAR)), lambda acc, j: acc || chr(greatest(ascii(right(acc, 1)), ascii(substr(row, CAST(j AS INTEGER) + 1, 1)), ascii(substr(row, CAST(j AS INTEGER), 1)) + CAST(substr({y}, CAST(j AS INTEGER), 1) = ch AS INTEGER))), '0'), repeat('0', length({y}) + 1)), 1)) - 48)"
+SIMILAR = "greatest(jaro_winkler_similarity(a, b), 2.0 * " + LCS.format(x="a", y="b") + " / (length(a) + length(b)))"
+query("l02_word_edges", f"WITH {c.WORDS}, p AS (SELECT a.name AS a, b.name AS b FROM words a JOIN words b ON a.name < b.name AND (jaro_winkler_similarity(a.name, b.name) >= 0.85 OR abs(length(a.name) - length(b.name)) <= 0.15 * (length(a.name) + length(b.name)))), s AS (SELECT a, b, {SIMILAR} AS similarity FROM p) SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.85")(
+    lambda s, d: R.name_edges(c.words(s, d)).withColumn("similarity", F.round("similarity", 6))
+)
+WORD_FILES = "wf AS (SELECT CAST(doc_id AS VARCHAR) AS file_path, lower(regexp_extract(text, '([A-Za-z]{2,})', 1)) AS name FROM documents WHERE regexp_extract(text, '([A-Za-z]{2,})', 1) <> '')"
+
+
+@query("l04_word_clusters", f"WITH RECURSIVE {c.WORDS}, {WORD_FILES}, p AS (SELECT a.name AS a, b.name AS b FROM words a JOIN words b ON a.name < b.name AND (jaro_winkler_similarity(a.name, b.name) >= 0.85 OR abs(length(a.name) - length(b.name)) <= 0.15 * (length(a.name) + length(b.name)))), e AS MATERIALIZED (SELECT a, b FROM p WHERE {SIMILAR} >= 0.85), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT name AS a, name AS b FROM words UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a), comp AS (SELECT a AS name, min(b) AS component FROM reach GROUP BY a) SELECT arg_min(name, lpad(CAST(length(name) AS VARCHAR), 6, '0') || name) AS canonical, count(DISTINCT file_path) AS files, count(DISTINCT name) AS forms FROM wf JOIN comp USING (name) GROUP BY component")
+def _(spark, sf):
+    """Files named by their first word, clustered end to end."""
+    d = c.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.lower(F.regexp_extract("text", "([A-Za-z]{2,})", 1)).alias("raw")).where("raw <> ''")
+    found = R.clusters(d.withColumns({"confidence": F.lit(1.0), "seq": F.lit(0)}))
+    return found.select("canonical", F.size("file_paths").cast("long").alias("files"), F.size("normalized_forms").cast("long").alias("forms"))
+
+
 query("l02_name_edges")(lambda s, d: R.name_edges(_names(s, d).select("name")).withColumn("similarity", F.round("similarity", 6)))
 REACH = "both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT name AS a, name AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a), comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"
 RECURSIVE = NAME_SET.replace("WITH ", "WITH RECURSIVE ", 1) + PAIR_SQL + ", " + REACH

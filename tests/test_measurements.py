@@ -376,3 +376,23 @@ def test_monotonic_judges_whole_axes(spark, sf):
     assert got == {k: (a, b) for k, a, b in con.execute(SQL["p05_monotonic_axis"]).fetchall()}
     assert {(True, False), (False, True), (False, False)} <= set(got.values())
     assert any(x[:3] == sorted(x[:3]) and not got[k][0] for k, x in axes.items())
+
+
+def test_name_candidates_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(21)
+    names = {"".join(rng.choice(list("abcdeé"), rng.integers(1, 12))) for _ in range(250)} | {"prefix" + "".join(rng.choice(list("xyz"), rng.integers(0, 5))) for _ in range(60)} | {"a" * k for k in range(1, 9)}
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    for threshold in (0.0, 0.3, 0.7, 0.85, 1.0):
+        want = {(a, b) for a in names for b in names if a < b and N.similarity_of(a, b) >= threshold}
+        assert {(r["a"], r["b"]) for r in resolve.name_edges(df, threshold).collect()} == want
+    with pytest.raises(ValueError):
+        resolve.name_edges(df, 1.5)
+
+
+def test_components_in_one_chunk_and_in_many(spark):
+    edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("s", f"s{i}") for i in range(30)]
+    nodes = spark.createDataFrame([(n,) for n in sorted({x for e in edges for x in e} | {"alone"})], "node string")
+    df = spark.createDataFrame(edges, "a string, b string")
+    want = {n: "n000" if n.startswith("n") else "s" if n.startswith("s") else n for (n,) in nodes.collect()}
+    for chunk in (500_000, 20):
+        assert {r["node"]: r["component"] for r in resolve.components(nodes, df, chunk).collect()} == want
