@@ -1,23 +1,29 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
 The base patterns give spans that always stay. The random field scores whole candidate segments: features look at
-a span as a unit (kind of characters, digit count, checksum, separators, the words around it), and a dynamic
-program over segments of at most ``LONGEST`` tokens chooses boundaries and types together. Its spans that
-overlap no base span are added.
+a span as a unit (kind of characters, digit groups, checksum, separators, the words before and after it), transitions score
+the kinds of adjacent segments, and a dynamic program over segments of at most ``LONGEST`` tokens chooses boundaries and
+types together. Its spans that overlap no base span are added: addresses spelled out ("jo at host dot com"), broken-up
+network addresses, numbers without a plus sign, cards with a wrong digit where the words around them tell.
 
-The field is fitted on a bounded sample of documents in which the base patterns are the labels (some hidden from its
-pattern features, so that shape and context must explain them too). It runs over stretches around tokens that hold a
-digit or @; a segment without any of these can't be an entity, so the rest of a text is outside by definition.
+The field is fitted on a bounded sample of documents. Labels are the base spans of their own text (some hidden from the
+field's pattern features, so that shape and context must explain them too) and planted forms: items of each kind written
+as no base pattern takes them, and look-alikes that are none, set among words of the sample. It runs over stretches
+around tokens that hold a digit, @ or a spelled-out mark; no other token can start or end a candidate, so the rest of
+a text is outside by definition. Stretches have no greatest length.
 
 Defined cases: null and empty texts have no spans; offsets count code points, end exclusive; equal texts give equal
-spans; an empty table gives no rows; texts of any length are scanned in one pass; other input columns are ignored.
+spans and repeated rows are scanned one by one; of paths with equal scores the one with fewer and later spans wins, so
+spans of the field never overlap; an empty table gives no rows; texts of any length are scanned in one pass; other
+input columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +31,19 @@ from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 #: Most tokens in a segment, and tokens of context on either side of a stretch.
-LONGEST, AROUND = 6, 2
-#: Most documents that the field is fitted on: those whose ids hash lowest.
-SAMPLE = 3000
-#: Stretches that are fitted; more are cut from the sample in order.
-STRETCHES = 4000
+LONGEST, AROUND = 7, 4
+#: Most documents that the field is fitted on: those whose ids hash lowest, of those with at most so many characters.
+SAMPLE, SAMPLE_CHARS = 3000, 20_000
+#: Stretches of the sample that are fitted (longer ones than ``FIT_TOKENS`` are left out), and planted ones.
+STRETCHES, FIT_TOKENS, PLANTED = 4000, 200, 2000
+#: Words that tell a kind, and words that tell something else; by these the field learns what context means.
+TELLING = {
+    "email": "mail email e-mail address contact write correo kontakt adresse courriel".split(),
+    "ip": "ip host server gateway proxy node router addr servidor".split(),
+    "card": "card cards visa mastercard amex credit debit karte kreditkarte tarjeta carte".split(),
+    "phone": "call phone tel telephone mobile cell fax whatsapp telefon handy teléfono téléphone móvil".split(),
+    "": "order invoice id isbn ref version page year article item sku code serial tracking total build issue number".split(),
+}
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -38,7 +52,7 @@ Span = tuple[int, int, int]  # kind, start, end
 _AT_RUN = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
@@ -107,176 +121,371 @@ def base_spans(text: str) -> list[Span]:
 
 _TOKEN = re.compile(r"\S+")
 _SHAPE = re.compile(r"[0-9]+|[A-Za-z]+|[^\x00-\x7f]+")
-_TRIM = ".,;:!?\"'"
-FEATURES = 1 << 12
-
-
-def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Tokens (start, end) near those with a digit or @; trimmed of closing marks. Stretches don't overlap."""
-    if not _HINT.search(text):
-        return []
-    out: list[list[tuple[int, int]]] = []
-    at, size = 0, len(text)
-    while (m := _HINT.search(text, at)) is not None:
+_TRIM = ".,;:!?\"'$%&*#"
+_DIGITS = re.compile(r"[0-9]+")
+_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
+_AT, _DOT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|@)", r"(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.)"
+_SPELLED = re.compile(rf"[a-z0-9._%+-]+{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+", re.I)
+_BROKEN_IP = re.compile(r"[0-9]{1,3}(?:\s*[\[({]?\.[\])}]?\s*[0-9]{1,3}){3}")
+_NUMBER = re.compile(r"[(+]?[0-9][0-9+().\- ]*")
+#: What makes a stretch: a digit, @, or a spelled-out mark.
+_MARK = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]|(?<!\S)dot(?!\S)", re.I)
+FEATURES = 1 << 13
+OUTSIDE = len(KINDS)
+LEXICON = {w: kind or "none" for kind, words in TELLING.items() for w in words}
+
+
+class Field(NamedTuple):
+    """Weights by kind and feature, and scores of moves from the kind of one segment to that of the next."""
+
+    weights: np.ndarray
+    moves: np.ndarray
+
+
+def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Tokens (start, end) near those with a mark; trimmed of closing marks. Stretches don't overlap."""
+    at = 0
+    while (m := _MARK.search(text, at)) is not None:
         left = m.start()
-        for _ in range(AROUND + 1):  # back over a few tokens, not beyond the stretch before
+        for k in range(AROUND + 1):  # back over a few tokens, not beyond the stretch before
             while left > at and not text[left - 1].isspace():
                 left -= 1
-            if _ < AROUND:
+            if k < AROUND:
                 while left > at and text[left - 1].isspace():
                     left -= 1
         tokens, quiet, end = [], 0, left
         for t in _TOKEN.finditer(text, left):
             a, b = t.span()
             end = b
-            quiet = 0 if _HINT.search(text, a, b) else quiet + 1
+            quiet = 0 if _MARK.search(text, a, b) else quiet + 1
             while b - 1 > a and text[b - 1] in _TRIM:
                 b -= 1
+            while a < b - 1 and text[a] in "\"'<":
+                a += 1
             tokens.append((a, b))
-            if (quiet > AROUND and a > m.start()) or len(tokens) >= 4096:
+            if quiet > AROUND and a > m.start():
                 break
-        out.append(tokens)
+        yield tokens
         at = max(end, m.end())
-        if at >= size:
-            break
-    return out
 
 
 def _shape(s: str) -> str:
     return _SHAPE.sub(lambda m: "9" * min(4, len(m[0])) if m[0][0].isdigit() and m[0].isascii() else ("a" if m[0].isascii() else "u"), s)
 
 
-def segment_features(text: str, start: int, end: int, before: str, n_tokens: int, with_pattern: bool = True) -> list[int]:
-    """Hashed features of a whole span."""
-    s = text[start:end]
-    digits = "".join(c for c in s if c.isdigit() and c.isascii())
+def candidate_ends(text: str, tokens: list[tuple[int, int]], i: int) -> Iterator[int]:
+    """Ends (token after the last) of the segments from token ``i`` that could be an entity by their build."""
+    a = tokens[i][0]
+    first = text[a : tokens[i][1]]
+    numeric = first[0].isdigit() or first[0] in "(+"
+    spelled = first[0].isalnum()
+    for j in range(i, min(len(tokens), i + LONGEST)):
+        b = tokens[j][1]
+        if b - a > 120 and j > i:
+            return
+        s = text[a:b]
+        if numeric and _NUMBER.fullmatch(s):
+            if (7 if i == j else 9) <= sum(map(len, groups := _DIGITS.findall(s))) <= 22 and len(groups) <= 6:
+                yield j + 1
+                continue
+        elif not spelled:
+            return
+        if spelled and (j == i or len(s) < 120) and (_SPELLED.fullmatch(s) or _BROKEN_IP.fullmatch(s)):
+            yield j + 1
+
+
+_BUCKETS: dict[str, int] = {}
+
+
+def _bucket(name: str) -> int:
+    b = _BUCKETS.get(name)
+    if b is None:
+        b = zlib.crc32(name.encode("utf-8", "replace")) % FEATURES
+        if len(_BUCKETS) < 20_000:
+            _BUCKETS[name] = b
+    return b
+
+
+def _near_words(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> tuple[list[str], list[str]]:
+    """Lower-case words of up to three tokens before a segment, nearest first, and two after it."""
+    word = lambda t: (m[0].lower() if len(t) < 60 and (m := _WORD.search(t)) else "")
+    before = [word(text[a:b]) for a, b in reversed(tokens[max(0, i - 3) : i])]
+    return before, [word(text[a:b]) for a, b in tokens[j : j + 2]]
+
+
+def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, with_pattern: bool = True) -> list[int]:
+    """Hashed features of a whole span and of the words around it."""
+    s = text[tokens[i][0] : tokens[j - 1][1]]
+    groups = _DIGITS.findall(s)
+    digits = "".join(groups)
+    before, after = _near_words(text, tokens, i, j)
+    build = "spelled" if _SPELLED.fullmatch(s) else "broken" if _BROKEN_IP.fullmatch(s) else "number"
+    marks = "".join(sorted({c for c in s if not c.isalnum()}))[:8]
+    size = f"{build}:{min(len(digits), 20)}"
     names = [
-        f"shape={_shape(s)[:24]}", f"digits={min(len(digits), 20)}", f"tokens={n_tokens}", f"before={before[-12:].lower()}",
-        f"at={s.count('@')}", f"dots={min(s.count('.'), 4)}", f"first={s[0] if not s[0].isalnum() else ('9' if s[0].isdigit() else 'a')}",
-        f"marks={''.join(sorted({c for c in s if not c.isalnum()}))[:8]}",
+        "bias", build, f"shape={_shape(s)[:24]}", f"digits={size}", f"groups={'-'.join(str(min(len(g), 9)) for g in groups[:6])}", f"tokens={j - i}",
+        f"first={s[0] if not s[0].isalnum() else ('9' if s[0].isdigit() else 'a')}", f"marks={build}:{marks}", f"before={build}:{before[0] if before else ''}",
+        f"after={build}:{after[0] if after else ''}",
     ]
+    told = {LEXICON[w] for w in before + after if w in LEXICON}
+    names += [f"told={k}" for k in sorted(told)] + [f"told={k}:{size}" for k in sorted(told)] if told else [f"told=no:{size}"]
+    if before and before[0] in LEXICON:
+        names.append(f"next={LEXICON[before[0]]}")
+    if 13 <= len(digits) <= 19 and build == "number":
+        names.append(f"luhn={luhn(digits)}")
     if with_pattern:
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            names.append("luhn")
         for k, f in enumerate((_emails, _ips, _cards, _phones)):
             names += [f"match={k}:{(a, b) == (0, len(s))}" for _, a, b in f(s)[:1]]
-    return [int.from_bytes(hashlib.blake2b(n.encode(), digest_size=4).digest(), "little") % FEATURES for n in names]
+    return [_bucket(n) for n in names]
 
 
 class Lattice:
-    """Candidate segments of a stretch: those whose last and first tokens hold a digit, @ or bracket."""
+    """Candidate segments of a stretch and their features."""
 
     def __init__(self, text: str, tokens: list[tuple[int, int]], hide: bool = False):
-        self.n, self.segments, self.features = len(tokens), [], []
-        hint = [bool(re.search(r"[0-9@]", text[a:b])) for a, b in tokens]
-        for i in range(self.n):
-            if not (hint[i] or text[tokens[i][0]] in "+("):
-                continue
-            before = text[tokens[i - 1][0] : tokens[i - 1][1]] if i else ""
-            for j in range(i, min(self.n, i + LONGEST)):
-                if j > i and not re.fullmatch(r"[0-9+().\- ]+", text[tokens[i][0] : tokens[j][1]]):
-                    break
-                if hint[j]:
-                    self.segments.append((i, j + 1))
-                    self.features.append(segment_features(text, tokens[i][0], tokens[j][1], before, j + 1 - i, not hide))
+        self.n = len(tokens)
+        self.segments = [(i, j) for i in range(self.n) for j in candidate_ends(text, tokens, i)]
+        self.features = [segment_features(text, tokens, i, j, not hide) for i, j in self.segments]
 
     def scores(self, weights: np.ndarray) -> list[np.ndarray]:
         return [weights[:, f].sum(axis=1) for f in self.features]
 
 
-def viterbi(lattice: Lattice, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """(kind, first token, token after the last) of the best segmentation; outside tokens score 0."""
-    best, back = [0.0] * (lattice.n + 1), [None] * (lattice.n + 1)
+def best_path(n: int, segments: list[tuple[int, int]], scores: list[np.ndarray], moves: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, first token, token after the last) of the best segmentation; outside tokens are segments of one and score 0."""
     by_end: dict[int, list] = {}
-    for (i, j), s in zip(lattice.segments, lattice.scores(weights)):
-        k = int(np.argmax(s))
-        by_end.setdefault(j, []).append((i, k, float(s[k])))
-    for j in range(1, lattice.n + 1):
-        best[j] = best[j - 1]
-        for i, k, s in by_end.get(j, ()):
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (k, i)
-    out, j = [], lattice.n
+    for (i, j), s in zip(segments, scores):
+        by_end.setdefault(j, []).append((i, s))
+    m, states = moves.tolist(), range(OUTSIDE + 1)
+    low = float("-inf")
+    #: Best score of a path that ends before token j with a segment of each kind; where that segment and the one before come from.
+    best = [[low] * OUTSIDE + [0.0]]
+    back: list[list[tuple[int, int] | None]] = [[None] * (OUTSIDE + 1)]
+    for j in range(1, n + 1):
+        now, way = [low] * (OUTSIDE + 1), [None] * (OUTSIDE + 1)
+        for y in states:
+            if (v := best[j - 1][y] + m[y][OUTSIDE]) > now[OUTSIDE]:
+                now[OUTSIDE], way[OUTSIDE] = v, (j - 1, y)
+        for i, s in by_end.get(j, ()):
+            for k in range(OUTSIDE):
+                for y in states:
+                    if (v := best[i][y] + m[y][k] + s[k]) > now[k]:
+                        now[k], way[k] = v, (i, y)
+        best.append(now)
+        back.append(way)
+    out, j = [], n
+    y = max(reversed(states), key=lambda y: best[n][y])
     while j > 0:
-        if back[j] is None:
-            j -= 1
-        else:
-            k, i = back[j]
-            out.append((k, i, j))
-            j = i
+        i, before = back[j][y]
+        if y != OUTSIDE:
+            out.append((y, i, j))
+        j, y = i, before
     return out[::-1]
 
 
-def _gradient(lattice: Lattice, gold: set[tuple[int, int, int]], weights: np.ndarray, grad: np.ndarray) -> None:
-    """Adds observed minus expected feature counts (forward-backward over segmentations)."""
-    n = lattice.n
-    scores = lattice.scores(weights)
+def viterbi(text: str, tokens: list[tuple[int, int]], field: Field, hide: bool = False) -> list[tuple[int, int, int]]:
+    """The best segmentation of a stretch of any length.
+
+    A token that no candidate covers is outside whatever the rest is, so the stretch is decided piece by piece between them.
+    """
+    out: list[tuple[int, int, int]] = []
+    segments: list[tuple[int, int]] = []
+    scores: list[np.ndarray] = []
+    begin, reach = 0, 0  # of the piece at hand: its first token, and the end of what its candidates cover
+
+    def decide(end: int) -> None:
+        if segments:
+            path = best_path(end - begin, [(i - begin, j - begin) for i, j in segments], scores, field.moves)
+            out.extend((k, i + begin, j + begin) for k, i, j in path)
+            segments.clear()
+            scores.clear()
+
+    for i in range(len(tokens)):
+        ends = list(candidate_ends(text, tokens, i))
+        if not ends and reach <= i:
+            decide(i + 1)  # the outside token closes the piece
+            begin = i + 1
+            continue
+        reach = max([reach, *ends])
+        for j in ends:
+            f = segment_features(text, tokens, i, j, not hide)
+            segments.append((i, j))
+            scores.append(field.weights[:, f].sum(axis=1).tolist())
+    decide(len(tokens))
+    return out
+
+
+def _sum(x: np.ndarray, axis: int | None = None) -> np.ndarray:
+    return np.logaddexp.reduce(x, axis=axis)
+
+
+def likelihood(lattice: Lattice, gold: set[tuple[int, int, int]], field: Field, grad: np.ndarray, moves: np.ndarray) -> float:
+    """Log likelihood of ``gold``; adds its slopes, observed minus expected counts, to ``grad`` and ``moves`` (forward-backward)."""
+    n, w = lattice.n, field.moves
+    scores = lattice.scores(field.weights)
     ends: dict[int, list[int]] = {}
     starts: dict[int, list[int]] = {}
     for x, (i, j) in enumerate(lattice.segments):
         ends.setdefault(j, []).append(x)
         starts.setdefault(i, []).append(x)
-    total = [float(np.logaddexp.reduce(s)) for s in scores]
-    fwd, bwd = [0.0] * (n + 1), [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        fwd[j] = float(np.logaddexp.reduce([fwd[j - 1], *(fwd[lattice.segments[x][0]] + total[x] for x in ends.get(j, ()))]))
+    fwd, bwd = np.full((n + 1, OUTSIDE + 1), -np.inf), np.full((n + 1, OUTSIDE + 1), -np.inf)
+    into = np.full((n + 1, OUTSIDE + 1), -np.inf)  # all paths to a place and a move on to each kind
+    fwd[0, OUTSIDE] = 0.0
+    bwd[n] = 0.0
+    for j in range(n + 1):
+        if j:
+            fwd[j, OUTSIDE] = into[j - 1, OUTSIDE]
+            for x in ends.get(j, ()):
+                fwd[j, :OUTSIDE] = np.logaddexp(fwd[j, :OUTSIDE], into[lattice.segments[x][0], :OUTSIDE] + scores[x])
+        into[j] = _sum(fwd[j][:, None] + w, axis=0)
+    total = float(_sum(fwd[n]))
     for i in range(n - 1, -1, -1):
-        bwd[i] = float(np.logaddexp.reduce([bwd[i + 1], *(bwd[lattice.segments[x][1]] + total[x] for x in starts.get(i, ()))]))
-    for (i, j), s, f in zip(lattice.segments, scores, lattice.features):
-        p = np.exp(np.minimum(0, fwd[i] + s + bwd[j] - fwd[n]))
-        for k in range(len(KINDS)):
-            p[k] -= (k, i, j) in gold
+        ahead = np.full(OUTSIDE + 1, -np.inf)
+        ahead[OUTSIDE] = bwd[i + 1, OUTSIDE]
+        for x in starts.get(i, ()):
+            ahead[:OUTSIDE] = np.logaddexp(ahead[:OUTSIDE], scores[x] + bwd[lattice.segments[x][1], :OUTSIDE])
+        bwd[i] = _sum(w + ahead[None, :], axis=1)
+        moves -= np.exp(fwd[i][:, None] + w + ahead[None, :] - total)
+    for x, ((i, j), s, f) in enumerate(zip(lattice.segments, scores, lattice.features)):
+        p = -np.exp(into[i, :OUTSIDE] + s + bwd[j, :OUTSIDE] - total)
+        for k in range(OUTSIDE):
+            p[k] += (k, i, j) in gold
         for b in f:
-            grad[:, b] -= p
-
-
-def fit(texts: list[str], epochs: int = 8, rate: float = 0.3, decay: float = 1e-3, most: int = STRETCHES) -> np.ndarray:
-    """Weights (kind, feature), by AdaGrad on the conditional likelihood of the base spans."""
+            grad[:, b] += p
+    # the gold path
+    place, kind, value = 0, OUTSIDE, 0.0
+    own = {i: (k, j) for k, i, j in gold}
+    at = {seg: x for x, seg in enumerate(lattice.segments)}
+    while place < n:
+        k, j = own.get(place, (OUTSIDE, place + 1))
+        value += w[kind, k] + (scores[at[place, j]][k] if k != OUTSIDE else 0.0)
+        moves[kind, k] += 1
+        place, kind = j, k
+    return value - total
+
+
+def planted(words: list[str], count: int = PLANTED, seed: int = 6) -> Iterator[tuple[str, dict[tuple[int, int], int]]]:
+    """Snippets of ``words`` around one item each, and its kind by place: forms that no base pattern takes, and look-alikes without a kind."""
+    rng = np.random.default_rng(seed)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    number = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
+
+    def card(right: bool) -> str:
+        d = pick("3456") + number(15)
+        while luhn(d) != right:
+            d = d[:-1] + str((int(d[-1]) + 1) % 10)
+        return pick([d, " ".join((d[:4], d[4:8], d[8:12], d[12:])), "-".join((d[:4], d[4:8], d[8:12], d[12:]))])
+
+    def email() -> str:
+        name = pick(words)[:12] or "me"
+        name = re.sub(r"[^A-Za-z0-9._%+-]", "", name) or "me"
+        host, end = pick(["example", "mail7", "host", "post-1", "web"]), pick(["com", "org", "net", "de", "es", "fr", "example.com"])
+        at, dot = pick([(" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "."), ("[at]", "."), (" AT ", " DOT "), ("@", " dot "), ("@", "[dot]"), (" (at) ", ".")])
+        return pick([name, name + str(rng.integers(99))]) + at + host + dot + end.replace(".", dot)
+
+    def phone() -> str:
+        a, b, c = number(3), number(3), number(4)
+        return pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"{a}{b}{c}", f"00{number(2)} {a} {b} {c}", f"0{a} {b}{c}"])
+
+    def ip() -> str:
+        dot = pick(["[.]", "(.)", " . ", " ."])
+        parts = [str(x) for x in rng.integers(0, 256, 4)]
+        return pick([dot.join(parts), parts[0] + dot + ".".join(parts[1:])])
+
+    def other() -> str:
+        return pick([number(int(rng.integers(7, 20))), f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}.{number(2)}.{number(4)}", f"{number(3)} {number(4)}", f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", card(False), f"{number(1)}.{number(1)}.{number(2)}.{number(3)}.{number(1)}", f"{number(4)} {number(4)}"])
+
+    makers = {"email": email, "ip": ip, "card": lambda: card(False), "phone": phone, "": other}
+    for x in range(count):
+        kind = pick(["email", "ip", "card", "phone", "", ""])
+        item = makers[kind]()
+        left, right = ([pick(words) for _ in range(int(rng.integers(0, 6)))] for _ in range(2))
+        # what is a number without a plus sign or a right checksum is told by its words alone; other forms speak for themselves
+        needs = kind in ("card", "phone") and not (kind == "phone" and item[0] == "(")
+        if kind == "" and rng.random() < 0.4:
+            left.append(pick(TELLING[""]))
+        elif kind and (needs or rng.random() < 0.4):
+            told = [pick(TELLING[kind]) + pick(["", "", ":", " no", " number"])] if rng.random() < 0.85 else []
+            left += told + ([pick(words)] if rng.random() < 0.2 else [])
+            if not told and needs:
+                right.insert(0, pick(TELLING[kind]))
+        elif kind == "" and rng.random() < 0.1:
+            item = phone().replace("(", "").replace(")", "")  # a number nobody calls a phone
+        head = " ".join(left)
+        start = len(head) + bool(head)
+        text = " ".join([*filter(None, [head]), item, *right]) + pick(["", ".", " ."])
+        yield text, {(start, start + len(item)): KINDS.index(kind)} if kind else {}
+
+
+def fit(texts: list[str], epochs: int = 6, rate: float = 0.3, decay: float = 1e-3, most: int = STRETCHES, plant: int = PLANTED) -> Field:
+    """The field by AdaGrad on the conditional likelihood of base spans and of planted ones."""
     data = []
-    for t in texts:
-        spans = {(a, b): k for k, a, b in base_spans(t)}
-        for tokens in stretches(t):
-            if len(data) >= most or len(tokens) > 200:
-                break
-            lattice = Lattice(t, tokens, hide=len(data) % 3 == 0)
-            gold = {(k, i, j) for i, j in lattice.segments if (k := spans.get((tokens[i][0], tokens[j - 1][1]))) is not None}
+
+    def add(text: str, spans: dict[tuple[int, int], int], hide: bool) -> None:
+        for tokens in stretches(text):
+            if len(tokens) > FIT_TOKENS or len(data) >= most + plant:
+                continue
+            lattice = Lattice(text, tokens, hide)
+            own = {(k, i, j) for i, j in lattice.segments if (k := spans.get((tokens[i][0], tokens[j - 1][1]))) is not None}
+            gold, at = set(), 0
+            for k, i, j in sorted(own, key=lambda g: (g[1], -g[2])):  # base spans of two kinds may overlap
+                if i >= at:
+                    gold.add((k, i, j))
+                    at = j
             if lattice.segments:
                 data.append((lattice, gold))
-    weights, squares = np.zeros((len(KINDS), FEATURES)), np.full((len(KINDS), FEATURES), 1e-4)
+
+    for x, t in enumerate(texts):
+        if len(data) >= most:
+            break
+        add(t, {(a, b): k for k, a, b in base_spans(t)}, x % 3 == 0)
+    words = [w for t in texts[:300] for w in t.split()[:60] if not _MARK.search(w)] or ["some", "words", "here"]
+    for x, (t, spans) in enumerate(planted(words, plant)):
+        add(t, spans, x % 3 == 0)
+    weights, moves = np.zeros((OUTSIDE, FEATURES)), np.zeros((OUTSIDE + 1, OUTSIDE + 1))
+    squares, move_squares = np.full(weights.shape, 1e-4), np.full(moves.shape, 1e-2)
     order = np.random.default_rng(5)
     for _ in range(epochs):
         shuffled = order.permutation(len(data))
         for a in range(0, len(shuffled), 32):
-            grad = np.zeros_like(weights)
+            grad, move_grad = np.zeros_like(weights), np.zeros_like(moves)
             for x in shuffled[a : a + 32]:
-                _gradient(*data[x], weights, grad)
+                likelihood(*data[x], Field(weights, moves), grad, move_grad)
             grad -= decay * weights
+            move_grad -= decay * moves
             squares += grad * grad
+            move_squares += move_grad * move_grad
             weights += rate * grad / np.sqrt(squares)
-    return weights
+            moves += rate * move_grad / np.sqrt(move_squares)
+    return Field(weights, moves)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from at most ``sample`` documents that hold a digit or @."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    ids = rows.where(F.col("_t").rlike("[0-9@]")).select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
+    """The field from at most ``sample`` documents of at most ``SAMPLE_CHARS`` characters that hold a digit or @."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").rlike("[0-9@]") & (F.char_length("_t") <= SAMPLE_CHARS))
+    ids = rows.select("_id").where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     got = rows.join(F.broadcast(ids.distinct()), "_id").limit(2 * sample)  # bounded also if ids repeat
-    return fit([t for _, t in sorted((r["_id"], r["_t"] or "") for r in got.toLocalIterator())])
+    return fit([t for _, t in sorted((r["_id"], r["_t"]) for r in got.toLocalIterator())])
 
 
-def find_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
+def find_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: those and the field's that overlap none of them; by kind, then start."""
     base = base_spans(text)
-    if not _HINT.search(text):
-        return base, base
     taken = sorted((a, b) for _, a, b in base)
-    extra = []
+    extra, at = [], 0
     for tokens in stretches(text):
-        if all(any(a < e and s < b for s, e in taken) for a, b in tokens if _HINT.search(text, a, b)):
+        while at < len(taken) and taken[at][1] <= tokens[0][0]:
+            at += 1
+        near = []
+        for a, b in taken[at:]:
+            if a >= tokens[-1][1]:
+                break
+            near.append((a, b))
+        if near and all(any(a < e and s < b for s, e in near) for a, b in tokens if _MARK.search(text, a, b)):
             continue  # every candidate meets a base span
-        for k, i, j in viterbi(Lattice(text, tokens), weights):
+        for k, i, j in viterbi(text, tokens, field):
             a, b = tokens[i][0], tokens[j - 1][1]
-            if not any(a < e and s < b for s, e in taken):
+            if not any(a < e and s < b for s, e in near):
                 extra.append((k, a, b))
     return base, sorted({*base, *extra})
 
@@ -295,7 +504,7 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
+def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
     """(id, base, spans, masked): strings kind:start:end, and the masked text if ``mask``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +512,7 @@ def scan(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
             base, spans, texts = [], [], []
             for v in batch.column(1):
                 text = v.as_py()
-                b, s = find_spans(text or "", weights)
+                b, s = find_spans(text or "", field)
                 base.append([f"{KINDS[k]}:{x}:{y}" for k, x, y in b])
                 spans.append([f"{KINDS[k]}:{x}:{y}" for k, x, y in s])
                 texts.append((masked(text, s) if s and text else text) if mask else None)
@@ -315,7 +524,7 @@ def scan(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     return out.withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with all spans of ``text_col`` replaced by their kinds, and ``length_col``, where there is one, brought in line."""
     at = docs.columns.index(text_col)
 
@@ -324,7 +533,7 @@ def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text", length_
             texts = []
             for v in batch.column(at):
                 text = v.as_py()
-                spans = find_spans(text, weights)[1] if text else []
+                spans = find_spans(text, field)[1] if text else []
                 texts.append(masked(text, spans) if spans else text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
