@@ -5,35 +5,38 @@ which become capacities to the two terminals; neighbouring blocks, and successiv
 by smoothness edges that weaken with their distance in the DOM. Maximum flow separates content from boilerplate.
 
 The classifier is fitted on a bounded sample of pages whose markup says what is what (article, main; nav, footer,
-forms, class names and so on), towards a prior that holds where the sample is silent.
-
-Defined cases: null and empty pages give empty text; broken markup is read as far as it goes (an unclosed comment,
-script or style runs to the end); select, button, svg, iframe, textarea, noscript and template are dropped up to their end
-tag or, without one, up to the next tag of a block, and alone if self-closing; a head ends at its end tag, <body>, another
-block or text outside its title; equal pages give equal texts; an empty table gives no rows; pages of any length are read
-whole; other input columns are ignored.
+forms, class names and so on), towards a prior that holds where the sample is silent. Every such block counts three times:
+as it is, with that markup hidden, and with all tags hidden, so that its links and text must tell what it is; where a page
+has no telling markup these decide together with the neighbours that the cut ties a block to.
+
+Defined cases: null and empty pages give empty text; broken markup is read as far as it goes: a "<" that starts no whole
+tag is text, and a tag holds no "<" outside quotes; an unclosed comment, script or style runs to the end; select, button,
+svg, iframe, textarea, noscript and template are dropped up to their end tag or, without one, up to the next tag of a block,
+and alone if self-closing; a head ends at its end tag, <body>, another block or text outside its title; equal pages give
+equal texts; an empty table gives no rows; pages of any length and depth are read whole, in time that grows with their
+length; other input columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Most pages that the classifier is fitted on: those whose ids hash lowest.
-SAMPLE = 800
+#: Most pages that the classifier is fitted on (those whose ids hash lowest), and most characters of each: longer ones are not in the sample.
+SAMPLE, SAMPLE_CHARS = 800, 50_000
 #: Strength of smoothness between neighbours in one container.
-SMOOTH = 0.6
+SMOOTH = 1.0
 
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(?:(?P<raw>textarea|iframe)\b(?![^>]*/>)(?:(?!<(?P=raw)\b).)*?</(?P=raw)\s*>)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+|[^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:._-]*)((?:=\s*\"[^\"]*+\"|=\s*'[^']*+'|[^<>=]++|=)*+)>")
+_DECLARATION = re.compile(r"<(?:[!?][^<>]*|/)>")
+_RAW = re.compile(r"<(/?)(textarea|iframe|title)\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("script", "style")}
 #: Tags that end a block of text.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -42,48 +45,118 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article aside body div dl details dialog fieldset figure footer form header html main menu nav ol section table ul blockquote".split())
 #: Elements whose text is not text of the page.
 HIDDEN = frozenset("head title select button svg iframe textarea noscript template".split())
-VOID = frozenset("br hr img input link meta source wbr col area base embed track".split())
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements inside a block that are looked at for links and adverts.
+INLINE = frozenset("a span b strong em i u small ins font mark label".split())
+_ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN_WORD = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.I)
+_NOT_SHOWN = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 #: Parts of class, id and role names that mark boilerplate or content.
 BAD_NAME = frozenset(
-    "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs button comment comments commentlist consent contentinfo cookie cookies disqus dialog disclaimer footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
+    "ad ads advert adverts advertisement adsense alert banner breadcrumb breadcrumbs button comment comments commentlist complementary consent contentinfo cookie cookies disqus dialog disclaimer footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notification pagination popup promo promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
 GOOD_NAME = frozenset("article content entry main post story text body".split())
+#: Those that mark an advert inside a block.
+INLINE_BAD = frozenset("ad ads advert adverts advertisement adsense promo promoted share sharing social sponsor sponsored subscribe newsletter popup".split())
+#: A name with one of these parts says what a page has or lacks, or how a post is filed, not what the element is.
+TELLS_OTHER = frozenset("no not has have with without is js single category tag type format status".split())
 BAD_TAG = frozenset("nav footer header aside form menu dialog fieldset".split())
 GOOD_TAG = frozenset("article main".split())
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-FEATURES = ("bias", "log_words", "link_share", "bad", "good", "heading", "paragraph", "item", "sentence")
-PRIOR = np.array([-1.0, 0.5, -3.0, -6.0, 3.0, 0.3, 0.5, -0.5, 0.5])
+FEATURES = ("bias", "log_words", "link_share", "bad", "good", "heading", "paragraph", "item", "sentence", "stops", "in_list", "copyright")
+PRIOR = np.array([-1.0, 0.5, -3.0, -6.0, 3.0, 0.3, 0.5, -0.5, 0.5, 0.5, -0.5, -2.0])
+#: Places of the features that come from telling markup, and of those that come from any.
+TELLING = [FEATURES.index(f) for f in ("bad", "good")]
+MARKUP = TELLING + [FEATURES.index(f) for f in ("heading", "paragraph", "item", "in_list")]
 
 
 class Block:
-    __slots__ = ("text", "path", "tag", "bad", "good", "linked", "size")
-
-    def __init__(self, text, path, tag, bad, good, linked, size):
-        self.text, self.path, self.tag, self.bad, self.good, self.linked, self.size = text, path, tag, bad, good, linked, size
-
-
-def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
-    bad, good = tag in BAD_TAG, tag in GOOD_TAG
-    if attrs and ("=" in attrs):
-        for m in _ATTR.finditer(attrs):
-            names = set(_NAME.findall((m[1] or m[2] or m[3] or "").lower()))
-            bad = bad or not names.isdisjoint(BAD_NAME)
-            good = good or not names.isdisjoint(GOOD_NAME)
-    return bad, good
+    __slots__ = ("text", "home", "far", "tag", "bad", "good", "linked", "in_list")
+
+    def __init__(self, text: str, home: int, far: int, tag: str, bad: bool, good: bool, linked: int, in_list: bool):
+        #: Number of the container, steps in the DOM from the container of the block before, and characters inside links.
+        self.text, self.home, self.far, self.tag, self.bad, self.good, self.linked, self.in_list = text, home, far, tag, bad, good, linked, in_list
+
+
+def _names(attrs: str) -> Iterator[set[str]]:
+    """The parts of each class, id and role name that says what an element is."""
+    for m in _ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = {x.lower() for x in _NAME.findall(name)}
+            if parts.isdisjoint(TELLS_OTHER):
+                yield parts
+
+
+def _kind(tag: str, attrs: str, inside_good: bool) -> tuple[bool, bool]:
+    """Whether an element's markup says boilerplate, and content. The names of a whole page say nothing of its parts."""
+    if tag == "body" or tag == "html":
+        return False, False
+    bad, good = tag in BAD_TAG and not (tag == "header" and inside_good), tag in GOOD_TAG
+    if "=" in attrs:
+        for parts in _names(attrs):
+            bad = bad or not parts.isdisjoint(BAD_NAME - {"header"} if inside_good else BAD_NAME)
+            good = good or not parts.isdisjoint(GOOD_NAME)
+    low = attrs.lower()
+    unseen = "hidden" in low and _HIDDEN_WORD.search(_QUOTED.sub("", attrs)) or "display" in low and _NOT_SHOWN.search(attrs)
+    return bad or bool(unseen), good
+
+
+Piece = tuple[int, int, str, bool, str]  # start, end, name ("" if nothing of it counts), is an end tag, attributes
+
+
+def pieces_of(page: str) -> list[Piece]:
+    """Tags, comments and raw elements of a page, in order; all else is text."""
+    out: list[Piece] = []
+    last = page.rfind(">")
+    raw: dict[str, tuple[list[int], list[int]]] | None = None
+    at = 0
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            short = 5 if page.startswith("<!-->", i) else 6 if page.startswith("<!--->", i) else 0
+            end = i + short if short else page.find("-->", i + 4) + 3
+            at = end if end > i else len(page)
+            out.append((i, at, "", False, ""))
+            continue
+        if i > last:
+            break
+        m = _TAG.match(page, i)
+        if m is None:
+            d = _DECLARATION.match(page, i)
+            if d is not None:
+                out.append((i, d.end(), "", False, ""))
+            at = d.end() if d is not None else i + 1
+            continue
+        at = m.end()
+        name, ending, attrs = m[2].lower(), bool(m[1]), m[3]
+        if not ending:
+            alone = attrs.endswith("/")
+            if name in _RAW_END:
+                e = _RAW_END[name].search(page, at)
+                at = e.end() if e is not None else at if alone else len(page)
+                name = ""
+            elif name in ("textarea", "iframe", "title") and not alone:
+                if raw is None:
+                    raw = {}
+                    for r in _RAW.finditer(page):
+                        raw.setdefault(r[2].lower(), ([], []))[bool(r[1])].append(r.start())
+                starts, ends = raw.get(name, ([], []))
+                k, j = bisect_left(ends, at), bisect_left(starts, at)
+                if k < len(ends) and not (j < len(starts) and starts[j] < ends[k]) and (e := page.find(">", ends[k])) >= 0:
+                    at, name = e + 1, ""
+        out.append((i, at, name, ending, attrs))
+    return out
 
 
-def _ends(pieces: list[re.Match]) -> dict[int, int]:
-    """The piece that ends each piece which opens an element of ``HIDDEN``, where there is one."""
+def _ends(pieces: list[Piece]) -> dict[int, int]:
+    """The piece that ends each piece which opens a hidden or inline element, where there is one."""
     waiting: dict[str, list[int]] = {}
     out: dict[int, int] = {}
-    for k, m in enumerate(pieces):
-        name = (m["name"] or "").lower()
-        if name in HIDDEN:
+    for k, (_, _, name, ending, attrs) in enumerate(pieces):
+        if name in HIDDEN or name in INLINE:
             before = waiting.setdefault(name, [])
-            if not m["end"]:
-                if not m["attrs"].rstrip().endswith("/"):
+            if not ending:
+                if not attrs.rstrip().endswith("/"):
                     before.append(k)
             elif before:
                 out[before.pop()] = k
@@ -93,46 +166,52 @@ def _ends(pieces: list[re.Match]) -> dict[int, int]:
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order: text with references decoded and white space made single, and where it stands."""
     out: list[Block] = []
-    #: Open containers: tag, number, bad and good so far.
-    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
-    number, tag, bad_here, in_link, linked = 0, "", False, 0, 0
+    #: Open containers: tag, number, bad and good so far, inside a list.
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    opened: dict[str, int] = {}
+    number, tag, bad_here, linked = 0, "", False, 0
+    depth_before, lowest = 1, 1  # depth of the block before, and least depth since
     parts: list[str] = []
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, depth_before, lowest
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, _, bad, good = stack[-1]
-                out.append(Block(text, tuple(s[1] for s in stack), tag, bad > 0 or bad_here, good, linked, len(text)))
+                _, home, bad, good, in_list = stack[-1]
+                far = depth_before + len(stack) - 2 * lowest
+                out.append(Block(text, home, far, tag, bad > 0 or bad_here, good, min(linked, len(text)), in_list))
+                depth_before = lowest = len(stack)
             parts.clear()
         linked = 0
 
-    pieces = list(_PIECE.finditer(page))
+    pieces = pieces_of(page)
     ends = _ends(pieces)
-    at, skip_to = 0, -1
+    next_block, k = [len(pieces)] * (len(pieces) + 1), len(pieces)
+    while k:
+        k -= 1
+        next_block[k] = k if pieces[k][2] in BLOCK else next_block[k + 1]
+    at, skip_to, link_to = 0, -1, -1
     hidden = ""  # the open head, or an element without an end tag
-    for k, m in enumerate(pieces):
+    for k, (start, end, name, ending, attrs) in enumerate(pieces):
         if k < skip_to:
             continue
-        run = page[at : m.start()] if k > skip_to else ""
+        run = page[at:start] if k > skip_to else ""
         if hidden == "head" and run and not run.isspace():
             hidden = ""
         if run and not hidden:
             parts.append(run)
-            if in_link:
+            if k <= link_to:
                 linked += len(run)
-        at = m.end()
-        name = m["name"]
-        if name is None or k == skip_to:
+        at = end
+        if not name or k == skip_to:
             continue
-        name, ending = name.lower(), bool(m["end"])
         if name in HIDDEN and (name != "title" or hidden == "head"):
             if ending:
                 hidden = "" if name == hidden else hidden
             elif k in ends and name != "head":
                 skip_to = ends[k]
-            elif not m["attrs"].rstrip().endswith("/") and not (hidden and name != "title"):
+            elif not attrs.rstrip().endswith("/") and not (hidden and name != "title"):
                 hidden = name
             continue
         if hidden:
@@ -143,26 +222,32 @@ def blocks_of(page: str) -> list[Block]:
             close()
             if name in CONTAINER:
                 if not ending:
-                    bad, good = _kind(name, m["attrs"])
-                    number += 1
                     top = stack[-1]
+                    bad, good = _kind(name, attrs, top[3] and not top[2])
+                    number += 1
+                    opened[name] = opened.get(name, 0) + 1
                     # content markup inside boilerplate stays boilerplate; boilerplate inside content counts again
-                    stack.append((name, number, top[2] + bad, top[3] or good))
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
+                    stack.append((name, number, top[2] + bad, top[3] or good, top[4] or name in ("ul", "ol", "menu")))
+                elif opened.get(name):
+                    while True:
+                        gone = stack.pop()[0]
+                        opened[gone] -= 1
+                        if gone == name:
                             break
+                    lowest = min(lowest, len(stack))
                 tag, bad_here = "", False
             elif ending:
                 tag, bad_here = "", False
             else:
-                tag, bad_here = name, _kind(name, m["attrs"])[0] if m["attrs"] else False
-            in_link = 0
+                tag, bad_here = name, _kind(name, attrs, stack[-1][3] and not stack[-1][2])[0] if attrs else False
         elif name == "br":
             parts.append(" ")
-        elif name == "a":
-            in_link = 0 if ending else 1
+        elif name in INLINE and not ending and k in ends:
+            if name == "a":
+                link_to = max(link_to, ends[k])
+            if "=" in attrs and next_block[k] > ends[k] and any(not x.isdisjoint(INLINE_BAD) for x in _names(attrs)):
+                parts.append(" ")
+                skip_to = ends[k]
     rest = page[at:]
     if not hidden or (hidden == "head" and not rest.isspace()):
         parts.append(rest)
@@ -173,16 +258,18 @@ def blocks_of(page: str) -> list[Block]:
 def features(blocks: list[Block]) -> np.ndarray:
     rows = []
     for b in blocks:
-        words = b.text.count(" ") + 1
+        t = b.text
+        words = t.count(" ") + 1
         rows.append((
-            1.0, min(5.0, float(np.log1p(words))), min(1.0, b.linked / b.size), float(b.bad), float(b.good),
-            float(b.tag[:1] == "h" and len(b.tag) == 2), float(b.tag == "p"), float(b.tag == "li"), float(b.text[-1] in ".!?…\"'”"),
+            1.0, min(5.0, float(np.log1p(words))), b.linked / len(t), float(b.bad), float(b.good),
+            float(b.tag[:1] == "h" and len(b.tag) == 2), float(b.tag == "p"), float(b.tag == "li"), float(t[-1] in ".!?…\"'”"),
+            min(3.0, float(np.log1p(t.count(". ") + t.count(", ")))), float(b.in_list), float("©" in t),
         ))
     return np.array(rows).reshape(-1, len(FEATURES))
 
 
 def fit(pages: list[str], steps: int = 60, towards_prior: float = 0.02) -> np.ndarray:
-    """Weights by Newton steps on blocks whose markup is telling, drawn towards ``PRIOR``."""
+    """Weights by Newton steps on blocks whose markup is telling, each with it, without it and without any, drawn towards ``PRIOR``."""
     x, y = [], []
     for p in pages:
         blocks = [b for b in blocks_of(p) if b.bad or b.good]
@@ -192,6 +279,10 @@ def fit(pages: list[str], steps: int = 60, towards_prior: float = 0.02) -> np.nd
     if not x:
         return PRIOR.copy()
     x, y, w = np.concatenate(x), np.array(y), PRIOR.copy()
+    plain, bare = x.copy(), x.copy()
+    plain[:, TELLING] = 0.0
+    bare[:, MARKUP] = 0.0
+    x, y = np.concatenate([x, plain, bare]), np.concatenate([y, y, y])
     pull = towards_prior * len(y) * np.eye(len(w)) / len(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -207,18 +298,11 @@ def ties(blocks: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, fl
     out, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            a, c = blocks[i - 1].path, b.path
-            common = 0
-            for x, z in zip(a, c):
-                if x != z:
-                    break
-                common += 1
-            far = len(a) + len(c) - 2 * common
-            out.append((i - 1, i, smooth / (1 + far) ** 2))
-        before = last.get(b.path[-1])
+            out.append((i - 1, i, smooth / (1 + b.far) ** 2))
+        before = last.get(b.home)
         if before is not None and before < i - 1:
             out.append((before, i, smooth / 2))
-        last[b.path[-1]] = i
+        last[b.home] = i
     return out
 
 
@@ -226,11 +310,12 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     """Labels of least cost: True keeps ``gain`` > 0 joined to the source; an edge costs where its ends differ.
 
     ``gain`` is the difference of the two terminal capacities, the part of the flow that passes source, block and sink
-    directly being taken off. Augmenting paths by breadth first from all blocks with capacity left from the source.
+    directly being taken off. A block whose terminal capacity exceeds all its edges keeps to its terminal whatever the
+    others do; it is merged into it, and its edges become capacities of its neighbours, which may decide these in turn.
+    Maximum flow on what is left: highest label first, with relabelling by gaps; what cannot reach the sink is content.
     """
-    n = len(gain)
-    to_sink = [max(0.0, -g) for g in gain]
-    from_source = [max(0.0, g) for g in gain]
+    n, eps = len(gain), 1e-9
+    g = list(gain)
     near: list[list[int]] = [[] for _ in range(n)]
     head, room = [], []
     for a, b, w in edges:
@@ -238,35 +323,113 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
         near[b].append(len(head) + 1)
         head += [b, a]
         room += [w, w]
-    eps = 1e-9
-    while True:
-        via: list[int | None] = [None] * n
-        seen = [c > eps for c in from_source]
-        line = deque(i for i in range(n) if seen[i])
-        goal = -1
-        while line:
-            i = line.popleft()
-            if to_sink[i] > eps:
-                goal = i
-                break
-            for e in near[i]:
+    tied = [sum(room[e] for e in near[i]) for i in range(n)]
+    label: list[bool | None] = [None] * n
+    todo = [i for i in range(n) if abs(g[i]) > tied[i]]
+    while todo:
+        i = todo.pop()
+        if label[i] is not None:
+            continue
+        label[i] = g[i] > 0
+        for e in near[i]:
+            j = head[e]
+            if label[j] is None:
+                g[j] += room[e] if label[i] else -room[e]
+                tied[j] -= room[e]
+                if abs(g[j]) > tied[j] + eps:
+                    todo.append(j)
+    rest = [i for i in range(n) if label[i] is None]
+    if not rest:
+        return label
+    for i in rest:
+        near[i] = [e for e in near[i] if label[head[e]] is None]
+    # labels of flow: distance to the sink, found from the blocks that have capacity to it
+    top = n + 1
+    excess = [max(0.0, v) for v in g]
+    to_sink = [max(0.0, -v) for v in g]
+    high = [top] * n
+    line = [i for i in rest if to_sink[i] > eps]
+    for i in line:
+        high[i] = 1
+    for i in line:
+        for e in near[i]:
+            if high[head[e]] == top:
+                high[head[e]] = high[i] + 1
+                line.append(head[e])
+    at_level = [0] * (top + 2)
+    active: dict[int, list[int]] = {}
+    members: dict[int, set[int]] = {}
+    for i in rest:
+        at_level[high[i]] += 1
+        members.setdefault(high[i], set()).add(i)
+        if excess[i] > eps and high[i] < top:
+            active.setdefault(high[i], []).append(i)
+    highest = max(active, default=0)
+    current = [0] * n
+
+    def move(i: int, to: int) -> None:
+        at_level[high[i]] -= 1
+        members[high[i]].discard(i)
+        high[i] = to
+        at_level[to] += 1
+        members.setdefault(to, set()).add(i)
+
+    widest = max((h for h in high if h < top), default=0)
+    while highest > 0:
+        if not active.get(highest):
+            highest -= 1
+            continue
+        i = active[highest].pop()
+        if high[i] != highest or excess[i] <= eps:
+            continue
+        while excess[i] > eps and high[i] < top:
+            if high[i] == 1 and to_sink[i] > eps:
+                flow = min(excess[i], to_sink[i])
+                excess[i] -= flow
+                to_sink[i] -= flow
+                continue
+            if current[i] < len(near[i]):
+                e = near[i][current[i]]
                 j = head[e]
-                if not seen[j] and room[e] > eps:
-                    seen[j], via[j] = True, e
-                    line.append(j)
-        if goal < 0:
-            return seen  # reachable from the source: content
-        flow, i = to_sink[goal], goal
-        while (e := via[i]) is not None:
-            flow, i = min(flow, room[e]), head[e ^ 1]
-        flow = min(flow, from_source[i])
-        from_source[i] -= flow
-        to_sink[goal] -= flow
-        i = goal
-        while (e := via[i]) is not None:
-            room[e] -= flow
-            room[e ^ 1] += flow
-            i = head[e ^ 1]
+                if room[e] > eps and high[i] == high[j] + 1:
+                    flow = min(excess[i], room[e])
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                    excess[i] -= flow
+                    if excess[j] <= eps:
+                        active.setdefault(high[j], []).append(j)
+                    excess[j] += flow
+                else:
+                    current[i] += 1
+                continue
+            old = high[i]
+            low = min((high[head[e]] for e in near[i] if room[e] > eps), default=top)
+            if to_sink[i] > eps:
+                low = 0
+            current[i] = 0
+            move(i, min(top, low + 1))
+            widest = max(widest, high[i] if high[i] < top else 0)
+            if at_level[old] == 0 and old < top:  # a gap: what lies above it has lost the sink
+                for h in range(old + 1, widest + 1):
+                    for j in list(members.get(h, ())):
+                        move(j, top)
+                widest = old - 1
+        if excess[i] > eps and high[i] < top:
+            active.setdefault(high[i], []).append(i)
+        highest = max(highest, high[i] if high[i] < top else 0)
+    # what can still reach the sink is boilerplate
+    sunk = [i for i in rest if to_sink[i] > eps]
+    for i in rest:
+        label[i] = True
+    for i in sunk:
+        label[i] = False
+    for i in sunk:
+        for e in near[i]:
+            j = head[e]
+            if label[j] and room[e ^ 1] > eps:
+                label[j] = False
+                sunk.append(j)
+    return label
 
 
 def extract_text(page: str, weights: np.ndarray) -> str:
@@ -279,8 +442,8 @@ def extract_text(page: str, weights: np.ndarray) -> str:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from at most ``sample`` pages."""
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(html_col).cast("string").alias("_h"))
+    """Weights from at most ``sample`` pages of at most ``SAMPLE_CHARS`` characters."""
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(html_col).cast("string").alias("_h")).where(F.char_length("_h") <= SAMPLE_CHARS)
     ids = rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     got = rows.join(F.broadcast(ids.distinct()), "_id").limit(2 * sample)  # bounded also if ids repeat
     return fit([h for _, h in sorted(((r["_id"], r["_h"] or "") for r in got.toLocalIterator()), key=lambda x: (x[0] is None, x))])
