@@ -28,9 +28,12 @@ CLOSING_ID = 2
 #: Marks that follow a word without a space form one pre-token.
 MARKS = ".,;:!?%$#&*"
 #: Remembered words per Python worker; others are encoded anew in each batch.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 200_000
 #: Characters that are encoded in one go.
 ENCODE_CHARS = 200_000
+#: Letters that stay letters under the file's own normaliser (composition and lower case), one for one, so that a word of
+#: them stays one pre-token. İ is not among them: its lower form ends with a mark.
+PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įıĲ-ňŊ-ž]+")
 
 
 class Known(dict):
@@ -84,12 +87,12 @@ class WordEncoder:
                 group, size = [], 0
 
     def _learn(self, fresh: set[str]) -> None:
-        """Letters with a tail of marks are two pre-tokens; other stretches are encoded whole."""
+        """Plain letters with a tail of marks are two pre-tokens; other stretches are encoded whole."""
         known = self.known
         composed, single = [], set()
         for w in fresh:
             head = w.rstrip(MARKS)
-            if head.isalpha():
+            if PLAIN_WORD.fullmatch(head):
                 single.add(head)
                 if len(head) < len(w):
                     single.add(w[len(head) :])
