@@ -4,16 +4,19 @@ Documents are sets of word shingles, held as 64-bit hashes; equal sets (128-bit
 Routing is lossless: two sets of Jaccard similarity t or more differ in at most d = floor(s*(1-t)/t) shingles, s being
 the smaller size, so of over d hash ranges at least one holds the same shingles in both. Each set sends the digests
 of its fuller ranges, under the range counts of the size classes its partners can be in; sets that share a digest are tied
-into coarse groups. Within a group signature trees do the join: sorted by size, documents are leaves with token bitmaps,
+to the least of them (a minimum by digest, aggregated before the shuffle) and so into coarse groups. Within a group
+signature trees do the join: sorted by size, documents are leaves with token bitmaps,
 inner nodes hold OR-combined bitmaps and size ranges, and a dual traversal drops node pairs whose largest
 possible overlap is too small or whose documents are connected already. Pairs left are verified on their full sets.
 
-Groups beyond ``TILE`` documents are cut into tiles; pairs of tiles are tasks of bounded size that start from
-the links found inside tiles. Nothing is capped: all pairs of similar sets end up in one component.
+Groups are cut into tiles of at most ``TILE`` documents and, by size class, about ``TILE_HASHES`` shingles; pairs of tiles
+are tasks of bounded size that start from the links found inside tiles. Nothing is capped: all pairs of similar sets
+end up in one component. A text is hashed once for its set and digests, and once more if it is in a coarse group.
 
 Defined cases: null, empty and blank texts have no shingle and link with nothing; with fewer words than a shingle has,
-the whole sequence is one; repeated rows are copies; ties go to the smaller id; an empty table gives no rows; texts are
-read whole, in windows; other input columns are ignored.
+the whole sequence is one; repeated rows are copies; rows that repeat an id with other texts are one node with the
+links of each; rows without an id link with nothing and have no component; ties go to the smaller id; an empty table gives no
+rows; texts are read whole, in windows, and words of any length are hashed as one; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import connected_components, materialize, small, with_global_index
 
@@ -33,8 +36,12 @@ CLASS_RATIO = 1.6
 #: Ranges beyond those needed, as a share of the most shingles that differ; so many of the emptiest are left out.
 SPARE_RANGES = 0.2
 TILE, LEAVES = 512, 8
-#: Characters of small groups that share a task.
-BUCKET_CHARS = 4_000_000
+#: Shingles of a tile, unless one document alone has more.
+TILE_HASHES = 1 << 20
+#: Shingles of small groups that share a task.
+BUCKET_HASHES = 500_000
+#: Fingerprints that a task remembers, so that it sends the digests of copies once; others are sent again.
+REMEMBERED = 50_000
 WINDOW_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20_011)
@@ -42,7 +49,6 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = int(_rng.integers(1, 1 << 62)) * 2 + 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BLANK = bytes(b for b in range(256) if _SPACE[b])
 _MULT = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -64,22 +70,32 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order: a polynomial over its bytes, all by prefix sums."""
+    """A 64-bit hash of each word, in order: a polynomial over its bytes, all by prefix sums.
+
+    A word that reaches over a window's end is carried on: its sum and length so far are added to what follows.
+    """
     if not _POWERS:
         _POWERS.extend((_powers(_STEP), _powers(pow(_STEP, -1, 1 << 64))))
-    out, at, text = [], 0, text.lower()
-    while at < len(text):
-        end = min(len(text), at + WINDOW_BYTES)
-        if end < len(text):  # cut at white space; a longer word is hashed by its parts
-            cut = max(text.rfind(bytes([b]), at, end) for b in _BLANK)
-            end = cut + 1 if cut > at else end
-        raw = np.frombuffer(text, np.uint8, end - at, at)
+    out, text = [], text.lower()
+    held, length = 0, 0  # of the unfinished word
+    for at in range(0, len(text), WINDOW_BYTES):
+        raw = np.frombuffer(text, np.uint8, min(WINDOW_BYTES, len(text) - at), at)
         gap = np.concatenate([[True], _SPACE[raw], [True]])
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         starts, ends = edge[0::2], edge[1::2]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _POWERS[0][: len(raw)], dtype=np.uint64)])
-        out.append(_mix((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64)))
-        at = end
+        value, size = (sums[ends] - sums[starts]) * _POWERS[1][starts], (ends - starts).astype(np.uint64)
+        if length:
+            if len(starts) and starts[0] == 0:
+                value[:1] = value[:1] * np.uint64(pow(_STEP, length, 1 << 64)) + np.uint64(held)
+                size[:1] += np.uint64(length)
+            else:
+                out.append(_mix(np.array([held], np.uint64) + np.uint64(length)))
+            held, length = 0, 0
+        if len(ends) and ends[-1] == len(raw) and at + len(raw) < len(text):
+            held, length = int(value[-1]), int(size[-1])
+            value, size = value[:-1], size[:-1]
+        out.append(_mix(value + size))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -145,45 +161,49 @@ def _fingerprint(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(_mix(h, s).sum(dtype=np.uint64).view(np.int64)) for s in (4, 5))
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, f1, f2) of documents (id, text): set size and fingerprint."""
+def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, n, f1, f2, keys) of documents (id, text): set size, fingerprint and range digests; keys is null where the task sent them before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router, seen = Router(percent), set()
         for batch in batches:
-            rows = []
-            for v in batch.column(1):
-                h = shingle_set((v.as_py() or "").encode(), words)
-                rows.append((len(h), *_fingerprint(h)))
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.int64()) for c in cols)], names=["id", "n", "f1", "f2"])
-
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long")
-
-
-def range_digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, id): digests of each set once per task."""
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                marks, keys = [], []
+                for v in part.column(1):
+                    h = shingle_set((v.as_py() or "").encode(), words)
+                    f1, f2 = _fingerprint(h)
+                    marks.append((len(h), f1, f2))
+                    mark = f1 << 64 ^ f2
+                    if not len(h) or mark in seen:
+                        keys.append(None)
+                        continue
+                    if len(seen) < REMEMBERED:
+                        seen.add(mark)
+                    keys.append(router.keys(h).view(np.int64))
+                cols = [pa.array(list(c), pa.int64()) for c in zip(*marks)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "keys"])
+
+    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
+
+
+def set_hashes(wanted: DataFrame, words: int) -> DataFrame:
+    """(id, n, f1, f2, hashes) of documents (id, text, n, f1, f2) whose text has that set: its sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, seen = Router(percent), set()
         for batch in batches:
-            keys, ids, held = [], [], 0
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = shingle_set((v.as_py() or "").encode(), words)
-                if not len(h) or (mark := _fingerprint(h)) in seen:
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(mark)
-                k = router.keys(h)
-                keys.append(k)
-                ids.append(np.full(len(k), i, np.int64))
-                held += len(k)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "id"])
-                    keys, ids, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "id"])
-
-    return docs.mapInArrow(run, "key long, id long")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own, hashes = [], []
+                for i, (v, *mark) in enumerate(zip(part.column(1), *(part.column(k).to_pylist() for k in (3, 4)), strict=True)):
+                    h = shingle_set((v.as_py() or "").encode(), words)
+                    if _fingerprint(h) == tuple(mark):
+                        own.append(i)
+                        hashes.append(h.tobytes())
+                kept = part.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), *(kept.column(k) for k in (2, 3, 4)), pa.array(hashes, pa.binary())], names=["id", "n", "f1", "f2", "hashes"])
+
+    return wanted.select("id", "text", "n", "f1", "f2").mapInArrow(run, "id long, n long, f1 long, f2 long, hashes binary")
 
 
 class Tree:
@@ -194,11 +214,14 @@ class Tree:
         bits = 64
         while bits < 4 * self.size.max() and bits < 1 << 17:
             bits *= 2
-        maps = np.zeros((len(sets), bits), bool)
+        bitmap, row = np.zeros((len(sets), bits // 8), np.uint8), np.zeros(bits, bool)
         for i, s in enumerate(sets):
-            maps[i, (s & np.uint64(bits - 1)).astype(np.int64)] = True
-        bitmap = np.packbits(maps, axis=1)
-        spare = self.size - maps.sum(axis=1)  # shingles that share a bit
+            at = (s & np.uint64(bits - 1)).astype(np.int64)
+            row[at] = True
+            bitmap[i] = np.packbits(row)
+            row[at] = False
+        bitmap = bitmap.view(np.uint64)
+        spare = self.size - np.bitwise_count(bitmap).sum(axis=1, dtype=np.int64)  # shingles that share a bit
         #: Per level: bitmaps, least and largest size, most spare, first and last document.
         self.levels = [(bitmap, self.size, self.size, spare, np.arange(len(sets)), np.arange(1, len(sets) + 1))]
         while len(self.levels[-1][0]) > 1:
@@ -266,13 +289,13 @@ def _side(tree: Tree, a: int, b: int) -> tuple[Tree, int]:
     return side, a
 
 
-def _group_links(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
+def _group_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links within each coarse group of a task, or between the two tiles of a task."""
     out: list[tuple[int, int]] = []
     for _, g in pdf.groupby("part", sort=False):
         across = g["x"].iloc[0] != g["y"].iloc[0]
-        sets = [shingle_set(t.encode(), words) for t in g["text"]]
-        size = np.array([len(s) for s in sets])
+        sets = [np.frombuffer(h, np.uint64) for h in g["hashes"]]
+        size = g["n"].to_numpy()
         own = g["own"].to_numpy() if across else np.zeros(len(g), np.int64)
         ids = g["id"].to_numpy()
         order = np.lexsort((ids, size, own))
@@ -283,56 +306,70 @@ def _group_links(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
 
 
+def coarse_edges(sets: DataFrame) -> DataFrame:
+    """(a, b): each document that shares a range digest with others, and the least of these."""
+    digests = sets.where("keys is not null").select("id", F.explode("keys").alias("key"))
+    shared = digests.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("key", "a")
+    return digests.join(shared, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """(id, n_shingles, component_id) per row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(shingle_sets(rows, words), "sets")
-    equal = ["f1", "f2", "n"]
-    reps = materialize(sets.where("n > 0").groupBy(*equal).agg(F.min("id").alias("rep")), "reps")
-    rep_of = sets.where("n > 0").join(reps, equal).select("id", "rep", "n").distinct()
-
-    # coarse groups: chains along each digest, over representatives
-    before = F.lag("id").over(Window.partitionBy("key").orderBy("id"))
-    chain = range_digests(rows, words, percent).select(before.alias("a"), F.col("id").alias("b")).where("a is not null and a <> b").distinct()
-    chain = materialize(chain, "chain")
-    by_a, by_b = rep_of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), rep_of.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
+    sets = materialize(shingle_sets(rows, words, percent), "sets")
+    equal, linked = ["f1", "f2", "n"], sets.where("n > 0 and id is not null")
+    reps = materialize(linked.groupBy(*equal).agg(F.min("id").alias("rep")), "reps")
+    rep_of = linked.select("id", *equal).distinct().join(reps, equal)
+
+    # coarse groups: ties to the least document of each digest, over representatives
+    chain = materialize(coarse_edges(linked), "chain")
+    ids = rep_of.select("id", "rep").distinct()
+    by_a, by_b = ids.select(F.col("id").alias("a"), F.col("rep").alias("ra")), ids.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
     edges = chain.join(by_a, "a").join(by_b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     coarse = materialize(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("part")), "coarse")
 
-    # positions inside a coarse group, by size
-    size_of = rep_of.where("id = rep").select("id", "n")
-    placed = materialize(with_global_index(coarse.join(size_of, "id"), ["part", "n", "id"]), "placed")
-    spans = placed.groupBy("part").agg(F.min("pos").alias("begin"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
-    placed = placed.join(spans, "part").select("id", "part", "n", ((F.col("pos") - F.col("begin")) / tile).cast("int").alias("own"), F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
-    placed = materialize(placed, "tiles")
-    stats = spans.agg(F.sum("members"), F.sum("weight"), F.max("members")).first()
+    # positions inside a coarse group, by size; tiles hold fewer documents the larger these are
+    placed = materialize(with_global_index(coarse.join(rep_of.where("id = rep").select("id", *equal), "id"), ["part", "n", "id", "f1", "f2"]), "placed")
+    begins = placed.groupBy("part").agg(F.min("pos").alias("begin"))
+    size_class = F.floor(F.log2(F.col("n").cast("double"))).cast("long")
+    rows_of = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(TILE_HASHES / F.pow(F.lit(2.0), size_class + 1))))
+    own = F.when(rows_of < tile, size_class + 1).otherwise(F.lit(0)) * F.lit(1 << 40) + F.floor((F.col("pos") - F.col("begin")) / rows_of)
+    placed = placed.join(begins, "part").select("id", "part", *equal, own.cast("long").alias("own"))
+    spans = placed.groupBy("part").agg((F.min("own") == F.max("own")).alias("single"), F.sum("n").alias("weight"))
+    placed = materialize(placed.join(spans.select("part", "single"), "part"), "tiles")
+    stats = spans.agg(F.sum("weight"), F.min("single")).first()
+    # an id with several sets ties their representatives
+    several = ids.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("id", "a")
+    links = materialize(ids.join(several, "id").where("a <> rep").select("a", F.col("rep").alias("b")), "links")
     if not stats[0]:
-        links = None
+        links = links if links.limit(1).count() else None
     else:
-        texts = materialize(rows.join(small(placed.select("id")), "id").groupBy("id").agg(F.first("text").alias("text")), "texts")
-        buckets = max(1, int(stats[1] * 8 // BUCKET_CHARS))
+        wanted = small(placed.select("id", *equal), 32)
+        hashes = set_hashes(rows.join(wanted, "id"), words).groupBy("id", *equal).agg(F.first("hashes").alias("hashes"))  # equal in repeated rows
+        hashes = materialize(hashes, "hashes")
+        buckets = max(1, int(stats[0] // BUCKET_HASHES))
         kinds = "a long, b long"
-        join = lambda p: _group_links(p, words, percent)
+        join = lambda p: _group_links(p, percent)
 
         def tasks(t: DataFrame) -> DataFrame:
-            shared = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("part"), F.lit(buckets))).otherwise(F.col("part"))
-            t = t.withColumns({"small": F.col("tiles") == 1, "task": shared}).join(texts, "id")
-            return t.groupBy("small", "task", "x", "y").applyInPandas(join, kinds)
+            shared = F.when(F.col("single"), F.pmod(F.xxhash64("part"), F.lit(buckets))).otherwise(F.col("part"))
+            t = t.withColumn("task", shared).join(hashes, ["id", *equal])
+            return t.groupBy("single", "task", "x", "y").applyInPandas(join, kinds)
 
-        inside = placed.select("id", "part", "own", "tiles", F.col("own").alias("x"), F.col("own").alias("y"), F.col("id").alias("label"))
-        links = materialize(tasks(inside), "links")
-        if stats[2] > tile:
+        inside = placed.select("id", *equal, "part", "own", "single", F.col("own").alias("x"), F.col("own").alias("y"), F.col("id").alias("label"))
+        links = links.union(materialize(tasks(inside), "links"))
+        if not stats[1]:
             known = materialize(connected_components(links), "known")
-            label = placed.where("tiles > 1").join(known, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id"))
+            label = placed.where("not single").join(known, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id"))
             # pairs of tiles (roots of two trees) whose size ranges allow a link and whose documents are not all of one component
             roots = label.groupBy("part", "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1"))
             x, y = (roots.select("part", F.col("own").alias(k), *[F.col(v).alias(f"{v}{k}") for v in ("lo", "hi", "l0", "l1")]) for k in "xy")
             pairs = x.join(y, "part").where(f"x < y and loy * {percent} <= hix * 100 and not (l0x = l1x and l0y = l1y and l0x = l0y)").select("part", "x", "y")
             pairs = pairs.select("part", "x", "y", F.explode(F.array("x", "y")).alias("own"))
-            crossing = label.join(pairs, ["part", "own"]).select("id", "part", "own", "tiles", "x", "y", "label")
+            crossing = label.join(pairs, ["part", "own"]).select("id", *equal, "part", "own", "single", "x", "y", "label")
             links = materialize(links.union(tasks(crossing)), "links")
 
-    out = sets.join(reps, equal, "left").withColumn("rep", F.coalesce("rep", "id"))
+    out = sets.select("id", *equal).join(reps, equal, "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     if links is not None:
         comps = materialize(connected_components(links), "components")
         out = out.join(comps, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("component", "rep"))
