@@ -105,8 +105,24 @@ def nested_project(samples: DataFrame, measurements: DataFrame) -> DataFrame:
     return s.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "measurements"))).alias("samples"))
 
 
+DECISIONS = {"renames": "auto string, new string", "merges": "group_id long, pos int, name string", "splits": "source string, path string, target string"}
+#: Most decisions that go into one document; more stay in tables.
+DOCUMENT_ROWS = 100_000
+
+
+def save_decisions(renames: DataFrame, merges: DataFrame, splits: DataFrame, path: str) -> None:
+    """The three tables as JSON lines, each in a folder of its own; of any size."""
+    for name, df in (("renames", renames), ("merges", merges), ("splits", splits)):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def load_decisions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What ``save_decisions`` wrote; a malformed line is an error."""
+    return {name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{name}") for name, schema in DECISIONS.items()}
+
+
 def read_decisions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Override document as three tables; a malformed document is an error."""
+    """One override document as three tables; a malformed document is an error."""
     schema = "renames map<string,string>, merges array<array<string>>, splits map<string,map<string,string>>"
     doc = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     return {
@@ -117,7 +133,9 @@ def read_decisions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_decisions(renames: DataFrame, merges: DataFrame, splits: DataFrame, path: str) -> None:
-    """The three tables as one JSON document."""
+    """The three tables as one JSON document, for exchange; over ``DOCUMENT_ROWS`` rows are an error (see ``save_decisions``)."""
+    if sum(df.count() for df in (renames, merges, splits)) > DOCUMENT_ROWS:
+        raise ValueError(f"over {DOCUMENT_ROWS} decisions: keep them in tables")
     r = renames.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("auto", "new")))).alias("renames"))
     m = merges.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
     m = m.agg(F.transform(F.array_sort(F.collect_list(F.struct("group_id", "names"))), lambda x: x["names"]).alias("merges"))

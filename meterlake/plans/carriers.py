@@ -142,3 +142,20 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 WORDS = "words AS (SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]{2,})', 1)) AS name FROM documents WHERE regexp_extract(text, '([A-Za-z]{2,})', 1) <> '')"
+
+
+def instrument_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files (path, rel_path, content) of every kind and state, from the vectors: whole and damaged ones by turns of eight."""
+    e = read(spark, sf, "embeddings")
+    i = F.col("vec_id")
+    rows = F.transform("embedding", lambda v, k: F.concat((k.cast("double") / 10 + 5).cast("string"), F.lit(" "), v.cast("double").cast("string")))
+    head = F.concat(F.lit(";SampleName = S"), i.cast("string"), F.lit("\n;KAlpha1 = 1.54\n"))
+    scan = F.concat(F.lit('<xrdMeasurements><xrdMeasurement><scan appendNumber="0"><header><startTimeStamp>2024-06-21T11:00:13</startTimeStamp></header><dataPoints><positions axis="2Theta"><startPosition>5.0</startPosition><endPosition>11.3</endPosition></positions><counts unit="counts">'), F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), " "), F.lit("</counts></dataPoints></scan></xrdMeasurement></xrdMeasurements>"))
+    kinds = [
+        (F.concat(head, F.array_join(rows, "\n")), ".txt"), (F.concat(head, F.lit("no pair\n"), F.array_join(rows, "\r\n")), ".txt"), (F.array_join(rows, "\n"), ".asc"),
+        (F.concat(F.lit("Region data\nC1s,\n"), F.array_join(F.transform(rows, lambda r: F.replace(r, F.lit(" "), F.lit(","))), "\n")), ".csv"), (scan, ".xrdml"),
+        (F.lit("words of no format"), ".txt"), (head, ".txt"), (F.lit(None).cast("string"), ".txt"),
+    ]
+    turn = (i % len(kinds) + 1).cast("int")
+    rel = F.concat(F.lit("src"), (i % 3).cast("string"), F.lit("/XRD/scan "), i.cast("string"), F.element_at(F.array(*[F.lit(x) for _, x in kinds]), turn))
+    return e.select(F.concat(F.lit("lake/"), rel).alias("path"), rel.alias("rel_path"), F.element_at(F.array(*[k for k, _ in kinds]), turn).cast("binary").alias("content"), "vec_id")

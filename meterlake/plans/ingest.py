@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window, functions as F
 
 from ..functions import names as N
-from ..operators import catalog, classify, curves, parsing, reports
+from ..operators import catalog, classify, curves, ingest, parsing, reports
 from ..sources import files as files_source
 from ..sources.durable import shared_root
 from . import carriers as c
@@ -326,11 +326,53 @@ def _(spark, sf):
 
 @query("s16_override_document", "SELECT DISTINCT p_brand AS auto, 'renamed ' || p_brand AS new FROM part")
 def _(spark, sf):
-    """Renames written as a JSON document and read back as a table."""
+    """Renames of brands written as a JSON document and read back as a table; there are as many as brands and types."""
     path = f"{shared_root(spark)}/decisions-{uuid.uuid4().hex}"
     p = c.read(spark, sf, "part")
     renames = p.select(F.col("p_brand").alias("auto"), F.concat(F.lit("renamed "), "p_brand").alias("new")).distinct()
     merges = p.select((F.col("p_size") % 3).alias("group_id"), F.col("p_size").alias("pos"), F.col("p_type").alias("name")).groupBy("group_id", "name").agg(F.min("pos").alias("pos"))
-    splits = p.where("p_partkey % 50 = 0").select(F.col("p_brand").alias("source"), F.col("p_partkey").cast("string").alias("path"), F.col("p_type").alias("target"))
+    splits = p.groupBy(F.col("p_brand").alias("source"), F.col("p_type").alias("path")).agg(F.max("p_type").alias("target"))
     catalog.write_decisions(renames, merges, splits, path)
     return catalog.read_decisions(spark, path)["renames"]
+
+
+@query("s16_override_tables", "SELECT p_brand AS source, CAST(p_partkey AS VARCHAR) AS path, p_type AS target FROM part")
+def _(spark, sf):
+    """A split of every part, kept as JSON lines."""
+    path = f"{shared_root(spark)}/decisions-{uuid.uuid4().hex}"
+    p = c.read(spark, sf, "part")
+    splits = p.select(F.col("p_brand").alias("source"), F.col("p_partkey").cast("string").alias("path"), F.col("p_type").alias("target"))
+    renames = p.select(F.col("p_brand").alias("auto"), F.concat(F.lit("renamed "), "p_brand").alias("new")).distinct()
+    merges = p.select(F.col("p_size").cast("long").alias("group_id"), F.lit(0).alias("pos"), F.col("p_type").alias("name")).distinct()
+    catalog.save_decisions(renames, merges, splits, path)
+    return catalog.load_decisions(spark, path)["splits"]
+
+
+# ---------------------------------------------------------------- folders end to end
+
+VECTORS = "v AS (SELECT vec_id, 'lake/src' || CAST(vec_id % 3 AS VARCHAR) || '/XRD/scan ' || CAST(vec_id AS VARCHAR) || (['.txt', '.txt', '.asc', '.csv', '.xrdml', '.txt', '.txt', '.txt'])[vec_id % 8 + 1] AS path, vec_id % 8 AS kind, vec_id // 8 % 3 = 0 AS old FROM embeddings)"
+
+
+def _ingested(spark, sf):
+    """An ingest after one that had every third round of eight files."""
+    files = c.instrument_files(spark, sf)
+    before = files_source.with_sha256(files.where("floor(vec_id / 8) % 3 = 0")).select("sha256", F.lit("1.0.0").alias("parser_version"))
+    return ingest.ingest(files, before)
+
+
+query("e01_ingest_outcomes", f"WITH {VECTORS} SELECT path, CASE kind WHEN 2 THEN 'plain-scan-asc' WHEN 3 THEN 'region-csv' WHEN 4 THEN 'diffraction-xml' WHEN 5 THEN NULL WHEN 7 THEN NULL ELSE 'keyed-scan-txt' END AS parser_name, CASE WHEN kind = 7 THEN 'hash_failed' WHEN kind = 5 THEN 'unclassified' WHEN old OR (kind = 6 AND false) THEN 'cached' WHEN kind = 6 THEN 'parsed_with_issues' ELSE 'parsed' END AS outcome FROM v")(
+    lambda s, d: _ingested(s, d).outcomes.select("path", "parser_name", "outcome")
+)
+
+
+@query("e01_ingest_points", f"WITH {VECTORS} SELECT path, 'src' || CAST(vec_id % 3 AS VARCHAR) AS sample, CASE WHEN kind = 3 THEN 'xps' ELSE 'xrd' END AS technique, CAST(CASE WHEN kind = 6 THEN 0 ELSE 64 END AS BIGINT) AS n, CASE WHEN kind <> 6 THEN 5.0::DOUBLE END AS low, CASE WHEN kind <> 6 THEN 11.3::DOUBLE END AS high FROM v WHERE kind NOT IN (5, 7) AND NOT old")
+def _(spark, sf):
+    got = _ingested(spark, sf)
+    ends = got.points.groupBy("measurement_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 6).alias("low"), F.round(F.max("x"), 6).alias("high"))
+    return got.measurements.join(ends, "measurement_id", "left").select("path", "sample", "technique", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "low", "high")
+
+
+@query("e01_ingest_issues", f"WITH {VECTORS}, s AS (SELECT vec_id, count(*) FILTER (x < 0) / 64.0 AS share FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id), f AS (SELECT * FROM v JOIN s USING (vec_id) WHERE NOT old) SELECT path, 'data' AS field, 'warning' AS severity FROM f WHERE kind = 1 UNION ALL SELECT path, 'data', 'error' FROM f WHERE kind = 6 UNION ALL SELECT path, 'measured_at', 'warning' FROM f WHERE kind = 4 UNION ALL SELECT path, 'y', 'warning' FROM f WHERE kind = 2 AND share >= 0.1")
+def _(spark, sf):
+    got = _ingested(spark, sf)
+    return got.issues.join(got.measurements.select("measurement_id", "path"), "measurement_id").select("path", "field", "severity")

@@ -28,7 +28,7 @@ def relative(path: Column, root: str) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel_path, size_bytes, mtime, content) of wanted files. Spark's own listing hides names that begin with ``_``."""
+    """(path, rel_path, size_bytes, mtime, content) of wanted files. Spark's own listing hides empty files and names that begin with ``_``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root if ":" in root else f"file:{root}"
     named = found.select("path", relative(F.regexp_replace("path", "^file:/+", "file:/"), base.replace("file:///", "file:/")).alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), "content")

@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.catalog import needs_parse
-from ..sources.files import with_sha256
+from ..operators.ingest import Parsers, ingest
+from ..sources.files import is_wanted, relative, with_sha256
 
+TABLES = ("outcomes", "points", "issues", "measurements")
 
-def ingest_stream(spark: SparkSession, root: str, table: str, checkpoint: str, parser_version: str = "1.0.0") -> StreamingQuery:
-    """Read files that have come since the last run and append each content once to ``table``.
 
-    Content seen before under the same parser version, in the table or in the batch, is left out; nothing is kept
-    in the stream's state, so there is no watermark and no bound on how late a copy may come.
+def stored(spark: SparkSession, store: str, table: str) -> DataFrame | None:
+    """A table of ``ingest_stream``, or None before its first batch."""
+    try:
+        return spark.read.parquet(f"{store}/{table}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def ingest_stream(spark: SparkSession, root: str, store: str, checkpoint: str, parsers: Parsers | None = None) -> StreamingQuery:
+    """Parse files that have come since the last run, each content once, into the tables ``TABLES`` under ``store``.
+
+    Content parsed before under the same parser version, in the tables or in the batch, is left out; nothing is kept in the
+    stream's state, so there is no watermark and no bound on how late a copy may come. A batch that is run again takes
+    the place of its first run.
     """
     found = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(root)
-
-    def batch(df: DataFrame, _: int) -> None:
-        new = with_sha256(df).select("path", F.col("length").alias("size_bytes"), "sha256", F.lit(parser_version).alias("parser_version"))
-        new = new.groupBy("sha256", "parser_version").agg(F.min_by(F.struct("path", "size_bytes"), "path").alias("f")).select("f.path", "f.size_bytes", "sha256", "parser_version")
-        try:
-            old = df.sparkSession.read.parquet(table)
-        except Exception as e:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = new.limit(0)
-        needs_parse(new, old).select(new.columns).write.mode("append").parquet(table)
+    base = root if ":" in root else f"file:{root}"
+
+    def batch(df: DataFrame, number: int) -> None:
+        at = relative(F.regexp_replace("path", "^file:/+", "file:/"), base.replace("file:///", "file:/"))
+        files = with_sha256(df.select("path", at.alias("rel_path"), "content")).where(is_wanted(F.col("rel_path")))
+        once = files.groupBy("sha256").agg(F.min_by(F.struct("path", "rel_path", "content"), "path").alias("f")).select("f.*")
+        old = stored(df.sparkSession, store, "measurements")
+        got = ingest(once, None if old is None else old.where(F.col("batch") < number), parsers)
+        for name in TABLES:
+            getattr(got, name).write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
 
     return found.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -321,14 +321,77 @@ def test_stream_takes_each_content_once(spark, tmp_path):
     from meterlake.streaming import ingest_stream
 
     (tmp_path / "in").mkdir()
-    for n, t in (("a.txt", "one"), ("b.txt", "one"), ("c.txt", "two")):
+    pairs = lambda k: "\n".join(f"{i}.0 {k}" for i in range(9))
+    for n, t in (("a.txt", pairs(1)), ("b.txt", pairs(1)), ("c.txt", pairs(2)), (".hidden", pairs(7))):
         (tmp_path / "in" / n).write_text(t)
     go = lambda: ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "k")).awaitTermination()
     go()
-    (tmp_path / "in" / "d.txt").write_text("two")
-    (tmp_path / "in" / "e.txt").write_text("three")
+    (tmp_path / "in" / "d.txt").write_text(pairs(2))
+    (tmp_path / "in" / "e.txt").write_text(pairs(3))
     go()
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    got = spark.read.parquet(str(tmp_path / "t" / "measurements"))
+    assert got.count() == 3 and got.select("sha256").distinct().count() == 3
+    assert spark.read.parquet(str(tmp_path / "t" / "points")).count() == 27
+    outcomes = sorted((r["path"][-5:], r["outcome"]) for r in spark.read.parquet(str(tmp_path / "t" / "outcomes")).collect())
+    assert outcomes == [("a.txt", "parsed"), ("c.txt", "parsed"), ("d.txt", "cached"), ("e.txt", "parsed")]
+
+
+FILES = {
+    "CS-1/xrd/one.txt": b";SampleName = A\n;KAlpha1 = 1.54\n;KV = high\n10.0 5\n10.1 6\nbad row\n10.2 7\n",
+    "CS-1/xrd/two.asc": b"\n".join(b"%d.5 %d" % (k, 5 - k) for k in range(12)),
+    "CS-1/xps/three.csv": b"Exported by hand\nC1s,\n296.1,5\n296.0,6\n295.9,x\n295.8,7\n295.7,8\n295.6,9\n",
+    "data/four.xrdml": b'<?xml version="1.0"?><xrdMeasurements xmlns="http://x"><xrdMeasurement><scan appendNumber="0"><header><startTimeStamp>2024-06-21T11:00:13+05:30</startTimeStamp></header><dataPoints><positions axis="2Theta"><startPosition>5</startPosition><endPosition>7</endPosition></positions><intensities unit="counts"> 1 2 3 </intensities></dataPoints></scan></xrdMeasurement></xrdMeasurements>',
+    "data/five.spx": b"<?xml version='1.0' encoding='WINDOWS-1252'?><TRTSpectrum><Date>2.12.2022</Date><Time>18:00:24</Time><CalibAbs>-0.5</CalibAbs><CalibLin>0.25</CalibLin><Channels>1,2,3,4</Channels></TRTSpectrum>",
+    "data/six.spx": b"<TRTSpectrum>\xb5<Channels>1,x,3</Channels></TRTSpectrum>",
+    "data/seven.txt": b"just words\n\xff\xfe", "data/eight.pdf": b"1 2\n3 4\n", "data/nine.txt": b"",  # Spark lists no empty files
+    "data/ten.xrdml": b"<xrdMeasurement><scan><broken",
+}
+
+
+def test_a_folder_is_ingested_whole(spark, tmp_path):
+    from meterlake.operators import ingest
+
+    for name, content in FILES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = files.scan_files(spark, str(tmp_path))
+    got = ingest.ingest(found)
+    name = lambda p: p.split("/")[-1].split(".")[0]
+    outcomes = {name(r["path"]): r["outcome"] for r in got.outcomes.collect()}
+    assert outcomes == {
+        "one": "parsed", "two": "parsed", "three": "parsed", "four": "parsed", "five": "parsed", "six": "parsed_with_issues",
+        "seven": "unclassified", "eight": "unclassified", "ten": "parsed_with_issues",
+    }
+    m = {name(r["path"]): r for r in got.measurements.collect()}
+    ids = {r["measurement_id"]: k for k, r in m.items()}
+    points = {}
+    for r in got.points.collect():
+        points.setdefault(ids[r["measurement_id"]], []).append((r["idx"], r["x"], r["y"]))
+    assert {k: len(v) for k, v in points.items()} == {"one": 3, "two": 12, "three": 5, "four": 3, "five": 4}
+    assert sorted(points["four"]) == [(0, 5.0, 1.0), (1, 6.0, 2.0), (2, 7.0, 3.0)] and sorted(points["five"])[3] == (3, 0.25, 4.0)
+    assert m["one"]["sample"] == "CS-1" and m["one"]["metadata"]["SampleName"] == "A" and m["three"]["metadata"]["region"] == "C1s"
+    assert str(m["four"]["measured_at"]) == "2024-06-21 05:30:13" and str(m["five"]["measured_at"]) == "2022-12-02 18:00:24"
+    issues = sorted((ids[r["measurement_id"]], r["field"], r["severity"]) for r in got.issues.collect())
+    assert issues == [
+        ("five", "measured_at", "warning"), ("one", "KV", "warning"), ("one", "data", "warning"), ("six", "data", "error"),
+        ("ten", "data", "error"), ("three", "data", "warning"), ("two", "y", "warning"),
+    ]
+    again = ingest.ingest(found, got.measurements)
+    assert {name(r["path"]) for r in again.outcomes.where("outcome = 'cached'").collect()} == set(m) and again.points.count() == 0
+    assert ingest.ingest(found.limit(0)).outcomes.count() == 0
+
+
+def test_parsers_are_registered_once_and_named_well():
+    from meterlake.operators import ingest
+
+    p = ingest.default_parsers()
+    one = next(iter(p.by_name.values()))
+    from dataclasses import replace
+
+    for bad, what in ((one, "twice"), (replace(one, name="No Good"), "name"), (replace(one, name="new", version="1"), "version"), (replace(one, name="new", extensions=("txt",)), "extensions")):
+        with pytest.raises(ValueError, match=what):
+            p.register(bad)
+    assert p.register(replace(one, name="new-one")).name in p.by_name
 
 
 def test_reports(spark):
