@@ -71,7 +71,10 @@ def _(spark, sf):
     return _r(_r(_r(C.band_gap_curve(p, C.band_gap(p)), "energy"), "t", digits=5), "line", digits=4)
 
 
-@query("a01_band_gap_indirect")
+INDIRECT = TAUC.replace("sqrt(greatest(1240 / x - gap, 0))", "power(greatest(1240 / x - gap, 0), 2)").replace("((1 - y) * (1 - y) / (2 * y) * (1240 / x)) * ((1 - y) * (1 - y) / (2 * y) * (1240 / x)) AS t", "sqrt((1 - y) * (1 - y) / (2 * y) * (1240 / x)) AS t")
+
+
+@query("a01_band_gap_indirect", f"WITH {INDIRECT} SELECT measurement_id, round(-intercept / slope, 4) AS band_gap, round(r2, 4) AS r2, n FROM fitted")
 def _(spark, sf):
     """The same for indirect gaps."""
     g = C.band_gap(spectra(spark, sf, "indirect").select(M, "idx", "x", "y"), "indirect")
@@ -156,12 +159,15 @@ query("o03_peaks_in_order", MAXIMA + " SELECT measurement_id, list(idx ORDER BY
 query("a03_scan_guard", f"WITH {DIFFRACTION}, s AS (SELECT measurement_id, x - lag(x) OVER (PARTITION BY measurement_id ORDER BY x) AS dx FROM diffraction) SELECT measurement_id, count(*) AS n, round(median(dx), 6) AS step, 'ok' AS state FROM s GROUP BY measurement_id")(lambda s, d: _r(C.scan_guard(diffraction(s, d)), "step"))
 
 
-@query("a04_baseline", "WITH RECURSIVE b AS (SELECT vec_id AS measurement_id, 0 AS w, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS a FROM embeddings UNION ALL SELECT measurement_id, w + 1, list_transform(range(1, 65), lambda i: CASE WHEN i - 1 >= w + 1 AND i + w + 1 <= 64 THEN least(a[i], (a[i - w - 1] + a[i + w + 1]) / 2) ELSE a[i] END) FROM b WHERE w < 6) SELECT measurement_id, CAST(t.i AS INTEGER) AS idx, round(a[t.i + 1], 9) AS baseline FROM b, unnest(range(0, 64)) AS t(i) WHERE w = 6")
+BASELINE = "WITH RECURSIVE b AS (SELECT vec_id AS measurement_id, 0 AS w, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS a FROM embeddings UNION ALL SELECT measurement_id, w + 1, list_transform(range(1, 65), lambda i: CASE WHEN i - 1 >= w + 1 AND i + w + 1 <= 64 THEN least(a[i], (a[i - w - 1] + a[i + w + 1]) / 2) ELSE a[i] END) FROM b WHERE w < 6) SELECT measurement_id, CAST(t.i AS INTEGER) AS idx, round(a[t.i + 1], 9) AS baseline FROM b, unnest(range(0, 64)) AS t(i) WHERE w = 6"
+
+
+@query("a04_baseline", BASELINE)
 def _(spark, sf):
     return _r(C.baselines(c.curves(spark, sf), 6), "baseline", digits=9).select(M, "idx", "baseline")
 
 
-@query("a04_baseline_native")
+@query("a04_baseline_native", BASELINE)
 def _(spark, sf):
     """The executable specification: higher-order functions alone."""
     a = c.read(spark, sf, "embeddings").select(F.col("vec_id").alias(M), C.snip_arrays(F.transform("embedding", lambda v: v.cast("double")), 6).alias("b"))

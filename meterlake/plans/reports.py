@@ -179,7 +179,7 @@ query("x09_similarity", PAIRS.replace("SELECT a, b, ", "") + ", q AS (SELECT a,
 )
 
 
-@query("x15_params_fingerprint")
+@query("x15_params_fingerprint", "SELECT p_partkey, left(sha256('[{\"key\":\"mode\",\"value\":\"' || p_brand || '\"},{\"key\":\"window\",\"value\":\"' || CAST(p_size % 5 AS VARCHAR) || '\"}]'), 16) AS params_fp FROM part")
 def _(spark, sf):
     m = F.create_map(F.lit("window"), (F.col("p_size") % 5).cast("string"), F.lit("mode"), F.col("p_brand"))
     return c.read(spark, sf, "part").select("p_partkey", catalog.params_fingerprint(m).alias("params_fp"))
