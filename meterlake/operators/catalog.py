@@ -61,9 +61,24 @@ def latest(results: DataFrame, key: list[str], by: list[str]) -> DataFrame:
     return results.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+def unassigned(files: DataFrame, measurements: DataFrame, key: str) -> DataFrame:
+    """Files without a measurement."""
+    return files.join(measurements.select(key), key, "left_anti")
+
+
 # ---------------------------------------------------------------- stored tables
 
 
+def save_derived(curves: DataFrame, path: str) -> None:
+    """Append derived curves (result_id, idx, name, value, analyzer_name) under their analyzer."""
+    curves.write.mode("append").partitionBy("analyzer_name").parquet(path)
+
+
+def derived_of(curves: DataFrame, result_id) -> DataFrame:
+    """The derived curve of one result; empty if there is none."""
+    return curves.where(F.col("result_id") == result_id)
+
+
 def save_project(df: DataFrame, path: str) -> None:
     """Replace the partitions of the projects in ``df``; other projects stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)

@@ -198,3 +198,8 @@ def local_maxima(points: DataFrame, value: str = "y") -> DataFrame:
     """Inner points above both neighbours."""
     w = Window.partitionBy(M).orderBy("idx")
     return points.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)}).where(f"{value} > _a and {value} > _b").drop("_a", "_b")
+
+
+def nan_free_max(points: DataFrame, value: str = "y") -> DataFrame:
+    """(measurement_id, top): the largest value that is a number."""
+    return points.groupBy(M).agg(F.max(F.when(~F.isnan(value), F.col(value))).alias("top"))

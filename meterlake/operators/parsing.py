@@ -70,6 +70,11 @@ def pair_rows(lines: DataFrame, file: str = "file_id", separator: str = r"\s+")
     return body.select(file, "line_no", F.when(both, x).alias("x"), F.when(both, y).alias("y"))
 
 
+def comma_rows(lines: DataFrame, file: str = "file_id") -> DataFrame:
+    """(file, line_no, cells) of ragged comma rows."""
+    return lines.select(file, "line_no", F.split("value", ",").alias("cells"))
+
+
 def scan_points(pairs: DataFrame, file: str = "file_id") -> DataFrame:
     """Points of the good pairs, numbered from 0 by line."""
     idx = F.row_number().over(Window.partitionBy(file).orderBy("line_no")) - 1
@@ -152,6 +157,17 @@ def reflectance_sheets(cells: DataFrame) -> DataFrame:
     return out.where("n > 0")
 
 
+def measurements_per_sheet(cells: DataFrame) -> DataFrame:
+    """(file_id, sheet, numbers): a measurement for every sheet that holds numbers."""
+    return cells.groupBy("file_id", "sheet").agg(F.count("num").alias("numbers")).where("numbers > 0")
+
+
+def inside_block(rows: DataFrame, good: Column, key: str, order: str) -> DataFrame:
+    """Rows from the first good one of each key on."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_inside", F.sum(good.cast("int")).over(w)).where("_inside > 0").drop("_inside")
+
+
 def property_columns(cells: DataFrame) -> DataFrame:
     """(file_id, sheet, header_row, col_idx, output): each header cell, from left to right, goes to the first output not taken yet whose word it holds."""
     text = cells.where("txt is not null").withColumn("low", F.lower("txt"))

@@ -69,3 +69,74 @@ def applicable(measurements: DataFrame, analyzers: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+# ---------------------------------------------------------------- lookups and listings
+
+
+def samples_with(measurements: DataFrame, technique: str, sample: str = "sample_id") -> DataFrame:
+    """Samples that have a measurement of a technique."""
+    return measurements_of(measurements, technique).select(sample).distinct()
+
+
+def measurements_of(measurements: DataFrame, technique: str) -> DataFrame:
+    return measurements.where(F.col("technique") == technique)
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The row with that key, or none."""
+    return df.where(F.col(key) == value).limit(1)
+
+
+def issues_by_severity(issues: DataFrame) -> DataFrame:
+    return issues.groupBy("severity", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+def most_recent_first(df: DataFrame, time: str, tie: str) -> DataFrame:
+    """Rows by time, latest first; ties by ``tie``."""
+    return df.orderBy(F.desc(time), tie)
+
+
+def failures(outcomes: DataFrame, key: str) -> DataFrame:
+    """Files that could not be parsed, in order."""
+    return outcomes.where("outcome = 'parse_failed'").orderBy(key)
+
+
+def by_name(df: DataFrame, name: str) -> DataFrame:
+    """Distinct names in order."""
+    return df.select(name).distinct().orderBy(name)
+
+
+def first_with_arrays(measurements: DataFrame, arrays: DataFrame, key: str) -> DataFrame:
+    """The first measurement, by key, that has arrays."""
+    return measurements.join(arrays.select(key), key, "left_semi").orderBy(key).limit(1)
+
+
+def left_out(files: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    """Keys of files that are in no cluster."""
+    return files.select(key).exceptAll(placed.select(key))
+
+
+def distinct_paths(df: DataFrame, path: str) -> DataFrame:
+    return df.select(F.col(path).alias("path")).distinct()
+
+
+def shared_hashes(files: DataFrame) -> DataFrame:
+    """Contents that several projects have."""
+    return files.groupBy("sha256").agg(F.countDistinct("project_id").alias("_k")).where("_k > 1").select("sha256")
+
+
+def project_counts(measurements: DataFrame, issues: DataFrame, key: str) -> DataFrame:
+    """(project_id, sample_id, measurements, issues): from projects down to findings, samples without any included."""
+    m = measurements.join(issues, key, "left")
+    return m.groupBy("project_id", "sample_id").agg(F.countDistinct(key).alias("measurements"), F.count("severity").alias("issues"))
+
+
+def project_list(files: DataFrame, root: str) -> DataFrame:
+    return files.select("project_id", F.concat(F.lit(root), "project_id").alias("root")).distinct()
+
+
+def summary_json(files: DataFrame) -> DataFrame:
+    """(project_id, js): a project's summary as JSON."""
+    n = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
+    return n.select("project_id", F.to_json(F.struct(F.col("project_id").alias("project"), "files")).alias("js"))

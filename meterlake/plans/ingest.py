@@ -61,7 +61,7 @@ def _(spark, sf):
     return parsing.diffraction_points(scans.withColumn("path", F.col("_appendNumber"))).withColumn("x", F.round("x", 9))
 
 
-query("s11_derived_curve", f"WITH {c.CURVES} SELECT measurement_id, idx, 'scaled' AS name, y * 2 AS value FROM curves WHERE measurement_id = 3")(lambda s, d: c.curves(s, d).where("measurement_id = 3").select("measurement_id", "idx", F.lit("scaled").alias("name"), (F.col("y") * 2).alias("value")))
+query("s11_derived_curve", f"WITH {c.CURVES} SELECT measurement_id, idx, 'scaled' AS name, y * 2 AS value FROM curves WHERE measurement_id = 3")(lambda s, d: catalog.derived_of(c.curves(s, d).select(F.col("measurement_id").alias("result_id"), "idx", F.lit("scaled").alias("name"), (F.col("y") * 2).alias("value")), 3).withColumnRenamed("result_id", "measurement_id"))
 
 
 @query("s08_append_points", f"WITH {c.SCANS} SELECT technique, count(*) AS n, round(sum(y), 4) AS total FROM scans GROUP BY technique")
@@ -89,7 +89,7 @@ def _(spark, sf):
     return n.select("project_id", F.size("samples").cast("long").alias("samples"), F.aggregate("samples", F.lit(0), lambda a, x: a + F.size(x["measurements"])).cast("long").alias("measurements"))
 
 
-query("s14_project_list", "SELECT DISTINCT source AS project_id, 'lake/' || source AS root FROM documents")(lambda s, d: c.read(s, d, "documents").select(F.col("source").alias("project_id"), F.concat(F.lit("lake/"), "source").alias("root")).distinct())
+query("s14_project_list", "SELECT DISTINCT source AS project_id, 'lake/' || source AS root FROM documents")(lambda s, d: reports.project_list(c.files(s, d), "lake/"))
 
 
 @query("s15_delete_project", WITH + "SELECT 'measurements' AS part, count(*) AS n FROM files WHERE project_id <> 'src2' UNION ALL SELECT 'issues', count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM files WHERE project_id <> 'src2') UNION ALL SELECT 'projects', count(DISTINCT project_id) FROM files WHERE project_id <> 'src2'")
@@ -101,7 +101,7 @@ def _(spark, sf):
 
 
 query("s17_summary_json", "SELECT source AS project_id, '{\"project\":\"' || source || '\",\"files\":' || CAST(count(*) AS VARCHAR) || '}' AS js FROM documents GROUP BY source")(
-    lambda s, d: c.read(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files")).select(F.col("source").alias("project_id"), F.to_json(F.struct(F.col("source").alias("project"), "files")).alias("js"))
+    lambda s, d: reports.summary_json(c.files(s, d))
 )
 
 # ---------------------------------------------------------------- parsing
@@ -193,7 +193,7 @@ def _(spark, sf):
 
 
 query("p13_measurements_per_sheet", CELLS + "SELECT file_id, sheet, count(*) FILTER (num IS NOT NULL) AS numbers FROM cells GROUP BY file_id, sheet HAVING count(num) > 0")(
-    lambda s, d: c.cells(s, d).groupBy("file_id", "sheet").agg(F.count("num").alias("numbers")).where("numbers > 0")
+    lambda s, d: parsing.measurements_per_sheet(c.cells(s, d))
 )
 
 
@@ -271,7 +271,7 @@ query("j01_cache_hits", WITH + "SELECT f.doc_id, EXISTS (SELECT 1 FROM prior p W
 query("j02_needs_parse", WITH + "SELECT f.doc_id FROM files f WHERE NOT EXISTS (SELECT 1 FROM prior p WHERE p.sha256 = f.sha256 AND p.parser_version = f.parser_version)")(lambda s, d: catalog.needs_parse(c.files(s, d), c.prior(s, d)).select("doc_id"))
 query("j03_superseded", WITH + "SELECT doc_id FROM prior WHERE sha256 NOT IN (SELECT f.sha256 FROM files f WHERE NOT EXISTS (SELECT 1 FROM prior p WHERE p.sha256 = f.sha256 AND p.parser_version = f.parser_version))")(lambda s, d: catalog.superseded(c.prior(s, d), catalog.needs_parse(c.files(s, d), c.prior(s, d))).select("doc_id"))
 query("j04_navigation", WITH + f", {c.ISSUES} SELECT f.project_id, f.sample_id, count(DISTINCT f.doc_id) AS measurements, count(i.severity) AS issues FROM files f LEFT JOIN issues i ON i.measurement_id = f.doc_id GROUP BY f.project_id, f.sample_id")(
-    lambda s, d: c.files(s, d).join(c.issues(s, d).withColumnRenamed("measurement_id", "doc_id"), "doc_id", "left").groupBy("project_id", "sample_id").agg(F.countDistinct("doc_id").alias("measurements"), F.count("severity").alias("issues"))
+    lambda s, d: reports.project_counts(c.files(s, d), c.issues(s, d).withColumnRenamed("measurement_id", "doc_id"), "doc_id")
 )
 query("j05_orphans", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(lambda s, d: catalog.orphans(c.read(s, d, "orders").select("o_orderkey"), c.read(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey"))
 query("j07_applicable_analyzers", WITH + "SELECT doc_id, a.analyzer FROM files JOIN (VALUES ('uv_drs', 'band-gap'), ('xrd', 'peak-table'), ('xrd', 'phase-match')) AS a(technique, analyzer) USING (technique)")(
@@ -291,13 +291,12 @@ query("j08_result_misses", f"WITH {RESULTS_SQL} SELECT event_id FROM wanted w WH
 query("j09_replace_results", f"WITH {RESULTS_SQL}, new AS (SELECT * FROM wanted WHERE event_id % 5 = 0) SELECT event_id FROM stored s WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.measurement_id = s.measurement_id AND n.analyzer_name = s.analyzer_name AND n.params_fp = s.params_fp) UNION ALL SELECT event_id FROM new")(
     lambda s, d: catalog.replace_results(_results(s, d)[1], _results(s, d)[0].where("event_id % 5 = 0")).select("event_id")
 )
-query("j10_unassigned_files", WITH + "SELECT doc_id FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda s, d: c.files(s, d).join(c.read(s, d, "labels"), "doc_id", "left_anti").select("doc_id"))
+query("j10_unassigned_files", WITH + "SELECT doc_id FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda s, d: catalog.unassigned(c.files(s, d), c.read(s, d, "labels"), "doc_id").select("doc_id"))
 
 
 @query("w06_inside_block", f"WITH {c.SCANS} SELECT measurement_id, idx FROM (SELECT *, sum(CASE WHEN y > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY measurement_id ORDER BY idx) AS k FROM scans) WHERE k > 0")
 def _(spark, sf):
-    w = Window.partitionBy("measurement_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return c.scans(spark, sf).withColumn("k", F.sum(F.when(F.col("y") > 50, 1).otherwise(0)).over(w)).where("k > 0").select("measurement_id", "idx")
+    return parsing.inside_block(c.scans(spark, sf), F.col("y") > 50, "measurement_id", "idx").select("measurement_id", "idx")
 
 
 @query("a12_cached_analysis")
@@ -310,7 +309,7 @@ def _(spark, sf):
 
 
 query("s06_comma_rows", "SELECT p_partkey, string_split(p_brand || ',' || p_type || ',' || CAST(p_size AS VARCHAR), ',') AS cells FROM part")(
-    lambda s, d: files_source.read_lines(c.read(s, d, "part").select("p_partkey", F.concat_ws(",", "p_brand", "p_type", F.col("p_size").cast("string")).alias("content")), "p_partkey").select("p_partkey", F.split("value", ",").alias("cells"))
+    lambda s, d: parsing.comma_rows(files_source.read_lines(c.read(s, d, "part").select("p_partkey", F.concat_ws(",", "p_brand", "p_type", F.col("p_size").cast("string")).alias("content")), "p_partkey"), "p_partkey").drop("line_no")
 )
 
 
@@ -320,7 +319,7 @@ def _(spark, sf):
     path = f"{shared_root(spark)}/derived-{uuid.uuid4().hex}"
     for name, k in (("half", 0.5), ("double", 2.0)):
         d = c.curves(spark, sf).select(F.concat_ws(":", "measurement_id", F.lit(name)).alias("result_id"), "idx", F.lit("scaled").alias("name"), (F.col("y") * k).alias("value"), F.lit(name).alias("analyzer_name"))
-        d.write.mode("append").partitionBy("analyzer_name").parquet(path)
+        catalog.save_derived(d, path)
     return spark.read.parquet(path).groupBy("analyzer_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import catalog, classify, parsing, reports
+from ..operators import catalog, classify, curves, parsing, reports
 from ..sources import files as files_source
 from . import carriers as c
 from .registry import query
@@ -20,9 +20,9 @@ def _m(spark, sf):
 
 # ---------------------------------------------------------------- filters
 
-query("f01_samples_with_technique", WITH + "SELECT DISTINCT sample_id FROM files WHERE technique = 'xrd'")(lambda s, d: _m(s, d).where("technique = 'xrd'").select("sample_id").distinct())
-query("f02_measurements_of_technique", WITH + "SELECT doc_id, path FROM files WHERE technique = 'hall'")(lambda s, d: _m(s, d).where("technique = 'hall'").select("doc_id", "path"))
-query("f03_lookup_by_id", WITH + "SELECT path, sha256 FROM files WHERE doc_id = 7")(lambda s, d: _m(s, d).where("doc_id = 7").select("path", "sha256").limit(1))
+query("f01_samples_with_technique", WITH + "SELECT DISTINCT sample_id FROM files WHERE technique = 'xrd'")(lambda s, d: reports.samples_with(_m(s, d), "xrd"))
+query("f02_measurements_of_technique", WITH + "SELECT doc_id, path FROM files WHERE technique = 'hall'")(lambda s, d: reports.measurements_of(_m(s, d), "hall").select("doc_id", "path"))
+query("f03_lookup_by_id", WITH + "SELECT path, sha256 FROM files WHERE doc_id = 7")(lambda s, d: reports.lookup(_m(s, d), "doc_id", 7).select("path", "sha256"))
 query("f04_severity_flags", f"WITH {c.ISSUES} SELECT measurement_id, arg_max(severity, list_position(['info','warning','error'], severity)) AS worst, bool_or(severity = 'error') AS has_errors, bool_or(severity <> 'info') AS has_warnings, bool_or(severity = 'warning') AS has_warning_only FROM issues GROUP BY measurement_id")(
     lambda s, d: reports.worst_severity(c.issues(s, d))
 )
@@ -98,13 +98,13 @@ query("g15_scan_statistics", f"WITH {c.SCANS} SELECT measurement_id, round(avg(C
     lambda s, d: c.scans(s, d).groupBy("measurement_id").agg(F.round(F.avg((F.col("y") < 10).cast("int")), 9).alias("low_share"), F.min_by("y", "idx").alias("first_y"), F.max_by("y", "idx").alias("last_y"), F.min("y").alias("low"), F.max("y").alias("high"), F.count(F.lit(1)).alias("n"))
 )
 query("g16_nan_free_max", f"WITH {c.SCANS} SELECT measurement_id, max(y) FILTER (event_id % 3 <> 0) AS top FROM scans GROUP BY measurement_id")(
-    lambda s, d: c.scans(s, d).withColumn("v", F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("y"))).groupBy("measurement_id").agg(F.max(F.when(~F.isnan("v"), F.col("v"))).alias("top"))
+    lambda s, d: curves.nan_free_max(c.scans(s, d).withColumn("v", F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("y"))), "v")
 )
-query("g17_issues_by_severity", f"WITH {c.ISSUES} SELECT severity, field, count(*) AS n FROM issues GROUP BY severity, field")(lambda s, d: c.issues(s, d).groupBy("severity", "field").agg(F.count(F.lit(1)).alias("n")))
+query("g17_issues_by_severity", f"WITH {c.ISSUES} SELECT severity, field, count(*) AS n FROM issues GROUP BY severity, field")(lambda s, d: reports.issues_by_severity(c.issues(s, d)))
 
 # ---------------------------------------------------------------- sorts, limits, sets
 
-query("o04_most_recent_first", "SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id")(lambda s, d: c.read(s, d, "events").select("event_id", "user_id", "ts").orderBy(F.desc("ts"), "event_id"))
+query("o04_most_recent_first", "SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id")(lambda s, d: reports.most_recent_first(c.read(s, d, "events").select("event_id", "user_id", "ts"), "ts", "event_id"))
 
 
 @query("o05_unclassified_report", OUTCOME_SQL + ", u AS (SELECT * FROM o WHERE outcome = 'unclassified') SELECT doc_id, technique, greatest((SELECT count(*) FROM u) - 15, 0) AS remaining FROM u ORDER BY doc_id LIMIT 15")
@@ -113,22 +113,22 @@ def _(spark, sf):
     return reports.first_with_rest(u, [F.col("doc_id")], 15)
 
 
-query("o06_failures", OUTCOME_SQL + "SELECT doc_id, size_bytes FROM o WHERE outcome = 'parse_failed' ORDER BY doc_id")(lambda s, d: outcomes(s, d).where("outcome = 'parse_failed'").select("doc_id", "size_bytes").orderBy("doc_id"))
-query("o07_samples_by_name", "SELECT DISTINCT c_name FROM customer ORDER BY c_name")(lambda s, d: c.read(s, d, "customer").select("c_name").distinct().orderBy("c_name"))
+query("o06_failures", OUTCOME_SQL + "SELECT doc_id, size_bytes FROM o WHERE outcome = 'parse_failed' ORDER BY doc_id")(lambda s, d: reports.failures(outcomes(s, d), "doc_id").select("doc_id", "size_bytes"))
+query("o07_samples_by_name", "SELECT DISTINCT c_name FROM customer ORDER BY c_name")(lambda s, d: reports.by_name(c.read(s, d, "customer"), "c_name"))
 query("o08_first_with_arrays", WITH + "SELECT f.doc_id, f.path FROM files f WHERE EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = f.doc_id) ORDER BY f.doc_id LIMIT 1")(
-    lambda s, d: _m(s, d).join(c.read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "path").orderBy("doc_id").limit(1)
+    lambda s, d: reports.first_with_arrays(_m(s, d).select("doc_id", "path"), c.read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 )
 query("o09_canonical_name", "SELECT p_brand, arg_min(p_name, {'n': length(p_name), 'a': p_name}) AS canonical FROM part GROUP BY p_brand")(lambda s, d: c.read(s, d, "part").groupBy("p_brand").agg(F.min_by("p_name", F.struct(F.char_length("p_name"), "p_name")).alias("canonical")))
 query("u01_union_of_runs", WITH + ", new AS (SELECT * FROM files f WHERE NOT EXISTS (SELECT 1 FROM prior p WHERE p.sha256 = f.sha256 AND p.parser_version = f.parser_version)) SELECT doc_id, path, parser_version FROM prior WHERE sha256 NOT IN (SELECT sha256 FROM new) UNION ALL SELECT doc_id, path, parser_version FROM new")(
     lambda s, d: catalog.merge_measurements(c.prior(s, d), catalog.needs_parse(_m(s, d), c.prior(s, d))).select("doc_id", "path", "parser_version")
 )
-query("u02_files_left_out", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")(lambda s, d: c.read(s, d, "documents").select("doc_id").exceptAll(c.read(s, d, "labels").select("doc_id")))
-query("u03_distinct_paths", "SELECT DISTINCT p_brand AS path FROM part")(lambda s, d: c.read(s, d, "part").select(F.col("p_brand").alias("path")).distinct())
+query("u02_files_left_out", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")(lambda s, d: reports.left_out(c.read(s, d, "documents"), c.read(s, d, "labels"), "doc_id"))
+query("u03_distinct_paths", "SELECT DISTINCT p_brand AS path FROM part")(lambda s, d: reports.distinct_paths(c.read(s, d, "part"), "p_brand"))
 query("u04_alias_union", "SELECT p_size, list_sort(list(DISTINCT v)) AS aliases FROM (SELECT p_size, unnest([p_brand, p_type]) AS v FROM part) GROUP BY p_size")(
     lambda s, d: c.read(s, d, "part").groupBy("p_size").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("p_brand", "p_type"))))).alias("aliases"))
 )
 query("u05_shared_hashes", WITH + "SELECT DISTINCT a.sha256 FROM files a JOIN files b ON a.sha256 = b.sha256 AND a.project_id < b.project_id")(
-    lambda s, d: _m(s, d).groupBy("sha256").agg(F.countDistinct("project_id").alias("k")).where("k > 1").select("sha256")
+    lambda s, d: reports.shared_hashes(_m(s, d))
 )
 
 
