@@ -147,8 +147,9 @@ def _contracted(batches):
             x, y = find(a), find(b)
             if x != y:
                 root[max(x, y)] = min(x, y)
-    nodes = list(root)
-    yield pd.DataFrame({"a": nodes, "b": [find(k) for k in nodes]}).query("a != b")
+    stars = [(k, up) for k in list(root) if (up := find(k)) != k]
+    if stars:
+        yield pd.DataFrame(stars, columns=["a", "b"])
 
 
 def components(nodes: DataFrame, edges: DataFrame, chunk: int = CHUNK_EDGES, max_rounds: int = 100) -> DataFrame:
