@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a private one only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A private one only where it is unset and all is one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='meterlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,6 +31,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows whose texts are rewritten at once: a batch may hold ten thousand.
+ROWS_AT_ONCE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in small batches, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -108,10 +124,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(now.select("v", "v").distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
-#: Most bytes of narrow rows that are broadcast; beyond, both sides are shuffled.
-BROADCAST_BYTES = 64 << 20
+#: Most bytes of a hashed relation of narrow rows that is broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
+#: What a row takes in a hashed relation besides its values.
+ROW_OVERHEAD = 48
 
 
 def small(df: DataFrame, row_bytes: int = 16) -> DataFrame:
-    """``df`` (materialized, narrow) marked for broadcast if its counted size allows."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """``df`` (materialized, narrow) marked for broadcast if its counted rows allow."""
+    return F.broadcast(df) if df.count() * (row_bytes + ROW_OVERHEAD) <= BROADCAST_BYTES else df
+
+
+def free_name(wanted: str, columns: list[str]) -> str:
+    """``wanted``, with underscores before it until no column has that name (in any case)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted

@@ -20,7 +20,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, small, with_global_index
+from .common import free_name, materialize, small, with_global_index
 
 #: No document is taken more often than this, and no source gets more than this many times its words.
 MOST_COPIES = 3
@@ -76,11 +76,12 @@ def balance(histogram: DataFrame, targets: DataFrame, tolerance: float = TOLERAN
     return now.select("source", "lambda")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, row_col: str | None = None) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) per row of ``docs``, and its column ``row_col`` if one is named."""
-    row = [F.col(row_col).alias("row")] if row_col else []
-    rows = docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = materialize(rows, "sizes")
+def _dealt(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """(placed, classes) of ``rows`` (id, source, size, and row if rows are numbered).
+
+    classes: source, size, begin, n, copies, source_size, target: how many copies the n documents of a source and size give
+    together; placed: ``rows`` with their hash ``mark`` and global rank ``pos``, which starts at ``begin`` in each class.
+    """
     histogram = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     sources = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     ranked = with_global_index(sources.withColumn("last", F.col("source").isNull()), ["last", "source"], "rank").drop("last")
@@ -109,25 +110,47 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # the rank of a document among those of its source and size: global rank less the least one of its class
     hashed = rows.withColumn("mark", F.xxhash64("id"))
-    placed = materialize(with_global_index(hashed, ["source", "size", "mark", "id", *(["row"] if row else [])]), "placed")
+    placed = materialize(with_global_index(hashed, ["source", "size", "mark", "id", *(["row"] if "row" in rows.columns else [])]), "placed")
     starts = placed.groupBy("source", "size").agg(F.min("pos").alias("begin"))
     classes = (
         starts.alias("s").join(dealt.alias("d"), F.col("s.source").eqNullSafe(F.col("d.source")) & (F.col("s.size") == F.col("d.size")))
         .join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
         .select("s.source", "s.size", "begin", "n", "copies", "source_size", "target")
     )
-    out = placed.alias("p").join(materialize(classes, "classes").alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.size") == F.col("c.size")))
+    return placed, materialize(classes, "classes")
+
+
+def _same_class(a: str, b: str) -> Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) per row of ``docs``."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    placed, classes = _dealt(materialize(rows, "sizes"), weights, most)
+    out = placed.alias("p").join(classes.alias("c"), _same_class("p", "c"))
     k = (F.floor(F.col("copies") / F.col("n")) + F.when(F.col("pos") - F.col("begin") < F.col("copies") % F.col("n"), 1).otherwise(0)).cast("long")
-    return out.select(
-        *([F.col("p.row").alias(row_col)] if row_col else []), F.col("p.id").alias(id_col), F.col("p.source").alias("source"), F.col("p.size").alias("size"), "source_size", "target", k.alias("copies"), (k * F.col("p.size")).alias("taken")
-    )
+    return out.select(F.col("p.id").alias(id_col), F.col("p.source").alias("source"), F.col("p.size").alias("size"), "source_size", "target", k.alias("copies"), (k * F.col("p.size")).alias("taken"))
 
 
-def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+def take_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Texts are joined with the classes of source and size alone, not with documents: a class says how often each of its
+    documents is taken, and up to which one in hash order once more. So texts need no shuffle while the classes are few
+    enough to broadcast.
+    """
+    row, size, order, copies, copy = (free_name(n, docs.columns) for n in ("_doc_row", "_size", "_order", "_copies", "_copy"))
     # the rows are written once with a number each, which must not change between the two reads
-    rows = materialize(docs.withColumn("_doc_row", F.monotonically_increasing_id()), "rows")
-    counts = mix(rows, id_col, text_col, source_col, row_col="_doc_row").select("_doc_row", F.col("copies").alias("_copies"))
-    taken = materialize(counts.where("_copies > 0"), "taken")
-    out = rows.join(small(taken), "_doc_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    rows = materialize(docs.withColumns({row: F.monotonically_increasing_id(), size: word_count(F.col(text_col))}), "rows")
+    placed, classes = _dealt(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size).alias("size")), weights, most)
+    at_last = F.col("pos") - F.col("begin") == F.col("copies") % F.col("n") - 1
+    last = placed.alias("p").join(classes.alias("c"), _same_class("p", "c")).where(at_last).select("c.source", "c.size", F.struct("mark", "id", "row").alias("last"))
+    cuts = classes.alias("c").join(last.alias("l"), _same_class("c", "l"), "left").where("copies > 0")
+    cuts = materialize(cuts.select("c.source", "c.size", F.floor(F.col("copies") / F.col("n")).cast("int").alias("each"), "last"), "cuts")
+    own = F.struct(F.xxhash64(id_col).alias("mark"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    r, c = rows.withColumn(order, own).alias("r"), small(cuts, 96).alias("c")
+    out = r.join(c, F.col(f"r.{source_col}").eqNullSafe(F.col("c.source")) & (F.col(f"r.{size}") == F.col("c.size")))
+    times = F.col("each") + F.when(F.col("last").isNotNull() & (F.col(f"r.{order}") <= F.col("last")), 1).otherwise(0)
+    out = out.select("r.*", times.alias(copies)).where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(docs.columns)

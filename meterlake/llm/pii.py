@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 #: Most tokens in a segment, and tokens of context on either side of a stretch.
 LONGEST, AROUND = 7, 4
@@ -529,7 +531,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: st
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for v in batch.column(at):
                 text = v.as_py()
