@@ -8,8 +8,10 @@ A payload is stored losslessly in the format's own unit, the 8-bit quantised coe
 byte b is coefficient b - 128, and blocks fill the planes Y, Cb, Cr of a 4:2:0 image (all quantisers 1). Samples
 of a JPEG come out of a rounded transform and could not hold arbitrary bytes.
 
-Defined cases: null text counts as empty, whose payload is 64 zero bytes; equal texts give equal files; an empty
-table gives no rows; texts of any length are coded in windows of blocks; other input columns are ignored.
+Defined cases: null text counts as empty, whose payload is 64 zero bytes; equal texts give equal files; repeated rows are
+coded one by one; an empty table gives no rows; a text is coded as a whole, so a task needs some forty times the bytes
+of its longest text (short ones are coded together up to ``BATCH_BYTES``); a file that can't be decoded gives null; other
+input columns are ignored.
 """
 
 from __future__ import annotations
@@ -563,8 +565,14 @@ def to_rgb(image: Image, coef: np.ndarray) -> np.ndarray:
         for p, x in zip(image.parts, planes):
             v = x[r * p["v"] : (r + strip) * p["v"]]
             v = v.transpose(0, 2, 1, 3).reshape(v.shape[0] * 8, -1).astype(np.int32)
-            parts.append((v, image.v_max // p["v"], image.h_max // p["h"]))
-        full = lambda t, v, h: t if v == h == 1 else np.repeat(np.repeat(t, v, axis=0), h, axis=1)
+            parts.append((v, (p["v"], image.v_max), (p["h"], image.h_max)))
+
+        def full(t: np.ndarray, v: tuple[int, int], h: tuple[int, int]) -> np.ndarray:
+            """A plane at full size: the sample whose place holds each pixel, also where the factors do not divide."""
+            if v[0] != v[1]:
+                t = t[np.arange(len(t) * v[1] // v[0]) * v[0] // v[1]]
+            return t if h[0] == h[1] else t[:, np.arange(t.shape[1] * h[1] // h[0]) * h[0] // h[1]]
+
         y = full(*parts[0])
         dst = out[r * image.v_max * 8 : r * image.v_max * 8 + y.shape[0]]
         if len(parts) == 1:
@@ -622,15 +630,25 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def decode_media(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, height, width, rgb): tensors by rows of any progressive files; null media gives null."""
+    """(id, height, width, rgb): tensors by rows of any progressive files; null media and files that can't be decoded give null."""
+
+    def decoded(media: list[bytes]) -> Iterator[np.ndarray | None]:
+        try:
+            yield from [to_rgb(image, coef) for image, coef in zip(*decode_coefficients(media))]
+        except (ValueError, IndexError, KeyError, struct.error):
+            if len(media) == 1:
+                yield None
+            else:  # one by one, so that a broken file takes no other with it
+                for m in media:
+                    yield from decoded([m])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, media in _groups(batch):
                 good = [i for i, m in enumerate(media) if m]
                 tensors: list[np.ndarray | None] = [None] * len(media)
-                for i, image, coef in zip(good, *decode_coefficients([media[i] for i in good])):
-                    tensors[i] = to_rgb(image, coef)
+                for i, rgb in zip(good, decoded([media[i] for i in good])):
+                    tensors[i] = rgb
                 size = lambda k: pa.array([None if t is None else t.shape[k] for t in tensors], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(media)), size(0), size(1), pa.array([None if t is None else t.tobytes() for t in tensors], pa.binary())], names=["id", "height", "width", "rgb"])
 
