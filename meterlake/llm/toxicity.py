@@ -4,11 +4,13 @@ A document is a bag of sentences. Each sentence has a probability from a logisti
 word pairs; noisy-or combines them: score = 1 - prod(1 - p). Only document labels are known; gradients flow through
 the noisy-or to the sentences, so the model learns which sentences offend and can locate them.
 
-The model is fitted on a bounded sample of labelled documents (``sample``), on the driver, as a vector of ``BUCKETS``
-weights; scoring is a narrow map over whole texts.
+The model is fitted on a bounded sample of labelled documents (``sample``, each of at most ``SAMPLE_CHARS`` characters), on
+the driver, as a vector of ``BUCKETS`` weights; scoring is a narrow map over whole texts.
 
 Defined cases: null and empty texts have no sentence and get the score of a bag of none, 0; equal texts get equal
-scores; without labelled rows of both kinds every score is 0; other input columns are ignored.
+scores; without labelled rows every score is 0, with rows of one label only all texts that have a sentence get that label;
+an id with several labels has the highest, one with several texts is learned from the least of them, and every row
+is scored by its own text; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
+
 #: Hash buckets of the sentence features.
 BUCKETS = 1 << 18
 #: Most labelled documents that the model is fitted on: those whose ids hash lowest, so that reruns agree.
 SAMPLE = 6000
+#: Longer documents are not in the sample.
+SAMPLE_CHARS = 20_000
+#: Words that a task remembers; others are looked up anew.
+CACHE_WORDS = 100_000
 #: Sentences end here; a text without any is one sentence. Sentences of over so many words are cut.
 SENTENCE = re.compile(r"[.!?\n]+")
 LONGEST = 40
@@ -54,8 +62,7 @@ def sentences(text: str) -> list[str]:
     """Non-empty sentences, in order; long ones in cuts of ``LONGEST`` words."""
     out = []
     for s in SENTENCE.split(text):
-        if s.count(" ") >= LONGEST:
-            words = s.split()
+        if len(s) > 2 * LONGEST and len(words := s.split()) > LONGEST:
             out += [" ".join(words[i : i + LONGEST]) for i in range(0, len(words), LONGEST)]
         elif s.strip():
             out.append(s)
@@ -72,12 +79,21 @@ def bag(text: str, feats: Features) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ids, np.int64), np.array(owner, np.int64)
 
 
+def bag_gradient(z: np.ndarray, y: float) -> tuple[float, np.ndarray]:
+    """The noisy-or of sentences with log odds ``z``, and the slope of its log loss under label ``y`` by each of them."""
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    log_none = np.log1p(-np.minimum(p, 1 - 1e-12)).sum()
+    score = -np.expm1(log_none)
+    # p_k for a clean document; -p_k * (1 - score) / score for a toxic one
+    return float(score), p if y == 0 else -p * np.exp(log_none) / max(score, 1e-9)
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.5, decay: float = 1e-3, seed: int = 7) -> np.ndarray:
     """Weights of the buckets and, last, the bias: AdaGrad on the log loss of the noisy-or."""
     weights = np.zeros(BUCKETS + 1)
     weights[-1] = -7.0
     if len(set(labels)) < 2:
-        weights[-1] = -np.inf
+        weights[-1] = np.inf if labels and labels[0] else -np.inf
         return weights
     feats = Features()
     bags = [bag(t, feats) for t in texts]
@@ -92,12 +108,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.5
             ids, owner = bags[i]
             if not n_sent[i]:
                 continue
-            z = np.bincount(owner, weights[ids], n_sent[i]) + weights[-1]
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            log_none = np.log1p(-np.minimum(p, 1 - 1e-12)).sum()
-            score = -np.expm1(log_none)
-            # d loss / d z_k: p_k for a clean document; -p_k * (1 - score) / score for a toxic one
-            g = p if y[i] == 0 else -p * np.exp(log_none) / max(score, 1e-9)
+            _, g = bag_gradient(np.bincount(owner, weights[ids], n_sent[i]) + weights[-1], y[i])
             if np.abs(g).max() < 1e-4:
                 continue
             grad = g[owner] + decay * weights[ids]
@@ -120,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in (0, 1):  # two bounded top-k selections over ids alone
         parts.append(marked.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2))
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most ``sample`` ids
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(chosen, "_id")
-    rows = rows.groupBy("_id").agg(F.first("_t").alias("_t"), F.first("_y").alias("_y"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.coalesce(F.char_length("_t"), F.lit(0)) <= SAMPLE_CHARS)
+    rows = rows.join(chosen, "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
     got = sorted(((r["_id"], r["_t"] or "", int(r["_y"])) for r in rows.toLocalIterator()))
     return fit([t for _, t, _ in got], [y for _, _, y in got])
 
@@ -141,7 +152,7 @@ class Scorer:
             v = look.get(w)
             if v is None:
                 v = tuple((b, self.weight[b]) for b in self.feats.buckets(w) if b in self.weight)
-                if len(look) < 500_000:
+                if len(look) < CACHE_WORDS:
                     look[w] = v
             if v:
                 seen = seen or {}
@@ -195,7 +206,7 @@ def keep_clean(docs: DataFrame, weights: np.ndarray, text_col: str = "text", thr
         full = np.zeros(BUCKETS + 1)
         full[packed[0]], full[-1] = packed[1], packed[2]
         scorer = Scorer(full)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([scorer.score(v.as_py() or "") < threshold for v in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
