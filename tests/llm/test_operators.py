@@ -85,10 +85,90 @@ def test_inverse_transform_matches_the_formula():
     assert np.abs(got - want).max() <= 1
 
 
-def test_broken_media_is_an_error():
+def test_broken_media_gives_null(spark):
     (file,) = progressive_jpeg.encode_payloads([b"x" * 64])
     with pytest.raises((ValueError, IndexError)):
         progressive_jpeg.decode_coefficients([b"no jpeg" + file])
+    df = spark.createDataFrame([(1, bytearray(file)), (2, bytearray(b"no jpeg")), (3, None), (4, bytearray(file[:20])), (5, bytearray(file))], "doc_id long, media binary")
+    got = by_id(progressive_jpeg.decode_media(df))
+    assert [got[i]["rgb"] is None for i in range(1, 6)] == [False, True, True, True, False] and got[1]["rgb"] == got[5]["rgb"]
+
+
+def hand_made_jpeg(width, height, factors, blocks):
+    """A progressive file written bit by bit: DC in one scan, AC 1-63 of each component in another, end-of-band runs over many blocks.
+
+    ``blocks``: DC of each block by component, in scan order; the first component's first block also has AC 1 = 2.
+    """
+    def segment(mark, body):
+        return bytes([0xFF, mark]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    def coded(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    n = len(factors)
+    out = b"\xff\xd8" + segment(0xDB, b"\x00" + b"\x08" + b"\x01" * 63)
+    out += segment(0xC2, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(factors)))
+    # DC: sizes 0 to 7, three bits each (the eighth code is 1110); AC: run/size 0x02, end of band runs 0x00, 0x30, two bits each
+    dc = {s: format(s, "03b") for s in range(7)} | {7: "1110"}
+    out += segment(0xC4, b"\x00" + bytes([0, 0, 7, 1] + [0] * 12) + bytes(range(8))) + segment(0xC4, b"\x10" + bytes([0, 3] + [0] * 14) + bytes([0x02, 0x00, 0x30]))
+    size = lambda v: int(abs(v)).bit_length()
+    value = lambda v: "" if v == 0 else format(v if v > 0 else v + (1 << size(v)) - 1, f"0{size(v)}b")
+    h_max, v_max = max(h for h, _ in factors), max(v for _, v in factors)
+    mcus = -(-width // (8 * h_max)) * -(-height // (8 * v_max))
+    before, at, bits = [0] * n, [0] * n, ""
+    for _ in range(mcus):
+        for k, (h, v) in enumerate(factors):
+            for _ in range(h * v if n > 1 else 1):
+                d = blocks[k][at[k]] - before[k]
+                before[k], at[k] = blocks[k][at[k]], at[k] + 1
+                bits += dc[size(d)] + value(d)
+    out += segment(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0]) for i in range(n)) + b"\x00\x00\x00") + coded(bits)
+    for k, (h, v) in enumerate(factors):
+        wide, high = (-(-(-(-size_ * f // m)) // 8) for size_, f, m in ((width, h, h_max), (height, v, v_max)))
+        left, bits = wide * high, ""
+        if k == 0:
+            bits, left = "00" + "10", left  # run 0 size 2: the value 2; its block then ends with the rest
+        while left:
+            if left >= 8:
+                bits, left = bits + "10" + format(min(left, 15) - 8, "03b"), left - min(left, 15)  # 0x30: 8 to 15 blocks end here
+            else:
+                bits, left = bits + "01", left - 1  # 0x00: this block ends
+        out += segment(0xDA, bytes([1, k + 1, 0, 1, 63, 0])) + coded(bits)
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("factors", [[(1, 1)], [(1, 1)] * 3, [(2, 1), (1, 1), (1, 1)], [(1, 2), (1, 1), (1, 1)], [(2, 2), (1, 1), (1, 1)], [(3, 2), (2, 1), (1, 2)]])
+def test_files_of_other_makers(factors):
+    """Grey, 4:4:4, 4:2:2, 4:4:0, 4:2:0 and factors that do not divide: each pixel against the formula."""
+    rng = np.random.default_rng(len(factors) + factors[0][0])
+    h_max, v_max = max(h for h, _ in factors), max(v for _, v in factors)
+    width, height = 8 * h_max * 3 - 5, 8 * v_max * 2 - 3
+    cols, rows = -(-width // (8 * h_max)), -(-height // (8 * v_max))
+    blocks = [rng.integers(-40, 41, cols * rows * h * v).tolist() for h, v in factors]
+    (image,), (coef,) = progressive_jpeg.decode_coefficients([hand_made_jpeg(width, height, factors, blocks)])
+    rgb = progressive_jpeg.to_rgb(image, coef)
+    assert rgb.shape == (height, width, 3)
+    planes = []
+    for k, (h, v) in enumerate(factors):
+        plane, at = np.zeros((rows * v * 8, cols * h * 8)), 0
+        h1, v1 = (h, v) if len(factors) > 1 else (1, 1)
+        for m in range(rows * cols):
+            for b in range(h1 * v1):
+                y, x = (m // cols * v1 + b // h1) * 8, (m % cols * h1 + b % h1) * 8
+                plane[y : y + 8, x : x + 8] = blocks[k][at] + 128
+                if k == 0 and y == x == 0:
+                    plane[:8, :8] += 2 / 8 * 2**0.5 * np.cos((2 * np.arange(8) + 1) * np.pi / 16)[None, :]
+                at += 1
+        planes.append(np.floor(plane + 0.5))
+    for y in range(0, height, 3):
+        for x in range(0, width, 3):
+            p = [planes[k][y * v // v_max, x * h // h_max] for k, (h, v) in enumerate(factors)]
+            if len(p) == 1:
+                want = [p[0]] * 3
+            else:
+                want = [p[0] + 1.402 * (p[2] - 128), p[0] - 0.344136 * (p[1] - 128) - 0.714136 * (p[2] - 128), p[0] + 1.772 * (p[1] - 128)]
+            assert np.abs(rgb[y, x] - np.clip(want, 0, 255)).max() <= 1.6, (y, x)
 
 
 # ---------------------------------------------------------------- personal data
@@ -114,6 +194,7 @@ def test_base_spans_equal_the_patterns():
 def test_pii_scan(spark):
     d = docs(spark)
     weights = pii.train(d)
+    assert isinstance(weights, pii.Field)
     got = by_id(pii.scan(d, weights, mask=True))
     assert got[0]["base"] == [] and got[0]["masked"] is None
     assert {s.split(":")[0] for s in got[12]["base"]} == {"email", "ip", "card", "phone"}
@@ -127,13 +208,139 @@ def test_random_field_learns_spans_without_their_patterns():
     rng = np.random.default_rng(5)
     phone = lambda: f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
     texts = [f"some words here {phone()} and more words 10.2.{rng.integers(255)}.7 end" for _ in range(150)]
-    w = pii.fit(texts)
+    field = pii.fit(texts, plant=200)
     t = f"other talk {phone()} stops"
-    tokens = pii.stretches(t)[0]
-    spans = [(k, t[tokens[i][0] : tokens[j - 1][1]]) for k, i, j in pii.viterbi(pii.Lattice(t, tokens, hide=True), w)]
+    tokens = next(pii.stretches(t))
+    spans = [(k, t[tokens[i][0] : tokens[j - 1][1]]) for k, i, j in pii.viterbi(t, tokens, field, hide=True)]
     assert len(spans) == 1 and spans[0][0] == 3 and spans[0][1].startswith("+1")
 
 
+def segmentations(n, segments, kinds):
+    """All ways to cover n tokens with segments of a kind and outside tokens."""
+    if n == 0:
+        yield []
+        return
+    for head in segmentations(n - 1, [x for x in segments if x[1] <= n - 1], kinds):
+        yield [*head, (kinds, n - 1, n)]
+    for i, j in segments:
+        if j == n:
+            for head in segmentations(i, [x for x in segments if x[1] <= i], kinds):
+                for k in range(kinds):
+                    yield [*head, (k, i, j)]
+
+
+def test_best_path_and_gradient_by_enumeration():
+    rng = np.random.default_rng(17)
+    out = pii.OUTSIDE
+    for _ in range(40):
+        n = int(rng.integers(1, 6))
+        lattice = pii.Lattice.__new__(pii.Lattice)
+        lattice.n = n
+        lattice.segments = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + 3) + 1) if rng.random() < 0.5]
+        lattice.features = [rng.integers(0, 12, 3).tolist() for _ in lattice.segments]
+        field = pii.Field(np.zeros((out, pii.FEATURES)), rng.normal(0, 1, (out + 1, out + 1)))
+        field.weights[:, :12] = rng.normal(0, 1, (out, 12))
+
+        def value(path, field=field, lattice=lattice):
+            at, total = out, 0.0
+            for k, i, j in path:
+                total += field.moves[at, k] + (field.weights[k, lattice.features[lattice.segments.index((i, j))]].sum() if k != out else 0)
+                at = k
+            return total
+
+        paths = list(segmentations(n, lattice.segments, out))
+        best = max(paths, key=value)
+        got = pii.best_path(n, lattice.segments, lattice.scores(field.weights), field.moves)
+        filled, at = [], 0
+        for k, i, j in got:
+            filled += [(out, x, x + 1) for x in range(at, i)] + [(k, i, j)]
+            at = j
+        assert value(filled + [(out, x, x + 1) for x in range(at, n)]) == pytest.approx(value(best))
+        gold = paths[int(rng.integers(len(paths)))]
+        marked = {g for g in gold if g[0] != out}
+        loss = lambda: value(gold) - np.logaddexp.reduce([value(p) for p in paths])
+        grad, moves = np.zeros_like(field.weights), np.zeros_like(field.moves)
+        assert pii.likelihood(lattice, marked, field, grad, moves) == pytest.approx(loss())
+        for array, slopes, at in [(field.weights, grad, (int(rng.integers(out)), int(rng.integers(12)))), (field.moves, moves, tuple(rng.integers(0, out + 1, 2)))] * 3:
+            kept = array[at]
+            array[at] = kept + 1e-5
+            up = loss()
+            array[at] = kept - 1e-5
+            assert slopes[at] == pytest.approx((up - loss()) / 2e-5, abs=1e-4)
+            array[at] = kept
+
+
+def test_long_stretches_are_decided_as_a_whole():
+    """Piece by piece or at once, and a field span beyond any number of marked tokens."""
+    rng = np.random.default_rng(18)
+    field = pii.fit([], plant=300, epochs=2)
+    for _ in range(30):
+        t = " ".join(rng.choice(["4111", "555-2896", "x", "call", "2695553296", "10", "[.]", "jo(at)ex.com", "at", "dot", "card"], 40))
+        for tokens in pii.stretches(t):
+            lattice = pii.Lattice(t, tokens)
+            assert pii.viterbi(t, tokens, field) == pii.best_path(lattice.n, lattice.segments, lattice.scores(field.weights), field.moves)
+    far = "1 " * 9000 + "jo (at) example (dot) com"
+    assert any(far[a:b] == "jo (at) example (dot) com" for _, a, b in pii.find_spans(far, pii.fit([], plant=600))[1])
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.fit(["some words of a text that holds 12 things", "und noch ein paar Wörter, 7 davon, für den Satz", "y unas palabras que dicen 3 cosas"] * 20)
+
+
+@pytest.mark.parametrize(("text", "kind", "span"), [
+    ("please write to jo at example dot com today", 0, "jo at example dot com"), ("mail: jane.doe [at] host [dot] org", 0, "jane.doe [at] host [dot] org"),
+    ("the router 10[.]0[.]12[.]7 answers", 1, "10[.]0[.]12[.]7"), ("my credit card number 4111 1111 1111 1112 was refused", 2, "4111 1111 1111 1112"),
+    ("call 269-555-3296 for more", 3, "269-555-3296"), ("unser Telefon (030) 123-4567 ist besetzt", 3, "(030) 123-4567"),
+])
+def test_field_adds_what_no_pattern_takes(field, text, kind, span):
+    base, spans = pii.find_spans(text, field)
+    assert base == [] and [(k, text[a:b]) for k, a, b in spans] == [(kind, span)]
+
+
+@pytest.mark.parametrize("text", [
+    "order 4111 1111 1111 1112 was shipped", "published 2024-05-17 on page 1234567", "isbn 978-3-1614-8410-0 in stock", "look at example and dot the line", "version 1.2.13.400.5",
+    "token = \"9c8b45435718dcc700c184a7e303cdc64c6a8f7f\"", "in 1999 and 2004 about 12,000,000 people",
+])
+def test_field_leaves_look_alikes(field, text):
+    assert pii.find_spans(text, field)[1] == []
+
+
+def test_field_spans_never_overlap(spark, field):
+    rng = np.random.default_rng(19)
+    for _ in range(200):
+        t = " ".join(rng.choice(["call", "4111", "1111", "card", "555-2896", "(269)", "+1", "jo@ex.com", "jo", "at", "ex", "dot", "com", "10.0.0.1", "10[.]0", "x"], 25))
+        base, spans = pii.find_spans(t, field)
+        assert set(base) <= set(spans) and base == brute_spans(t)
+        own = sorted((a, b) for k, a, b in spans if (k, a, b) not in base)
+        assert all(b <= c for (_, b), (c, _) in zip(own, own[1:]))
+
+
+def test_redact_keeps_rows_and_columns(spark, field):
+    d = docs(spark, TEXTS + ["jo at ex dot com", TEXTS[12], TEXTS[12]])
+    out = pii.redact(d, field)
+    assert out.schema == d.schema
+    got = by_id(out)
+    assert len(got) == len(TEXTS) + 3 and got[0]["text"] is None and got[1]["text"] == "" and got[8] == by_id(d)[8]
+    assert got[len(TEXTS) + 1]["text"] == got[12]["text"] and got[12]["n_chars"] == len(got[12]["text"])
+    assert "@" not in got[12]["text"] and got[12]["text"].count("<") == 4
+    assert pii.redact(d.select("doc_id", "text").limit(0), field).count() == 0
+    repeated = pii.redact(docs(spark, [TEXTS[12]] * 2).selectExpr("1L AS doc_id", "text"), field).collect()
+    assert len(repeated) == 2 and repeated[0] == repeated[1]
+
+
+def test_scan_digests_by_brute_force(spark, field):
+    rows = queries.op2_pii(spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute_spans(texts[r["doc_id"]])
+        shown = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x == i for x, _, _ in base) for i in range(4)]
+        assert set(filter(None, shown.split(","))) <= set(r["spans"].split(","))
+
+
 # ---------------------------------------------------------------- toxicity
 
 
@@ -160,6 +367,41 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.score(empty(spark), toxicity.train(empty(spark), labels)).count() == 0
 
 
+def test_noisy_or_and_its_gradient_by_brute_force():
+    rng = np.random.default_rng(15)
+    for _ in range(50):
+        z, y = rng.normal(0, 2, rng.integers(1, 6)), float(rng.integers(2))
+        loss = lambda z: (lambda s: -np.log(s if y else 1 - s))(1 - np.prod([1 - 1 / (1 + np.exp(-v)) for v in z]))
+        score, g = toxicity.bag_gradient(z, y)
+        assert score == pytest.approx(1 - np.prod(1 - 1 / (1 + np.exp(-z))))
+        for k in range(len(z)):
+            step = np.eye(len(z))[k] * 1e-6
+            assert g[k] == pytest.approx((loss(z + step) - loss(z - step)) / 2e-6, abs=1e-5)
+
+
+def test_scores_are_noisy_or_over_sentences():
+    rng = np.random.default_rng(16)
+    w = toxicity.fit(["good words here. fine talk", "vile stuff now. fine talk"] * 20, [0, 1] * 20)
+    scorer = toxicity.Scorer(w)
+    texts = ["", " ", "Vile stuff", "vile\tstuff " * 90, "fine talk! " * 50 + "vile stuff"] + [" ".join(rng.choice(["vile", "stuff", "fine", "talk.", "now"], 60)) for _ in range(20)]
+    for t in texts:
+        none = 1.0
+        for x in re.split(r"[.!?\n]+", t.lower()):
+            own = x.split()
+            for i in range(0, len(own), 40):
+                b = {b for v in own[i : i + 40] for b in toxicity.Features().buckets(v)}
+                none *= 1 - 1 / (1 + np.exp(-(w[-1] + sum(w[k] for k in b))))
+        assert scorer.score(t) == pytest.approx(1 - none, abs=1e-9)
+
+
+def test_toxicity_of_one_label_and_repeated_ids(spark):
+    d = spark.createDataFrame([(1, "some words"), (1, "other words"), (2, None), (3, "x" * 30_000)], "doc_id long, text string").selectExpr("*", "1 AS toxic", "0.5 AS score")
+    for y in (0, 1):
+        labels = spark.createDataFrame([(1, y), (1, 0), (3, y), (None, 1)], "doc_id long, toxic int")
+        got = sorted((r["doc_id"], round(r["score"])) for r in toxicity.score(d, toxicity.train(d, labels)).collect())
+        assert got == [(1, y), (1, y), (2, 0), (3, y)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     import pyspark.sql.functions as F
 
@@ -259,6 +501,13 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_copies_beside_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "w " * (3 + i % 4), "ab"[i % 2], i, i, i) for i in range(40)], "doc_id long, text string, source string, _doc_row long, _copies long, _COPY long")
+    out = mixing.take_copies(df)
+    assert out.columns == df.columns and all(r["_doc_row"] == r["_copies"] == r["_COPY"] == r["doc_id"] for r in out.collect())
+    assert mixing.take_copies(df.limit(0)).count() == 0
+
+
 def test_newton_solves_the_dual(spark):
     h = spark.createDataFrame([("a", 10, 3), ("a", 5, 2), (None, 4, 5)], "source string, size long, n long")
     t = spark.createDataFrame([("a", 80.0), (None, 10.0)], "source string, target double")
@@ -380,10 +629,28 @@ def test_routing_keeps_every_pair():
 
 
 def test_words_longer_than_a_window(monkeypatch):
-    text = ("abc " * 50 + "x" * 300 + " tail ").encode()
-    plain = jaccard_join.shingle_set(b"abc abc tail ")
-    assert len(plain) == 1
-    assert len(jaccard_join.word_hashes(text)) == 52
+    rng = np.random.default_rng(14)
+    texts = [b"", b" ", b"abc " * 50 + b"x" * 300 + b" tail ", b"x" * 41, b"a b " + b"y" * 100 + b" c d"]
+    texts += ["".join(rng.choice(list("ab \n\t"), rng.integers(0, 60), p=[0.5, 0.3, 0.1, 0.05, 0.05])).encode() for _ in range(300)]
+    want = [(len(t.split()), jaccard_join.word_hashes(t).tolist()) for t in texts]
+    assert len(jaccard_join.shingle_set(texts[4])) == 3
+    for window in (1, 2, 3, 7, 10, 64):
+        monkeypatch.setattr(jaccard_join, "WINDOW_BYTES", window)
+        for t, (n, hashes) in zip(texts, want):
+            got = jaccard_join.word_hashes(t).tolist()
+            assert len(got) == n and got == hashes
+
+
+def test_jaccard_odd_rows(spark):
+    """Repeated rows, an id with two texts, rows without an id, very long texts in tiles of their own."""
+    long = " ".join(f"w{i}" for i in range(6000))
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "A B C D"), (3, long), (4, long + " x"), (5, long + " x y"), (6, "p q r s"), (6, long + " z"), (None, "a b c d"), (None, None), (7, "p q r s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS keys", "3 AS rep")
+    for tile in (512, 2):
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard_join.similar_components(df, tile=tile).collect())
+        assert got == [(False, 1, 2, 1), (False, 1, 2, 1), (False, 2, 2, 1), (False, 3, 5998, 3), (False, 4, 5999, 3), (False, 5, 6000, 3), (False, 6, 2, 3), (False, 6, 5999, 3), (False, 7, 2, 3), (True, 0, 0, 0), (True, 0, 2, 0)]
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns and kept.where("doc_id is null").count() == 2
 
 
 # ---------------------------------------------------------------- tokens
@@ -467,12 +734,61 @@ def test_omitted_ends_lose_no_text(page, text):
     assert " ".join(b.text for b in html_extract.blocks_of(page)) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<svg class=i/><article><p>All of it.</p></article>", "All of it."),
+    ("<body class='single has-sidebar'><p>All of it, all of the words.</p>", "All of it, all of the words."),
+    ("<div class='post no-comments category-ads'><p>All of it, all of the words.</p></div>", "All of it, all of the words."),
+    ("<article><p>if a <b then c and 1 < 2 holds.</p><p>All <of it.</p></article>", "if a <b then c and 1 < 2 holds. All <of it."),
+    ("<article><header><h1>A headline</h1></header><p>All of it.</p><footer>me</footer></article>", "A headline All of it."),
+    ("<article><p>All <span class='advert'>buy <b>this</b></span> of it.</p></article>", "All of it."),
+    ("<article><p>All <span class='lead'>of</span> it.</p><div hidden>not this</div><div style='display: none'>nor this</div></article>", "All of it."),
+    ("<article><p title='hidden a > b'>All of <a href=x>it</a>.</p></article><div class='siteFooter'>me</div>", "All of it."),
+    ("<div id=content><div class=comment-list><p>Well said by me.</p></div><p>All of it, all of the words.</p></div>", "All of it, all of the words."),
+    ("<nav><ul><li><a href=x>Home</a></ul></nav><main><ul><li>All of it.</ul></main>", "All of it."),
+    ("<article><p>All of it, with sources.</p><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul><nav><a href=z>next</a></nav></article>", "All of it, with sources. one two"),
+    ("<article><p>All of it.</p><div class='comments'><p>" + "A long and thoughtful comment, with much to say. " * 30 + "</p></div></article>", "All of it."),
+    ("<article><p>All of it.</p></article><footer><p>" + "A long legal notice, with much to say. " * 30 + "</p></footer>", "All of it."),
+    ("<article><p>&lt;b&gt; &amp;amp; caf&eacute;\u00a0x &#x41;</p></article>", "<b> &amp; café x A"),
+    ("<article><table><tr><td>All<td>of it.</table><textarea>no</textarea><script>var x='</p>'</script></article>", "All of it."),
+])
+def test_main_text_of_odd_markup(page, text):
+    for w in (html_extract.PRIOR, html_extract.fit([PAGE] * 3)):
+        assert html_extract.extract_text(page, w).replace("\n\n", " ") == text
+
+
+def test_long_and_hostile_pages_take_time_that_grows_with_their_length():
+    from time import process_time
+
+    n = 30_000
+    makers = [
+        lambda n: "<a " * n, lambda n: "<a b='\"'" * n, lambda n: "<textarea>" * n, lambda n: "<button>" * n, lambda n: "<script>" * n, lambda n: "<!-- " * n,
+        lambda n: "<div>" * n + "x" + "</section></div>" * n, lambda n: "<span class=ad>" * n, lambda n: "<p>Some words, and some more.<li><a>x</a></li>" * (n // 8),
+        lambda n: "<p>Aa bb.</p>" * (n // 8) + "<li>x y z</li>" * (n // 8), lambda n: "<iframe a>x</iframe" * n,
+    ]
+    for make in makers:
+        took = []
+        for k in (n, 4 * n):
+            t = process_time()
+            html_extract.extract_text(make(k), html_extract.PRIOR)
+            took.append(process_time() - t)
+        assert took[1] < 12 * took[0] + 0.5
+
+
+def test_cut_corrects_what_the_classifier_gets_wrong():
+    """Blocks without telling markup: weak ones take the side of those around them."""
+    long = "Here is a sentence of the article, with commas, and with a number of words in it. "
+    page = f"<div><div>{long}</div><div>ok</div><div>{long}</div></div><div><div><a>menu one</a></div><div>so, it, is, a, b, c.</div><div><a>menu two</a></div></div>"
+    blocks = html_extract.blocks_of(page)
+    gain = [2.0, -0.2, 2.0, -2.0, 0.2, -2.0]
+    assert html_extract.min_cut(gain, html_extract.ties(blocks)) == [True, True, True, False, False, False]
+
+
 def test_cut_is_the_cheapest():
     rng = np.random.default_rng(13)
-    for _ in range(60):
+    for k in range(400):
         n = 7
-        gain = rng.normal(0, 1, n).tolist()
-        edges = [(i, j, float(rng.random())) for i in range(n) for j in range(i) if rng.random() < 0.4]
+        gain = rng.normal(0, (1, 0.2, 0.05)[k % 3], n).tolist()
+        edges = [(i, j, float(rng.random())) for i in range(n) for j in range(i) if rng.random() < (0.4, 0.8, 0.2)[k // 3 % 3]]
         cost = lambda s: sum(g for g, k in zip(gain, s) if g > 0 and not k) - sum(g for g, k in zip(gain, s) if g < 0 and k) + sum(w for a, b, w in edges if s[a] != s[b])
         best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert cost(html_extract.min_cut(gain, edges)) == pytest.approx(best)
@@ -489,6 +805,21 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in range(1000, 1100)) and len(got) == 301
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+
+
 def test_global_index_with_one_hot_key(spark):
     df = spark.range(500).selectExpr("id % 2 * 0 AS k", "id")
     got = sorted((r["id"], r["pos"]) for r in common.with_global_index(df.repartition(5), ["k", "id"]).collect())
