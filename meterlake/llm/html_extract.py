@@ -64,8 +64,9 @@ BAD_TAG = frozenset("nav footer header aside form menu dialog fieldset".split())
 GOOD_TAG = frozenset("article main".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+#: ``good`` is content markup without boilerplate markup inside it; such markup outweighs what text and links say.
 FEATURES = ("bias", "log_words", "link_share", "bad", "good", "heading", "paragraph", "item", "sentence", "stops", "in_list", "copyright")
-PRIOR = np.array([-1.0, 0.5, -3.0, -6.0, 3.0, 0.3, 0.5, -0.5, 0.5, 0.5, -0.5, -2.0])
+PRIOR = np.array([-1.0, 0.5, -3.0, -10.0, 6.0, 0.3, 0.5, -0.5, 0.5, 0.5, -0.5, -2.0])
 #: Places of the features that come from telling markup, and of those that come from any.
 TELLING = [FEATURES.index(f) for f in ("bad", "good")]
 MARKUP = TELLING + [FEATURES.index(f) for f in ("heading", "paragraph", "item", "in_list")]
@@ -261,7 +262,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         t = b.text
         words = t.count(" ") + 1
         rows.append((
-            1.0, min(5.0, float(np.log1p(words))), b.linked / len(t), float(b.bad), float(b.good),
+            1.0, min(5.0, float(np.log1p(words))), b.linked / len(t), float(b.bad), float(b.good and not b.bad),
             float(b.tag[:1] == "h" and len(b.tag) == 2), float(b.tag == "p"), float(b.tag == "li"), float(t[-1] in ".!?…\"'”"),
             min(3.0, float(np.log1p(t.count(". ") + t.count(", ")))), float(b.in_list), float("©" in t),
         ))
