@@ -146,14 +146,25 @@ def local_timestamp(date: Column, time: Column) -> Column:
 # ---------------------------------------------------------------- staged cells
 
 
-def reflectance_sheets(cells: DataFrame) -> DataFrame:
-    """(file_id, sheet, n, malformed, low, high): rows with a wavelength in 100 to 2500 and a number; later bad rows count."""
-    rows = cells.groupBy("file_id", "sheet", "row_idx").agg(F.max(F.when(F.col("col_idx") == 0, F.col("num"))).alias("x"), F.max(F.when(F.col("col_idx") == 1, F.col("num"))).alias("y"))
-    good = F.col("x").between(100, 2500) & F.col("y").isNotNull()
-    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+def first_sheet(cells: DataFrame) -> DataFrame:
+    """The cells of each workbook's first sheet (number 0); all where sheets are not numbered."""
+    return cells.where("sheet_idx = 0") if "sheet_idx" in cells.columns else cells
+
+
+def reflectance_rows(cells: DataFrame) -> DataFrame:
+    """(file_id, sheet, row_idx, x, y, good, bad, inside): good rows have a wavelength in 100 to 2500 and a number, bad ones two other cells; inside from the first good row on."""
+    at = lambda k, c: F.max(F.when(F.col("col_idx") == k, F.col(c)))
+    rows = cells.groupBy("file_id", "sheet", "row_idx").agg(at(0, "num").alias("x"), at(1, "num").alias("y"), at(0, "txt").alias("xt"), at(1, "txt").alias("yt"))
+    good = F.coalesce(F.col("x").between(100, 2500) & F.col("y").isNotNull(), F.lit(False))
+    there = F.coalesce(F.col("x").cast("string"), "xt").isNotNull() & F.coalesce(F.col("y").cast("string"), "yt").isNotNull()
+    rows = rows.withColumn("good", good).withColumn("bad", ~F.col("good") & there).drop("xt", "yt")
     w = Window.partitionBy("file_id", "sheet").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("inside", F.sum(F.col("good").cast("int")).over(w) > 0)
-    out = rows.groupBy("file_id", "sheet").agg(F.count_if("good").alias("n"), F.count_if(F.col("inside") & ~F.col("good")).alias("malformed"), F.min(F.when(F.col("good"), F.col("x"))).alias("low"), F.max(F.when(F.col("good"), F.col("x"))).alias("high"))
+    return rows.withColumn("inside", F.sum(F.col("good").cast("int")).over(w) > 0)
+
+
+def reflectance_sheets(cells: DataFrame) -> DataFrame:
+    """(file_id, sheet, n, malformed, low, high) of sheets with good rows; later bad rows count."""
+    out = reflectance_rows(cells).groupBy("file_id", "sheet").agg(F.count_if("good").alias("n"), F.count_if(F.col("inside") & F.col("bad")).alias("malformed"), F.min(F.when(F.col("good"), F.col("x"))).alias("low"), F.max(F.when(F.col("good"), F.col("x"))).alias("high"))
     return out.where("n > 0")
 
 
@@ -203,21 +214,37 @@ def snake(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def label_values(cells: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """(file_id, key, num, label): the first row with a keyword paired with the next row that is not empty, by column."""
+def _labelled(cells: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """(file_id, key, num, txt, label): the first row with a keyword paired with the next row that is not empty, by column; of equal keys the last."""
     has = F.exists(F.array(*map(F.lit, words)), lambda w: F.col("txt").contains(w))
     head = cells.where(has).groupBy("file_id").agg(F.min("row_idx").alias("head"))
     below = cells.join(head, "file_id").where("row_idx > head and (num is not null or txt is not null)").groupBy("file_id", "head").agg(F.min("row_idx").alias("data"))
     top = cells.join(below, "file_id").where("row_idx = head and txt is not null").select("file_id", "col_idx", F.col("txt").alias("label"))
-    low = cells.join(below, "file_id").where("row_idx = data").select("file_id", "col_idx", "num")
-    return top.join(low, ["file_id", "col_idx"]).withColumn("key", snake(F.col("label"))).where("key <> ''").groupBy("file_id", "key").agg(F.max_by("num", "col_idx").alias("num"), F.max_by("label", "col_idx").alias("label"))
+    low = cells.join(below, "file_id").where("row_idx = data").select("file_id", "col_idx", "num", "txt")
+    both = top.join(low, ["file_id", "col_idx"]).withColumn("key", snake(F.col("label"))).where("key <> ''")
+    last = both.groupBy("file_id", "key").agg(F.max_by(F.struct("num", "txt", "label"), "col_idx").alias("v"))
+    return last.select("file_id", "key", "v.num", "v.txt", "v.label")
+
+
+def label_values(cells: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """(file_id, key, num, label) of ``_labelled``."""
+    return _labelled(cells, words).drop("txt")
+
+
+def label_facts(cells: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """(file_id, labelled): a map of keys to values, numbers that are none left out, and ``key__label`` to the labels."""
+    number = F.when(~F.isnan("num") & ~F.col("num").isin(float("inf"), float("-inf")), F.col("num").cast("string"))
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    e = _labelled(cells, words).select("file_id", F.explode(F.array(entry(F.col("key"), F.coalesce(number, "txt")), entry(F.concat("key", F.lit("__label")), F.col("label")))).alias("e"))
+    e = e.groupBy("file_id", F.col("e.key").alias("key")).agg(F.max("e.value").alias("value"))
+    return e.groupBy("file_id").agg(F.map_from_entries(F.filter(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: x["value"].isNotNull())).alias("labelled"))
 
 
 def image_metadata(tags: DataFrame) -> DataFrame:
     """(file_id, metadata, instrument, measured_at) of image tags (file_id, tag_no, value)."""
     names = tags.sparkSession.createDataFrame(list(IMAGE_TAGS.items()), "tag_no int, name string")
     t = tags.join(F.broadcast(names), "tag_no")
-    pick = lambda n: F.max(F.when(F.col("name") == n, F.trim("value")))
+    pick = lambda n: F.max(F.when((F.col("name") == n) & (F.trim("value") != ""), F.trim("value")))
     out = t.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("metadata"), F.concat_ws(" ", pick("make"), pick("model")).alias("instrument"), pick("datetime").alias("dt"))
     return out.select("file_id", "metadata", "instrument", F.try_to_timestamp("dt", F.lit("yyyy:MM:dd HH:mm:ss")).alias("measured_at"))
 

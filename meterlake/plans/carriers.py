@@ -159,3 +159,47 @@ def instrument_files(spark: SparkSession, sf: str) -> DataFrame:
     turn = (i % len(kinds) + 1).cast("int")
     rel = F.concat(F.lit("src"), (i % 3).cast("string"), F.lit("/XRD/scan "), i.cast("string"), F.element_at(F.array(*[F.lit(x) for _, x in kinds]), turn))
     return e.select(F.concat(F.lit("lake/"), rel).alias("path"), rel.alias("rel_path"), F.element_at(F.array(*[k for k, _ in kinds]), turn).cast("binary").alias("content"), "vec_id")
+
+
+def workbooks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Workbook files (path, rel_path, content) and their staged cells: reflectance, property and Hall books by turns of three, every other one with a second sheet."""
+    k, row = F.col("file_id"), F.col("row_idx")
+    named = F.concat(F.lit("book "), k.cast("string"), F.when(k % 3 == 2, ".xls").otherwise(".xlsx"))
+    base = cells(spark, sf)
+    first = base.where((k % 3 != 0) | (row > 0)).select(k, F.lit(0).alias("sheet_idx"), "sheet", "row_idx", "col_idx", "num", "txt")
+    second = base.where((k % 2 == 0) & (row > 1)).select(k, F.lit(1).alias("sheet_idx"), F.lit("Z").alias("sheet"), "row_idx", "col_idx", "num", "txt")
+    staged = first.unionByName(second).withColumn("path", F.concat(F.lit("lake/books/"), named)).drop("file_id")
+    files = read(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id")).select(F.concat(F.lit("lake/books/"), named).alias("path"), F.concat(F.lit("books/"), named).alias("rel_path"), k.cast("string").cast("binary").alias("content"))
+    return files, staged
+
+
+#: Of each book its turn, and its good rows by sheet as each kind of parser counts them.
+WORKBOOKS = CELLS + """, wide AS (SELECT file_id, sheet, row_idx, max(num) FILTER (col_idx = 0) AS x, max(num) FILTER (col_idx = 1) AS y FROM cells GROUP BY ALL),
+two AS (SELECT file_id, sheet, 0 AS sheet_idx, row_idx, x, y FROM wide WHERE file_id % 3 <> 0 OR row_idx > 0 UNION ALL SELECT file_id, 'Z', 1, row_idx, x, y FROM wide WHERE file_id % 2 = 0 AND row_idx > 1),
+good AS (SELECT *, coalesce(x BETWEEN 100 AND 2500 AND y IS NOT NULL, false) AS good FROM two),
+books AS (SELECT o.o_orderkey AS file_id, o.o_orderkey % 3 AS kind, 'lake/books/book ' || CAST(o.o_orderkey AS VARCHAR) || CASE WHEN o.o_orderkey % 3 = 2 THEN '.xls' ELSE '.xlsx' END AS path,
+  coalesce(count(*) FILTER (g.good AND g.sheet_idx = 0 AND g.row_idx < 20), 0) AS wavelengths, coalesce(count(*) FILTER (g.sheet_idx = 0 AND g.row_idx > 0 AND g.y IS NOT NULL), 0) AS properties, coalesce(max(g.row_idx) FILTER (g.sheet_idx = 0), -1) AS last_row
+  FROM orders o LEFT JOIN good g ON g.file_id = o.o_orderkey GROUP BY ALL)"""
+
+
+def images(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Image files (path, rel_path, content) and their staged tags: some without the magic bytes, some without tags, some with a broken time."""
+    p, k = read(spark, sf, "part"), F.col("p_partkey")
+    rel = F.concat(F.when(k % 3 == 0, "HR-TEM/").when(k % 3 == 1, "images/").otherwise("STEM/"), k.cast("string"), F.lit(".tif"))
+    path = F.concat(F.lit("lake/"), rel)
+    files = p.select(path.alias("path"), rel.alias("rel_path"), F.concat(F.when(k % 4 == 3, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.unhex(F.lit("4D4D002A"))), k.cast("string").cast("binary")).alias("content"))
+    when = F.when(F.col("p_size") % 7 == 0, "last week").otherwise(F.concat(F.lit("2025:04:28 11:21:"), F.lpad((F.col("p_size") % 40 + 11).cast("string"), 2, "0")))
+    tag = lambda n, v: F.struct(F.lit(n).alias("tag_no"), v.alias("value"))
+    tags = p.where(k % 5 != 4).select(path.alias("path"), F.explode(F.array(tag(271, F.col("p_brand")), tag(272, F.when(k % 2 == 0, F.col("p_type")).otherwise("")), tag(306, when), tag(999, F.lit("x")))).alias("t"))
+    return files, tags.select("path", "t.tag_no", "t.value")
+
+
+def event_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(user_id, idx, value): lines of pairs, one file a user."""
+    return scans(spark, sf).select(F.col("measurement_id").alias("user_id"), "idx", F.concat_ws(" ", F.col("idx").cast("string"), F.col("y").cast("string")).alias("value"))
+
+
+def write_files(lines: DataFrame, user: str, folder: str) -> None:
+    """One text file for each value of ``user``, in a folder named after it; a file that is there already is replaced."""
+    n = max(1, lines.sparkSession.sparkContext.defaultParallelism)
+    lines.select(F.col(user).alias("user"), "idx", "value").repartition(n, "user").sortWithinPartitions("user", "idx").select("user", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user").text(folder)

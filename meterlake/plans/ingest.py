@@ -10,6 +10,7 @@ from ..functions import names as N
 from ..operators import catalog, classify, curves, ingest, parsing, reports
 from ..sources import files as files_source
 from ..sources.durable import shared_root
+from ..sources.store import Store
 from . import carriers as c
 from .registry import query
 
@@ -375,3 +376,88 @@ def _(spark, sf):
 def _(spark, sf):
     got = _ingested(spark, sf)
     return got.issues.join(got.measurements.select("measurement_id", "path"), "measurement_id").select("path", "field", "severity")
+
+
+# ---------------------------------------------------------------- staged workbooks and images
+
+BOOKS = f"WITH {c.WORKBOOKS} "
+
+
+def _workbooks(spark, sf):
+    files, cells = c.workbooks(spark, sf)
+    return ingest.ingest(files, cells=cells)
+
+
+query("e01_workbook_outcomes", BOOKS + "SELECT path, CASE WHEN kind = 0 AND wavelengths >= 3 THEN 'reflectance-cells-xlsx' WHEN kind = 1 AND last_row >= 0 THEN 'property-cells-xlsx' WHEN kind = 2 AND last_row >= 0 THEN 'hall-cells-xls' END AS parser_name, CASE WHEN kind = 0 THEN CASE WHEN wavelengths >= 3 THEN 'parsed' ELSE 'unclassified' END WHEN last_row < 0 THEN 'unclassified' WHEN kind = 1 THEN CASE WHEN properties = 0 THEN 'parsed_with_issues' ELSE 'parsed' END WHEN last_row = 0 THEN 'parsed_with_issues' ELSE 'parsed' END AS outcome FROM books")(
+    lambda s, d: _workbooks(s, d).outcomes.select("path", "parser_name", "outcome")
+)
+
+
+@query("e01_workbook_sheets", BOOKS + ", m AS (SELECT b.path, g.sheet, 'uv_drs' AS technique, count(*) AS n, min(x) AS low, max(x) AS high FROM books b JOIN good g USING (file_id) WHERE b.kind = 0 AND b.wavelengths >= 3 AND g.good GROUP BY ALL UNION ALL SELECT b.path, CASE WHEN b.file_id % 3 = 0 THEN 'A' ELSE 'B' END, 'thermoelectric', b.properties, min(x) FILTER (y IS NOT NULL AND row_idx > 0), max(x) FILTER (y IS NOT NULL AND row_idx > 0) FROM books b JOIN good g USING (file_id) WHERE b.kind = 1 AND g.sheet_idx = 0 GROUP BY b.path, b.file_id, b.properties UNION ALL SELECT path, 'book ' || CAST(file_id AS VARCHAR), 'hall', 0, NULL, NULL FROM books WHERE kind = 2 AND last_row >= 0) SELECT path, CASE WHEN technique = 'hall' THEN NULL ELSE sheet END AS sheet, technique, n, low, high FROM m")
+def _(spark, sf):
+    """Every sheet that holds data is a measurement."""
+    got = _workbooks(spark, sf)
+    ends = got.points.groupBy("measurement_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return got.measurements.join(ends, "measurement_id", "left").select("path", F.col("part").alias("sheet"), "technique", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "low", "high")
+
+
+@query("e01_workbook_issues", BOOKS + "SELECT path, sheet, 'data' AS field, 'warning' AS severity FROM (SELECT b.path, g.sheet, min(row_idx) FILTER (good) AS start, max(row_idx) FILTER (NOT good AND row_idx > 0) AS last_bad FROM books b JOIN good g USING (file_id) WHERE b.kind = 0 AND b.wavelengths >= 3 GROUP BY ALL) WHERE start < last_bad UNION ALL SELECT path, 'B', 'data', 'error' FROM books WHERE kind = 1 AND last_row >= 0 AND properties = 0 UNION ALL SELECT path, NULL, 'data', 'error' FROM books WHERE kind = 2 AND last_row = 0")
+def _(spark, sf):
+    got = _workbooks(spark, sf)
+    return got.issues.join(got.measurements.select("measurement_id", "path", F.col("part").alias("sheet")), "measurement_id").select("path", "sheet", "field", "severity")
+
+
+@query("e01_workbook_arrays", BOOKS + ", v AS (SELECT p.path, c.* FROM books p JOIN cells c USING (file_id) WHERE p.kind = 1 AND c.row_idx > 0 AND NOT EXISTS (SELECT 1 FROM wide w WHERE w.file_id = c.file_id AND w.row_idx = c.row_idx AND w.y IS NULL)) SELECT path, (['temperature_k', 'seebeck_uvk', 'resistivity_ohm_m', 'thermal_conductivity'])[col_idx + 1] AS name, count(*) AS n, round(sum(num), 4) AS total FROM v WHERE col_idx < 4 GROUP BY ALL")
+def _(spark, sf):
+    got = _workbooks(spark, sf)
+    named = got.arrays.join(got.measurements.select("measurement_id", "path"), "measurement_id")
+    return named.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("e01_workbook_labels", BOOKS + "SELECT b.path, regexp_replace(regexp_replace(lower(h.txt), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key, h.txt AS label, v.num FROM books b JOIN cells h USING (file_id) LEFT JOIN cells v ON v.file_id = b.file_id AND v.row_idx = 1 AND v.col_idx = h.col_idx WHERE b.kind = 2 AND b.last_row > 0 AND h.row_idx = 0")
+def _(spark, sf):
+    """Labels and values of Hall books, from the metadata of their measurements."""
+    m = _workbooks(spark, sf).measurements.where("technique = 'hall'").select("path", F.explode("metadata").alias("key", "value"))
+    label = m.where(F.col("key").endswith("__label")).select("path", F.regexp_replace("key", "__label$", "").alias("key"), F.col("value").alias("label"))
+    return label.join(m, ["path", "key"], "left").select("path", "key", "label", F.col("value").cast("double").alias("num"))
+
+
+IMAGES = "WITH i AS (SELECT p_partkey AS k, 'lake/' || (['HR-TEM/', 'images/', 'STEM/'])[p_partkey % 3 + 1] || CAST(p_partkey AS VARCHAR) || '.tif' AS path, p_partkey % 4 = 3 AS other, p_partkey % 5 = 4 AS bare, * FROM part) "
+
+
+@query("e01_image_facts", IMAGES + "SELECT path, (['tem', 'sem', 'stem'])[k % 3 + 1] AS technique, CASE WHEN bare THEN 'Microscopy (.tif)' WHEN k % 2 = 0 THEN p_brand || ' ' || p_type ELSE p_brand END AS instrument, CASE WHEN NOT bare AND p_size % 7 <> 0 THEN CAST('2025-04-28 11:21:11' AS TIMESTAMP) + INTERVAL 1 SECOND * (p_size % 40) END AS measured_at FROM i WHERE NOT other")
+def _(spark, sf):
+    files, tags = c.images(spark, sf)
+    m = ingest.ingest(files, tags=tags).measurements
+    return m.select("path", "technique", F.col("metadata")["instrument"].alias("instrument"), F.col("measured_at").cast("timestamp_ntz").alias("measured_at"))
+
+
+@query("e01_image_issues", IMAGES + "SELECT path, CASE WHEN bare THEN 'data' WHEN p_size % 7 = 0 THEN 'datetime' ELSE 'measured_at' END AS field, CASE WHEN bare THEN 'error' ELSE 'warning' END AS severity FROM i WHERE NOT other")
+def _(spark, sf):
+    files, tags = c.images(spark, sf)
+    got = ingest.ingest(files, tags=tags)
+    return got.issues.join(got.measurements.select("measurement_id", "path"), "measurement_id").select("path", "field", "severity")
+
+
+# ---------------------------------------------------------------- two-phase ingest of folders
+
+
+@query("s03_two_phase_ingest", "SELECT user_id, CASE WHEN user_id % 3 = 0 OR user_id % 5 = 1 THEN 'parsed' ELSE 'cached' END AS outcome, user_id % 3 = 0 OR user_id % 5 IN (1, 2) AS opened, count(*) AS n, round(sum(CASE WHEN user_id % 3 <> 0 AND user_id % 5 = 1 THEN value + 1 ELSE value END), 4) AS total FROM events GROUP BY user_id")
+def _(spark, sf):
+    """A folder ingested twice: between the runs files come (3), change (5 + 1) and are written again as they were (5 + 2); the rest is not opened."""
+    root, at = (f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}" for what in ("folder", "store"))
+    lines, store = c.event_lines(spark, sf), Store(spark, at)
+    k = F.col("user_id")
+    c.write_files(lines.where(k % 3 != 0), "user_id", root)
+    ingest.ingest_folder(spark, root, store)
+    raised = lines.withColumn("value", F.concat_ws(" ", F.split_part("value", F.lit(" "), F.lit(1)), (F.split_part("value", F.lit(" "), F.lit(2)).cast("double") + 1).cast("string")))
+    c.write_files(lines.where((k % 3 == 0) | (k % 5 == 2)).unionByName(raised.where((k % 3 != 0) & (k % 5 == 1))), "user_id", root)
+    outcomes = ingest.ingest_folder(spark, root, store)
+    last = store.commits().agg(F.max_by("batch", "seq")).first()[0]
+    user = F.regexp_extract("path", "user=([0-9]+)", 1).cast("long").alias("user_id")
+    opened = store.table(ingest.SNAPSHOT).where(F.col("batch") == last).select("path", F.lit(True).alias("opened"))
+    # a file written again has another path; its measurement is the one of its content
+    m, points = store.table("measurements"), store.table("points")
+    sums = points.groupBy("measurement_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 4).alias("total"))
+    held = m.join(sums, "measurement_id").select("sha256", "n", "total")
+    return outcomes.join(opened, "path", "left").join(held, "sha256").select(user, "outcome", F.coalesce("opened", F.lit(False)).alias("opened"), "n", "total")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What a scan leaves out.
@@ -27,12 +29,50 @@ def relative(path: Column, root: str) -> Column:
     return F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
 
 
+def _located(found: DataFrame, root: str, *more: str) -> DataFrame:
+    """What the file source gives, under this package's names and without unwanted files."""
+    base = (root if ":" in root else f"file:{root}").replace("file:///", "file:/")
+    named = found.select("path", relative(F.regexp_replace("path", "^file:/+", "file:/"), base).alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), *more)
+    return named.where(is_wanted(F.col("rel_path")))
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, rel_path, size_bytes, mtime) of wanted files. No file is opened: the plan asks for no content."""
+    return _located(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, rel_path, size_bytes, mtime, content) of wanted files. Spark's own listing hides empty files and names that begin with ``_``."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root if ":" in root else f"file:{root}"
-    named = found.select("path", relative(F.regexp_replace("path", "^file:/+", "file:/"), base.replace("file:///", "file:/")).alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), "content")
-    return named.where(is_wanted(F.col("rel_path")))
+    return _located(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, "content")
+
+
+#: Paths that the driver names to one read.
+PATHS_AT_ONCE = 20_000
+
+
+def _literal(path: str) -> str:
+    """``path`` with what a reader would take for a pattern escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def read_contents(spark: SparkSession, root: str, wanted: DataFrame, n_wanted: int, n_listed: int, at_once: int = PATHS_AT_ONCE) -> list[DataFrame]:
+    """Files of ``wanted`` (path) with their content, as one or several DataFrames like that of ``scan_files``.
+
+    If half of all files or more are wanted, one scan reads them all and keeps the wanted; else each part reads at most about
+    ``at_once`` files by path, so that neither the unchanged files are opened nor many paths reach the driver at once. Spark packs
+    the files of a read into tasks of ``spark.sql.files.maxPartitionBytes``.
+    """
+    if n_wanted == 0:
+        return []
+    if 2 * n_wanted >= n_listed:
+        return [scan_files(spark, root).join(wanted.select("path"), "path", "left_semi")]
+    parts = -(-n_wanted // at_once)
+    out = []
+    for k in range(parts):
+        paths = [r["path"] for r in wanted.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == k).select("path").distinct().collect()]
+        if paths:
+            out.append(_located(spark.read.format("binaryFile").load([_literal(p) for p in paths]), root, "content"))
+    return out
 
 
 def with_sha256(df: DataFrame, content: str = "content") -> DataFrame:

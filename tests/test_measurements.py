@@ -329,11 +329,15 @@ def test_stream_takes_each_content_once(spark, tmp_path):
     (tmp_path / "in" / "d.txt").write_text(pairs(2))
     (tmp_path / "in" / "e.txt").write_text(pairs(3))
     go()
-    got = spark.read.parquet(str(tmp_path / "t" / "measurements"))
+    from meterlake.streaming import stored
+
+    at = str(tmp_path / "t")
+    got = stored(spark, at, "measurements")
     assert got.count() == 3 and got.select("sha256").distinct().count() == 3
-    assert spark.read.parquet(str(tmp_path / "t" / "points")).count() == 27
-    outcomes = sorted((r["path"][-5:], r["outcome"]) for r in spark.read.parquet(str(tmp_path / "t" / "outcomes")).collect())
+    assert stored(spark, at, "points").count() == 27
+    outcomes = sorted((r["path"][-5:], r["outcome"]) for r in stored(spark, at, "outcomes").collect())
     assert outcomes == [("a.txt", "parsed"), ("c.txt", "parsed"), ("d.txt", "cached"), ("e.txt", "parsed")]
+    assert not (tmp_path / "t" / "routed" / "batch=x").exists() and not list((tmp_path / "t" / "routed").glob("batch=*"))
 
 
 FILES = {
