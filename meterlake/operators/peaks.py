@@ -98,20 +98,22 @@ def _prepare(pdf: pd.DataFrame, o: dict) -> pd.DataFrame | str:
     sigma = MAD_TO_SIGMA * float(np.median(np.abs(d - np.median(d)))) / 2**0.5
     threshold = max(NOISE_TIMES * sigma, o["share"] * float(c.max()))
     found = find_peaks(s, threshold, max(1, round(o["distance_deg"] / step)), o["least_width"])
+    n_found = len(found)
     found = sorted(sorted(found, key=lambda f: (-s[f[0]], f[0]))[: o["most"]])
     peak, width = np.zeros(len(c), bool), np.zeros(len(c))
     for i, _, w in found:
         peak[i], width[i] = True, w
-    return pdf.assign(idx=np.arange(len(c), dtype=np.int32), baseline=base, corrected=c, smooth=s, sigma=sigma, threshold=threshold, step=step, is_peak=peak, width=width)
+    return pdf.assign(idx=np.arange(len(c), dtype=np.int32), baseline=base, corrected=c, smooth=s, sigma=sigma, threshold=threshold, step=step, is_peak=peak, width=width, n_found=n_found)
 
 
-_PREPARED = {"baseline": 0.0, "corrected": 0.0, "smooth": 0.0, "sigma": 0.0, "threshold": 0.0, "step": 0.0, "is_peak": False, "width": 0.0}
+_PREPARED = {"baseline": 0.0, "corrected": 0.0, "smooth": 0.0, "sigma": 0.0, "threshold": 0.0, "step": 0.0, "is_peak": False, "width": 0.0, "n_found": 0}
 
 
 def prepared(points: DataFrame, params: dict | None = None) -> DataFrame:
-    """(measurement_id, idx, x, y, baseline, corrected, smooth, sigma, threshold, step, is_peak, width): one group a scan.
+    """(measurement_id, idx, x, y, baseline, corrected, smooth, sigma, threshold, step, is_peak, width, n_found): one group a scan.
 
-    Scans that can't be analysed have no points here; ``peak_table`` says why.
+    Scans that can't be analysed have no points here; ``peak_table`` says why. Of more than ``most`` peaks the highest are marked;
+    ``n_found`` counts all (see ``capped``).
     """
     o = DEFAULTS | (params or {})
 
@@ -122,10 +124,25 @@ def prepared(points: DataFrame, params: dict | None = None) -> DataFrame:
             out = str(e)
         return pdf.iloc[:0].assign(**_PREPARED) if isinstance(out, str) else out
 
-    kinds = f"{M} long, idx int, x double, y double, baseline double, corrected double, smooth double, sigma double, threshold double, step double, is_peak boolean, width double"
+    kinds = f"{M} {_kind(points)}, idx int, x double, y double, baseline double, corrected double, smooth double, sigma double, threshold double, step double, is_peak boolean, width double, n_found int"
     return points.select(M, "idx", "x", "y").groupBy(M).applyInPandas(run, kinds)
 
 
+def _kind(points: DataFrame) -> str:
+    return points.schema[M].dataType.simpleString()
+
+
+def capped(points: DataFrame, params: dict | None = None) -> DataFrame:
+    """(measurement_id, field, severity, message): a warning for every scan of ``prepared`` with more peaks than are kept."""
+    most = (DEFAULTS | (params or {}))["most"]
+    over = points.groupBy(M).agg(F.max("n_found").alias("n")).where(F.col("n") > most)
+    return over.select(M, F.lit("peaks").alias("field"), F.lit("warning").alias("severity"), _cap_message(F.col("n").cast("string"), most).alias("message"))
+
+
+def _cap_message(n: Column, most: int) -> Column:
+    return F.concat(n, F.lit(f" peaks, of which the {most} highest are kept"))
+
+
 def detect_peaks(points: DataFrame, params: dict | None = None) -> DataFrame:
     """(measurement_id, idx, x, height, width, cluster) of scans."""
     p = prepared(points, params).where("is_peak").select(M, "idx", "x", F.col("smooth").alias("height"), "width")
@@ -242,7 +259,7 @@ def fit_peak_clusters(points: DataFrame, peaks: DataFrame, params: dict | None =
         out.insert(1, "cluster", pdf["cluster"].iloc[0])
         return out.assign(issue=got if isinstance(got, str) else None)
 
-    return own.groupBy(M, "cluster").applyInPandas(run, f"{M} long, cluster int, center double, height double, fwhm double, area double, fraction double, sigma double, issue string")
+    return own.groupBy(M, "cluster").applyInPandas(run, f"{M} {_kind(own)}, cluster int, center double, height double, fwhm double, area double, fraction double, sigma double, issue string")
 
 
 def physical(fits: DataFrame, points: DataFrame) -> DataFrame:
@@ -279,15 +296,20 @@ def _groups(at: list[int], width: list[float], times: float) -> list[list[int]]:
     return out
 
 
-def _table_row(pdf: pd.DataFrame, o: dict) -> dict:
-    """All of a scan's analysis in one pass: peaks, statistics and issues."""
+CURVE = ("x", "observed", "baseline", "fit", "residual")
+
+
+def _analysed(pdf: pd.DataFrame, o: dict) -> tuple[dict, pd.DataFrame | None]:
+    """All of a scan's analysis in one pass: peaks, statistics and issues, and the curve with baseline and fit."""
     p = _prepare(pdf, o)
     if isinstance(p, str):
-        return {"state": "error", "issues": [p]}
+        return {"state": "error", "issues": [p]}, None
     x, c, width = p["x"].to_numpy(float), p["corrected"].to_numpy(float), p["width"].to_numpy()
     step, sigma = float(p["step"].iloc[0]), float(p["sigma"].iloc[0])
     at = np.flatnonzero(p["is_peak"].to_numpy())
     fits, issues, model = [], [], np.zeros(len(x))
+    if (n := int(p["n_found"].iloc[0])) > len(at):
+        issues.append(f"{n} peaks, of which the {o['most']} highest are kept")
     for own in _groups(at.tolist(), width[at].tolist(), o["times"]):
         i = at[own]
         w = o["times"] * width[i].max()
@@ -309,10 +331,52 @@ def _table_row(pdf: pd.DataFrame, o: dict) -> dict:
     elif r2 < R2_WARN:
         issues.append("poor fit")
     names = ("center", "height", "fwhm", "area", "fraction")
+    base, y = p["baseline"].to_numpy(float), p["y"].to_numpy(float)
+    curve = pd.DataFrame({"idx": p["idx"].to_numpy(), "x": x, "observed": y, "baseline": base, "fit": model + base, "residual": y - model - base})
     return {
         "state": "warning" if issues else "ok", "n_peaks": len(good), "peaks": [dict(zip(names, f)) for f in good], "r2": r2,
         "reduced_chi2": rss / max(1, len(x) - 4 * len(good)) / max(sigma * sigma, 1e-30), "sigma": sigma, "issues": list(dict.fromkeys(issues)),
-    }
+    }, curve
+
+
+TABLE = ("n_peaks", "peaks", "r2", "reduced_chi2", "sigma", "state", "issues")
+
+
+def _row(pdf: pd.DataFrame, o: dict) -> tuple[dict, pd.DataFrame | None]:
+    try:
+        row, curve = _analysed(pdf, o)
+    except Exception as e:
+        row, curve = {"state": "error", "issues": [f"{type(e).__name__}: {e}"]}, None
+    return {"n_peaks": 0, "peaks": [], "r2": None, "reduced_chi2": None, "sigma": None} | row | {M: pdf[M].iloc[0]}, curve
+
+
+_PEAK = "struct<center:double,height:double,fwhm:double,area:double,fraction:double>"
+_TABLE_KINDS = f"n_peaks int, peaks array<{_PEAK}>, r2 double, reduced_chi2 double, sigma double, state string, issues array<string>"
+
+
+def analyse(points: DataFrame, params: dict | None = None) -> DataFrame:
+    """Table rows and curves of one pass, by ``tag``: one ``result`` a scan as of ``peak_table``, and its points (idx, x, observed, baseline, fit, residual) under ``curve``.
+
+    One group a scan is fitted once; write the result and take either part of it. The fit is that of all fitted peaks.
+    """
+    o = DEFAULTS | (params or {})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, curve = _row(pdf, o)
+        head = pd.DataFrame([row | {"tag": "result"}])
+        both = head if curve is None else pd.concat([head, curve.assign(**{M: row[M], "tag": "curve"})], ignore_index=True)
+        out = both.reindex(columns=[M, "tag", *TABLE, "idx", *CURVE])
+        for k, v in out.items():
+            if k in ("n_peaks", "idx"):
+                out[k] = v.astype("Int32")
+            elif k in ("r2", "reduced_chi2", "sigma", *CURVE):
+                out[k] = v.astype(float)
+            else:
+                out[k] = v.astype(object).where(v.notna(), None)
+        return out
+
+    kinds = f"{M} {_kind(points)}, tag string, {_TABLE_KINDS}, idx int, " + ", ".join(f"{k} double" for k in CURVE)
+    return points.select(M, "idx", "x", "y").groupBy(M).applyInPandas(run, kinds)
 
 
 def peak_table(points: DataFrame, params: dict | None = None) -> DataFrame:
@@ -322,16 +386,8 @@ def peak_table(points: DataFrame, params: dict | None = None) -> DataFrame:
     above the baseline, or any failure inside), in which case there are no numbers.
     """
     o = DEFAULTS | (params or {})
-    columns = [M, "n_peaks", "peaks", "r2", "reduced_chi2", "sigma", "state", "issues"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            row = _table_row(pdf, o)
-        except Exception as e:
-            row = {"state": "error", "issues": [f"{type(e).__name__}: {e}"]}
-        row = {"n_peaks": 0, "peaks": [], "r2": None, "reduced_chi2": None, "sigma": None} | row | {M: pdf[M].iloc[0]}
-        return pd.DataFrame([row])[columns].astype({k: float for k in ("r2", "reduced_chi2", "sigma")})
+        return pd.DataFrame([_row(pdf, o)[0]])[[M, *TABLE]].astype({k: float for k in ("r2", "reduced_chi2", "sigma")})
 
-    peak = "struct<center:double,height:double,fwhm:double,area:double,fraction:double>"
-    kinds = f"{M} long, n_peaks int, peaks array<{peak}>, r2 double, reduced_chi2 double, sigma double, state string, issues array<string>"
-    return points.select(M, "idx", "x", "y").groupBy(M).applyInPandas(run, kinds)
+    return points.select(M, "idx", "x", "y").groupBy(M).applyInPandas(run, f"{M} {_kind(points)}, {_TABLE_KINDS}")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Window, functions as F
 
 from ..operators import curves as C, peaks as P
+from ..sources.durable import shared_root
 from . import carriers as c
 from .registry import query
 
@@ -81,6 +83,13 @@ def _(spark, sf):
     return _r(g, "band_gap", "r2", digits=4).select(M, "band_gap", "r2", "n")
 
 
+@query("a02_curve_sums", f"WITH {TAUC} SELECT measurement_id, count(*) AS n, round(sum(energy), 3) AS energy, round(sum(t), 2) AS t, round(sum(slope * energy + intercept), 2) AS line FROM tauc JOIN fitted USING (measurement_id) GROUP BY measurement_id")
+def _(spark, sf):
+    """The curves of all spectra, one row of sums each."""
+    p = spectra(spark, sf).select(M, "idx", "x", "y")
+    return C.band_gap_curve(p, C.band_gap(p)).groupBy(M).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("energy"), 3).alias("energy"), F.round(F.sum("t"), 2).alias("t"), F.round(F.sum("line"), 2).alias("line"))
+
+
 query("x10_photon_energy", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity - 10 > 0 THEN round(1240.0 / (l_quantity - 10), 9) END AS energy FROM lineitem")(lambda s, d: c.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(C.photon_energy(F.col("l_quantity") - 10), 9).alias("energy")))
 query("x11_percent_autoscale", SCANS + "SELECT measurement_id, idx, top > 1.5 AS was_percent, round(least(greatest(CASE WHEN top > 1.5 THEN y / 100 ELSE y END, 1e-4), 1.0), 9) AS y FROM (SELECT *, max(y) OVER (PARTITION BY measurement_id) AS top FROM scans)")(lambda s, d: _autoscale(s, d))
 
@@ -262,3 +271,42 @@ def _(spark, sf):
     out = service.run_analysis(m, spectra(spark, sf).select(M, "idx", "x", "y"), stored, a)
     gap = F.get_json_object("outputs", "$.band_gap").cast("double")
     return out.select(M, (gap == 0).alias("reused"), F.round(gap, 5).alias("band_gap"))
+
+
+@query("a12_stored_curves", f"WITH {TAUC}, s AS (SELECT measurement_id, count(*) AS n, sum(energy) AS energy, sum(slope * energy + intercept) AS line FROM tauc JOIN fitted USING (measurement_id) GROUP BY measurement_id) SELECT measurement_id, 'energy' AS name, n, round(energy, 3) AS total FROM s UNION ALL SELECT measurement_id, 'line', n, round(line, 2) FROM s")
+def _(spark, sf):
+    """Derived curves that a run stored, found again by the ids of its results."""
+    out, stored = _stored_run(spark, sf, "band-gap", "uv_drs", spectra(spark, sf))
+    sums = stored.join(out.select("result_id"), "result_id", "left_semi").groupBy(M, "name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    return sums.where("name in ('energy', 'line')").select(M, "name", "n", F.when(F.col("name") == "energy", F.round("v", 3)).otherwise(F.round("v", 2)).alias("total"))
+
+
+@query("a12_stored_fits", f"WITH {DIFFRACTION} SELECT measurement_id, count(*) AS n, CAST(4 AS BIGINT) AS n_peaks, true AS adds_up, round(sum(y), 2) AS observed FROM diffraction GROUP BY measurement_id")
+def _(spark, sf):
+    """Peak tables and fitted curves of one pass: the stored curve is its scan's, and fit and residual add up to it."""
+    out, stored = _stored_run(spark, sf, "peak-table", "xrd", diffraction(spark, sf))
+    total = lambda name: F.sum(F.when(F.col("name") == name, F.col("value")))
+    sums = stored.groupBy(M).agg(F.count_if(F.col("name") == "observed").alias("n"), (F.abs(total("observed") - total("fit") - total("residual")) < 1e-6).alias("adds_up"), F.round(total("observed"), 2).alias("observed"))
+    return out.join(sums, M).select(M, "n", F.get_json_object("outputs", "$.n_peaks").cast("long").alias("n_peaks"), "adds_up", "observed")
+
+
+def _stored_run(spark, sf, name, technique, points):
+    from ..operators import service
+
+    path = f"{shared_root(spark)}/derived-{uuid.uuid4().hex}"
+    m = c.read(spark, sf, "embeddings").select(F.col("vec_id").alias(M), F.lit(technique).alias("technique"))
+    none = spark.createDataFrame([], f"{M} long, analyzer_name string, params_fp string, analyzer_version string, outputs string, issues array<string>, result_id string")
+    out = service.run_analysis(m, points.select(M, "idx", "x", "y"), none, service.default_registry().by_name[name], derived=path)
+    return out, spark.read.parquet(path)
+
+
+@query("a12_complete_outcome", f"WITH {TAUC} SELECT e.vec_id AS measurement_id, CASE WHEN e.vec_id % 3 = 0 THEN 'no arrays' ELSE '' END AS issue, CASE WHEN e.vec_id % 3 <> 0 THEN round(-intercept / slope, 5) END AS band_gap FROM embeddings e JOIN fitted f ON f.measurement_id = e.vec_id")
+def _(spark, sf):
+    """A row for every measurement asked for, with points or without."""
+    from ..operators import service
+
+    m = c.read(spark, sf, "embeddings").select(F.col("vec_id").alias(M), F.lit("uv_drs").alias("technique"))
+    none = spark.createDataFrame([], f"{M} long, analyzer_name string, params_fp string, analyzer_version string, outputs string, issues array<string>")
+    out = service.run_analysis(m, spectra(spark, sf).select(M, "idx", "x", "y").where(f"{M} % 3 <> 0"), none, service.default_registry().by_name["band-gap"])
+    issue = F.when(F.array_contains("issues", service.NO_ARRAYS), service.NO_ARRAYS).otherwise("").alias("issue")
+    return out.select(M, issue, F.round(F.get_json_object("outputs", "$.band_gap").cast("double"), 5).alias("band_gap"))
