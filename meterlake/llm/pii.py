@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -474,20 +476,20 @@ def find_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: those and the field's that overlap none of them; by kind, then start."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    extra, at = [], 0
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+    def met(a: int, b: int) -> bool:
+        """Whether a base span overlaps this stretch: of those that start before its end the one that reaches furthest."""
+        k = bisect_left(starts, b)
+        return k > 0 and reach[k - 1] > a
+
+    extra = []
     for tokens in stretches(text):
-        while at < len(taken) and taken[at][1] <= tokens[0][0]:
-            at += 1
-        near = []
-        for a, b in taken[at:]:
-            if a >= tokens[-1][1]:
-                break
-            near.append((a, b))
-        if near and all(any(a < e and s < b for s, e in near) for a, b in tokens if _MARK.search(text, a, b)):
+        if met(tokens[0][0], tokens[-1][1]) and all(met(a, b) for a, b in tokens if _MARK.search(text, a, b)):
             continue  # every candidate meets a base span
         for k, i, j in viterbi(text, tokens, field):
             a, b = tokens[i][0], tokens[j - 1][1]
-            if not any(a < e and s < b for s, e in near):
+            if not met(a, b):
                 extra.append((k, a, b))
     return base, sorted({*base, *extra})
 
