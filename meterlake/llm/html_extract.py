@@ -53,16 +53,24 @@ _HIDDEN_WORD = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.I)
 _NOT_SHOWN = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 #: Parts of class, id and role names that mark boilerplate or content.
 BAD_NAME = frozenset(
-    "ad ads advert adverts advertisement adsense alert banner breadcrumb breadcrumbs button comment comments commentlist complementary consent contentinfo cookie cookies disqus dialog disclaimer footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notification pagination popup promo promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
+    "ad ads advert adverts advertisement adsense alert banner breadcrumb breadcrumbs button comment comments commentlist complementary consent contentinfo cookie cookies disqus dialog disclaimer footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notification pagination popup promo promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar".split()
 )
 GOOD_NAME = frozenset("article content entry main post story text body".split())
 #: Those that mark an advert inside a block.
 INLINE_BAD = frozenset("ad ads advert adverts advertisement adsense promo promoted share sharing social sponsor sponsored subscribe newsletter popup".split())
-#: A name with one of these parts says what a page has or lacks, or how a post is filed, not what the element is.
-TELLS_OTHER = frozenset("no not has have with without is js single category tag type format status".split())
-BAD_TAG = frozenset("nav footer header aside form menu dialog fieldset".split())
+#: A name with one of these parts says what a page has or lacks, what state it is in or how a post is filed, not what the element is.
+TELLS_OTHER = frozenset(
+    "no not has have with without is js single category tag type format status enabled disabled open opened closed fixed sticky active on off template layout page theme mode ready loaded supports".split()
+)
+#: Last parts that name a piece of whatever stands before them.
+PIECE = frozenset("area bar block body box button buttons col column container content group heading holder icon icons inner item items label link links list panel row section text title top bottom unit wrap wrapper zone widget widgets".split())
+BAD_TAG = frozenset("nav footer header aside menu".split())
+#: Tags that may just as well wrap a whole page.
+SOFT_TAG = frozenset("form fieldset dialog".split())
 GOOD_TAG = frozenset("article main".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Words from which a block that is not mostly links counts as running text, without the end of a sentence.
+RUNNING_WORDS = 8
 
 #: ``good`` is content markup without boilerplate markup inside it; such markup outweighs what text and links say.
 FEATURES = ("bias", "log_words", "link_share", "bad", "good", "heading", "paragraph", "item", "sentence", "stops", "in_list", "copyright")
@@ -73,34 +81,78 @@ MARKUP = TELLING + [FEATURES.index(f) for f in ("heading", "paragraph", "item",
 
 
 class Block:
-    __slots__ = ("text", "home", "far", "tag", "bad", "good", "linked", "in_list")
+    __slots__ = ("text", "home", "far", "tag", "bad", "good", "linked", "in_list", "soft")
+
+    def __init__(self, text: str, home: int, far: int, tag: str, bad: bool, good: bool, linked: int, in_list: bool, soft: int = 0):
+        #: Number of the container, steps in the DOM from the container of the block before, characters inside links, and
+        #: number of the nearest element around whose boilerplate markup may fade (see ``_fade``).
+        self.text, self.home, self.far, self.tag, self.bad, self.good, self.linked, self.in_list, self.soft = text, home, far, tag, bad, good, linked, in_list, soft
 
-    def __init__(self, text: str, home: int, far: int, tag: str, bad: bool, good: bool, linked: int, in_list: bool):
-        #: Number of the container, steps in the DOM from the container of the block before, and characters inside links.
-        self.text, self.home, self.far, self.tag, self.bad, self.good, self.linked, self.in_list = text, home, far, tag, bad, good, linked, in_list
+    def running(self) -> int:
+        """Characters, if this is running text."""
+        t = self.text
+        return len(t) if 2 * self.linked < len(t) and (t[-1] in ".!?…\"'”" or t.count(" ") >= RUNNING_WORDS - 1) else 0
 
 
-def _names(attrs: str) -> Iterator[set[str]]:
-    """The parts of each class, id and role name that says what an element is."""
+def _names(attrs: str) -> Iterator[list[str]]:
+    """The parts of each class, id and role name that says what an element is, in order."""
     for m in _ATTR.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").split():
-            parts = {x.lower() for x in _NAME.findall(name)}
-            if parts.isdisjoint(TELLS_OTHER):
+            parts = [x.lower() for x in _NAME.findall(name)]
+            if TELLS_OTHER.isdisjoint(parts):
                 yield parts
 
 
-def _kind(tag: str, attrs: str, inside_good: bool) -> tuple[bool, bool]:
-    """Whether an element's markup says boilerplate, and content. The names of a whole page say nothing of its parts."""
+def _says(parts: list[str], words: frozenset[str]) -> bool:
+    """Whether a name's first part, or its last that is more than a piece of something, is one of ``words``."""
+    last = len(parts)
+    while last > 1 and parts[last - 1] in PIECE:
+        last -= 1
+    return bool(parts) and (parts[0] in words or parts[last - 1] in words)
+
+
+def _kind(tag: str, attrs: str, inside_good: bool) -> tuple[bool, bool, bool]:
+    """Whether an element's markup says boilerplate for sure, says it but may fade, and says content.
+
+    A name is judged as a whole. A tag or a name that says content overrules other names of the same element; the names of a
+    whole page say nothing of its parts.
+    """
     if tag == "body" or tag == "html":
-        return False, False
-    bad, good = tag in BAD_TAG and not (tag == "header" and inside_good), tag in GOOD_TAG
+        return False, False, False
+    bad, good, named = tag in BAD_TAG and not (tag == "header" and inside_good), tag in GOOD_TAG, False
     if "=" in attrs:
+        wrong = BAD_NAME - {"header"} if inside_good else BAD_NAME
         for parts in _names(attrs):
-            bad = bad or not parts.isdisjoint(BAD_NAME - {"header"} if inside_good else BAD_NAME)
-            good = good or not parts.isdisjoint(GOOD_NAME)
+            if _says(parts, wrong):
+                named = True
+            elif not GOOD_NAME.isdisjoint(parts):
+                good = True
     low = attrs.lower()
     unseen = "hidden" in low and _HIDDEN_WORD.search(_QUOTED.sub("", attrs)) or "display" in low and _NOT_SHOWN.search(attrs)
-    return bad or bool(unseen), good
+    return bad or bool(unseen), (named and not good) or tag in SOFT_TAG, good
+
+
+def _fade(blocks: list[Block], above: list[int]) -> None:
+    """Settle which blocks stay marked as boilerplate.
+
+    ``above``: for each soft element, by number from 1, the one around it (0: none). Names, and the tags of forms, are evidence: where
+    an element holds most of the page's running text, and no content markup stands outside it but inside other such elements, its
+    mark fades. In one pass down and one up, for elements of any depth.
+    """
+    inside, good_own = [0] * len(above), [0] * len(above)
+    for b in blocks:
+        if not b.bad:
+            inside[b.soft] += b.running()
+            good_own[b.soft] += b.good
+    for e in range(len(above) - 1, 0, -1):
+        inside[above[e]] += inside[e]
+    outside, marked = [0] * len(above), [False] * len(above)
+    for e in range(1, len(above)):
+        up = above[e]
+        outside[e] = outside[up] + good_own[up]
+        marked[e] = marked[up] or 2 * inside[e] <= inside[0] or outside[e] > 0
+    for b in blocks:
+        b.bad = b.bad or marked[b.soft]
 
 
 Piece = tuple[int, int, str, bool, str]  # start, end, name ("" if nothing of it counts), is an end tag, attributes
@@ -167,8 +219,9 @@ def _ends(pieces: list[Piece]) -> dict[int, int]:
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order: text with references decoded and white space made single, and where it stands."""
     out: list[Block] = []
-    #: Open containers: tag, number, bad and good so far, inside a list.
-    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    #: Open containers: tag, number, bad (for sure) and good so far, inside a list, nearest soft element.
+    stack: list[tuple[str, int, int, bool, bool, int]] = [("", 0, 0, False, False, 0)]
+    above = [0]  # of each soft element the one around it
     opened: dict[str, int] = {}
     number, tag, bad_here, linked = 0, "", False, 0
     depth_before, lowest = 1, 1  # depth of the block before, and least depth since
@@ -179,9 +232,9 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, home, bad, good, in_list = stack[-1]
+                _, home, bad, good, in_list, soft = stack[-1]
                 far = depth_before + len(stack) - 2 * lowest
-                out.append(Block(text, home, far, tag, bad > 0 or bad_here, good, min(linked, len(text)), in_list))
+                out.append(Block(text, home, far, tag, bad > 0 or bad_here, good, min(linked, len(text)), in_list, soft))
                 depth_before = lowest = len(stack)
             parts.clear()
         linked = 0
@@ -224,11 +277,13 @@ def blocks_of(page: str) -> list[Block]:
             if name in CONTAINER:
                 if not ending:
                     top = stack[-1]
-                    bad, good = _kind(name, attrs, top[3] and not top[2])
+                    bad, soft, good = _kind(name, attrs, top[3] and not top[2] and not top[5])
                     number += 1
                     opened[name] = opened.get(name, 0) + 1
+                    if soft:
+                        above.append(top[5])
                     # content markup inside boilerplate stays boilerplate; boilerplate inside content counts again
-                    stack.append((name, number, top[2] + bad, top[3] or good, top[4] or name in ("ul", "ol", "menu")))
+                    stack.append((name, number, top[2] + bad, top[3] or good, top[4] or name in ("ul", "ol", "menu"), len(above) - 1 if soft else top[5]))
                 elif opened.get(name):
                     while True:
                         gone = stack.pop()[0]
@@ -240,19 +295,20 @@ def blocks_of(page: str) -> list[Block]:
             elif ending:
                 tag, bad_here = "", False
             else:
-                tag, bad_here = name, _kind(name, attrs, stack[-1][3] and not stack[-1][2])[0] if attrs else False
+                tag, bad_here = name, any(_kind(name, attrs, stack[-1][3] and not stack[-1][2] and not stack[-1][5])[:2]) if attrs else False
         elif name == "br":
             parts.append(" ")
         elif name in INLINE and not ending and k in ends:
             if name == "a":
                 link_to = max(link_to, ends[k])
-            if "=" in attrs and next_block[k] > ends[k] and any(not x.isdisjoint(INLINE_BAD) for x in _names(attrs)):
+            if "=" in attrs and next_block[k] > ends[k] and any(_says(x, INLINE_BAD) for x in _names(attrs)):
                 parts.append(" ")
                 skip_to = ends[k]
     rest = page[at:]
     if not hidden or (hidden == "head" and not rest.isspace()):
         parts.append(rest)
     close()
+    _fade(out, above)
     return out
 
 

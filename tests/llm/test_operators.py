@@ -329,6 +329,20 @@ def test_redact_keeps_rows_and_columns(spark, field):
     assert len(repeated) == 2 and repeated[0] == repeated[1]
 
 
+@pytest.mark.parametrize("unit", ["10.2.3.4 ", "4111 1111 1111 1111, ", "bo@x.example.com ", "+1 269 555 3296; ", "12 words 7 "])
+def test_lists_of_numbers_and_addresses_take_time_that_grows_with_their_length(field, unit):
+    from time import process_time
+
+    took = []
+    for size in (60_000, 240_000):
+        text = unit * (size // len(unit))
+        t = process_time()
+        base, spans = pii.find_spans(text, field)
+        took.append(process_time() - t)
+        assert set(base) <= set(spans)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_scan_digests_by_brute_force(spark, field):
     rows = queries.op2_pii(spark, "/root/testdata/sf0.001").collect()
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
@@ -756,6 +770,46 @@ def test_main_text_of_odd_markup(page, text):
         assert html_extract.extract_text(page, w).replace("\n\n", " ") == text
 
 
+ARTICLE = "<h1>A headline</h1><p>First sentence of it, with words.</p><p>And a second one, which says more.</p><p>The third ends it.</p>"
+WHOLE = "A headline First sentence of it, with words. And a second one, which says more. The third ends it."
+AROUND = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav>{}<footer>© me</footer>"
+
+
+@pytest.mark.parametrize("wrapped", [
+    '<form id="aspnetForm" method="post"><div id="content">{}</div></form>', '<form><div>{}<input name=q></div></form>', '<div id="wrapper" class="right-sidebar">{}</div>',
+    '<div class="site header-fixed"><main>{}</main></div>', '<article class="post comments-open">{}</article>', '<main id="main" class="search-enabled">{}</main>',
+    '<article class="story share-enabled">{}</article>', '<article class="article social-policy">{}</article>', '<div class="left-sidebar two-column"><div id=text>{}</div></div>',
+    '<div class="page nav-open"><div class="content">{}</div></div>', '<div id="page" class="with-menu">{}</div>', '<div class="banner-active wrap">{}</div>', '<div class="newsletter-2024">{}</div>',
+    '<section class="legal">{}</section>', '<div class="post related">{}</div>', '<div class="popup-layout"><section>{}</section></div>', '<div class="SidebarRight"><div class="entry">{}</div></div>',
+    '<div class="cookies-ok"><div>{}</div></div>', '<main class="login">{}</main>', '<div role="dialog" class="modal"><article>{}</article></div>', '<fieldset><div class=story>{}</div></fieldset>',
+    '<div class="shareable subscribe"><div class="main">{}</div></div>', '<div id="search-page">{}</div>', '<div class="breadcrumbs-on toolbar"><article>{}</article></div>', '<dialog open><main>{}</main></dialog>',
+    '<div class="menu"><div class="promo"><div class="sidebar">{}</div></div></div>', '<article id="comments-about-rivers" class="post">{}</article>',
+    '<div class="notice-board"><div class="text-block">{}</div></div>', '<form class="search-form"><article>{}</article></form>',
+])
+def test_a_name_on_a_wrapper_empties_no_page(wrapped):
+    for w in (html_extract.PRIOR, html_extract.fit([PAGE] * 3)):
+        assert html_extract.extract_text(AROUND.format(wrapped.format(ARTICLE)), w).replace("\n\n", " ") == WHOLE
+
+
+def test_pages_built_of_widgets_keep_each():
+    parts = re.findall("<h1>.*?</h1>|<p>.*?</p>", ARTICLE)
+    page = "<main>" + "".join(f'<div class="elementor-widget elementor-widget-text-editor">{p}</div>' for p in parts) + "</main>"
+    assert html_extract.extract_text(AROUND.format(page), html_extract.PRIOR).replace("\n\n", " ") == WHOLE
+
+
+@pytest.mark.parametrize("beside", [
+    '<div class="comments"><p>{}</p></div>', '<div id="disqus_thread" class="comment-list"><div class="comment-body"><p>{}</p></div></div>', '<div class="sidebar-right"><p>{}</p></div>',
+    '<div class="newsletter-signup"><p>{}</p></div>', '<form><label>Your mail</label><p>{}</p></form>', '<div class="related-posts"><p>{}</p></div>', '<div class="cookie-notice" role="dialog"><p>{}</p></div>',
+    '<div class="widget-area sidebar"><div class="widget"><p>{}</p></div></div>', '<div class="social-links"><p>{}</p></div>', '<section class="post-comments"><p>{}</p></section>', '<div class="adBox"><p>{}</p></div>',
+])
+@pytest.mark.parametrize("times", [1, 30])
+def test_names_beside_the_article_still_tell(beside, times):
+    page = AROUND.format(f"<article>{ARTICLE}</article>" + beside.format("A long and thoughtful text, with much to say. " * times))
+    inside = AROUND.format(f"<div id=content>{ARTICLE}" + beside.format("A long and thoughtful text, with much to say. " * times) + "</div>")
+    for p in (page, inside):
+        assert html_extract.extract_text(p, html_extract.PRIOR).replace("\n\n", " ") == WHOLE
+
+
 def test_long_and_hostile_pages_take_time_that_grows_with_their_length():
     from time import process_time
 
