@@ -180,10 +180,20 @@ def components(nodes: DataFrame, edges: DataFrame, chunk: int = CHUNK_EDGES, max
     raise RuntimeError("components did not settle")
 
 
-def assign_files(votes: DataFrame, comps: DataFrame) -> DataFrame:
-    """(file_path, component): the component with most votes; ties go to the lesser label."""
+def first_seen(hints: DataFrame, comps: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """(component, ordinal): the place in the order of ``hints`` where any name of the component is seen first."""
+    named = hints.withColumn("name", N.normalize_name(F.col("raw"))).where("name <> ''")
+    least = named.groupBy("name").agg(F.min(F.struct(*order)).alias("ordinal"))
+    return least.join(comps.withColumnRenamed("node", "name"), "name").groupBy("component").agg(F.min("ordinal").alias("ordinal"))
+
+
+def assign_files(votes: DataFrame, comps: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(file_path, component): the component with most votes; ties go to the one seen first (``seen`` as of ``first_seen``), then to the lesser label."""
     v = votes.join(comps.withColumnRenamed("node", "name"), "name").groupBy("file_path", "component").agg(F.round(F.sum("votes"), 9).alias("votes"))
-    n = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("votes"), "component"))
+    by = [F.desc("votes"), F.col("component")]
+    if seen is not None:
+        v, by = v.join(seen, "component", "left"), [by[0], F.asc_nulls_last("ordinal"), by[1]]
+    n = F.row_number().over(Window.partitionBy("file_path").orderBy(*by))
     return v.withColumn("_n", n).where("_n = 1").select("file_path", "component")
 
 
@@ -193,12 +203,16 @@ def canonical(aliases: Column) -> Column:
     return ordered[0]["a"]
 
 
-def clusters(hints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(canonical, aliases, file_paths, normalized_forms): end to end, with a cluster of its own for each file without a name."""
+def clusters(hints: DataFrame, threshold: float = THRESHOLD, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """(canonical, aliases, file_paths, normalized_forms): end to end, with a cluster of its own for each file without a name.
+
+    ``order``: columns of ``hints`` that say in which order they were seen, which decides ties of votes; where ``seq`` counts within a file,
+    as in ``extract_hints``, it is (file_path, seq).
+    """
     votes = written(name_votes(hints), "votes")
     names = votes.select(F.col("name").alias("node")).distinct()
     comps = written(components(names, name_edges(names.withColumnRenamed("node", "name"), threshold)), "components")
-    own = assign_files(votes, comps)
+    own = written(assign_files(votes, comps, first_seen(hints, comps, order)), "assigned")
     files = own.groupBy("component").agg(F.array_sort(F.collect_set("file_path")).alias("file_paths"))
     forms = comps.join(name_aliases(hints), F.col("node") == F.col("name")).groupBy("component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.array_sort(F.collect_set("node")).alias("normalized_forms"))
     main = files.join(forms, "component").select(canonical(F.col("aliases")).alias("canonical"), "aliases", "file_paths", "normalized_forms")
@@ -226,19 +240,42 @@ def apply_splits(c: DataFrame, splits: DataFrame) -> DataFrame:
     return _regroup(out)
 
 
-def apply_merges(c: DataFrame, merges: DataFrame) -> DataFrame:
-    """Clusters of a group (group_id, pos, name) become one if two or more exist; the first name stays if it is an alias, else the canonical rule."""
+def _merged(c: DataFrame, merges: DataFrame) -> DataFrame:
+    """``c`` with target: the name after the merges, and together: what it is merged with (its group, or itself)."""
     hit = c.join(merges.withColumnRenamed("name", "canonical"), "canonical")
     n = hit.groupBy("group_id").agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("all"))
     first = merges.groupBy("group_id").agg(F.min_by("name", "pos").alias("first"))
     names = n.where("k >= 2").join(first, "group_id").select("group_id", F.when(F.array_contains("all", F.col("first")), F.col("first")).otherwise(canonical(F.col("all"))).alias("target"))
-    to = merges.join(names, "group_id").select(F.col("name").alias("canonical"), "target")
-    return _regroup(c.join(to, "canonical", "left").select(F.coalesce("target", "canonical").alias("canonical"), "aliases", "file_paths"))
+    to = merges.join(names, "group_id").select(F.col("name").alias("canonical"), "target", "group_id")
+    return c.join(to, "canonical", "left").withColumns({"target": F.coalesce("target", "canonical"), "together": F.coalesce(F.concat(F.lit("group "), F.col("group_id").cast("string")), F.concat(F.lit("name "), "canonical"))})
 
 
-def apply_renames(c: DataFrame, renames: DataFrame) -> DataFrame:
+def _renamed(c: DataFrame, renames: DataFrame) -> DataFrame:
     r = c.join(renames.withColumnRenamed("auto", "canonical"), "canonical", "left")
-    return _regroup(r.select(F.coalesce("new", "canonical").alias("canonical"), F.when(F.col("new").isNull(), F.col("aliases")).otherwise(F.array_union("aliases", F.array("new"))).alias("aliases"), "file_paths"))
+    return r.withColumns({"target": F.coalesce("new", "canonical"), "together": F.col("canonical")})
+
+
+def apply_merges(c: DataFrame, merges: DataFrame) -> DataFrame:
+    """Clusters of a group (group_id, pos, name) become one if two or more exist; the first name stays if it is an alias, else the canonical rule."""
+    return _regroup(_merged(c, merges).select(F.col("target").alias("canonical"), "aliases", "file_paths"))
+
+
+def apply_renames(c: DataFrame, renames: DataFrame) -> DataFrame:
+    r = _renamed(c, renames)
+    return _regroup(r.select(F.col("target").alias("canonical"), F.when(F.col("new").isNull(), F.col("aliases")).otherwise(F.array_union("aliases", F.array("new"))).alias("aliases"), "file_paths"))
+
+
+def _united(step: DataFrame, what: str) -> DataFrame:
+    """A warning for each name at which clusters meet that the step did not mean to join."""
+    met = step.groupBy("target").agg(F.array_sort(F.collect_set("together")).alias("t"), F.array_sort(F.collect_set("canonical")).alias("names")).where(F.size("t") > 1)
+    message = F.concat(F.lit(f"a {what} unites "), F.array_join("names", ", "))
+    return met.select(F.col("target").alias("canonical"), F.lit("clusters").alias("field"), F.lit("warning").alias("severity"), message.alias("message"))
+
+
+def decision_warnings(c: DataFrame, renames: DataFrame, merges: DataFrame, splits: DataFrame) -> DataFrame:
+    """(canonical, field, severity, message): clusters that ``apply_decisions`` unites because they come to have one name."""
+    parted = apply_splits(c, splits)
+    return _united(_merged(parted, merges), "merge").unionByName(_united(_renamed(apply_merges(parted, merges), renames), "rename"))
 
 
 def apply_decisions(c: DataFrame, renames: DataFrame, merges: DataFrame, splits: DataFrame) -> DataFrame:
@@ -253,11 +290,24 @@ def with_rename(renames: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def with_merge(merges: DataFrame, group: DataFrame) -> DataFrame:
-    """A new group of distinct names (pos, name), taken out of older groups; groups left with fewer than two names go."""
-    g = group.groupBy("name").agg(F.min("pos").alias("pos"))
+    """A new group of distinct names (pos, name), trimmed and not blank; older groups that hold one of them go. Fewer than two names change nothing."""
+    g = group.withColumn("name", F.trim("name")).where("name <> ''").groupBy("name").agg(F.min("pos").alias("pos"))
+    if g.limit(2).count() < 2:
+        return merges.select("group_id", "pos", "name")
+    stale = merges.join(g.select("name"), "name", "left_semi").select("group_id").distinct()
     new_id = merges.agg(F.coalesce(F.max("group_id"), F.lit(-1)) + 1).first()[0]
-    both = merges.join(g.select("name"), "name", "left_anti").select("group_id", "pos", "name").unionByName(g.select(F.lit(new_id).cast(merges.schema["group_id"].dataType).alias("group_id"), "pos", "name"))
-    return both.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("group_id"))).where("_k >= 2").drop("_k")
+    kept = merges.join(stale, "group_id", "left_anti").select("group_id", "pos", "name")
+    return kept.unionByName(g.select(F.lit(new_id).cast(merges.schema["group_id"].dataType).alias("group_id"), "pos", "name"))
+
+
+def with_split(splits: DataFrame, edits: DataFrame) -> DataFrame:
+    """``edits`` (source, path, target) in place of what ``splits`` has of their sources; blank targets are dropped, so that a source with no other is cleared.
+
+    Of several targets for one path the last by code point stays.
+    """
+    kept = splits.join(edits.select("source").distinct(), "source", "left_anti").select("source", "path", "target")
+    fresh = edits.select("source", "path", F.trim("target").alias("target")).where("target <> ''").groupBy("source", "path").agg(F.max("target").alias("target"))
+    return kept.unionByName(fresh)
 
 
 def auto_name(shown: DataFrame, renames: DataFrame) -> DataFrame:

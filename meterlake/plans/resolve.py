@@ -66,9 +66,23 @@ query("l03_components", RECURSIVE + " SELECT node, component FROM comp")(lambda
 VOTED = RECURSIVE + ", v AS (SELECT file_path, component, round(sum(confidence), 6) AS votes FROM named JOIN comp ON node = name GROUP BY file_path, component)"
 query("g09_component_votes", VOTED + " SELECT * FROM v")(lambda s, d: R.name_votes(c.names(s, d)).join(R.components(*_near(s, d)).withColumnRenamed("node", "name"), "name").groupBy("file_path", "component").agg(F.round(F.sum("votes"), 6).alias("votes")))
 query("w03_file_component", VOTED + ", b AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY votes DESC, component) AS r FROM v) SELECT file_path, component FROM b WHERE r = 1")(lambda s, d: R.assign_files(R.name_votes(c.names(s, d)), R.components(*_near(s, d))))
+#: Files whose votes tie: two words of a document as hints of one weight, seen in the order of ids run backwards, which no alphabet follows.
+TIED = """tied AS (SELECT 'f' || CAST(doc_id % 97 AS VARCHAR) AS file_path, lower(regexp_extract(text, '([A-Za-z]{2,})', 1)) AS raw, 0.5::DOUBLE AS confidence, -doc_id AS seq FROM documents WHERE regexp_extract(text, '([A-Za-z]{2,})', 1) <> '')"""
+
+
+@query("w03_first_seen", f"WITH {TIED}, v AS (SELECT file_path, raw, sum(confidence) AS votes FROM tied GROUP BY ALL), o AS (SELECT raw, min(seq) AS ordinal FROM tied GROUP BY raw), b AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY votes DESC, ordinal) AS r FROM v JOIN o USING (raw)) SELECT file_path, raw AS component FROM b WHERE r = 1")
+def _(spark, sf):
+    """Each name a component of its own; most files have ties, which the name seen first wins."""
+    raw = F.lower(F.regexp_extract("text", "([A-Za-z]{2,})", 1))
+    h = c.read(spark, sf, "documents").select(F.concat(F.lit("f"), (F.col("doc_id") % 97).cast("string")).alias("file_path"), raw.alias("raw"), F.lit(0.5).alias("confidence"), (-F.col("doc_id")).alias("seq")).where("raw <> ''")
+    votes = R.name_votes(h)
+    comps = votes.select(F.col("name").alias("node"), F.col("name").alias("component")).distinct()
+    return R.assign_files(votes, comps, R.first_seen(h, comps))
+
+
 query("l04_clusters")(lambda s, d: R.clusters(c.names(s, d)))
 query("g07_cluster_totals")(lambda s, d: R.clusters(c.names(s, d)).agg(F.count(F.lit(1)).alias("clusters"), F.sum(F.size("file_paths")).alias("files")))
-query("l10_project_clusters")(lambda s, d: R.clusters(R.extract_hints(c.files(s, d))))
+query("l10_project_clusters")(lambda s, d: R.clusters(R.extract_hints(c.files(s, d)), order=("file_path", "seq")))
 
 # ---------------------------------------------------------------- overrides on given clusters: brands are clusters, parts their files
 
@@ -99,6 +113,15 @@ query("l08_decisions", f"WITH {CLUSTERS}, {SPLIT}, {MERGE.format('c1')}, {RENAME
 query("l09_rename_edits", "SELECT DISTINCT p_brand AS auto, 'renamed ' || right(p_brand, 2) AS new FROM part WHERE p_brand LIKE '%3' AND p_brand NOT LIKE '%23' UNION ALL SELECT DISTINCT p_brand, 'edited' FROM part WHERE p_brand LIKE '%4'")(
     lambda s, d: R.with_rename(_decisions(s, d)[0], c.read(s, d, "part").where("p_brand like '%4' or p_brand like '%23'").select(F.col("p_brand").alias("auto"), F.when(F.col("p_brand").like("%4"), "edited").otherwise(" ").alias("new")).distinct())
 )
+query("l07_united_clusters", "SELECT 'brand ' || right(p_brand, 1) AS canonical, 'warning' AS severity, 'a rename unites ' || string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS message FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")(
+    lambda s, d: R.decision_warnings(_clusters(s, d), c.read(s, d, "part").select(F.col("p_brand").alias("auto"), F.concat(F.lit("brand "), F.right("p_brand", F.lit(1))).alias("new")).distinct(), _decisions(s, d)[1].limit(0), _decisions(s, d)[2].limit(0)).select("canonical", "severity", "message")
+)
+query("l09_merge_edits", "WITH g AS (SELECT DISTINCT CAST(right(p_brand, 1) AS INTEGER) AS group_id, p_brand AS name FROM part WHERE p_brand LIKE '%1' OR p_brand LIKE '%2') SELECT group_id, name FROM g WHERE group_id NOT IN (SELECT group_id FROM g WHERE name LIKE '%12') UNION ALL SELECT 3, n FROM (SELECT DISTINCT p_brand AS n FROM part WHERE p_brand LIKE '%12' OR p_brand LIKE '%13')")(
+    lambda s, d: R.with_merge(_decisions(s, d)[1], c.read(s, d, "part").where("p_brand like '%12' or p_brand like '%13'").select(F.col("p_size").alias("pos"), F.concat(F.lit(" "), "p_brand").alias("name"))).select("group_id", "name")
+)
+query("l09_split_edits", "WITH s AS (SELECT DISTINCT p_brand AS source, CAST(p_partkey AS VARCHAR) AS path, 'new ' || CAST(p_partkey % 3 AS VARCHAR) AS target FROM part WHERE p_partkey % 40 = 0), e AS (SELECT p_brand AS source, CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS target FROM part WHERE p_brand LIKE '%4' AND p_partkey % 7 = 0) SELECT * FROM s WHERE source NOT IN (SELECT source FROM e) UNION ALL SELECT * FROM e WHERE target <> ''")(
+    lambda s, d: R.with_split(_decisions(s, d)[2], c.read(s, d, "part").where("p_brand like '%4' and p_partkey % 7 = 0").select(F.col("p_brand").alias("source"), F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 3 == 0, " ").otherwise(F.concat(F.lit(" "), "p_type")).alias("target")))
+)
 query("l11_auto_names", "SELECT DISTINCT CASE WHEN p_brand LIKE '%3' THEN 'renamed ' || right(p_brand, 2) ELSE p_brand END AS canonical, p_brand AS auto FROM part")(
     lambda s, d: R.auto_name(R.apply_renames(_clusters(s, d), _decisions(s, d)[0]).select("canonical"), _decisions(s, d)[0])
 )

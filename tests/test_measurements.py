@@ -115,6 +115,40 @@ def test_overrides(spark):
     assert sorted((r["group_id"], r["name"]) for r in grown.collect()) == [(2, "a"), (2, "b")]
 
 
+def test_ties_go_to_the_name_seen_first(spark):
+    rows = [("f1", "t", "zeta", 0.5, 1), ("f1", "t", "alpha", 0.5, 2), ("f2", "t", "Beta", 0.5, 3), ("f2", "t", "alpha", 0.5, 4), ("f2", "t", "alphaa", 0.1, 0)]
+    h = spark.createDataFrame(rows, "file_path string, source_tag string, raw string, confidence double, seq int")
+    got = {r["canonical"]: r["file_paths"] for r in resolve.clusters(h.where("seq > 0")).collect()}
+    assert got == {"zeta": ["f1"], "alpha": ["f2"]}  # alpha is seen before Beta, in another file
+    # a component is seen when any of its names is
+    assert {r["canonical"]: r["file_paths"] for r in resolve.clusters(h, 0.9).collect()} == {"alpha": ["f1", "f2"]}
+    swapped = h.where("seq > 0").withColumn("seq", -F.col("seq"))
+    assert {r["canonical"]: r["file_paths"] for r in resolve.clusters(swapped).collect()} == {"alpha": ["f1", "f2"]}
+
+
+def test_edits_and_warnings(spark):
+    c = spark.createDataFrame([("a", ["a"], ["1", "2"]), ("b", ["b", "bb"], ["3"]), ("d", ["d"], ["4"]), ("bb", ["bb"], ["5"])], "canonical string, aliases array<string>, file_paths array<string>")
+    none = lambda s: spark.createDataFrame([], s)
+    merges, splits = "group_id int, pos int, name string", "source string, path string, target string"
+    warned = resolve.decision_warnings(c, spark.createDataFrame([("a", "d")], "auto string, new string"), none(merges), none(splits)).collect()
+    assert [(r["canonical"], r["severity"], r["message"]) for r in warned] == [("d", "warning", "a rename unites a, d")]
+    m = spark.createDataFrame([(0, 0, "bb"), (0, 1, "gone"), (1, 0, "x"), (1, 1, "a"), (1, 2, "d")], merges)
+    meant = resolve.decision_warnings(c, none("auto string, new string"), m, none(splits))
+    assert meant.count() == 0
+    m = spark.createDataFrame([(0, 0, "bb"), (0, 1, "b"), (0, 2, "a")], merges)
+    assert resolve.decision_warnings(c, none("auto string, new string"), m, none(splits)).count() == 0
+    m = spark.createDataFrame([(0, 0, "bb"), (0, 1, "b"), (0, 2, "a")], merges).where("name <> 'bb'").unionByName(spark.createDataFrame([(0, -1, "bb ")], merges))
+    assert resolve.decision_warnings(c, spark.createDataFrame([("d", "a")], "auto string, new string"), m, none(splits)).count() == 1
+    old = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (1, 1, "d")], merges)
+    same = resolve.with_merge(old, spark.createDataFrame([(0, "a"), (1, " a "), (2, " ")], "pos int, name string"))
+    assert sorted(tuple(r) for r in same.collect()) == sorted(tuple(r) for r in old.collect())
+    grown = resolve.with_merge(old, spark.createDataFrame([(0, "e"), (1, "a")], "pos int, name string"))
+    assert sorted((r["group_id"], r["name"]) for r in grown.collect()) == [(1, "c"), (1, "d"), (2, "a"), (2, "e")]
+    s = spark.createDataFrame([("a", "1", "x"), ("b", "3", "y")], splits)
+    edited = resolve.with_split(s, spark.createDataFrame([("a", "2", " z "), ("a", "9", " "), ("b", "3", "")], splits))
+    assert sorted(tuple(r) for r in edited.collect()) == [("a", "2", "z")]
+
+
 def test_decisions_as_json(spark, tmp_path):
     r = spark.createDataFrame([("a", "x")], "auto string, new string")
     m = spark.createDataFrame([(0, 0, "a"), (0, 1, "b")], "group_id int, pos int, name string")
