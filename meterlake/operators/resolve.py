@@ -129,6 +129,24 @@ def name_edges(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.withColumn("similarity", N.similarity("a", "b")).where(F.col("similarity") >= threshold)
 
 
+#: Distinct names that one task compares and contracts on its own, without candidates, edges or rounds.
+FEW_NAMES = 200
+
+
+def few_components(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of at most ``FEW_NAMES`` distinct names (node): the same rows as of ``components`` over ``name_edges``, in one small task."""
+    if not 0 <= threshold <= 1:
+        raise ValueError("threshold must be within 0 and 1")
+
+    def run(batches):
+        nodes = sorted(x for pdf in batches for x in pdf["node"])
+        near = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1:] if N.similarity_of(a, b) >= threshold]
+        stars = dict(pair for pdf in _contracted([pd.DataFrame(near, columns=["a", "b"])]) for pair in zip(pdf["a"], pdf["b"], strict=True))
+        yield pd.DataFrame({"node": nodes, "component": [stars.get(x, x) for x in nodes]}, dtype=object)
+
+    return names.select("node").coalesce(1).mapInPandas(run, "node string, component string")
+
+
 #: Edges that one task contracts on its own.
 CHUNK_EDGES = 500_000
 
@@ -211,7 +229,8 @@ def clusters(hints: DataFrame, threshold: float = THRESHOLD, order: tuple[str, .
     """
     votes = written(name_votes(hints), "votes")
     names = votes.select(F.col("name").alias("node")).distinct()
-    comps = written(components(names, name_edges(names.withColumnRenamed("node", "name"), threshold)), "components")
+    few = names.limit(FEW_NAMES + 1).count() <= FEW_NAMES
+    comps = written(few_components(names, threshold) if few else components(names, name_edges(names.withColumnRenamed("node", "name"), threshold)), "components")
     own = written(assign_files(votes, comps, first_seen(hints, comps, order)), "assigned")
     files = own.groupBy("component").agg(F.array_sort(F.collect_set("file_path")).alias("file_paths"))
     forms = comps.join(name_aliases(hints), F.col("node") == F.col("name")).groupBy("component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.array_sort(F.collect_set("node")).alias("normalized_forms"))

@@ -126,6 +126,16 @@ def test_ties_go_to_the_name_seen_first(spark):
     assert {r["canonical"]: r["file_paths"] for r in resolve.clusters(swapped).collect()} == {"alpha": ["f1", "f2"]}
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.7, 0.85, 1.0])
+def test_few_names_by_either_plan(spark, threshold):
+    rng = np.random.default_rng(8)
+    names = sorted({"".join(rng.choice(list("abcs123"), rng.integers(1, 7))) for _ in range(60)})
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    large = resolve.components(nodes, resolve.name_edges(nodes.withColumnRenamed("node", "name"), threshold))
+    assert sorted(map(tuple, resolve.few_components(nodes, threshold).collect())) == sorted(map(tuple, large.collect()))
+    assert resolve.few_components(nodes.limit(0), threshold).count() == 0
+
+
 def test_edits_and_warnings(spark):
     c = spark.createDataFrame([("a", ["a"], ["1", "2"]), ("b", ["b", "bb"], ["3"]), ("d", ["d"], ["4"]), ("bb", ["bb"], ["5"])], "canonical string, aliases array<string>, file_paths array<string>")
     none = lambda s: spark.createDataFrame([], s)
