@@ -21,12 +21,15 @@ rows; texts are read whole, in windows, and words of any length are hashed as on
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import connected_components, materialize, small, with_global_index
 
@@ -45,22 +48,11 @@ REMEMBERED = 50_000
 WINDOW_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20_011)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_STEP = int(_rng.integers(1, 1 << 62)) * 2 + 1
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SEED = int(_rng.integers(1, 1 << 63))
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MULT = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(WINDOW_BYTES + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_POWERS: list[np.ndarray] = []
-
-
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambler of 64-bit words (public-domain splitmix finalizer constants)."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -70,32 +62,18 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order: a polynomial over its bytes, all by prefix sums.
+    """A 64-bit hash of each word's bytes, in order; the text is cut in windows that end where a word ends.
 
-    A word that reaches over a window's end is carried on: its sum and length so far are added to what follows.
+    A hash of whole words, not a polynomial modulo 2^64 by prefix sums, under which words of 2,048 letters can be built that
+    collide for any base.
     """
-    if not _POWERS:
-        _POWERS.extend((_powers(_STEP), _powers(pow(_STEP, -1, 1 << 64))))
-    out, text = [], text.lower()
-    held, length = 0, 0  # of the unfinished word
-    for at in range(0, len(text), WINDOW_BYTES):
-        raw = np.frombuffer(text, np.uint8, min(WINDOW_BYTES, len(text) - at), at)
-        gap = np.concatenate([[True], _SPACE[raw], [True]])
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        starts, ends = edge[0::2], edge[1::2]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _POWERS[0][: len(raw)], dtype=np.uint64)])
-        value, size = (sums[ends] - sums[starts]) * _POWERS[1][starts], (ends - starts).astype(np.uint64)
-        if length:
-            if len(starts) and starts[0] == 0:
-                value[:1] = value[:1] * np.uint64(pow(_STEP, length, 1 << 64)) + np.uint64(held)
-                size[:1] += np.uint64(length)
-            else:
-                out.append(_mix(np.array([held], np.uint64) + np.uint64(length)))
-            held, length = 0, 0
-        if len(ends) and ends[-1] == len(raw) and at + len(raw) < len(text):
-            held, length = int(value[-1]), int(size[-1])
-            value, size = value[:-1], size[:-1]
-        out.append(_mix(value + size))
+    out, text, at = [], text.lower(), 0
+    while at < len(text):
+        gap = _SPACE.search(text, min(at + WINDOW_BYTES, len(text)))
+        end = gap.start() if gap else len(text)
+        words = text[at:end].split()
+        out.append(np.fromiter(map(xxh3_64_intdigest, words, repeat(_SEED)), np.uint64, len(words)))
+        at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

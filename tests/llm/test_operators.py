@@ -655,6 +655,17 @@ def test_words_longer_than_a_window(monkeypatch):
             assert len(got) == n and got == hashes
 
 
+def test_words_built_to_collide():
+    """Thue-Morse words of two letters have one hash under every polynomial modulo 2^64 with an odd base."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashes = jaccard_join.word_hashes(f"{word} {other}".encode())
+    assert len(word) == 2048 and hashes[0] != hashes[1]
+    assert len(jaccard_join.shingle_set(f"x {word} y x {other} y".encode())) == 4
+
+
 def test_jaccard_odd_rows(spark):
     """Repeated rows, an id with two texts, rows without an id, very long texts in tiles of their own."""
     long = " ".join(f"w{i}" for i in range(6000))
