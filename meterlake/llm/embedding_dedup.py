@@ -7,10 +7,12 @@ never caps how many links a vector has. Exact copies are one representative with
 
 How many passes a label gets is measured, by one rule at every size. Probes are sorted in with the vectors: copies of
 a sample, turned in a random direction until their cosine is the threshold, which makes them the hardest pairs that
-count. Passes go on for each label until at most ``MISSED`` of its probes have met no vector within the threshold; a
-label whose passes have cost about as much as all its pairs, and still miss more, is compared pair by pair. Vectors
-are hashed relative to the mean direction of their label, so that a common direction does not crowd the signs.
-Recall is thus an estimate for labels settled by passes, not a proof; labels of at most ``WINDOW`` + 1 vectors are whole.
+count. Passes go on for each label until at most ``MISSED`` of its probes have met no vector within the threshold, and
+likewise of the probes whose vector itself has no link yet: these tell what isolated pairs lose, which probes in crowded
+places, met by any neighbour, would hide. A label whose passes have cost about as much as all its pairs, and still
+miss more, is compared pair by pair, and so are labels, without passes, whose pairs cost no more than the first passes (960
+vectors). Vectors are hashed relative to the mean direction of their label, so that a common direction does not crowd
+the signs. Recall is thus an estimate for labels settled by passes, not a proof; smaller labels are whole.
 
 The order is global: range partitions and one count per partition give positions, blocks of positions with a halo
 of one window are the groups, so no label or key is ever gathered. A component of n distinct vectors costs n*n/2
@@ -213,15 +215,22 @@ def connecting_pairs(reps: DataFrame, threshold: float = THRESHOLD, passes: int
     """(a, b): pairs that connect the representatives (rep, label, vector): passes until the probes of each label are met."""
     reps = reps.select("rep", "label", F.size("vector").alias("dim"), "vector")
     group = ["label", "dim"]
-    open_ = materialize(reps.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    groups = materialize(reps.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    cheap = F.col("n") <= 2 * window * passes  # all pairs cost no more than the first passes
+    pairs = reps.sparkSession.createDataFrame([], "a long, b long")
+    if groups.where(cheap).limit(1).count():
+        pairs = materialize(all_pairs(reps.join(small(groups.where(cheap)), group), threshold), "pairs")
+    open_ = materialize(groups.where(~cheap), "open")
+    if not open_.limit(1).count():
+        return pairs
     with_n = reps.join(small(open_), group)
-    share = F.when(F.col("n") > window + 1, F.least(F.lit(PROBE_SHARE), F.lit(float(PROBES)) / F.col("n"))).otherwise(F.lit(0.0))
+    share = F.least(F.lit(PROBE_SHARE), F.lit(float(PROBES)) / F.col("n"))
     sampled = F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(1 << 30)) < share * (1 << 30)
     with_n = with_n.withColumn("probe", F.explode(F.when(sampled, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     middle = materialize(centres(with_n.where(~F.col("probe"))), "centres")
     rows = materialize(with_n.join(small(middle, 1024), group).select("rep", *group, "probe", "vector", "centre"), "rows")
     probes = materialize(rows.where("probe").select("rep", *group), "probes")
-    pairs, met, done = reps.sparkSession.createDataFrame([], "a long, b long"), None, 0
+    met, linked, done = None, None, 0
     while True:
         step = passes if not done else max(1, passes // 2)
         now = rows.join(small(open_), group, "left_semi")
@@ -230,8 +239,15 @@ def connecting_pairs(reps: DataFrame, threshold: float = THRESHOLD, passes: int
         pairs = pairs.union(got.where("b is not null"))
         met = got.where("b is null") if met is None else met.union(got.where("b is null"))
         seen = met.select(F.col("a").alias("rep"), F.lit(1).alias("hit")).distinct()
-        left = probes.join(open_, group).join(seen, "rep", "left").groupBy(*group, "n").agg(F.count(F.lit(1)).alias("of"), F.count("hit").alias("hits"))
-        left = materialize(left.where(F.col("of") - F.col("hits") > MISSED * F.col("of")).select(*group, "n"), "open")
+        ends = got.where("b is not null").select(F.explode(F.array("a", "b")).alias("rep"))
+        linked = ends if linked is None else linked.union(ends)
+        fate = probes.join(seen, "rep", "left").join(linked.distinct().withColumn("crowded", F.lit(True)), "rep", "left")
+        alone = F.col("crowded").isNull()
+        left = open_.join(fate, group).groupBy(*group, "n").agg(
+            F.count(F.lit(1)).alias("of"), F.count("hit").alias("hits"), F.count_if(alone).alias("of_alone"), F.count(F.when(alone, F.col("hit"))).alias("hits_alone")
+        )
+        missed = (F.col("of") - F.col("hits") > MISSED * F.col("of")) | (F.col("of_alone") - F.col("hits_alone") > MISSED * F.col("of_alone"))
+        left = materialize(left.where(missed).select(*group, "n"), "open")
         if not left.limit(1).count():
             return pairs
         costly = F.col("n") <= 2 * window * done

@@ -475,6 +475,19 @@ def test_isolated_pairs_in_a_crowded_label(spark):
     assert np.mean([got[i]["component_id"] == got[i + half]["component_id"] for i in range(half)]) >= 0.97
 
 
+def test_small_labels_lose_no_isolated_pair(spark):
+    rng = np.random.default_rng(12)
+    labels, n = 60, 50
+    v = rng.standard_normal((labels * n, 32))
+    x = v[::n] / np.linalg.norm(v[::n], axis=1)[:, None]
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(axis=1)[:, None] * x
+    v[1::n] = 0.9301 * x + np.sqrt(1 - 0.9301**2) * u / np.linalg.norm(u, axis=1)[:, None]
+    df = spark.createDataFrame([(i, a.tolist(), i // n) for i, a in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = by_id(embedding_dedup.near_duplicates(df), "vec_id")
+    assert all(got[i * n + 1]["component_id"] == i * n and got[i * n]["n_links"] == 1 for i in range(labels))
+
+
 def test_labels_of_many_tiles_pair_by_pair(spark):
     rng = np.random.default_rng(9)
     v = rng.standard_normal((60, 6))
