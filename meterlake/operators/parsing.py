@@ -131,16 +131,21 @@ def zoned_timestamp(s: Column) -> Column:
     return F.when(s.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(s))
 
 
+def channel_tokens(channels: Column) -> Column:
+    """What stands between the commas of a list of channels, blanks left out."""
+    return F.filter(F.split(channels, ","), lambda t: t.rlike(r"\S"))
+
+
 def spectrum_points(spectra: DataFrame) -> DataFrame:
-    """(path, idx, x, y) of comma lists with energy = calib_abs + i * calib_lin, or the index."""
-    s = spectra.select("path", "calib_abs", "calib_lin", F.posexplode(F.split("channels", ",")).alias("idx", "t"))
+    """(path, idx, x, y) of comma lists with energy = calib_abs + i * calib_lin, or the index; y is null where a channel is no number."""
+    s = spectra.select("path", "calib_abs", "calib_lin", F.posexplode(channel_tokens(F.col("channels"))).alias("idx", "t"))
     return s.select("path", "idx", F.coalesce(F.col("calib_abs") + F.col("idx") * F.col("calib_lin"), F.col("idx").cast("double")).alias("x"), to_number(F.col("t")).alias("y"))
 
 
 def local_timestamp(date: Column, time: Column) -> Column:
-    """Local date (three usual forms) and time, taken as UTC."""
+    """Local date (four usual forms) and time, taken as UTC."""
     t = F.concat_ws(" ", date, time)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in ("d.M.yyyy H:m:s", "yyyy-M-d H:m:s", "M/d/yyyy H:m:s")])
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in ("d.M.yyyy H:m:s", "yyyy-M-d H:m:s", "M/d/yyyy H:m:s", "d.M.yy H:m:s")])
 
 
 # ---------------------------------------------------------------- staged cells

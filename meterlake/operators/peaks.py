@@ -38,15 +38,31 @@ def _maxima(s: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
-def _prominence(s: np.ndarray, i: int) -> tuple[float, int, int]:
-    """Height above the higher of the two lowest points before higher ground, and where these are."""
-    up = np.flatnonzero(s[:i] > s[i])
-    lo = up[-1] + 1 if len(up) else 0
-    up = np.flatnonzero(s[i + 1 :] > s[i])
-    hi = i + up[0] if len(up) else len(s) - 1
-    left = i - int(np.argmin(s[lo : i + 1][::-1]))
-    right = i + int(np.argmin(s[i : hi + 1]))
-    return float(s[i] - max(s[left], s[right])), left, right
+def _lows(s: list[float]) -> list[int]:
+    """For every point where the lowest one lies, the nearest of equals, between it and the next higher point to its left.
+
+    A stack of falling heights, each with the lowest point since the one before it: every point is pushed and popped once.
+    """
+    out, stack = [], []
+    for j, v in enumerate(s):
+        low = j
+        while stack and s[stack[-1][0]] <= v:
+            _, k = stack.pop()
+            if s[k] < s[low]:
+                low = k
+        stack.append((j, low))
+        out.append(low)
+    return out
+
+
+def _prominences(s: np.ndarray, at: np.ndarray) -> list[tuple[float, int, int]]:
+    """Of each point in ``at``: height above the higher of the two lowest points before higher ground, and where these are; linear in the scan."""
+    if not len(at):
+        return []
+    v, last = s.tolist(), len(s) - 1
+    left, right = _lows(v), _lows(v[::-1])
+    ends = [(i, left[i], last - right[last - i]) for i in at.tolist()]
+    return [(v[i] - max(v[a], v[b]), a, b) for i, a, b in ends]
 
 
 def _half_width(s: np.ndarray, i: int, prominence: float, left: int, right: int) -> float:
@@ -67,19 +83,42 @@ def find_peaks(s: np.ndarray, threshold: float, distance: int, least_width: floa
     """(index, prominence, width) of peaks: the highest win within a distance, then prominence and width decide."""
     at = _maxima(s)
     keep = np.ones(len(at), bool)
-    for k in np.argsort(s[at], kind="stable")[::-1]:
+    for k in np.argsort(s[at], kind="stable")[::-1].tolist() if distance > 1 else ():
         if keep[k]:
-            near = np.abs(at - at[k]) < distance
-            near[k] = False
-            keep[near] = False
+            for side in (range(k - 1, -1, -1), range(k + 1, len(at))):
+                for j in side:
+                    if abs(int(at[j]) - int(at[k])) >= distance:
+                        break
+                    keep[j] = False
     out = []
-    for i in at[keep & (s[at] - s.min() >= threshold)].tolist():  # no peak stands higher above its surroundings than above all
-        p, left, right = _prominence(s, i)
+    at = at[keep & (s[at] - s.min() >= threshold)]  # no peak stands higher above its surroundings than above all
+    for i, (p, left, right) in zip(at.tolist(), _prominences(s, at)):
         if p >= threshold and (w := _half_width(s, i, p, left, right)) >= least_width:
             out.append((i, p, w))
     return out
 
 
+def scan_peaks(points: DataFrame, threshold: float = 0.0, distance: int = 1, least_width: float = 0.0, most: int = DEFAULTS["most"]) -> DataFrame:
+    """(measurement_id, idx, height, prominence, width, n_found) of the peaks of y as it is, one group a scan.
+
+    idx counts the scan's finite points by x from 0. A flat top counts once, at its middle. Of peaks closer than ``distance`` points
+    the higher one stays; then prominence (at least ``threshold``) and width at half of it, in points, decide. Of more than
+    ``most`` peaks the highest are given, ``n_found`` counts all (see ``capped``). A scan without peaks has no rows.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[np.isfinite(pdf["x"].astype(float)) & np.isfinite(pdf["y"].astype(float))].sort_values(["x", "idx"], ignore_index=True)
+        s = pdf["y"].to_numpy(float)
+        found = find_peaks(s, threshold, distance, least_width) if len(s) > 2 else []
+        kept = sorted(sorted(found, key=lambda f: (-s[f[0]], f[0]))[:most])
+        rows = [(i, float(s[i]), p, w, len(found)) for i, p, w in kept]
+        out = pd.DataFrame(rows, columns=["idx", "height", "prominence", "width", "n_found"]).astype({"idx": "int32", "n_found": "int32"})
+        out.insert(0, M, pdf[M].iloc[0] if rows else None)
+        return out
+
+    return points.select(M, "idx", "x", "y").groupBy(M).applyInPandas(run, f"{M} {_kind(points)}, idx int, height double, prominence double, width double, n_found int")
+
+
 def _prepare(pdf: pd.DataFrame, o: dict) -> pd.DataFrame | str:
     """A scan with baseline, noise and peaks, or why it can't be had."""
     pdf = pdf[np.isfinite(pdf["x"].astype(float)) & np.isfinite(pdf["y"].astype(float))].sort_values(["x", "idx"], ignore_index=True)
@@ -133,7 +172,7 @@ def _kind(points: DataFrame) -> str:
 
 
 def capped(points: DataFrame, params: dict | None = None) -> DataFrame:
-    """(measurement_id, field, severity, message): a warning for every scan of ``prepared`` with more peaks than are kept."""
+    """(measurement_id, field, severity, message): a warning for every scan of ``prepared`` or ``scan_peaks`` with more peaks than are kept."""
     most = (DEFAULTS | (params or {}))["most"]
     over = points.groupBy(M).agg(F.max("n_found").alias("n")).where(F.col("n") > most)
     return over.select(M, F.lit("peaks").alias("field"), F.lit("warning").alias("severity"), _cap_message(F.col("n").cast("string"), most).alias("message"))

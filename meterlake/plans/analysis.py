@@ -158,6 +158,39 @@ def _touching(spark, sf):
 
 
 query("w07_local_maxima", MAXIMA + " SELECT measurement_id, idx, height FROM pk")(lambda s, d: _maxima(s, d).select(M, "idx", "height"))
+# where higher ground begins on both sides, the lowest points before it, and the crossings at half the prominence
+PROMINENT = CURVES + """, k AS (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b FROM curves WINDOW w AS (PARTITION BY measurement_id ORDER BY idx)),
+  pk AS (SELECT measurement_id, idx, y AS height FROM k WHERE y > a AND y > b),
+  reach AS (SELECT p.measurement_id, p.idx, p.height, coalesce(max(c.idx) FILTER (c.idx < p.idx AND c.y > p.height) + 1, 0) AS lo, coalesce(min(c.idx) FILTER (c.idx > p.idx AND c.y > p.height) - 1, max(c.idx)) AS hi
+    FROM pk p JOIN curves c ON c.measurement_id = p.measurement_id GROUP BY p.measurement_id, p.idx, p.height),
+  low AS (SELECT r.measurement_id, r.idx, height, lo, hi, height - greatest(min(c.y) FILTER (c.idx <= r.idx), min(c.y) FILTER (c.idx >= r.idx)) AS prominence
+    FROM reach r JOIN curves c ON c.measurement_id = r.measurement_id AND c.idx BETWEEN lo AND hi GROUP BY r.measurement_id, r.idx, height, lo, hi),
+  cut AS (SELECT l.*, height - prominence / 2 AS level, max(c.idx) FILTER (c.idx < l.idx AND c.y <= height - prominence / 2) AS p, min(c.idx) FILTER (c.idx > l.idx AND c.y <= height - prominence / 2) AS q
+    FROM low l JOIN curves c ON c.measurement_id = l.measurement_id AND c.idx BETWEEN lo AND hi GROUP BY ALL),
+  peaks AS (SELECT t.measurement_id, t.idx, height, prominence, (q - (level - d.y) / (e.y - d.y)) - (p + (level - a.y) / (b.y - a.y)) AS width FROM cut t
+    JOIN curves a ON a.measurement_id = t.measurement_id AND a.idx = p JOIN curves b ON b.measurement_id = t.measurement_id AND b.idx = p + 1
+    JOIN curves d ON d.measurement_id = t.measurement_id AND d.idx = q JOIN curves e ON e.measurement_id = t.measurement_id AND e.idx = q - 1)"""
+LEAST_PROMINENCE, LEAST_POINTS_WIDE, MOST_SHOWN = 0.05, 1.0, 5
+
+
+@query("w07_prominent_peaks", PROMINENT + f" SELECT measurement_id, idx, height, round(prominence, 9) AS prominence, round(width, 6) AS width FROM peaks WHERE prominence >= {LEAST_PROMINENCE} AND width >= {LEAST_POINTS_WIDE}")
+def _(spark, sf):
+    """Peaks of noisy curves with prominence and width."""
+    found = P.scan_peaks(c.curves(spark, sf), LEAST_PROMINENCE, 1, LEAST_POINTS_WIDE)
+    return found.select(M, "idx", "height", F.round("prominence", 9).alias("prominence"), F.round("width", 6).alias("width"))
+
+
+@query("o02_capped_scans", PROMINENT + f""" SELECT measurement_id, list(idx ORDER BY idx) AS positions, max(CASE WHEN n > {MOST_SHOWN} THEN n || ' peaks, of which the {MOST_SHOWN} highest are kept' END) AS warning
+  FROM (SELECT *, count(*) OVER (PARTITION BY measurement_id) AS n, row_number() OVER (PARTITION BY measurement_id ORDER BY height DESC, idx) AS r FROM peaks WHERE prominence >= {LEAST_PROMINENCE} AND width >= {LEAST_POINTS_WIDE}) WHERE r <= {MOST_SHOWN} GROUP BY measurement_id""")
+def _(spark, sf):
+    """The highest peaks of each curve, and a warning where there are more."""
+    from ..sources.durable import written
+
+    found = written(P.scan_peaks(c.curves(spark, sf), LEAST_PROMINENCE, 1, LEAST_POINTS_WIDE, MOST_SHOWN), "peaks")
+    warned = P.capped(found, {"most": MOST_SHOWN}).select(M, F.col("message").alias("warning"))
+    return found.groupBy(M).agg(F.array_sort(F.collect_list("idx")).alias("positions")).join(warned, M, "left")
+
+
 query("w08_group_max_share", CURVES + "SELECT measurement_id, idx, round(y / max(y) OVER (PARTITION BY measurement_id), 9) AS share FROM curves")(lambda s, d: c.curves(s, d).select(M, "idx", F.round(F.col("y") / F.max("y").over(Window.partitionBy(M)), 9).alias("share")))
 query("o01_sorted_scan", CURVES + "SELECT measurement_id, CAST(row_number() OVER (PARTITION BY measurement_id ORDER BY y, idx) - 1 AS INTEGER) AS idx, y AS x FROM curves")(lambda s, d: C.by_x(c.curves(s, d).select(M, "idx", F.col("y").alias("x"), "y")).select(M, "idx", "x"))
 query("o02_top_peaks", MAXIMA + " SELECT measurement_id, idx, height FROM (SELECT *, row_number() OVER (PARTITION BY measurement_id ORDER BY height DESC, idx) AS r FROM pk) WHERE r <= 5")(lambda s, d: C.top_peaks(_maxima(s, d), 5).select(M, "idx", "height"))
@@ -259,6 +292,19 @@ def _(spark, sf):
     return P.physical(fits, p).groupBy(M).agg(F.count(F.lit(1)).alias("peaks"))
 
 
+@query("f08_unphysical_left_out", f"SELECT measurement_id, CAST((c0 BETWEEN 10 AND 40) AS BIGINT) * CAST(measurement_id % 3 <> 0 AS BIGINT) + CAST((c1 BETWEEN 10 AND 40 + measurement_id % 20) AS BIGINT) + CAST(measurement_id % 5 <> 0 AND c2 BETWEEN 10 AND 40 + measurement_id % 20 AS BIGINT) AS peaks FROM ({TRUTH})")
+def _(spark, sf):
+    """Peaks at the truth of each scan, of which some have no height, some no width, and some lie beyond the end of a shorter scan."""
+    e = c.read(spark, sf, "embeddings").select(F.col("vec_id").alias(M), "label")
+    peak = lambda k, height, fwhm: F.struct(F.round(F.expr(f"CAST({CENTERS[k]} AS DOUBLE)"), 1).alias("center"), height.cast("double").alias("height"), fwhm.cast("double").alias("fwhm"))
+    one = F.lit(1)
+    each = F.array(peak(0, F.when(F.col(M) % 3 == 0, 0).otherwise(one), one), peak(1, one, one), peak(2, one, F.when(F.col(M) % 5 == 0, 0).otherwise(one)))
+    fits = e.select(M, F.explode(each).alias("p")).select(M, "p.*", F.lit(None).cast("string").alias("issue"))
+    ends = e.select(M, F.explode(F.array(F.lit(10.0), (40 + F.col(M) % 20).cast("double"))).alias("x"))
+    left = P.physical(fits, ends).groupBy(M).agg(F.count(F.lit(1)).alias("peaks"))
+    return e.select(M).join(left, M, "left").select(M, F.coalesce("peaks", F.lit(0)).cast("long").alias("peaks"))
+
+
 @query("a12_run_analysis", f"WITH {TAUC} SELECT measurement_id, measurement_id % 2 = 0 AS reused, CASE WHEN measurement_id % 2 = 0 THEN 0.0 ELSE round(-intercept / slope, 5) END AS band_gap FROM fitted")
 def _(spark, sf):
     """Band gaps of all spectra, every other one answered by a stored result."""

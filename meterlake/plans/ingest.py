@@ -378,6 +378,43 @@ def _(spark, sf):
     return got.issues.join(got.measurements.select("measurement_id", "path"), "measurement_id").select("path", "field", "severity")
 
 
+# ---------------------------------------------------------------- spectra in XML
+
+
+def _spectrum_files(spark, sf):
+    """A spectrum file in windows-1252 for each vector: nested, in a namespace, with a comment that looks like channels and a list that ends with a comma.
+
+    Of the ids every seventh file breaks off, every fifth has no calibration, every eleventh a channel that is no number, every third a date
+    that can't be read.
+    """
+    e, k = c.read(spark, sf, "embeddings"), F.col("vec_id")
+    calibration = F.when(k % 5 == 0, F.lit("")).otherwise("<CalibAbs> -4.8E-1 </CalibAbs><CalibLin>5E-3</CalibLin>")
+    channels = F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), ",\n ")
+    text = F.concat(
+        F.lit('<?xml version="1.0" encoding="WINDOWS-1252"?>\n<TRTSpectrum xmlns="urn:spectra"><!-- <Channels>9,9</Channels> --><ClassInstance Name="Probe \u00e9\u0080 '), k.cast("string"),
+        F.lit('"><Header><Date>'), F.when(k % 3 == 0, F.lit("soon")).otherwise("2.12.2022"), F.lit("</Date><Time>8:0:24</Time><ChannelCount>64</ChannelCount>"), calibration,
+        F.lit("</Header><Channels/><Channels>"), channels, F.when(k % 11 == 0, F.lit(",x")).otherwise(","), F.lit("</Channels>"), F.when(k % 7 == 0, F.lit("<Open>")).otherwise("</ClassInstance></TRTSpectrum>"),
+    )
+    path = F.concat(F.lit("lake/spectra/"), k.cast("string"), F.lit(".spx"))
+    return e.select(path.alias("path"), path.alias("rel_path"), F.encode(text, "ISO-8859-1").alias("content"))  # U+0080 becomes the byte 0x80
+
+
+SPECTRUM_FILES = """WITH f AS (SELECT vec_id, 'lake/spectra/' || vec_id || '.spx' AS path, vec_id % 7 = 0 AS broken, vec_id % 11 = 0 AS bad, vec_id % 5 = 0 AS bare, vec_id % 3 = 0 AS undated, embedding FROM embeddings) """
+
+
+@query("s05_spectrum_files", SPECTRUM_FILES + """SELECT path, CASE WHEN broken OR bad THEN 'parsed_with_issues' ELSE 'parsed' END AS outcome, CASE WHEN NOT broken THEN 'Probe \u00e9\u20ac ' || vec_id END AS name,
+  NOT broken AND NOT undated AS dated, CASE WHEN broken OR bad THEN 0 ELSE 64 END AS n, CASE WHEN NOT broken AND NOT bad THEN round(list_sum(list_transform(range(0, 64), lambda i: (CASE WHEN bare THEN i ELSE -0.48::DOUBLE + i * 0.005::DOUBLE END) * CAST(embedding[i + 1] AS DOUBLE))), 4) END AS moment,
+  CASE WHEN broken THEN ['xml error'] WHEN bad THEN ['data error', 'measured_at warning'] WHEN bare THEN ['measured_at warning', 'x warning'] ELSE ['measured_at warning'] END AS issues FROM f""")
+def _(spark, sf):
+    """Spectrum files through the whole ingest: what became of each, its name, points and findings."""
+    got = ingest.ingest(_spectrum_files(spark, sf))
+    m = "measurement_id"
+    sums = got.points.groupBy(m).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x") * F.col("y")), 4).alias("moment"))
+    found = got.issues.groupBy(m).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "field", "severity"))).alias("issues"))
+    rows = got.measurements.join(got.outcomes.select("path", "outcome"), "path").join(sums, m, "left").join(found, m, "left")
+    return rows.select("path", "outcome", F.try_element_at("metadata", F.lit("spectrum_name")).alias("name"), F.col("measured_at").isNotNull().alias("dated"), F.coalesce("n", F.lit(0)).cast("int").alias("n"), "moment", "issues")
+
+
 # ---------------------------------------------------------------- staged workbooks and images
 
 BOOKS = f"WITH {c.WORKBOOKS} "

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What a scan leaves out.
@@ -99,8 +102,65 @@ def read_diffraction_xml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "scan").option("mode", "PERMISSIVE").option("ignoreNamespace", "true").schema(schema).load(path).withColumn("path", F.input_file_name())
 
 
+_C1 = bytes(range(0x80, 0xA0))
+#: What the bytes 0x80 to 0x9F stand for in windows-1252, by its codec; the unassigned ones become U+FFFD.
+_PAGE_1252 = _C1.decode("cp1252", errors="replace")
+
+
+def declared_text(content: Column) -> Column:
+    """The text of a file: in windows-1252 where an XML declaration at its start names that or ISO-8859-1, else in UTF-8; bad bytes become U+FFFD."""
+    content = content.cast("binary")
+    head = F.decode(F.substring(content, 1, 200), "ISO-8859-1")
+    named = F.lower(F.regexp_extract(head, r"""^\s*<\?xml[^>]*\sencoding\s*=\s*["']([^"']+)["']""", 1))
+    one_byte = F.translate(F.decode(content, "ISO-8859-1"), _C1.decode("latin-1"), _PAGE_1252)
+    return F.when(named.isin("windows-1252", "cp1252", "iso-8859-1", "latin1"), one_byte).otherwise(F.make_valid_utf8(content.cast("string")))
+
+
+#: Elements of a spectrum file and the columns they become.
+SPECTRUM = {
+    "CalibAbs": "calib_abs", "CalibLin": "calib_lin", "ChannelCount": "channel_count", "PrimaryEnergy": "primary_energy_kv",
+    "Date": "date", "Time": "time", "Channels": "channels",
+}
+_NUMERIC = ("calib_abs", "calib_lin", "channel_count", "primary_energy_kv")
+
+
+def _spectrum(text: str | None) -> dict[str, str]:
+    """The first text that is not blank of each element, at any depth and in any namespace, and the name of the first class instance."""
+    try:
+        root = ElementTree.fromstring(text or "")
+    except (ElementTree.ParseError, ValueError) as e:
+        return {"broken": str(e)}
+    out: dict[str, str] = {}
+    for e in root.iter():
+        tag = e.tag.rpartition("}")[2]
+        if tag == "ClassInstance" and e.get("Name"):
+            out.setdefault("spectrum_name", e.get("Name"))
+        if tag in SPECTRUM and e.text and e.text.strip():
+            out.setdefault(SPECTRUM[tag], e.text.strip())
+    return out
+
+
+def spectrum_fields(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
+    """(key, broken, spectrum_name, calib_abs, calib_lin, channel_count, primary_energy_kv, date, time, channels) of spectrum XML texts.
+
+    An XML parser reads each text, so comments, nesting and namespaces are what they are. ``broken`` says why a text (null and empty ones
+    too) is not well-formed, all else is null then. A number that is none is null.
+    """
+    names = ["broken", "spectrum_name", *SPECTRUM.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = [_spectrum(v.as_py()) for v in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r.get(n) for r in rows], pa.string()) for n in names)], names=[key, *names])
+
+    kind = texts.schema[key].dataType.simpleString()
+    found = texts.select(key, text).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} string" for n in names))
+    return found.withColumns({n: F.col(n).try_cast("double" if n != "channel_count" else "long") for n in _NUMERIC})
+
+
 def read_spectrum_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Raw text of spectrum XML files (one byte a character; the parts drawn out are ASCII) with calibration, counts and time drawn out by path."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "ISO-8859-1").alias("xml"))
-    one = lambda tag: F.regexp_extract("xml", f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    return raw.select("path", one("CalibAbs").try_cast("double").alias("calib_abs"), one("CalibLin").try_cast("double").alias("calib_lin"), one("Date").alias("date"), one("Time").alias("time"), one("Channels").alias("channels"))
+    """Calibration, counts and time of spectrum XML files by path (see ``spectrum_fields``)."""
+    raw = spark.read.format("binaryFile").load(path)
+    return spectrum_fields(raw.select("path", declared_text(F.col("content")).alias("xml")), "path", "xml")
