@@ -56,6 +56,29 @@ def replace_results(prior: DataFrame, new: DataFrame) -> DataFrame:
     return prior.join(new.select(RESULT_KEY).distinct(), RESULT_KEY, "left_anti").unionByName(new)
 
 
+def answered(results: DataFrame, analyzer: str, params_fp: Column, version: str | None = None) -> DataFrame:
+    """(measurement_id) that a stored result of one analyzer under one set of parameters answers; with ``version``, of that version alone."""
+    own = (F.col("analyzer_name") == analyzer) & (F.col("params_fp") == params_fp)
+    return results.where(own if version is None else own & (F.col("analyzer_version") == version)).select("measurement_id")
+
+
+def run_misses(measurements: DataFrame, results: DataFrame, analyzer: str, params_fp: Column, version: str, force: bool = False) -> DataFrame:
+    """Rows of ``measurements`` that no stored result of this run's analyzer, parameters and version answers.
+
+    ``result_misses`` for one run: its name, parameters and version are filters of the stored side, the join is by measurement alone, so that
+    results stored in buckets of it are not shuffled.
+    """
+    return measurements if force else measurements.join(answered(results, analyzer, params_fp, version), "measurement_id", "left_anti")
+
+
+def replace_run(prior: DataFrame, new: DataFrame, analyzer: str, params_fp: Column) -> DataFrame:
+    """``replace_results`` where all of ``new`` is of one analyzer under one set of parameters: one join by measurement."""
+    mine = new.select("measurement_id").distinct().withColumn("_anew", F.lit(True))
+    own = (F.col("analyzer_name") == analyzer) & (F.col("params_fp") == params_fp)
+    kept = prior.join(mine, "measurement_id", "left").where(~F.coalesce(own, F.lit(False)) | F.col("_anew").isNull())
+    return kept.select(prior.columns).unionByName(new)
+
+
 def latest(results: DataFrame, key: list[str], by: list[str]) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in by]))
     return results.withColumn("_n", n).where("_n = 1").drop("_n")

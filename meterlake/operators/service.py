@@ -117,7 +117,8 @@ def run_analysis(
     ``results``: measurement_id, analyzer_name, params_fp, analyzer_version, outputs, issues, and result_id if curves are to be found
     again. New rows replace those of other versions under the same parameters. Every measurement asked for gets a row (see
     ``complete``); unknown parameters are an error. With ``derived``, a folder, the analyzer's curves are stored there in the same run
-    (see ``catalog.save_derived``) under the results' ids, before the results are returned.
+    (see ``catalog.save_derived``) under the results' ids, before the results are returned. Points and results that are stored in buckets of
+    measurement_id (see ``sources.buckets``) are not shuffled.
     """
     unknown = set(params or {}) - set(analyzer.defaults)
     if unknown:
@@ -125,9 +126,11 @@ def run_analysis(
     merged = analyzer.defaults | (params or {})
     entries = [F.lit(str(x)) for kv in sorted(merged.items()) for x in kv]
     own = measurements.where(F.col("technique").isin(*analyzer.techniques)).select("measurement_id").distinct()
-    wanted = own.select("measurement_id", F.lit(analyzer.name).alias("analyzer_name"), catalog.params_fingerprint(F.create_map(*entries)).alias("params_fp"), F.lit(analyzer.version).alias("analyzer_version"))
+    fp = catalog.params_fingerprint(F.create_map(*entries))
+    missing = catalog.run_misses(own, results, analyzer.name, fp, analyzer.version, force)
+    wanted = missing.select("measurement_id", F.lit(analyzer.name).alias("analyzer_name"), fp.alias("params_fp"), F.lit(analyzer.version).alias("analyzer_version"))
     run = uuid.uuid4().hex
-    todo = keep(catalog.result_misses(wanted, results, force).withColumn("result_id", catalog.row_id(F.lit(run), F.col("measurement_id").cast("string"))), "todo")
+    todo = keep(wanted.withColumn("result_id", catalog.row_id(F.lit(run), F.col("measurement_id").cast("string"))), "todo")
     mine = points.join(todo.select("measurement_id"), "measurement_id", "left_semi")
     got = analyzer.analyze(mine, merged, keep)
     _shape(analyzer.name, got)
@@ -137,4 +140,4 @@ def run_analysis(
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names])).alias("a")
         long = got.curves.join(todo.select("measurement_id", "result_id"), "measurement_id").select("result_id", "measurement_id", "idx", each)
         catalog.save_derived(long.select("result_id", "measurement_id", "idx", "a.name", "a.value", F.lit(analyzer.name).alias("analyzer_name")), derived)
-    return catalog.replace_results(results, new.select(results.columns))
+    return catalog.replace_run(results, new.select(results.columns), analyzer.name, fp)

@@ -356,3 +356,21 @@ def _(spark, sf):
     out = service.run_analysis(m, spectra(spark, sf).select(M, "idx", "x", "y").where(f"{M} % 3 <> 0"), none, service.default_registry().by_name["band-gap"])
     issue = F.when(F.array_contains("issues", service.NO_ARRAYS), service.NO_ARRAYS).otherwise("").alias("issue")
     return out.select(M, issue, F.round(F.get_json_object("outputs", "$.band_gap").cast("double"), 5).alias("band_gap"))
+
+
+@query("a12_bucketed_rerun", f"WITH {TAUC} SELECT measurement_id, measurement_id % 3 <> 1 AS reused, round(-intercept / slope, 5) AS band_gap FROM fitted")
+def _(spark, sf):
+    """Band gaps from points and results stored in buckets: a first run over two thirds of the spectra is stored, a second one over all reuses it."""
+    from ..operators import service
+    from ..sources import buckets
+
+    path = f"{shared_root(spark)}/buckets-{uuid.uuid4().hex}"
+    m = c.read(spark, sf, "embeddings").select(F.col("vec_id").alias(M), F.lit("uv_drs").alias("technique"))
+    points = buckets.append_buckets(spectra(spark, sf).select(M, "idx", "x", "y"), f"{path}/points", buckets=8)
+    none = spark.createDataFrame([], f"{M} long, analyzer_name string, params_fp string, analyzer_version string, outputs string, issues array<string>, result_id string")
+    a = service.default_registry().by_name["band-gap"]
+    stored = buckets.append_buckets(service.run_analysis(m.where(f"{M} % 3 <> 1"), points, none, a), f"{path}/results", buckets=8)
+    out = service.run_analysis(m, points, stored, a)
+    old = stored.select("result_id").withColumn("reused", F.lit(True))
+    gap = F.round(F.get_json_object("outputs", "$.band_gap").cast("double"), 5).alias("band_gap")
+    return out.join(old, "result_id", "left").select(M, F.coalesce("reused", F.lit(False)).alias("reused"), gap)
