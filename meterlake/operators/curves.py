@@ -132,12 +132,14 @@ def snip_arrays(y: Column, half_window: int) -> Column:
 
 
 def snip(y: np.ndarray, half_window: int) -> np.ndarray:
-    """The same in numpy."""
+    """The same in numpy, along the last axis."""
     b = y.astype(float).copy()
     for w in range(1, half_window + 1):
-        if 2 * w >= len(b):
+        if 2 * w >= b.shape[-1]:
             break
-        b[w:-w] = np.minimum(b[w:-w], (b[: -2 * w] + b[2 * w :]) / 2)
+        mean = b[..., : -2 * w] + b[..., 2 * w :]
+        mean *= 0.5
+        np.minimum(b[..., w:-w], mean, out=b[..., w:-w])
     return b
 
 

@@ -243,11 +243,7 @@ query("a07_detect_peaks")(lambda s, d: P.detect_peaks(diffraction(s, d)).select(
 
 @query("a09_fit_peak_clusters")
 def _(spark, sf):
-    from ..sources.durable import written
-
-    p = written(P.prepared(diffraction(spark, sf)), "prepared")
-    found = C.overlap_groups(p.where("is_peak").select(M, "idx", "x", "width"))
-    return _r(P.fit_peak_clusters(p, found), "center", "height", "fwhm", "area", "fraction", digits=3).drop("sigma")
+    return _r(P.scan_fits(diffraction(spark, sf)), "center", "height", "fwhm", "area", "fraction", digits=3).drop("sigma", "x0", "x1")
 
 
 query("a10_peak_table")(lambda s, d: _r(P.peak_table(diffraction(s, d)).drop("state"), "r2", "reduced_chi2", "sigma", digits=4).withColumn("peaks", F.to_json(F.transform("peaks", lambda p: F.round(p["center"], 2)))))
@@ -256,40 +252,24 @@ query("a10_peak_table")(lambda s, d: _r(P.peak_table(diffraction(s, d)).drop("st
 @query("a09_cluster_centers", f"SELECT measurement_id, CAST(k AS INTEGER) AS cluster, ([c0, c1, c2, c3])[k + 1] AS center, CAST(NULL AS VARCHAR) AS issue FROM ({TRUTH}), unnest(range(0, 4)) AS t(k)")
 def _(spark, sf):
     """Fits cluster by cluster, centers to a tenth of a degree."""
-    from ..sources.durable import written
-
-    p = written(P.prepared(diffraction(spark, sf)), "prepared")
-    fits = P.fit_peak_clusters(p, C.overlap_groups(p.where("is_peak").select(M, "idx", "x", "width")))
-    return fits.select(M, "cluster", F.round("center", 1).alias("center"), "issue")
+    return P.scan_fits(diffraction(spark, sf)).select(M, "cluster", F.round("center", 1).alias("center"), "issue")
 
 
 @query("a11_fit_follows", "SELECT vec_id AS measurement_id, CAST(701 AS BIGINT) AS n, true AS close FROM embeddings")
 def _(spark, sf):
     """Whether the fit stays within the noise of every point of a scan."""
-    from ..sources.durable import written
-
-    p = written(P.prepared(diffraction(spark, sf)), "prepared")
-    fits = written(P.fit_peak_clusters(p, C.overlap_groups(p.where("is_peak").select(M, "idx", "x", "width"))), "fits")
     near = F.abs("residual") < 30  # a tenth of the lowest peak
-    return P.fit_curve(p, fits).groupBy(M).agg(F.count(F.lit(1)).alias("n"), F.bool_and(near).alias("close"))
+    return P.fit_curves(diffraction(spark, sf)).groupBy(M).agg(F.count(F.lit(1)).alias("n"), F.bool_and(near).alias("close"))
 
 
 @query("a11_fit_curve")
 def _(spark, sf):
-    from ..sources.durable import written
-
-    p = written(P.prepared(diffraction(spark, sf)), "prepared")
-    fits = written(P.fit_peak_clusters(p, C.overlap_groups(p.where("is_peak").select(M, "idx", "x", "width"))), "fits")
-    return _r(P.fit_curve(p, fits), "fit", "residual", "baseline", digits=3).select(M, "idx", "fit", "baseline", "residual")
+    return _r(P.fit_curves(diffraction(spark, sf)), "fit", "residual", "baseline", digits=3).select(M, "idx", "fit", "baseline", "residual")
 
 
 @query("f08_physical_peaks", "SELECT vec_id AS measurement_id, CAST(4 AS BIGINT) AS peaks FROM embeddings")
 def _(spark, sf):
-    from ..sources.durable import written
-
-    p = written(P.prepared(diffraction(spark, sf)), "prepared")
-    fits = P.fit_peak_clusters(p, C.overlap_groups(p.where("is_peak").select(M, "idx", "x", "width")))
-    return P.physical(fits, p).groupBy(M).agg(F.count(F.lit(1)).alias("peaks"))
+    return P.physical(P.scan_fits(diffraction(spark, sf))).groupBy(M).agg(F.count(F.lit(1)).alias("peaks"))
 
 
 @query("f08_unphysical_left_out", f"SELECT measurement_id, CAST((c0 BETWEEN 10 AND 40) AS BIGINT) * CAST(measurement_id % 3 <> 0 AS BIGINT) + CAST((c1 BETWEEN 10 AND 40 + measurement_id % 20) AS BIGINT) + CAST(measurement_id % 5 <> 0 AND c2 BETWEEN 10 AND 40 + measurement_id % 20 AS BIGINT) AS peaks FROM ({TRUTH})")
