@@ -176,12 +176,12 @@ query("p09_reflectance_sheets", CELLS + ", r AS (SELECT file_id, sheet, row_idx,
     lambda s, d: parsing.reflectance_sheets(c.cells(s, d))
 )
 query("p10_property_table", CELLS + ", w AS (SELECT file_id, sheet, row_idx, max(num) FILTER (col_idx = 0) AS temperature_k, max(num) FILTER (col_idx = 1) AS seebeck_uvk, max(num) FILTER (col_idx = 2) AS resistivity_ohm_m, max(num) FILTER (col_idx = 3) AS thermal_conductivity FROM cells WHERE row_idx > 0 GROUP BY ALL) SELECT w.* FROM w WHERE seebeck_uvk IS NOT NULL AND EXISTS (SELECT 1 FROM cells c WHERE c.file_id = w.file_id AND c.row_idx = 0)")(
-    lambda s, d: parsing.property_table(c.cells(s, d), parsing.property_columns(c.cells(s, d))).drop("power_factor", "zt")
+    lambda s, d: parsing.property_rows(parsing.property_sheets(c.cells(s, d))).drop("power_factor", "zt")
 )
 LABELS_SQL = CELLS + ", h AS (SELECT file_id, min(row_idx) AS head FROM cells WHERE txt LIKE '%Mobility%' OR txt LIKE '%Resistivity%' GROUP BY file_id), b AS (SELECT c.file_id, h.head, min(row_idx) AS data FROM cells c JOIN h USING (file_id) WHERE row_idx > head GROUP BY c.file_id, h.head) SELECT t.file_id, regexp_replace(regexp_replace(lower(t.txt), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key, v.num, t.txt AS label FROM b JOIN cells t ON t.file_id = b.file_id AND t.row_idx = b.head AND t.txt IS NOT NULL JOIN cells v ON v.file_id = b.file_id AND v.row_idx = b.data AND v.col_idx = t.col_idx"
 query("p11_label_values", LABELS_SQL)(lambda s, d: parsing.label_values(c.cells(s, d), classify.HALL_WORDS))
 query("j11_header_data_pairing", LABELS_SQL.replace("SELECT t.file_id, regexp", "SELECT t.file_id, t.col_idx, regexp"))(
-    lambda s, d: parsing.label_values(c.cells(s, d), classify.HALL_WORDS).join(c.cells(s, d).where("row_idx = 0").select("file_id", "col_idx", F.col("txt").alias("label")), ["file_id", "label"]).select("file_id", "col_idx", "key", "num", "label")
+    lambda s, d: parsing.label_columns(c.cells(s, d), classify.HALL_WORDS)
 )
 
 
