@@ -699,9 +699,6 @@ def _result_columns(rows: list[dict]) -> dict[str, pa.Array]:
     return {k: pa.array([r[k] for r in rows], t) for k, t in _TABLE_TYPES.items()}
 
 
-_CURVE_KIND = "array<struct<idx:int," + ",".join(f"{k}:double" for k in CURVE) + ">>"
-
-
 def analyse(points: DataFrame, params: dict | None = None) -> DataFrame:
     """Table rows and curves of one pass, by ``tag``: one ``result`` a scan as of ``peak_table``, and its points (idx, x, observed, baseline, fit, residual) under ``curve``.
 
@@ -716,12 +713,11 @@ def analyse(points: DataFrame, params: dict | None = None) -> DataFrame:
         return pd.DataFrame([{M: pdf[M].iloc[0], **row, **dict(zip(CURVE, curve, strict=True))}])[[M, *TABLE, *CURVE]].astype({k: float for k in ("r2", "reduced_chi2", "sigma")})
 
     one = points.select(M, "idx", "x", "y").groupBy(M).applyInPandas(run, f"{M} {_kind(points)}, {_TABLE_KINDS}, " + ", ".join(f"{k} array<double>" for k in CURVE))
-    # the result first, then its points: an element each
-    each = F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), F.size("x") - 1, F.lit(1)))
-    each = F.when(F.size("x") > 0, each).otherwise(F.array(F.lit(-1)))
-    long, first = one.select("*", F.explode(each).alias("_k")), F.col("_k") < 0
-    head = [F.when(first, F.col(k)).alias(k) for k in TABLE]
-    return long.select(M, F.when(first, "result").otherwise("curve").alias("tag"), *head, F.when(~first, F.col("_k")).alias("idx"), *[F.when(~first, F.get(k, F.col("_k"))).alias(k) for k in CURVE])
+    # the result first, then its points: an element each, which takes no copy of the scan's arrays along
+    void = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in one.schema}
+    head = F.struct(F.lit("result").alias("tag"), *TABLE, F.lit(None).cast("int").alias("idx"), *[F.lit(None).cast("double").alias(k) for k in CURVE])
+    tail = F.transform(F.arrays_zip(*CURVE), lambda p, i: F.struct(F.lit("curve").alias("tag"), *[void[k] for k in TABLE], i.alias("idx"), *[p[k].alias(k) for k in CURVE]))
+    return one.select(M, F.inline(F.concat(F.array(head), tail)))
 
 
 def fit_curves(points: DataFrame, params: dict | None = None) -> DataFrame:

@@ -59,3 +59,11 @@ def test_detected_peaks_are_grouped_as_by_windows(spark):
     p = peaks.prepared(scans(spark)).where("is_peak").select(M, "idx", "x", F.col("smooth").alias("height"), "width")
     rows = lambda df: sorted(tuple(r) for r in df.select(M, "idx", "x", "height", "width", "cluster").collect())
     assert rows(peaks.detect_peaks(scans(spark))) == rows(curves.overlap_groups(p))
+
+
+def test_a_point_takes_no_arrays_of_its_scan_along(spark):
+    both = peaks.analyse(scans(spark))
+    generate = [line for line in both._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in line]
+    assert len(generate) == 1 and f"[{M}#" in generate[0].replace("), [", "), [") and generate[0].split("), [")[-1].count("#") <= 1 + len(both.columns)
+    curve = both.where("tag = 'curve'").select(M, "idx", "x", F.col("observed").alias("y"), "baseline", "fit", "residual").toPandas().sort_values([M, "idx"], ignore_index=True)
+    pd.testing.assert_frame_equal(curve, peaks.fit_curves(scans(spark)).toPandas().sort_values([M, "idx"], ignore_index=True))
