@@ -447,16 +447,17 @@ def _(spark, sf):
 @query("e01_workbook_arrays", BOOKS + ", v AS (SELECT p.path, c.* FROM books p JOIN cells c USING (file_id) WHERE p.kind = 1 AND c.row_idx > 0 AND NOT EXISTS (SELECT 1 FROM wide w WHERE w.file_id = c.file_id AND w.row_idx = c.row_idx AND w.y IS NULL)) SELECT path, (['temperature_k', 'seebeck_uvk', 'resistivity_ohm_m', 'thermal_conductivity'])[col_idx + 1] AS name, count(*) AS n, round(sum(num), 4) AS total FROM v WHERE col_idx < 4 GROUP BY ALL")
 def _(spark, sf):
     got = _workbooks(spark, sf)
-    named = got.arrays.join(got.measurements.select("measurement_id", "path"), "measurement_id")
-    return named.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    sums = got.arrays.groupBy("measurement_id", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    named = sums.join(got.measurements.where("technique = 'thermoelectric'").select("measurement_id", "path"), "measurement_id")
+    return named.groupBy("path", "name").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
 @query("e01_workbook_labels", BOOKS + "SELECT b.path, regexp_replace(regexp_replace(lower(h.txt), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key, h.txt AS label, v.num FROM books b JOIN cells h USING (file_id) LEFT JOIN cells v ON v.file_id = b.file_id AND v.row_idx = 1 AND v.col_idx = h.col_idx WHERE b.kind = 2 AND b.last_row > 0 AND h.row_idx = 0")
 def _(spark, sf):
     """Labels and values of Hall books, from the metadata of their measurements."""
-    m = _workbooks(spark, sf).measurements.where("technique = 'hall'").select("path", F.explode("metadata").alias("key", "value"))
-    label = m.where(F.col("key").endswith("__label")).select("path", F.regexp_replace("key", "__label$", "").alias("key"), F.col("value").alias("label"))
-    return label.join(m, ["path", "key"], "left").select("path", "key", "label", F.col("value").cast("double").alias("num"))
+    m = _workbooks(spark, sf).measurements.where("technique = 'hall'").select("path", "metadata", F.explode("metadata").alias("key", "label")).where(F.col("key").endswith("__label"))
+    key = F.regexp_replace("key", "__label$", "")
+    return m.select("path", key.alias("key"), "label", F.try_element_at("metadata", key).cast("double").alias("num"))
 
 
 IMAGES = "WITH i AS (SELECT p_partkey AS k, 'lake/' || (['HR-TEM/', 'images/', 'STEM/'])[p_partkey % 3 + 1] || CAST(p_partkey AS VARCHAR) || '.tif' AS path, p_partkey % 4 = 3 AS other, p_partkey % 5 = 4 AS bare, * FROM part) "
