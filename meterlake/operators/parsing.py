@@ -103,15 +103,21 @@ def region_scan(lines: DataFrame, file: str = "file_id", separator: str = r"\s*,
     parts = F.split(F.trim("value"), separator)
     x, y = to_number(F.try_element_at(parts, F.lit(1))), to_number(F.try_element_at(parts, F.lit(2)))
     pair = x.isNotNull() & y.isNotNull()
-    rows = lines.withColumns({"x": F.when(pair, x), "pair": pair, "cell": F.trim(F.regexp_replace("value", ",+$", ""))})
-    rows = rows.withColumn("data_start", F.min(F.when(F.col("pair"), F.col("line_no"))).over(Window.partitionBy(file)))
-    inside = F.col("line_no") >= F.col("data_start")
-    named = (F.col("line_no") <= F.col("data_start")) & F.col("cell").rlike("^[A-Za-z][A-Za-z0-9 ]{1,7}$")
-    return rows.where("data_start is not null").groupBy(file, "data_start").agg(
-        F.max_by("cell", F.when(named, F.col("line_no"))).alias("label"), F.count_if("pair").alias("n_points"),
-        F.count_if(inside & ~F.col("pair") & (F.trim("value") != "")).alias("malformed"),
-        F.min_by("x", F.when(F.col("pair"), F.col("line_no"))).alias("start"), F.max_by("x", F.when(F.col("pair"), F.col("line_no"))).alias("end"),
+    cell = F.trim(F.regexp_replace("value", ",+$", ""))
+    # only what is counted goes through the window's sort: of texts the label-like alone
+    rows = lines.select(
+        file, "line_no", F.when(pair, x).alias("x"), F.when(~pair & cell.rlike("^[A-Za-z][A-Za-z0-9 ]{1,7}$"), cell).alias("cell"), (~pair & (F.trim("value") != "")).alias("other"),
     )
+    rows = rows.withColumn("data_start", F.min(F.when(F.col("x").isNotNull(), F.col("line_no"))).over(Window.partitionBy(file)))
+    named = (F.col("line_no") <= F.col("data_start")) & F.col("cell").isNotNull()
+    good = F.col("x").isNotNull()
+    # the start is the same for all rows of a file; grouped by the file alone, they need no second sort
+    out = rows.where("data_start is not null").groupBy(file).agg(
+        F.min("data_start").alias("data_start"), F.max_by("cell", F.when(named, F.col("line_no"))).alias("label"), F.count_if(good).alias("n_points"),
+        F.count_if((F.col("line_no") >= F.col("data_start")) & F.col("other")).alias("malformed"),
+        F.min_by("x", F.when(good, F.col("line_no"))).alias("start"), F.max_by("x", F.when(good, F.col("line_no"))).alias("end"),
+    )
+    return out
 
 
 def diffraction_points(scans: DataFrame) -> DataFrame:
