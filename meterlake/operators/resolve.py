@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import names as N
 from ..sources.durable import written
@@ -58,75 +61,133 @@ def name_aliases(hints: DataFrame) -> DataFrame:
     return h.groupBy("name").agg(F.array_sort(F.collect_set("raw")).alias("aliases"))
 
 
-#: Common starts of two names that raise their Jaro-Winkler similarity, up to this length.
-STARTS = 4
+#: Names of a block; a block meets another within one task.
+BLOCK_NAMES = 4_096
+#: Pairs of blocks in a partition: bounds what a Python worker is sent at once.
+BLOCK_PAIRS = 8
 
 
-def least_shares(threshold: float) -> list[float]:
-    """By the length of the common start (0 to 4): the least m/a + m/b of similar names of lengths a and b that share m characters.
-
-    A Jaro-Winkler similarity of t after a common start of p needs a Jaro of (t - p/10) / (1 - p/10), which needs the sum of
-    both shares to be three times that less one; the boost is given above 0.7 alone. An indel ratio of t needs t*(a+b)/2
-    shared characters, which is more than the case p = 0 asks for.
-    """
-    out = []
-    for p in range(STARTS + 1):
-        jaro = (threshold - p / 10) / (1 - p / 10)
-        out.append(3 * (min(threshold, max(jaro, 0.7)) if p else threshold) - 1)
-    return out
+def _checked(threshold: float) -> None:
+    if not 0 <= threshold <= 1:
+        raise ValueError("threshold must be within 0 and 1")
 
 
-def name_candidates(base: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): distinct pairs a < b of ``base`` (name, n = its length) that could be similar; no similar pair is missing.
+def _meetings(blocks: DataFrame, apart: Column | None = None) -> DataFrame:
+    """Each two of ``blocks`` (id and arrays) as a row with the columns of the lesser id under x_, those of the other under y_ (null where a block meets itself).
 
-    Characters with their occurrence numbers are tokens, ordered from rare to common. Names of lengths a and b that must share
-    m tokens share l of the first a-m+l and b-m+l of them; keys are the choices of l tokens among these, with both
-    lengths and the common start that the bound is for. l is 3, 2 or 1, the more the fewer choices there are.
+    Not those that ``apart`` leaves out. Ids are paired before the arrays come to them; a partition has a few rows, so that they fit a worker.
     """
-    chars = base.select("name", "n", F.explode(F.split("name", "")).alias("c")).where("c <> ''")
-    nth = F.row_number().over(Window.partitionBy("name", "c").orderBy("c"))
-    tokens = chars.withColumn("token", F.concat("c", nth.cast("string")))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    ordered = tokens.join(often, "token").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
-    ordered = ordered.select("name", "n", F.transform("t", lambda x: x["token"]).alias("t"))
-    lengths = base.select(F.col("n").alias("other")).distinct()  # as many rows as names have lengths
-    shares = least_shares(threshold)
-    starts = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("share")) for p, s in enumerate(shares) if p == 0 or s < shares[0] - 1e-9])
-    rows = ordered.join(F.broadcast(lengths)).withColumn("start", F.explode(starts)).select("name", "n", "t", "other", "start.p", "start.share").where("least(n, other) >= p")
-    low, high = F.least("n", "other"), F.greatest("n", "other")
-    need = F.greatest(F.lit(1), F.col("p"), F.ceil(F.col("share") * low * high / (low + high) - 1e-9)).cast("int")
-    rows = rows.withColumn("need", need).where("need <= least(n, other)")
-    room = high - F.col("need")
-    rows = rows.withColumn("l", F.least(F.col("need"), F.when(room <= 3, 3).when(room <= 8, 2).otherwise(1)))
-    first = F.slice("t", F.lit(1), F.col("n") - F.col("need") + F.col("l"))
-    rows = rows.withColumn("first", first)
-    f, k = F.col("first"), F.size("first")
-    pick = lambda i: F.element_at(f, i.cast("int"))
-    twos = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda i: F.transform(F.slice(f, i + 1, F.greatest(k - i, F.lit(0))), lambda y: F.concat_ws("\x01", pick(i), y))))
-    threes = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(k - 2, F.lit(1))), lambda i: F.flatten(F.transform(F.sequence(i + 1, F.greatest(k - 1, i + 1)), lambda j: F.transform(F.slice(f, j + 1, F.greatest(k - j, F.lit(0))), lambda y: F.concat_ws("\x01", pick(i), pick(j), y))))))
-    combos = F.when(F.col("l") == 1, f).when(F.col("l") == 2, twos).otherwise(threes)
-    keyed = rows.select("name", "n", "other", F.xxhash64("p", F.expr("substring(name, 1, p)"), F.least("n", "other"), F.greatest("n", "other")).alias("block"), F.explode(combos).alias("choice"))
-    keyed = keyed.select("name", "n", "other", F.xxhash64("block", "choice").alias("key"))
-    short = keyed.where("n <= other").select(F.col("name").alias("x"), "key")
-    tall = keyed.where("n >= other").select(F.col("name").alias("y"), "key")
-    pairs = short.join(tall, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return pairs.distinct()
-
-
-def name_edges(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    x, y = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "xy")
+    keys = [[c for c in d.columns if not isinstance(d.schema[c].dataType, ArrayType)] for d in (x, y)]
+    pairs = x.select(*keys[0]).join(y.select(*keys[1]), (F.col("x_id") <= F.col("y_id")) & (F.lit(True) if apart is None else apart)).select("x_id", "y_id")
+    pairs = written(pairs, "meetings")
+    n = pairs.count()
+    met = pairs.join(x, "x_id").join(y, "y_id")
+    met = met.withColumns({c: F.when(F.col("x_id") < F.col("y_id"), F.col(c)) for c in y.columns if c not in keys[1]})
+    return met.repartition(max(1, min(n, max(blocks.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK_PAIRS)))))
+
+
+def name_edges(names: DataFrame, threshold: float = THRESHOLD, winkler_only: bool = False, block: int = BLOCK_NAMES) -> DataFrame:
     """(a, b, similarity): pairs a < b of distinct names with similarity of at least ``threshold``.
 
-    Candidates come from a lossless filter and are checked by the similarity itself. At 0 every pair is similar, so that
-    all of them are the result.
+    Every block of names meets every other in a task, which passes over pairs that by their characters cannot be similar and measures
+    the rest many at a time; no pair is shuffled. At 0 every pair is similar, so that all of them are the result.
+    ``winkler_only``: the Jaro-Winkler similarity alone counts.
     """
-    if not 0 <= threshold <= 1:
-        raise ValueError("threshold must be within 0 and 1")
-    base = written(names.select("name").where("name <> ''").distinct().withColumn("n", F.char_length("name")), "names")
+    _checked(threshold)
+    base = written(names.select("name").where("name <> ''").distinct(), "names")
     if threshold == 0:
         pairs = base.select(F.col("name").alias("a")).join(base.select(F.col("name").alias("b")), F.col("a") < F.col("b"))
-    else:
-        pairs = name_candidates(base, threshold)
-    return pairs.withColumn("similarity", N.similarity("a", "b")).where(F.col("similarity") >= threshold)
+        return pairs.withColumn("similarity", (N.winkler if winkler_only else N.similarity)("a", "b"))
+    blocks = max(1, -(-base.count() // block))
+    cut = written(base.groupBy(F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("id")).agg(F.collect_list("name").alias("names")), "blocks")
+
+    def run(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("x_names"), batch.column("y_names")):
+                x, y = x.as_py(), y.as_py()
+                table = N.NameTable([*x, *(y or ())])
+                text = pa.array(table.names, pa.string())
+                for a, b in table.near(table.places(x), None if y is None else table.places(y), threshold):
+                    s = table.similarity(a, b, winkler_only)
+                    k = s >= threshold
+                    yield pa.RecordBatch.from_arrays([text.take(pa.array(a[k])), text.take(pa.array(b[k])), pa.array(s[k])], names=["a", "b", "similarity"])
+
+    return _meetings(cut).mapInArrow(run, "a string, b string, similarity double")
+
+
+def _met(batches, threshold: float, within: bool = True):
+    """(a, b, hub): labels that similar names of two blocks tie together, each with the least of them, or with the least of the hub's if any is.
+
+    Columns: names x_n and y_n (null: a block for itself) and their labels x_l and y_l; ``hub``: both are labels of y. Without ``within``, x is not compared
+    with itself where there is a y.
+    """
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in ("x_n", "x_l", "y_n", "y_l"))):
+            x, xl, y, yl = (v.as_py() for v in row)
+            of = dict(zip(x, xl, strict=True)) | ({} if y is None else dict(zip(y, yl, strict=True)))
+            hub = set() if y is None or not within else set(yl)
+            table = N.NameTable(list(of))
+            given = [of[k] for k in table.names]
+            number = {g: k for k, g in enumerate(dict.fromkeys(given))}
+            label = np.array([number[g] for g in given], np.int64)
+            rows = table.places(x)
+            if within or y is None:
+                table.united(label, rows, None, threshold)
+            if y is not None:
+                table.united(label, rows, table.places(y), threshold)
+            least: dict[int, tuple[bool, str]] = {}
+            for k, g in set(zip(label.tolist(), given)):
+                least[k] = min(least.get(k, (True, g)), (g not in hub, g))
+            pairs = sorted({(g, least[k][1]) for k, g in zip(label.tolist(), given) if g != least[k][1]})
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()), pa.array([a in hub for a, _ in pairs], pa.bool_())], names=["a", "b", "hub"])
+
+
+#: Labels that are broadcast; beyond, both sides are shuffled.
+FEW_LABELS = 100_000
+
+
+def name_components(names: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_NAMES) -> DataFrame:
+    """(node, component) of distinct names (node): the rows of ``components`` over ``name_edges``, without the edges, of which there may be quadratically many.
+
+    First every block of names is united within itself and with one hub block, which leaves few labels where names are much alike.
+    Then blocks meet whose names may still have different labels; pairs of one label are not compared again, all others are.
+    """
+    _checked(threshold)
+    kind = "a string, b string, hub boolean"
+    base = written(names.select("node").where("node <> ''").distinct(), "names")
+    total = base.count()
+    blocks = max(1, -(-total // block))
+    cut = written(base.groupBy(F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("id")).agg(F.collect_list("node").alias("x_n")).withColumn("x_l", F.col("x_n")), "blocks")
+    none = F.lit(None).cast("array<string>")
+    hub = cut.where("id = 0").select("x_n", "x_l", none.alias("y_n"), none.alias("y_l"))
+    ties = written(hub.mapInArrow(lambda batches: _met(batches, threshold), kind), "ties")
+    if blocks > 1:  # the hub is one row
+        to = F.broadcast(ties.agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("to")))
+        known = hub.crossJoin(to).select(F.col("x_n").alias("y_n"), F.transform("x_n", lambda v: F.coalesce(F.try_element_at("to", v), v)).alias("y_l"))
+        rest = cut.where("id > 0").select("x_n", "x_l").crossJoin(F.broadcast(written(known, "hub")))
+        n = max(min(blocks, base.sparkSession.sparkContext.defaultParallelism), -(-blocks // BLOCK_PAIRS))
+        ties = ties.unionByName(written(rest.repartition(n).mapInArrow(lambda batches: _met(batches, threshold), kind), "ties"))
+    joined = ties.where("hub").select("a", "b")
+    moved = written(components(joined.select(F.col("a").alias("node")).union(joined.select("b")), joined), "hub")  # at most the hub's names
+    labels = base.join(ties.where("not hub"), F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("k"))
+    labels = written(labels.join(F.broadcast(moved.select(F.col("node").alias("k"), "component")), "k", "left").select("node", F.coalesce("component", "k").alias("label")), "labels")
+    sizes = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("least")), "sizes")
+    if sizes.count() > 1:
+        large = sizes.where(F.col("k") >= block).select("label", F.ceil(F.col("k") / block).alias("parts"))  # at most as many as blocks
+        rest = max(1, -(-(sizes.where(F.col("k") < block).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]) // block))
+        placed = labels.join(F.broadcast(large), "label", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("node"), "parts"), F.pmod(F.xxhash64("label"), F.lit(rest)))
+        placed = placed.groupBy(F.when(F.col("parts").isNotNull(), F.col("label")).alias("whole"), part.alias("part")).agg(F.collect_list("node").alias("n"), F.collect_list("label").alias("l"))
+        cut = written(placed.select(F.concat_ws(" ", F.col("part").cast("string"), "whole").alias("id"), "whole", "n", "l"), "blocks")
+        met = _meetings(cut, ~F.coalesce(F.col("x_whole") == F.col("y_whole"), F.lit(False)))
+        ties = met.mapInArrow(lambda batches: _met(batches, threshold, within=False), kind)
+        found = components(sizes.select(F.col("label").alias("node")), ties.select("a", "b")).withColumnRenamed("node", "label").join(sizes, "label")
+        least = found.groupBy("component").agg(F.min("least").alias("of_all"))
+        sizes = found.join(least, "component").select("label", F.col("of_all").alias("least"))
+    moved = written(sizes.where("label <> least").select("label", "least"), "moved")
+    moved = F.broadcast(moved) if moved.count() <= FEW_LABELS else moved
+    return labels.join(moved, "label", "left").select("node", F.coalesce("least", "label").alias("component"))
 
 
 #: Distinct names that one task compares and contracts on its own, without candidates, edges or rounds.
@@ -135,8 +196,7 @@ FEW_NAMES = 200
 
 def few_components(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of at most ``FEW_NAMES`` distinct names (node): the same rows as of ``components`` over ``name_edges``, in one small task."""
-    if not 0 <= threshold <= 1:
-        raise ValueError("threshold must be within 0 and 1")
+    _checked(threshold)
 
     def run(batches):
         nodes = sorted(x for pdf in batches for x in pdf["node"])
@@ -230,10 +290,10 @@ def clusters(hints: DataFrame, threshold: float = THRESHOLD, order: tuple[str, .
     votes = written(name_votes(hints), "votes")
     names = votes.select(F.col("name").alias("node")).distinct()
     few = names.limit(FEW_NAMES + 1).count() <= FEW_NAMES
-    comps = written(few_components(names, threshold) if few else components(names, name_edges(names.withColumnRenamed("node", "name"), threshold)), "components")
+    comps = written(few_components(names, threshold) if few else name_components(names, threshold), "components")
     own = written(assign_files(votes, comps, first_seen(hints, comps, order)), "assigned")
-    files = own.groupBy("component").agg(F.array_sort(F.collect_set("file_path")).alias("file_paths"))
-    forms = comps.join(name_aliases(hints), F.col("node") == F.col("name")).groupBy("component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.array_sort(F.collect_set("node")).alias("normalized_forms"))
+    files = own.groupBy("component").agg(F.array_sort(F.collect_list("file_path")).alias("file_paths"))  # a file has one component
+    forms = comps.join(name_aliases(hints), F.col("node") == F.col("name")).groupBy("component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.array_sort(F.collect_list("node")).alias("normalized_forms"))
     main = files.join(forms, "component").select(canonical(F.col("aliases")).alias("canonical"), "aliases", "file_paths", "normalized_forms")
     rest = hints.select("file_path").distinct().join(own, "file_path", "left_anti")
     st = N.stem(F.col("file_path"))
