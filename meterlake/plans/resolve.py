@@ -23,8 +23,7 @@ def _names(spark, sf):
 def _near(spark, sf):
     """Edges by one measure, so that SQL can follow."""
     n = _names(spark, sf).select("name").distinct()
-    e = R.name_edges(n, 0.9).select("a", "b")
-    return n.select(F.col("name").alias("node")), e.withColumn("jw", N.winkler("a", "b")).where("jw >= 0.9").select("a", "b")
+    return n.select(F.col("name").alias("node")), R.name_edges(n, 0.9, winkler_only=True).select("a", "b")
 
 
 @query("l01_hints", WITH + """, s AS (SELECT path, rel_path, string_split(rel_path, '/') AS p, regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem FROM files),
@@ -40,7 +39,7 @@ query("g08_name_votes", HINTS + "SELECT file_path, name, round(sum(confidence),
 query("g10_name_aliases", HINTS + "SELECT name, list_sort(list(DISTINCT raw)) AS aliases FROM named GROUP BY name")(lambda s, d: R.name_aliases(c.names(s, d)))
 query("j06_similar_names", NAME_SET + PAIR_SQL + " SELECT a, b FROM e")(lambda s, d: _near(s, d)[1])
 query("j06_similar_words", f"WITH {c.WORDS} SELECT a.name AS a, b.name AS b FROM words a JOIN words b ON a.name < b.name AND jaro_winkler_similarity(a.name, b.name) >= 0.88")(
-    lambda s, d: R.name_edges(c.words(s, d), 0.88).select("a", "b").withColumn("jw", N.winkler("a", "b")).where("jw >= 0.88").select("a", "b")
+    lambda s, d: R.name_edges(c.words(s, d), 0.88, winkler_only=True).select("a", "b")
 )
 #: Longest common subsequence of x and y: rows of lengths as characters, from one character of x to the next.
 LCS = "(ascii(right(list_reduce(string_split({x}, ''), lambda row, ch: list_reduce(list_transform(range(1, length({y}) + 1), lambda j: CAST(j AS VARCHAR)), lambda acc, j: acc || chr(greatest(ascii(right(acc, 1)), ascii(substr(row, CAST(j AS INTEGER) + 1, 1)), ascii(substr(row, CAST(j AS INTEGER), 1)) + CAST(substr({y}, CAST(j AS INTEGER), 1) = ch AS INTEGER))), '0'), repeat('0', length({y}) + 1)), 1)) - 48)"
