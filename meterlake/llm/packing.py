@@ -14,10 +14,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,106 +29,110 @@ CLOSING_ID = 2
 MARKS = ".,;:!?%$#&*"
 #: Remembered words per Python worker; others are encoded anew in each batch.
 CACHE_ENTRIES = 200_000
-#: Characters that are encoded in one go.
-ENCODE_CHARS = 200_000
+#: Bytes of texts, short of one text, whose words are looked up together.
+TEXT_BYTES = 8 << 20
+#: Words that the library encodes in one go.
+ENCODE_WORDS = 16_384
+#: Words whose ids are laid out at once.
+LAID_OUT = 1 << 17
 #: Letters that stay letters under the file's own normaliser (composition and lower case), one for one, so that a word of
 #: them stays one pre-token. İ is not among them: its lower form ends with a mark.
-PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įıĲ-ňŊ-ž]+")
+PLAIN = "A-Za-zÀ-ÖØ-öø-įıĲ-ňŊ-ž"
+LETTERS = "".join(c for c in map(chr, range(0x180)) if re.match(f"[{PLAIN}]", c))
+ONE_WORD = f"^[{PLAIN}]+$"
+WITH_MARKS = f"^[{PLAIN}]+[{re.escape(MARKS)}]*$"
+#: Special strings; marks that Arrow counts as space and the file does not.
+WHOLE_TEXT = "<[|]|[\x1c-\x1f]"
 
 
-class Known(dict):
-    """Ids of remembered stretches, with those of the batch at hand beside them."""
-
-    spare: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.spare[word]
+def laid_out(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids``, as long as ``sizes`` says, in the order of ``codes``."""
+    starts = np.cumsum(sizes) - sizes
+    out = [ids[:0]]
+    for at in range(0, len(codes), LAID_OUT):
+        own = codes[at : at + LAID_OUT]
+        n = sizes[own]
+        out.append(ids[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    return np.concatenate(out)
 
 
 class WordEncoder:
     """Ids of texts under a tokenizers file that drops white space between words.
 
-    Such a file encodes each stretch between white space alone, so the ids of a stretch are looked up, and only
-    stretches not seen before go to the library.
+    Such a file encodes each stretch between white space alone, so Arrow cuts a batch into words and only its distinct words
+    are looked up. Plain letters with a tail of marks are two pre-tokens, other words are encoded whole; only stretches
+    not seen before go to the library. Those of letters alone need neither its normaliser nor its pattern.
     """
 
     def __init__(self, path: str, closing_id: int, cache_entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.lower_words = Tokenizer(self.tokenizer.model)
+        self.lower_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 and closing_id < 1 << 16 else np.dtype("<u4")
-        self.closing = np.array([closing_id], self.dtype).tobytes()
-        self.known = Known()
+        self.closing = np.array([closing_id], self.dtype)
+        self.known, self.ids, self.sizes = pa.array([], pa.string()), np.empty(0, self.dtype), np.empty(0, np.int64)
         self.limit = cache_entries
         suffix = self.tokenizer.model.end_of_word_suffix or "\0"
         self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
-        self.odd = re.compile("[\x1c-\x1f]")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _encode_words(self, words: list[str]) -> None:
-        """Adds to ``spare`` the ids of words that are one pre-token each; its last id alone is marked as a word's end."""
-        at, group, size = 0, [], 0
-        for at, w in enumerate(words):
-            group.append(w)
-            size += len(w) + 1
-            if size >= ENCODE_CHARS or at == len(words) - 1:
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
-                ends = np.flatnonzero(self.closes[ids]) + 1
-                if len(ends) == len(group):
-                    raw, width = ids.tobytes(), self.dtype.itemsize
-                    cuts = [0, *(ends * width).tolist()]
-                    self.known.spare.update(zip(group, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
-                else:
-                    self.known.spare.update((g, self._whole(g)) for g in group)
-                group, size = [], 0
-
-    def _learn(self, fresh: set[str]) -> None:
-        """Plain letters with a tail of marks are two pre-tokens; other stretches are encoded whole."""
-        known = self.known
-        composed, single = [], set()
-        for w in fresh:
-            head = w.rstrip(MARKS)
-            if PLAIN_WORD.fullmatch(head):
-                single.add(head)
-                if len(head) < len(w):
-                    single.add(w[len(head) :])
-                    composed.append((w, head))
-            else:
-                known.spare[w] = self._whole(w)
-        self._encode_words(sorted(w for w in single if w not in known))
-        known.spare.update((w, known[head] + known[w[len(head) :]]) for w, head in composed)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the closing id, as little-endian integers of ``dtype``."""
-        split: list[list[str] | bytes] = []
-        fresh: set[str] = set()
-        known = self.known
-        known.spare = {}
-        for t in texts:
-            t = t or ""
-            if "<|" in t or self.odd.search(t):  # special strings; marks that Python alone counts as space
-                split.append(self._whole(t))
-                continue
-            try:
-                t.encode("latin-1")
-                t = t.lower()  # the file's own first step; for these characters both agree
-            except UnicodeEncodeError:
-                pass
-            words = t.split()
-            fresh.update(w for w in set(words) if w not in known)
-            split.append(words)
-        if fresh:
-            self._learn(fresh)
-        look = known.__getitem__
-        out = [(x if isinstance(x, bytes) else b"".join(map(look, x))) + self.closing for x in split]
-        if (room := self.limit - len(known)) > 0:
-            known.update(islice(known.spare.items(), room))
-        known.spare = {}
-        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn(self, letters: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lower-case words of plain letters, whose last id alone is marked as a word's end, then of others."""
+        ids, sizes = [self.closing[:0]], [np.empty(0, np.int64)]
+        for at in range(0, len(letters), ENCODE_WORDS):
+            group = letters[at : at + ENCODE_WORDS]
+            own = np.array(self.lower_words.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
+            n = np.diff(np.flatnonzero(self.closes[own]) + 1, prepend=0)
+            if len(n) != len(group):
+                each = list(map(self._whole, group))
+                own, n = np.concatenate(each), np.array(list(map(len, each)))
+            ids.append(own)
+            sizes.append(n)
+        for w in others:
+            ids.append(self._whole(w))
+            sizes.append(np.array([len(ids[-1])]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        plain, lower = pc.match_substring_regex(words, WITH_MARKS), pc.utf8_lower(words)
+        heads = pc.if_else(plain, pc.utf8_rtrim(lower, MARKS), "")
+        tails = pc.if_else(plain, pc.utf8_ltrim(lower, LETTERS), words)
+        parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+        fresh = parts.dictionary.filter(pc.invert(pc.is_in(parts.dictionary, value_set=self.known)))
+        single = pc.match_substring_regex(fresh, ONE_WORD)
+        letters, others = fresh.filter(single), fresh.filter(pc.invert(single))
+        ids, sizes = self._learn(letters.to_pylist(), others.to_pylist())
+        every = pa.concat_arrays([self.known, letters, others])
+        ids, sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        codes = pc.index_in(parts.dictionary, value_set=every).to_numpy()[parts.indices.to_numpy()]
+        if len(self.known) < min(self.limit, len(every)):
+            self.known, self.sizes = pa.concat_arrays([every.slice(0, self.limit)]), sizes[: self.limit].copy()
+            self.ids = ids[: self.sizes.sum()].copy()
+        pairs = codes.reshape(2, -1)
+        return laid_out(ids, sizes, pairs.T.ravel()), sizes[pairs].sum(axis=0)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text and the closing id, one text after the other, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        alone = pc.match_substring_regex(texts, WHOLE_TEXT)
+        more = [self.closing, *map(self._whole, texts.filter(alone).to_pylist())]
+        split = pc.utf8_split_whitespace(pc.if_else(alone, "", texts))  # of an empty text: one empty word
+        words, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()[1:]
+        ids, sizes = self._words(words.dictionary)
+        closing = len(sizes)
+        ids, sizes = np.concatenate([ids, *more]), np.concatenate([sizes, np.array(list(map(len, more)))])
+        codes = words.indices.to_numpy().copy()
+        codes[ends[alone.to_numpy(zero_copy_only=False)] - 1] = np.arange(closing + 1, len(sizes))
+        codes = np.insert(codes, ends, closing)
+        upto = np.cumsum(sizes[codes])[ends + np.arange(len(ends))]
+        return laid_out(ids, sizes, codes), np.diff(upto, prepend=0)
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -141,23 +145,28 @@ def encoder(path: str, closing_id: int) -> WordEncoder:
 
 
 def concat_and_cut(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, closing_id: int = CLOSING_ID, rows_at_once: int = 256
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, closing_id: int = CLOSING_ID, rows_at_once: int = 256, bytes_at_once: int = TEXT_BYTES
 ) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32 bit), doc_tokens, sequence_id, offset."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, closing_id)
         pid, total = TaskContext.get().partitionId(), 0
-        width = enc.dtype.itemsize
         for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
-                ids = enc.encode(batch.column(1).to_pylist())
-                counts = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
-                starts = total + np.concatenate([[0], np.cumsum(counts)[:-1]])
-                total += int(counts.sum())
+            size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(size // bytes_at_once)) + 1).tolist(), whole.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                batch = whole.slice(a, b - a)
+                ids, counts = enc.encode(batch.column(1))
+                ends = np.cumsum(counts)
+                starts = total + ends - counts
+                total += len(ids)
+                offsets = np.concatenate([[0], ends * ids.itemsize]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ids, pa.binary()), pa.array(counts), pa.array(starts), pa.array(np.full(len(ids), width, np.int32)), pa.array(np.full(len(ids), pid, np.int32))],
+                    [
+                        batch.column(0), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids)]), pa.array(counts), pa.array(starts),
+                        pa.array(np.full(b - a, ids.itemsize, np.int32)), pa.array(np.full(b - a, pid, np.int32)),
+                    ],
                     names=["id", "ids", "n", "start", "width", "pid"],
                 )
 

@@ -735,6 +735,39 @@ def test_packing_cuts_the_stream_of_ids(spark):
     assert packing.concat_and_cut(empty(spark), path).count() == 0
 
 
+def test_packing_encodes_each_word_once_and_as_the_library():
+    from collections import Counter
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, asked = vocabulary("word_bpe_49k.json"), {"file": Counter(), "letters": Counter()}
+    library = Tokenizer.from_file(path)
+
+    class Counting:
+        def __init__(self, inner, name):
+            self.inner, self.name = inner, name
+
+        def encode_batch_fast(self, texts, **more):
+            asked[self.name].update(w for t in texts for w in t.split())
+            return self.inner.encode_batch_fast(texts, **more)
+
+    def same(enc, texts):
+        ids, counts = enc.encode(pa.array(texts, pa.string()))
+        want = [[*e.ids, 2] for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+    enc = packing.WordEncoder(path, 2, cache_entries=3)
+    enc.tokenizer, enc.lower_words = Counting(enc.tokenizer, "file"), Counting(enc.lower_words, "letters")
+    texts = ["Überaus rarely, RARELY. überaus seldom!", None, "x1 rarely", " ", "İ J\u030c rarely's"] * 300
+    same(enc, texts)
+    assert asked["letters"] == dict.fromkeys(["überaus", "rarely", "seldom"], 1)
+    assert asked["file"] == dict.fromkeys([",", ".", "!", "x1", "İ", "J\u030c", "rarely's"], 1)
+    assert len(enc.known) == 3
+    same(enc, [*texts[:5], "a<|endoftext|>B c", "one\x1ctwo"])
+    same(packing.WordEncoder(path, 2), [x.format(c=c) for c in map(chr, range(0x370)) for x in ("{c}", "Ab{c}cD.", "é{c}É, {c}{c}")])
+
+
 # ---------------------------------------------------------------- pages
 
 
