@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from meterlake.operators.ingest import parse_plain
 from meterlake.plans import QUERIES, carriers
 from meterlake.sources import files as sources
 from meterlake.sources.store import Store
@@ -58,3 +59,14 @@ def test_users_of_equal_content_have_a_row_each(spark, sf, tmp_path):
     known = spark.read.parquet(f"{tmp_path}/events.parquet").groupBy("user_id").agg(F.count(F.lit(1)), F.round(F.sum("value"), 4)).collect()
     got = QUERIES["t01_incremental_stream"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == sorted((u, n, total, "first" if u % 3 else "second") for u, n, total in known)
+
+
+def test_a_plain_file_is_judged_in_one_pass_by_line(spark):
+    texts = {"rises": "1 5\n\nbad row\n;1 1\n\t2\t6 \n2 7\n3 x\n", "falls": "1 5\nbad row\n0.5 6\n", "none": "bad row\n", "blank": "\n"}
+    got = parse_plain(spark.createDataFrame(list(texts.items()), "file_id string, text string"))
+    assert sorted(map(tuple, got.points.collect())) == [("falls", 0, 1.0, 5.0), ("falls", 1, 0.5, 6.0), ("rises", 0, 1.0, 5.0), ("rises", 1, 2.0, 6.0), ("rises", 2, 2.0, 7.0)]
+    assert sorted((r["file_id"], r["field"], r["severity"]) for r in got.issues.collect()) == [("blank", "data", "error"), ("falls", "data", "warning"), ("falls", "x", "warning"), ("none", "data", "error"), ("rises", "data", "warning")]
+    assert {r["file_id"]: (r["metadata"]["first_x"], r["metadata"]["last_x"]) for r in got.facts.collect()} == {"rises": ("1.0", "2.0"), "falls": ("1.0", "0.5"), "none": (None, None), "blank": (None, None)}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(got.issues).count("Window [") == 1
+    assert not [l for l in plan(got.points).splitlines() if "Filter" in l and "split(" in l]  # a line is split once, not for a filter too
